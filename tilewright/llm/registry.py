@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint
+from tilewright.llm import bpe, common, decontaminate, fingerprint, quality
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return decontaminate.report(decontaminate.find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
@@ -25,5 +32,5 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op7_benchmark_decontamination, op8_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints)}
 ORACLES: dict[str, str] = {}
