@@ -7,7 +7,11 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,56 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def ranked(keys: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Distinct ``keys`` with their place (from 1) in the order of ``columns``.
+
+    Sorted ranges are numbered where they lie; the driver only sees a count a range.
+    """
+    fields = ", ".join(f"{c} {dict(keys.dtypes)[c]}" for c in columns)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size) + 1)], names=[*columns, "part", "place"])
+            n += size
+
+    width = shuffle_width(keys.sparkSession)
+    numbered = written(keys.select(*columns).repartitionByRange(width, *columns).sortWithinPartitions(*columns).mapInArrow(number, f"{fields}, part int, place long"), label)
+    sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.max("place").alias("n")).collect())
+    before, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    offsets = keys.sparkSession.createDataFrame(rows, "part int, before long")
+    return numbered.join(F.broadcast(offsets), "part").select(*columns, (F.col("place") + F.col("before")).alias("rank"))
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """(id, component) of each id in the undirected ``edges`` (a, b long): the least id it is connected to.
+
+    Alternating large-star and small-star rounds; each aggregates before it
+    shuffles, joins on the centre (which adaptive execution splits where it is hot)
+    and is written, so that no round depends on an executor's memory.
+    """
+    def least(u: str, v: str, rows: DataFrame) -> DataFrame:
+        own = rows.groupBy(u).agg(F.min(v).alias("m"))
+        return rows.join(own.select(u, F.least(u, "m").alias("m")), u)
+
+    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    before = None
+    while True:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = least("a", "b", both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = least("a", "b", large)
+        small = small.select(F.col("b").alias("x"), "m").unionByName(small.select(F.col("a").alias("x"), "m")).filter("x != m")
+        edges = written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
+        # stars only, and the same as before: settled
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

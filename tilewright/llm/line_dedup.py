@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +25,6 @@ MIN_LINES = 2
 _DOC = ["doc_id", "text_key"]
 
 
-def _ranked(keys: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Distinct ``keys`` with their place (from 1) in the order of ``columns``.
-
-    Sorted ranges are numbered where they lie; the driver only sees a count a range.
-    """
-    fields = ", ".join(f"{c} {dict(keys.dtypes)[c]}" for c in columns)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size) + 1)], names=[*columns, "part", "place"])
-            n += size
-
-    width = common.shuffle_width(keys.sparkSession)
-    numbered = common.written(keys.select(*columns).repartitionByRange(width, *columns).sortWithinPartitions(*columns).mapInArrow(number, f"{fields}, part int, place long"), label)
-    sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.max("place").alias("n")).collect())
-    before, rows = 0, []
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    offsets = keys.sparkSession.createDataFrame(rows, "part int, before long")
-    return numbered.join(F.broadcast(offsets), "part").select(*columns, (F.col("place") + F.col("before")).alias("rank"))
-
-
 def _positions(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, n_lines, h1, h2): a row for each line; equal rows of the table count once.
 
@@ -70,7 +44,7 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
     rows = common.written(_positions(docs), "line-positions")
     # partial counts before the shuffle, so a line that is everywhere is one row a task
     keys = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-    ranks = _ranked(keys, ["h1", "h2"], "line-keys")
+    ranks = common.ranked(keys, ["h1", "h2"], "line-keys")
     state = common.written(rows.join(ranks, ["h1", "h2"]).select(*_DOC, "pos", "rank"), "line-ranks")
     done = 1
     while done < length:
@@ -81,7 +55,7 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
         pairs = state.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(ahead.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), ["id", "text_key", "pos"]).select(*_DOC, "pos", F.col("rank").alias("first"), "next")
         pairs = common.written(pairs, "line-pairs")
         keys = pairs.groupBy("first", "next").agg(F.count("*").alias("n")).filter("n > 1")
-        ranks = _ranked(keys, ["first", "next"], "line-keys")
+        ranks = common.ranked(keys, ["first", "next"], "line-keys")
         state = common.written(pairs.join(ranks, ["first", "next"]).select(*_DOC, "pos", "rank"), "line-ranks")
         done += shift
     return state

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, line_dedup, quality
+from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, line_dedup, near_duplicates, quality
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return line_dedup.report(line_dedup.dedup_lines(common.table(spark, sf_dir, "documents")))
@@ -42,5 +47,5 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints)}
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints)}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": near_duplicates.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
