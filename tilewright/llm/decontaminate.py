@@ -11,12 +11,13 @@ tasks, so that it may grow.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,14 +184,14 @@ def _verified(ids: np.ndarray, windows: Windows, index: Index, matched) -> Itera
             yield size, st[same], nu[same]
 
 
-def _hits(shared) -> object:
+def _hits(shared, keep: tuple[str, ...] = ()) -> object:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, index = shared.value
         get = windows.vocabulary.get
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = _numbered(text, get)
+                ids = _numbered(text or "", get)
                 matched = {s: _matches(ids, s, t) for s, t in index.tables.items()}
                 cover, items = np.zeros(len(ids) + 1, np.int64), set()
                 for size, starts, numbers in _verified(ids, windows, index, matched):
@@ -205,7 +206,8 @@ def _hits(shared) -> object:
                 out[2].append(edges.tolist())
                 out[3].append(sorted(items))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_words", "hit_edges", "items"])
+            columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)] + [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hit_edges", "items", *keep])
 
     return scan
 
@@ -228,8 +230,6 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 def _union(hits: list[DataFrame]) -> DataFrame:
     """One row per document of several blocks' hits, covering any overlap once."""
-    from functools import reduce
-
     merged = reduce(DataFrame.unionByName, hits)
 
     def merge(key, pdf):
@@ -238,15 +238,13 @@ def _union(hits: list[DataFrame]) -> DataFrame:
             np.add.at(cover, np.asarray(edges[::2], np.int64), 1)
             np.add.at(cover, np.asarray(edges[1::2], np.int64), -1)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])))
-        import pandas as pd
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "n_words": [pdf["n_words"].iloc[0]], "hit_edges": [edges.tolist()], "items": [sorted({i for x in pdf["items"] for i in x})], "row": [pdf["row"].iloc[0]]})
 
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "n_words": [pdf["n_words"].iloc[0]], "hit_edges": [edges.tolist()], "items": [sorted({i for x in pdf["items"] for i in x})]})
+    return merged.groupBy("doc_id", "row").applyInPandas(merge, f"{_HITS}, row long")
 
-    return merged.groupBy("doc_id", "row").applyInPandas(lambda key, pdf: merge(key, pdf), _HITS)
 
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hit_edges, items): the documents' words inside occurrences of benchmark windows.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, hit_edges, items) and ``keep``: the documents' words inside occurrences of benchmark windows.
 
     hit_edges has the starts and ends of maximal hit runs, in words. A null or
     empty text has no words, hence no hits; null item ids and texts are no items;
@@ -254,6 +252,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     no item at all every document is clean.
     """
     spark = docs.sparkSession
+    kept, keep = docs, tuple(c for c in keep if c not in ("doc_id", "n_words", "hit_edges", "items"))
+    fields = _HITS + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     docs = docs.select("doc_id", common.text_of())
     hits = []
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -263,22 +263,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         counts = _counts(docs, spark.sparkContext.broadcast(windows)) if block else {}
         shared = spark.sparkContext.broadcast((windows, Index.of(windows, counts)))
         if several:  # rows need a name to be brought together again, as ids may repeat
-            hits.append(docs.mapInArrow(_with_row(_hits(shared)), f"{_HITS}, row long"))
+            hits.append(docs.withColumn("row", _row_key("text")).mapInArrow(_hits(shared, ("row",)), f"{_HITS}, row long"))
         else:
-            hits.append(docs.mapInArrow(_hits(shared), _HITS))
-    return _union(hits) if several else hits[0]
-
-
-def _with_row(scan):
-    """Add a hash of the text, so that equal (doc_id, text) rows meet again."""
-
-    def f(batches):
-        for batch in batches:
-            rows = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in batch.column("text").to_pylist()]
-            for out in scan(iter([batch])):
-                yield out.append_column("row", pa.array(rows, pa.int64()))
-
-    return f
+            source = kept.select("doc_id", *[c for c in keep if c != "text"], "text" if "text" in keep else common.text_of())
+            hits.append(source.mapInArrow(_hits(shared, keep), fields))
+    if not several:
+        return hits[0]
+    merged = _union(hits)
+    again = kept.withColumn("row", _row_key(common.text_of())).select("doc_id", "row", *keep)
+    return again.join(merged.withColumnRenamed("doc_id", "__id"), (F.col("__id").eqNullSafe(again["doc_id"])) & (merged["row"] == again["row"])).select("doc_id", "n_words", "hit_edges", "items", *keep)
+
+
+def _row_key(text):
+    """Names a row along with its id, so that equal (id, text) rows of several blocks' hits meet."""
+    return F.xxhash64(text)
 
 
 def report(hits: DataFrame) -> DataFrame:

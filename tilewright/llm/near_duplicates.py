@@ -88,7 +88,7 @@ def set_name(shingles: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node binary, n_shingles, minima binary) of every row."""
+    """(doc_id, text_key, node binary, n_shingles, minima binary) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -99,9 +99,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 nodes.append(set_name(s))
                 sizes.append(len(s))
                 minima.append(minhash(s).astype(">u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(minima, pa.binary())], names=["doc_id", "node", "n_shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(minima, pa.binary())], names=["doc_id", "text_key", "node", "n_shingles", "minima"])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_of()).mapInArrow(run, "doc_id long, node binary, n_shingles long, minima binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node binary, n_shingles long, minima binary")
 
 
 def _candidates(nodes: DataFrame, depth: int) -> DataFrame:
@@ -205,6 +205,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     copies of each other alone. Repeated rows and ids are rows of their own; a
     class of null ids alone has a null name; other columns are ignored.
     """
+    return _classified(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` without those whose class has a row with a smaller id (ties: smaller hash of the text).
+
+    Of repeated rows one stays; all columns stay.
+    """
+    found = common.written(_classified(docs, threshold, recall).select("doc_id", "text_key", "component"), "near-found")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = common.written(found.join(first, "component").filter(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))).select("doc_id", "text_key").distinct(), "near-gone")
+    repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
+    keyed = docs.withColumn("__key", F.xxhash64(common.text_of()))
+    few = gone.count() * 40 <= BROADCAST_BYTES
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone"))
+    left = keyed.join(F.broadcast(gone) if few else gone, (F.col("__gone") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left_anti")
+    return (left.dropDuplicates(["doc_id", "__key"]) if repeated else left).drop("__key")
+
+
+def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, text_key, component, class_id, n_links, n_copies) of every row."""
     depth = prefix_depth(threshold, recall=recall)
     source = docs.select("doc_id", common.text_of())
     sets = common.written(_sets(source), "near-sets")
@@ -228,8 +249,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classes.groupBy("component").agg(F.min("least").alias("class_id"))
     known = classes.join(least, "component").join(links, "id", "left")
-    known = known.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return sets.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    known = known.select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return sets.select("doc_id", "text_key", "node").join(known, "node").select("doc_id", "text_key", "component", "class_id", "n_links", "n_copies")
 
 
 #: The same rows in DuckDB (ids unique and not null).
