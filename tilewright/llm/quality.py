@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from tilewright.llm import common
 
 PASSAGE = 512
-#: Most labelled rows that are fetched to fit the classifier (the least hashes of their ids).
-SAMPLE = 6000
-#: Most text of them, in characters; rows beyond it are not fetched.
-SAMPLE_CHARS = 40_000_000
+#: Most labelled ids whose passages fit the classifier (the least hashes of the ids).
+SAMPLE = 3000
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 
@@ -146,9 +144,8 @@ class Model:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "d": d.sum(keepdims=True)}
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 11, decay: float = 1e-4) -> Model:
+def fit(x: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 12, seed: int = 11, decay: float = 1e-4) -> Model:
     """Adam over shuffled minibatches of bags; with one label only, the model scores its share everywhere."""
-    x, offsets = passages(texts)
     model = Model.fresh(x, seed)
     if labels.min() == labels.max():
         for k in ("c", "d"):
@@ -156,11 +153,11 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 11
         model.weights["d"][:] = 4 if labels[0] else -4
         return model
     rng, state, step = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}, 0
-    batch = 32 if len(texts) < 2000 else 64
-    epochs = max(epochs, min(60, 12_000 // max(1, len(texts) // batch) // 10))
+    batch = 32 if len(labels) < 2000 else 64
+    epochs = max(epochs, min(60, 12_000 // max(1, len(labels) // batch) // 10))
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(labels))
         for low in range(0, len(order), batch):
             pick = order[low : low + batch]
             rows = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in pick])
@@ -175,24 +172,31 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 11
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample`` labelled texts outside the held-out fold, by least hash of the id; conflicting labels of an id go by their mean."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, offsets and labels of at most ``sample`` labelled ids outside the held-out fold, by least hash of the id.
+
+    Conflicting labels of an id go by their mean. Executors encode the texts, so that only passages' features reach the driver.
+    """
     own = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     picked = own.filter(common.crc_mod("doc_id", held_out) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", common.text_of()).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows, total = [], 0
-    for row in texts.toLocalIterator():
-        total += len(row["text"])
-        if total > SAMPLE_CHARS:
-            break
-        rows.append((row["doc_id"], row["text"], row["quality"]))
-    return [r[1].encode() for r in rows], np.array([r[2] for r in rows], float)
+    texts = docs.select("doc_id", common.text_of()).join(F.broadcast(picked), "doc_id")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [passages([t.encode()])[0].astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(made, pa.binary())], names=["doc_id", "quality", "x"])
+
+    # the order of partitions must not matter
+    rows = sorted((r["doc_id"], bytes(r["x"]), r["quality"]) for r in texts.mapInArrow(encode, "doc_id long, quality int, x binary").collect())
+    parts = [np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    x = np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
+    return x, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array([r[2] for r in rows], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE) -> Model | None:
     """The fitted model; None if no row is labelled."""
-    texts, marks = training_rows(docs, labels, held_out, sample)
-    return fit(texts, marks) if texts else None
+    x, offsets, marks = training_rows(docs, labels, held_out, sample)
+    return fit(x, offsets, marks) if len(marks) else None
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -208,7 +212,7 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = [t or "" for t in batch.column(column).to_pylist()]
             scores = np.full(len(texts), 0.5)
             low = 0
             while model is not None and low < len(texts):
@@ -223,6 +227,7 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    source = docs.select(*names, F.coalesce("text", F.lit("")).alias("__text"))
+    column = "text" if "text" in names else "__text"
+    source = docs.select(*names, *([] if column == "text" else [F.col("text").alias("__text")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return source.mapInArrow(run, f"{fields}, score double, predicted int")
