@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, line_dedup, near_duplicates, quality
+from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, line_dedup, near_duplicates, quality, range_coder
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +47,11 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints)}
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    files = range_coder.write_ids(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return range_coder.read_ids(files, keep_ids=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output)}
 ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": near_duplicates.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
