@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, line_dedup, near_duplicates, quality, range_coder
+from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, licenses, line_dedup, near_duplicates, quality, range_coder
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return licenses.report(licenses.scan_documents(common.table(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return decontaminate.report(decontaminate.find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
@@ -53,5 +58,5 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_coder.read_ids(files, keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output)}
 ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": near_duplicates.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
