@@ -453,11 +453,12 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
     buckets = 2 * common.shuffle_width(spark)
     # rows of equal ids differ by text, so that one id does not make one block
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    # one query to the end: the blocks' texts are shuffled once and read three times, which costs
+    # least disk; a lost executor's part of any step is made again from the step before
     anchors = source.groupBy("block").applyInArrow(_name_anchors(buckets), _ANCHORS)
     statuses = anchors.groupBy("bucket").applyInArrow(_find_repeated(heavy), _STATUS)
-    statuses = common.written(statuses, "run-status")
     contents = source.groupBy("block").cogroup(statuses.groupBy("block")).applyInArrow(_send_contents(buckets), _CONTENTS)
-    least = common.written(contents.groupBy("bucket").applyInArrow(_resolve, _LEAST), "run-least")
+    least = contents.groupBy("bucket").applyInArrow(_resolve, _LEAST)
     none = F.lit(None).cast("binary")
     answers = statuses.select("block", "bucket", "status", none.alias("runs"), none.alias("lengths"), none.alias("docs")).unionByName(least.select("block", "bucket", none.alias("status"), "runs", "lengths", "docs"))
     return source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_mark(buckets), _RESULT)
