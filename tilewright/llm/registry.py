@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, licenses, line_dedup, near_duplicates, quality, range_coder
+from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, licenses, line_dedup, near_duplicates, quality, range_coder, run_index
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,10 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_coder.read_ids(files, keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output)}
+def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return run_index.report(run_index.repeated_spans(common.table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output, op10_run_length_dedup)}
 ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": near_duplicates.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
