@@ -1 +1 @@
-"""See the package README for the module map."""
+"""Column expressions: shapes, polygons, pixels."""

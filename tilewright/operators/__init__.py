@@ -1 +1 @@
-"""See the package README for the module map."""
+"""Relational forms of the image operators; each takes and returns DataFrames."""

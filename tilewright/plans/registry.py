@@ -1,6 +1,8 @@
-"""Named queries over the driver's tables and their SQL twins."""
+"""All named queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tilewright.plans import queries, streams
+
+QUERIES = queries.QUERIES | streams.QUERIES
+ORACLES = queries.ORACLES | streams.ORACLES

@@ -1 +1 @@
-"""See the package README for the module map."""
+"""Where slides, images and records come from and go to."""

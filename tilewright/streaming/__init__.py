@@ -1 +1 @@
-"""See the package README for the module map."""
+"""Structured Streaming forms of the batch worker and the strip accumulator."""
