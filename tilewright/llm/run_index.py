@@ -64,7 +64,7 @@ def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = hashed[m]
         hashed[2 * m] = x[:-m] * _M[j] + x[m:]
     n = len(data) - WINDOW + 1
-    own = _mix(hashed[32][:n] * _M[5] + hashed[16][32 : 32 + n] * _M[0] + hashed[2][48 : 48 + n])
+    own = hashed[32][:n] * _M[5] + hashed[16][32 : 32 + n] * _M[0] + hashed[2][48 : 48 + n]
     least, span, reach = _mix(hashed[GRAM]), 1, WINDOW - GRAM + 1
     while span * 2 <= reach:
         least = np.minimum(least[:-span], least[span:])
@@ -100,7 +100,7 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> Segments:
         found[0].append(at + low)
         found[1].append(length)
         found[2].append(anchor[at] >> _48)
-        found[3].append(_mix(own[at] * _M[1] + own[at + length - 1] * _M[2] + length.astype(np.uint64)))
+        found[3].append(_mix(_mix(own[at]) * _M[1] + _mix(own[at + length - 1]) * _M[2] + length.astype(np.uint64)))
         low += PIECE
     kinds = (np.int64, np.int64, np.uint64, np.uint64)
     start, windows, anchor, content = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds, strict=True))
@@ -111,6 +111,7 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> Segments:
 class Block:
     """A block's texts with their distinct segments (records), in the order of anchor and content."""
 
+    ids: list
     data: np.ndarray
     sizes: np.ndarray
     docs: np.ndarray
@@ -124,8 +125,10 @@ class Block:
 
     @classmethod
     def of(cls, table: pa.Table) -> Block:
-        texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-        docs = np.array([_LAST_DOC if d is None else d for d in table.column("doc_id").to_pylist()], np.int64)
+        # every pass must see the block alike, in whatever order its rows arrive
+        rows = sorted((_LAST_DOC if d is None else d, d is None, (t or "").encode()) for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        ids, texts = [None if none else d for d, none, _ in rows], [t for _, _, t in rows]
+        docs = np.array([d for d, _, _ in rows], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         found = segments(data, sizes)
@@ -140,9 +143,9 @@ class Block:
         tops = np.flatnonzero(new_a)
         if not len(order):
             none = np.zeros(0, np.int64)
-            return cls(data, sizes, docs, found, record, none, none, np.zeros(0, np.uint64), none, np.zeros(0, bool))
+            return cls(ids, data, sizes, docs, found, record, none, none, np.zeros(0, np.uint64), none, np.zeros(0, bool))
         several = np.minimum.reduceat(doc, tops) != np.maximum.reduceat(doc, tops)
-        return cls(data, sizes, docs, found, record, order[heads], np.minimum.reduceat(doc, heads), a[tops], (np.cumsum(new_a) - 1)[heads], several)
+        return cls(ids, data, sizes, docs, found, record, order[heads], np.minimum.reduceat(doc, heads), a[tops], (np.cumsum(new_a) - 1)[heads], several)
 
     def chosen(self, status: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Records of repeated anchors, by bucket: (record, place of the one window or -1, key)."""
@@ -316,13 +319,28 @@ class RunIndex:
         keys = [words[at + 8 * k] for k in range((WINDOW - 1) // 8)]
         if rest:
             keys.append(words[at + 8 * len(keys)] >> np.uint64(8 * (8 - rest)))
-        rank = np.zeros(len(at), np.int64)
-        for key in keys:  # prefixes double back into ranks, a word at a time; settled ones stay
-            order = np.lexsort((key, rank))
-            r, k = rank[order], key[order]
-            new = np.concatenate([[False], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
-            rank[order] = np.cumsum(new)
-        return rank
+        # equal contexts are found by hash and confirmed by their words, so that only distinct ones are put in order
+        hashed = np.zeros(len(at), np.uint64)
+        for key in keys:
+            hashed = _mix(hashed + key)
+        order = np.argsort(hashed)
+        new = np.concatenate([[True], np.diff(hashed[order]) != 0])
+        same = np.flatnonzero(~new)
+        if any((key[order[same]] != key[order[same - 1]]).any() for key in keys):  # a collision: by words alone
+            order = np.lexsort(keys[::-1])
+            new = np.concatenate([[True], np.any([np.diff(key[order]) != 0 for key in keys], axis=0)])
+        heads = order[new]
+        group = np.empty(len(at), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = keys[0][heads]
+        by_first = np.argsort(first, kind="stable")
+        tie = np.diff(first[by_first]) == 0
+        tied = np.flatnonzero(np.concatenate([tie, [False]]) | np.concatenate([[False], tie]))
+        rows = heads[by_first[tied]]
+        by_first[tied] = by_first[tied][np.lexsort([key[rows] for key in keys[::-1]])]
+        rank = np.empty(len(heads), np.int64)
+        rank[by_first] = np.arange(len(heads))
+        return rank[group]
 
     def first_documents(self) -> np.ndarray:
         """The sample of each window of all segments, by streaming them through the index from right to left."""
@@ -427,7 +445,7 @@ def _mark(buckets: int):
             cover -= np.bincount(low + lengths[at[gone]] + WINDOW - 1, minlength=len(cover)).astype(np.int32)
         covered = np.cumsum(cover[:-1]) > 0
         out, low = [], 0
-        for doc_id, size in zip(docs.column("doc_id").to_pylist(), block.sizes.tolist(), strict=True):
+        for doc_id, size in zip(block.ids, block.sizes.tolist(), strict=True):
             own = covered[low : low + size]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]))) if own.any() else np.zeros(0, np.int64)
             kept = block.data[low : low + size]
