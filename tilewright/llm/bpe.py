@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,20 +88,12 @@ class RankFold:
         return out
 
 
-class _Numbers(dict):
-    """Numbers keys as they first appear."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class Encoder:
     """Whole texts to ids, each distinct chunk folded once.
 
     Texts are first cut at single spaces, which are always word boundaries of the
     pattern when no white space stands next to them; other texts are cut by the
-    pattern itself.
+    pattern itself. Chunks' ids lie in one array, so that a batch's ids are one gather.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -111,52 +104,58 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers, self.words = _Numbers(), {}
-        self.odd: list[bool] = []
-        self.chunk_ids: list[list[int]] = []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.numbers: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.flat, self.starts, self.sizes, self.odd = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _number(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks; new ones are folded."""
+        numbers = self.numbers
+        missing = [c for c in dict.fromkeys(chunks) if c not in numbers]
+        if missing:
+            words, fold, findall = self.words, self.fold.ids, self.pattern.findall
+            made = []
+            for chunk in missing:
+                parts = []
+                for word in findall(chunk):
+                    known = words.get(word)
+                    if known is None:
+                        known = words[word] = np.array(fold(word.encode()), np.uint32).tobytes()
+                    parts.append(known)
+                made.append(b"".join(parts))
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            bodies = [c[1:] if c[:1] == " " else c for c in missing]
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), np.uint32)])
+            self.odd = np.concatenate([self.odd, np.array([not b or b[0].isspace() or b[-1].isspace() for b in bodies], bool)])
+            numbers.update(zip(missing, range(len(numbers), len(numbers) + len(missing)), strict=True))
+        return np.fromiter(map(numbers.__getitem__, chunks), np.int64, len(chunks))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's."""
         if len(self.numbers) > CACHE:
             self._reset()
-        number, first = self.numbers.__getitem__, len(self.odd)
-        rows = []
-        for text in texts:
-            head, *rest = text.split(" ")
-            rows.append(list(map(number, [head, *[" " + x for x in rest]] if rest else [head])))
-        self._fold(list(self.numbers)[first:])
-        odd = np.array(self.odd, bool)
-        redo = [i for i, row in enumerate(rows) if len(row) > 1 and odd[row].any()]
-        if redo:
-            for i in redo:
-                rows[i] = list(map(number, self.pattern.findall(texts[i])))
-            self._fold(list(self.numbers)[len(self.odd) :])
-        return self._joined(rows)
-
-    def _fold(self, chunks: list[str]) -> None:
-        words, fold, findall = self.words, self.fold.ids, self.pattern.findall
-        for chunk in chunks:
-            body = chunk[1:] if chunk[:1] == " " else chunk
-            self.odd.append(not body or body[0].isspace() or body[-1].isspace())
-            ids: list[int] = []
-            for word in findall(chunk):
-                known = words.get(word)
-                if known is None:
-                    known = words[word] = fold(word.encode())
-                ids += known
-            self.chunk_ids.append(ids)
-
-    def _joined(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.fromiter((x for row in rows for x in row), np.int64, sum(map(len, rows)))
-        used, order = np.unique(order, return_inverse=True)
-        lists = [self.chunk_ids[i] for i in used]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        many = sizes[order]
-        ends = np.concatenate([[0], np.cumsum(many)])
-        ids = flat[np.repeat(starts[order] - ends[:-1], many) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)]
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        parts = lists.flatten()
+        code = parts.dictionary_encode()
+        # a part stands for itself and the space before it, but for a text's first
+        order = self._number([" " + p for p in code.dictionary.to_pylist()])[code.indices.to_numpy()]
+        firsts = offsets[:-1]
+        order[firsts] = self._number(parts.take(pa.array(firsts)).to_pylist())
+        many = np.diff(offsets)
+        odd = np.flatnonzero((np.add.reduceat(self.odd[order], firsts) > 0) & (many > 1)) if len(many) else many
+        if len(odd):
+            rows = np.split(order, offsets[1:-1])
+            for i in odd.tolist():
+                rows[i] = self._number(self.pattern.findall(texts[i].as_py()))
+            order, many = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+        sizes = self.sizes[order]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[order] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(many)])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -173,16 +172,15 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _slices(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
-    """Runs of texts of bounded length; a longer text is a run of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > chars:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of bounded bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield slice(start, stop)
+        start = stop
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
@@ -197,13 +195,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts = batch.column("doc_id"), batch.column("text")
             for part in _slices(texts):
                 ids, offsets = enc.encode(texts[part])
                 rows = [ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
                 decoded = [enc.decode(x) for x in rows]
                 columns = [
-                    pa.array(doc_ids[part], pa.int64()),
+                    doc_ids[part].cast(pa.int64()),
                     pa.array([len(x) for x in rows], pa.int64()),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows], pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
