@@ -19,10 +19,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,11 @@ _HEAD = struct.Struct("<4sBIQIIII")
 #: Ids of one block at most; a longer document is spread over several.
 BLOCK_IDS = 2_000_000
 LANES, LANE_LEAST = 4096, 128
-_CHOICE, _PLAIN = 16, 24  # bits of the choice's and of order 0's frequencies
-_BITS, _DIGIT = 48, 16
-_TOP = np.uint64(1 << (_BITS - _DIGIT))
-_MASK = np.uint64((1 << _BITS) - 1)
+_CHOICE, _PLAIN = 12, 20  # bits of the choice's and of order 0's frequencies, which make one interval
+_DIGIT, _DIGITS = 16, 4
+_TOP = np.uint64(1 << 48)
 _SLOTS = 19  # log2 of the order-2 table
-_U16, _U48 = np.uint64(_DIGIT), np.uint64(_BITS)
+_U16, _U48, _TOTAL = np.uint64(16), np.uint64(48), np.uint64(_CHOICE + _PLAIN)
 
 
 class Mixer:
@@ -87,6 +87,28 @@ class Mixer:
         self.guess2, self.guess1 = (self.entry2 >> 3).astype(np.int64) - 1, (self.entry1 >> 3).astype(np.int64) - 1
         self.key = (((self.entry2 & 7) << 4) | ((self.entry1 & 7) << 1) | (self.guess1 == self.guess2)).astype(np.int64)
 
+    def interval(self, choice: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's id in 2 ** (_CHOICE + _PLAIN): a guess's share whole, else the id's part of the rest."""
+        place = self.key * 4 + choice
+        low = self.ends[place]
+        share = self.ends[place + 1] - low
+        rest = choice == 2
+        known = np.where(rest, ids, 0)
+        start, end = np.where(rest, self.cumulative[known], 0), np.where(rest, self.cumulative[known + 1], 1 << _PLAIN)
+        return ((low << _PLAIN) + share * start).astype(np.uint64), (share * (end - start)).astype(np.uint64)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The choices and ids whose intervals hold ``value``."""
+        place, top = self.key * 4, value >> _PLAIN
+        low = self.ends[place + 2]
+        choice = (top >= self.ends[place + 1]).astype(np.int64) + (top >= low)
+        rest = np.flatnonzero(choice == 2)
+        row = np.where(choice == 0, self.guess2, self.guess1)
+        share = (1 << _CHOICE) - low[rest]
+        inside = ((value[rest] - (low[rest] << _PLAIN)) // share).astype(np.int32)
+        row[rest] = np.searchsorted(self.cumulative, inside, side="right") - 1
+        return choice, row
+
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
         for table, at, entry, guess in ((self.two, self.slot, self.entry2, self.guess2), (self.one, self.last, self.entry1, self.guess1)):
             level = entry & 7
@@ -117,43 +139,33 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     rows[:n] = ids
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
     mixer = Mixer(vocabulary, lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << _BITS) - 1, np.uint64)
-    room = 3 * steps + 4
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    room = 2 * steps + _DIGITS + 1
     digits = np.zeros(lanes * room, np.uint32)
     at = np.arange(lanes, dtype=np.int64) * room
     first = at.copy()
-
-    def put(start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        nonlocal low, width
-        unit = width >> np.uint64(bits)
-        low = low + start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
-        carry = low >> _U48
-        low &= _MASK
-        if carry.any():  # into the last digit; settled at the end
-            over = np.flatnonzero(carry)
+    for row in rows:
+        mixer.predict()
+        choice = np.where(mixer.guess2 == row, 0, np.where(mixer.guess1 == row, 1, 2))
+        start, size = mixer.interval(choice, row)
+        unit = width >> _TOTAL
+        added = low + start * unit
+        over = np.flatnonzero(added < low)
+        if over.size:  # a carry goes into the last digit; settled at the end
             digits[at[over] - 1] += 1
+        low, width = added, size * unit
         while (few := np.flatnonzero(width < _TOP)).size:
-            digits[at[few]] = low[few] >> np.uint64(_BITS - _DIGIT)
+            digits[at[few]] = low[few] >> _U48
             at[few] += 1
-            low[few] = (low[few] << _U16) & _MASK
+            low[few] <<= _U16
             width[few] <<= _U16
-
-    for row in rows:
-        mixer.predict()
-        choice = np.where(mixer.guess2 == row, 0, np.where(mixer.guess1 == row, 1, 2))
-        place = mixer.key * 4 + choice
-        put(mixer.ends[place], mixer.ends[place + 1] - mixer.ends[place], _CHOICE)
-        rest = choice == 2
-        start, end = mixer.cumulative[row], mixer.cumulative[row + 1]
-        put(np.where(rest, start, 0), np.where(rest, end - start, 1 << _PLAIN), _PLAIN)
         mixer.learn(row, choice)
-    for _ in range(_BITS // _DIGIT):
-        digits[at] = low >> np.uint64(_BITS - _DIGIT)
+    for _ in range(_DIGITS):
+        digits[at] = low >> _U48
         at += 1
-        low = (low << _U16) & _MASK
+        low <<= _U16
     used = at - first
-    grid = digits.reshape(lanes, room)[:, : int(used.max())].astype(np.int64)
+    grid = digits.reshape(lanes, room)[:, : int(used.max())]
     for k in range(grid.shape[1] - 1, 0, -1):
         grid[:, k - 1] += grid[:, k] >> _DIGIT
         grid[:, k] &= 0xFFFF
@@ -174,37 +186,24 @@ def decode_block(block: bytes) -> np.ndarray:
     used = np.frombuffer(payload[: 4 * lanes], "<u4").astype(np.int64)
     digits = np.concatenate([np.frombuffer(payload[4 * lanes :], "<u2"), np.zeros(8, "<u2")]).astype(np.uint64)
     at = np.cumsum(used) - used
-    code = (digits[at] << np.uint64(32)) | (digits[at + 1] << np.uint64(16)) | digits[at + 2]
-    at = at + 3
-    width = np.full(lanes, (1 << _BITS) - 1, np.uint64)
+    code = np.zeros(lanes, np.uint64)
+    for _ in range(_DIGITS):
+        code = (code << _U16) | digits[at]
+        at = at + 1
+    width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     mixer = Mixer(vocabulary, lanes)
-    out = np.zeros((steps, lanes), np.int64)
-
-    def take(start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        nonlocal code, width
-        code = code - start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
+    out = np.zeros((steps, lanes), np.int32)
+    for t in range(steps):
+        mixer.predict()
+        unit = width >> _TOTAL
+        value = np.minimum(code // unit, 0xFFFFFFFF).astype(np.int64)
+        choice, row = mixer.find(value)
+        start, size = mixer.interval(choice, row)
+        code, width = code - start * unit, size * unit
         while (few := np.flatnonzero(width < _TOP)).size:
             code[few] = (code[few] << _U16) | digits[at[few]]
             at[few] += 1
             width[few] <<= _U16
-
-    for t in range(steps):
-        mixer.predict()
-        unit = width >> np.uint64(_CHOICE)
-        value = np.minimum(code // unit, (1 << _CHOICE) - 1).astype(np.int64)
-        place = mixer.key * 4
-        choice = (value >= mixer.ends[place + 1]).astype(np.int64) + (value >= mixer.ends[place + 2])
-        place += choice
-        take(mixer.ends[place], mixer.ends[place + 1] - mixer.ends[place], unit)
-        unit = width >> np.uint64(_PLAIN)
-        value = np.minimum(code // unit, (1 << _PLAIN) - 1).astype(np.int32)
-        rest = choice == 2
-        row = np.where(choice == 0, mixer.guess2, mixer.guess1)
-        row[rest] = np.searchsorted(mixer.cumulative, value[rest], side="right") - 1
-        known = np.where(rest, row, 0)
-        start, end = mixer.cumulative[known], mixer.cumulative[known + 1]
-        take(np.where(rest, start, 0), np.where(rest, end - start, 1 << _PLAIN), unit)
         out[t] = row
         mixer.learn(row, choice)
     ids = out.T.ravel()[:n].astype("<u4")
@@ -213,12 +212,6 @@ def decode_block(block: bytes) -> np.ndarray:
     return ids
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class TextEncoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -229,8 +222,9 @@ class TextEncoder:
     the vocabulary ends words with.
     """
 
-    CACHE = 800_000
+    CACHE = 1_200_000
     TOGETHER = 64
+    MARKS = ".,!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -241,82 +235,109 @@ class TextEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         model = json.loads(self.tokenizer.to_str())["model"]
         suffix = model.get("end_of_word_suffix")
-        ending = np.zeros(self.vocabulary, bool)
+        self.ends = np.zeros(self.vocabulary, bool)
         if suffix:
-            ending[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
-        self.ends, self.simple = ending, regex.compile(r"(\p{L}+)([.,!?]*)" if suffix else r"(?!)()")
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers, self.words = _Numbers(), {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk."""
-        split, wanted, words = [], {}, self.words
-        for chunk in chunks:
-            if found := self.simple.fullmatch(chunk):
-                word, marks = found.groups()
-                # A-Z alone: the library's own lower case of other letters depends on its normal form
-                pair = (word.lower() if word.isascii() else word, marks)
-            else:
-                pair = (chunk, None)
-            split.append(pair)
-            for x in pair:
-                if x and x not in words:
-                    wanted[x] = pair[1] is not None and x is pair[0]
-        plain = [x for x, is_word in wanted.items() if is_word]
-        runs = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        for run, made in zip(runs, self._library([" ".join(run) for run in runs]), strict=True):
-            cuts = (np.flatnonzero(self.ends[made]) + 1).tolist()
-            if len(cuts) != len(run):  # a word that the library splits after all
-                words.update(zip(run, self._library(run), strict=True))
-            else:
-                words.update((w, made[a:b]) for w, a, b in zip(run, [0, *cuts], cuts, strict=False))
-        rest = [x for x, is_word in wanted.items() if not is_word]
-        words.update(zip(rest, self._library(rest), strict=True))
-        return [words.get(word, []) + words[marks] if marks else words.get(word, []) for word, marks in split]
+        self.numbers: dict[str, int] = {}  # chunks
+        self.units: dict[str, int] = {"": 0}  # words, marks and all other chunks
+        self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # the two units of each chunk
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, units: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def _singly(self, units: list[str]) -> None:
+        made = self._library(units)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        self._add(units, sizes, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Number new chunks and keep their ids."""
+        units = self.units
+        column = pa.array(chunks, pa.string())
+        word = pc.utf8_rtrim(column, characters=self.MARKS)
+        plain = pc.utf8_is_alpha(word) if self.ends.any() else pa.array([False] * len(chunks))
+        # A-Z alone: the library's own lower case of other letters depends on its normal form
+        lower = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
+        keys = pc.if_else(plain, lower, column)
+        whole, kept, is_plain = pc.utf8_length(column).to_numpy(), pc.utf8_length(word).to_numpy(), plain.to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(is_plain & (kept < whole))
+        tails = [chunks[i][kept[i] :] for i in marked.tolist()]
+        names = keys.dictionary_encode()
+        distinct = names.dictionary.to_pylist()
+        word_like = np.zeros(len(distinct), bool)
+        word_like[names.indices.to_numpy()[is_plain]] = True
+        missing = [i for i, k in enumerate(distinct) if k not in units]
+        letters = [distinct[i] for i in missing if word_like[i]]
+        runs = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
+        good, sizes, ids = [], [], []
+        for run, made in zip(runs, self._library([" ".join(run) for run in runs]), strict=True):
+            made = np.array(made, np.int32)
+            cuts = np.flatnonzero(self.ends[made]) + 1
+            if len(cuts) != len(run):  # a word that the library splits after all
+                self._singly(run)
+            else:
+                good += run
+                sizes.append(np.diff(cuts, prepend=0))
+                ids.append(made)
+        if good:
+            self._add(good, np.concatenate(sizes), np.concatenate(ids))
+        self._singly([distinct[i] for i in missing if not word_like[i]])
+        self._singly(sorted(set(tails) - units.keys()))
+        number = np.fromiter(map(units.__getitem__, distinct), np.int32, len(distinct))
+        tail = np.zeros(len(chunks), np.int32)
+        tail[marked] = np.fromiter(map(units.__getitem__, tails), np.int32, len(tails))
+        self.head, self.tail = np.concatenate([self.head, number[names.indices.to_numpy()]]), np.concatenate([self.tail, tail])
+        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks)), strict=True))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and each text's number of ids."""
         if len(self.numbers) > self.CACHE:
             self._reset()
-        number, stop = self.numbers.__getitem__, self.numbers[None]
-        rows, sizes = [], []
-        for text in texts:
-            row = list(map(number, text.replace("\n", " ").split(" ")))
-            row.append(stop)
-            rows.append(row)
-            sizes.append(len(row))
-        fresh = list(self.numbers)[len(self.sizes) :]
-        if fresh:
-            lists = self._chunks([x for x in fresh if x is not None])
-            if None in fresh:
-                lists.insert(fresh.index(None), [end])
-            new = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
-            self.sizes = np.concatenate([self.sizes, new])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.int64, int(new.sum()))])
-        order = np.fromiter((x for row in rows for x in row), np.int64, sum(sizes))
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        code = lists.flatten().dictionary_encode()
+        chunks, get = code.dictionary.to_pylist(), self.numbers.get
+        number = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = np.arange(len(fresh)) + len(self.numbers)
+            self._learn([chunks[i] for i in fresh])
+        # two units a chunk: its word and the marks after it, if any
+        pairs = np.stack([self.head, self.tail], axis=1)[number]
+        order = pairs[code.indices.to_numpy()].ravel()
         many = self.sizes[order]
-        ends = np.cumsum(many)
-        ids = self.flat[np.repeat(self.starts[order] - (ends - many), many) + np.arange(int(many.sum()))]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(edges)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = 2 * (offsets - offsets[0])
+        sizes = np.diff(ends[offsets])
+        n = int(ends[-1])
+        out = np.empty(n + len(sizes), np.int32)
+        # a text's ids move up by the ends of the texts before it
+        moved = np.arange(n) + np.repeat(np.arange(len(sizes)), sizes)
+        out[moved] = self.flat[np.repeat(self.starts[order] - ends[:-1], many) + np.arange(n)]
+        out[np.cumsum(sizes + 1) - 1] = end
+        return out, sizes + 1
 
 
 _encoders: dict[str, TextEncoder] = {}
-_FILE = "shard int, block long, first long, doc_ids array<long>, sizes array<long>, data binary"
+_FILE = "shard int, block long, first long, doc_ids array<long>, sizes array<long>, data array<binary>"
 
 
 def write_ids(docs: DataFrame, path: str, end: int = 1, shards: int | None = None) -> DataFrame:
     """Write every row's ids in ascending order of doc_id (nulls first; equal ids by text); the table of blocks.
 
-    Shards are ranges of doc_id; a row is a block with the ids before it in its shard and, of each document
-    that it has a part of, the id and the number of ids in the block.
+    Shards are ranges of doc_id. A row holds whole documents of BLOCK_IDS ids together, or
+    one longer document in several blocks: its place, the ids before it in its shard, the
+    documents' ids and sizes, and the blocks.
     """
     shards = shards or common.shuffle_width(docs.sparkSession)
 
@@ -325,61 +346,52 @@ def write_ids(docs: DataFrame, path: str, end: int = 1, shards: int | None = Non
             _encoders[path] = TextEncoder(path)
         enc = _encoders[path]
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[object, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal block, first, held, size
-            parts, left, taken = [], [], 0
-            for doc_id, ids in held:
-                here = ids[: max(0, BLOCK_IDS - taken)]
-                if len(here):
-                    parts.append((doc_id, here))
-                if len(here) < len(ids):
-                    left.append((doc_id, ids[len(here) :]))
-                taken += len(here)
-            data = encode_block(np.concatenate([p[1] for p in parts]), enc.vocabulary)
-            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([[p[0] for p in parts]], pa.list_(pa.int64())), pa.array([[len(p[1]) for p in parts]], pa.list_(pa.int64())), pa.array([data], pa.binary())]
-            block, first, held, size = block + 1, first + taken, left, size - taken
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "first", "doc_ids", "sizes", "data"])
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+
+        def row(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            nonlocal block, first
+            data = [encode_block(ids[low : low + BLOCK_IDS], enc.vocabulary) for low in range(0, len(ids), BLOCK_IDS)]
+            values = (shard, block, first, doc_ids, sizes.tolist(), data)
+            block, first = block + 1, first + len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _FILE.split(", ")])
 
+        doc_ids: list = []
+        sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
-            ids_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            ids, sizes = enc.encode(texts, end)
-            held += zip(ids_, np.split(ids.astype(np.uint16 if enc.vocabulary <= 65536 else np.uint32), np.cumsum(sizes)[:-1]), strict=True)
-            size += int(sizes.sum())
-            while size >= BLOCK_IDS:
-                yield flush()
-        while held:
-            yield flush()
+            more, lengths = enc.encode(batch.column("text"), end)
+            doc_ids += batch.column("doc_id").to_pylist()
+            sizes, ids = np.concatenate([sizes, lengths]), np.concatenate([ids, more])
+            while len(ids) >= BLOCK_IDS:
+                ends = np.cumsum(sizes)
+                n = max(1, int(np.searchsorted(ends, BLOCK_IDS, side="right")))
+                at = int(ends[n - 1])
+                yield row(doc_ids[:n], sizes[:n], ids[:at])
+                doc_ids, sizes, ids = doc_ids[n:], sizes[n:], ids[at:]
+        if doc_ids:
+            yield row(doc_ids, sizes, ids)
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_of()).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return common.written(rows.mapInArrow(run, _FILE), "token-ids")
 
 
-_ROWS = "shard int, doc_id long, first long, n_tokens long, ids array<int>, ids_crc32 long"
-
-
 def read_ids(files: DataFrame, keep_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) from a table of blocks, a row for each document written.
 
-    Blocks decode independently; only documents that span blocks are brought
-    together afterwards. The driver sees one count for each shard.
+    The driver sees one count for each shard.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_block(row["data"])
+                ids = np.concatenate([decode_block(x) for x in row["data"]])
                 sizes = np.array(row["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 sums = [zlib.crc32(ids[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)]
                 n = len(sizes)
-                columns = [pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["block"])), pa.array(np.arange(n)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - sizes), pa.array(sizes)]
-                columns.append(pa.array(sums, pa.int64()))
+                columns = [pa.array(np.full(n, row["shard"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))) if keep_ids else pa.array([None] * n, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "at", "doc_id", "first", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "first", "n_tokens", "ids_crc32", "ids"])
 
-    parts = files.mapInArrow(run, "shard int, block long, at long, doc_id long, first long, n_tokens long, ids_crc32 long, ids array<int>")
+    parts = files.mapInArrow(run, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long, ids array<int>")
     totals = {r["shard"]: r["n"] for r in files.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     before, offsets = 0, []
     for shard in sorted(totals):
