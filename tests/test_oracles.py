@@ -1,7 +1,7 @@
 """Every query against its SQL twin on the smallest tables."""
 
 import pytest
-from conftest import assert_same
+from same import assert_same
 
 from tilewright.plans import registry
 
