@@ -276,7 +276,9 @@ class RunIndex:
     A segment of n windows has n + 1 rows: before its bytes at 0 to n, with the
     WINDOW - 1 bytes after each as context. Rows go by context, then by the byte
     before, then by the documents' order; so the rows of one context and byte are one
-    run, and the run's sample is its first row's document.
+    run, and the run's sample is its first row's document. A backward step (from a
+    context by the byte before it) is one lookup: every run points to the context that
+    its window begins with, as in a move structure.
     """
 
     def __init__(self, data: np.ndarray, start: np.ndarray, windows: np.ndarray, docs: np.ndarray):
@@ -288,33 +290,34 @@ class RunIndex:
         at = start[segment] + offset
         before = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256)
         rank = self._contexts(at)
-        # one sort settles contexts, bytes before and, as rows come in it, documents
-        order = np.argsort(rank * 257 + before, kind="stable")
-        context, byte = rank[order], before[order]
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (byte[1:] != byte[:-1])])
-        heads = np.flatnonzero(new)
-        run_byte, run_context = byte[heads], context[heads]
-        length = np.diff(np.append(heads, len(order)))
-        self.n_runs = len(heads)
-        self.sample = docs[segment[order[heads]]]
-        # backward steps: the runs of a byte in the order of their contexts make its windows' order
-        real = run_byte < 256
-        by_byte = np.lexsort((run_context[real], run_byte[real]))
-        self.runs = np.flatnonzero(real)[by_byte]
-        self.contexts = int(rank.max()) + 1
-        self.keys = run_byte[self.runs] * self.contexts + run_context[self.runs]
-        self.counts = np.concatenate([[0], np.cumsum(length[self.runs])])  # windows before each, as rank queries need
-        # the context that each run's window begins with: that of the row one to the left, if the window starts there
-        head_row = order[heads[self.runs]]
-        self.left = rank[head_row - 1]
+        # one sort settles contexts, bytes before and, by the row's number, documents
+        bits = int(len(rank)).bit_length()
+        key = rank * 257 + before
+        if bits + int(key.max()).bit_length() < 63:
+            order = np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = order[heads]
+        self.byte, context = before[first].astype(np.int32), rank[first]
+        self.sample = docs[segment[first]]
+        self.runs_of = np.searchsorted(context, np.arange(int(rank.max()) + 2))  # where each context's runs begin
+        self.left = np.where(self.byte < 256, rank[np.maximum(first - 1, 0)], -1)
         self.last = rank[ends - 1]
 
+    @property
+    def n_runs(self) -> int:
+        return len(self.byte)
+
     def _contexts(self, at: np.ndarray) -> np.ndarray:
         """Ranks of the WINDOW - 1 bytes at each place, in byte order."""
-        words = np.zeros(len(self.data) + 8, np.uint64)
-        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        # the eight bytes at each place as a number whose order is theirs
+        n = -(-(len(self.data) + 8) // 8)
+        padded = np.concatenate([self.data, np.zeros(8 * n + 16 - len(self.data), np.uint8)])
+        words = np.empty(8 * n, np.uint64)
         for k in range(8):
-            words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * (7 - k))
+            words[k::8] = padded[k : k + 8 * n].view(">u8")
         rest = (WINDOW - 1) % 8
         keys = [words[at + 8 * k] for k in range((WINDOW - 1) // 8)]
         if rest:
@@ -353,9 +356,12 @@ class RunIndex:
         for step in range(longest):
             n = active[step]
             place = size[:n] - 1 - step
-            byte = self.data[start[:n] + place].astype(np.int64)
-            run = np.searchsorted(self.keys, byte * self.contexts + context[:n])
-            out[base[:n] + place] = self.sample[self.runs[run]]
+            byte = self.data[start[:n] + place]
+            run = self.runs_of[context[:n]]
+            # few bytes stand before a context, and the one at hand is among them
+            while (other := np.flatnonzero(self.byte[run] != byte)).size:
+                run[other] += 1
+            out[base[:n] + place] = self.sample[run]
             context = self.left[run]
         return out
 
