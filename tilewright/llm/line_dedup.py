@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import common
@@ -25,6 +25,11 @@ MIN_LINES = 2
 _DOC = ["doc_id", "text_key"]
 
 
+def _met_id() -> Column:
+    """The id, or a stand-in for null, where ids must be equal to meet."""
+    return F.coalesce("doc_id", F.lit(-(2**63)))
+
+
 def _positions(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, n_lines, h1, h2): a row for each line; equal rows of the table count once.
 
@@ -52,7 +57,7 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
         shift = min(done, length - done)
         ahead = state.select(*_DOC, (F.col("pos") - shift).alias("pos"), F.col("rank").alias("next"))
         # no partner: the text ends, or the second half occurs once and so does the whole; null ids are equal here
-        pairs = state.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(ahead.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), ["id", "text_key", "pos"]).select(*_DOC, "pos", F.col("rank").alias("first"), "next")
+        pairs = state.withColumn("id", _met_id()).join(ahead.withColumn("id", _met_id()).drop("doc_id"), ["id", "text_key", "pos"]).select(*_DOC, "pos", F.col("rank").alias("first"), "next")
         pairs = common.written(pairs, "line-pairs")
         keys = pairs.groupBy("first", "next").agg(F.count("*").alias("n")).filter("n > 1")
         ranks = common.ranked(keys, ["first", "next"], "line-keys")
@@ -64,7 +69,8 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
 def later_copies(ranks: DataFrame) -> DataFrame:
     """Positions that are not the first of their interval, in the order (doc_id, text_key, pos), null ids first."""
     place = F.struct(*_DOC, "pos")
-    firsts = ranks.groupBy("rank").agg(F.min(place).alias("first"))
+    # written, so that the join has two plain inputs, of which adaptive execution splits a hot rank
+    firsts = common.written(ranks.groupBy("rank").agg(F.min(place).alias("first")), "line-firsts")
     return ranks.join(firsts, "rank").filter(~place.eqNullSafe(F.col("first"))).select(*_DOC, "pos")
 
 
@@ -79,11 +85,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     but for those that carry the names of results, which are replaced.
     """
     results = ("n_lines", "n_removed", "n_runs", "longest_run")
-    keep = [c for c in docs.columns if c not in (*results, "text", "n_chars", "text_key", "__starts")]
+    keep = [c for c in docs.columns if c not in (*results, "text", "n_chars")]
     source = docs.select(*keep, common.text_of())
-    starts = later_copies(prefix_ranks(source, min_lines))
+    starts = later_copies(prefix_ranks(source.select("doc_id", "text"), min_lines))
     gone = starts.groupBy(*_DOC).agg(F.collect_list("pos").alias("__starts"))  # at most a document's own lines
-    joined = source.withColumn("text_key", F.xxhash64("text")).withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), ["__id", "text_key"], "left")
+    gone = gone.select(_met_id().alias("__id"), F.col("text_key").alias("__text_key"), "__starts")
+    joined = source.withColumn("__text_key", F.xxhash64("text")).withColumn("__id", _met_id()).join(gone, ["__id", "__text_key"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + ["n_chars long"] * ("n_chars" in docs.columns) + ["n_lines long", "n_removed long", "n_runs long", "longest_run long"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
