@@ -107,7 +107,7 @@ def word_totals(blocks: DataFrame, most: int, groups: int, buckets: int) -> Data
         mine = np.split(total[index], np.cumsum(sizes)[:-1])
         seen = np.flatnonzero(total)
         own = words.take(pa.array(seen)).to_pylist()
-        by_group = np.bincount([group_of(w, groups) for w in own], total[seen], minlength=groups).astype(np.int64)
+        by_group = np.bincount(np.array([group_of(w, groups) for w in own], np.int64), total[seen], minlength=groups).astype(np.int64)
         # the order of equal counts must not depend on the order of the blocks
         top = sorted(zip((-total[seen]).tolist(), own, strict=True))[:share]
         n = len(mine)
@@ -212,7 +212,7 @@ class Model:
         emit = unigram(lexicon)[:, None] * np.exp(rng.normal(0, 1, (lexicon.symbols, states)))
         step = rng.random((states, states)) * 0.2 + np.eye(states) * 2 + 0.1
         even = np.full(states, 1 / states)
-        return cls(even, even, step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        return cls(even, even, step / step.sum(1, keepdims=True), emit / np.maximum(emit.sum(0), 1e-300))
 
 
 def unigram(lexicon: Lexicon) -> np.ndarray:

@@ -88,10 +88,10 @@ class Index:
 
     @classmethod
     def of(cls, templates: Sequence[tuple[str, str]], threshold: float = THRESHOLD) -> Index:
-        if sum(len(t) for _, t in templates) > TEMPLATE_CHARS:
+        if sum(len(t or "") for _, t in templates) > TEMPLATE_CHARS:
             raise ValueError("templates are sent to every task and may not exceed TEMPLATE_CHARS; scan them in parts")
         grouped: dict[int, dict[tuple[bytes, ...], str]] = {}
-        for name, text in sorted(templates):
+        for name, text in sorted(templates, key=lambda t: (t[0], t[1] or "")):
             words = tuple(words_of(text or ""))
             if words:
                 grouped.setdefault(ladder(len(words)), {}).setdefault(words, name)

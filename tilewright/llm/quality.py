@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    names = ["doc_id", *[c for c in keep if c != "doc_id"]]
+    names = ["doc_id", *[c for c in keep if c not in ("doc_id", "score", "predicted")]]
     column = "text" if "text" in names else "__text"
     source = docs.select(*names, *([] if column == "text" else [F.col("text").alias("__text")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
