@@ -63,6 +63,12 @@ def test_large_group_in_blocks_loses_no_link(spark, monkeypatch):
     assert sorted(kept) == sorted({int(c) for _, c, _, _ in brute(rows)})
 
 
+def test_null_ids_are_linked_too(spark):
+    rows = [(None, t) for t in variants(4, 4)] + [(3, variants(4, 5)[4]), (None, "on its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(N.near_duplicates(df)) == brute(rows)
+
+
 def test_keep_one_keeps_columns_and_drops_repeated_rows(odd_docs):
     kept = N.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -237,9 +237,9 @@ def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     groups = common.written(common.components(_candidates(first, depth), "near-candidates"), "near-groups")
 
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    picked = common.written(groups.join(blocks, "component").join(nodes, "id").select("id", "component", "blocks", "copies", "node", F.col("least").alias("doc_id")), "near-picked")
+    picked = common.written(groups.join(blocks, "component").join(nodes, "id").select("id", "component", "blocks", "copies", "node", F.col("least").alias("__id")), "near-picked")
     few = picked.count() * 100 <= BROADCAST_BYTES
-    texts = source.join(F.broadcast(picked) if few else picked, "doc_id")
+    texts = source.join(F.broadcast(picked) if few else picked, F.col("__id").eqNullSafe(F.col("doc_id")))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "text")
     verified = common.written(dealt.groupBy("component", "one", "other").applyInArrow(_verify(threshold), _LINKS), "near-links")
