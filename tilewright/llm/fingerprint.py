@@ -189,4 +189,5 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFr
     """
     buckets = buckets or common.shuffle_width(docs.sparkSession)
     rows = _neighbours(docs.select("doc_id", "text"), buckets)
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "marker", F.desc("key"), "text").select("bucket", "marker", "doc_id", "text").mapInArrow(_compare, _SCHEMA)
+    # a bucket a task: hashing would put several together, and more of them the more there are
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "marker", F.desc("key"), "text").select("bucket", "marker", "doc_id", "text").mapInArrow(_compare, _SCHEMA)
