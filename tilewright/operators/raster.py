@@ -23,6 +23,14 @@ def thumbnail(pixels: DataFrame, factor: int, slide: str = "slide", channels: tu
     return pixels.groupBy(slide, *at).agg(*[F.avg(c).alias(c) for c in channels])
 
 
+def center_crop(pixels: DataFrame, images: DataFrame, size: int, keys: tuple[str, ...] = ("image",)) -> DataFrame:
+    """The middle size x size of each image (keys, h, w), moved to the origin; smaller sides stay whole."""
+    joined = pixels.join(images.select(*keys, "h", "w"), list(keys))
+    for at, extent in (("y", "h"), ("x", "w")):
+        joined = joined.withColumn(at, F.col(at) - F.greatest(F.floor((F.col(extent) - size) / 2), F.lit(0)).cast("int"))
+    return joined.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)).drop("h", "w")
+
+
 def pad_tile(tiles: DataFrame, pixels: DataFrame, size: int, keys: tuple[str, ...] = ("tile_id",), value: str = "v") -> DataFrame:
     """Every position of a size x size tile, with 0 where it has no pixel (bottom and right)."""
     full = tiles.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))

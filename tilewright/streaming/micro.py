@@ -45,3 +45,24 @@ def _called(rows: pa.RecordBatch, model: Callable[[np.ndarray], np.ndarray]) ->
 def upsample(scale: int = 4) -> Callable[[np.ndarray], np.ndarray]:
     """The default model: every pixel repeated ``scale`` times along both axes."""
     return lambda images: images.repeat(scale, axis=1).repeat(scale, axis=2)
+
+
+def with_callback(tiles: DataFrame, done: Callable[[DataFrame, int], None], failed: Callable[[Exception, int], None] | None = None):
+    """A stream writer that hands every finished batch to ``done``; an error goes to ``failed``, or ends the stream."""
+    def each(batch: DataFrame, number: int) -> None:
+        try:
+            done(batch, number)
+        except Exception as error:
+            if failed is None:
+                raise
+            failed(error, number)
+
+    return tiles.writeStream.foreachBatch(each)
+
+
+def wait_all(query, seconds: float = 120.0) -> bool:
+    """Whether a finite stream ended within ``seconds``; it is stopped if not."""
+    if query.awaitTermination(seconds):
+        return True
+    query.stop()
+    return False
