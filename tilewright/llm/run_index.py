@@ -179,6 +179,15 @@ def _unpack48(x: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _squeeze(data: bytes) -> bytes:
+    """Smaller than the shuffle's own compression makes it."""
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
@@ -264,7 +273,7 @@ def _send_contents(buckets: int):
         for b in range(buckets):
             at = slice(edges[b], edges[b + 1])
             if edges[b] < edges[b + 1]:
-                out.append((b, key, _pack48(keys[at]), content[at].tobytes(), block.least[record[at]].tobytes(), windows[at].astype(np.uint8).tobytes(), _gathered(block.data, start[at], windows[at] + WINDOW - 1).tobytes()))
+                out.append((b, key, _pack48(keys[at]), content[at].tobytes(), _squeeze(block.least[record[at]].tobytes()), windows[at].astype(np.uint8).tobytes(), _squeeze(_gathered(block.data, start[at], windows[at] + WINDOW - 1).tobytes())))
         return _table(_CONTENTS, out)
 
     return f
@@ -372,9 +381,11 @@ def _resolve(rows: pa.Table) -> pa.Table:
     keys = [_unpack48(x) for x in lists["keys"]]
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
-    content, doc = (np.concatenate([np.frombuffer(x, t) for x in lists[c]]) for c, t in (("contents", np.uint64), ("docs", np.int64)))
-    windows = np.concatenate([np.frombuffer(x, np.uint8) for x in lists["windows"]]).astype(np.int64)
-    data = np.frombuffer(b"".join(lists["bytes"]), np.uint8)
+    content = np.concatenate([np.frombuffer(x, np.uint64) for x in lists["contents"]])
+    doc = np.concatenate([np.frombuffer(_unsqueeze(x, 8 * n), np.int64) for x, n in zip(lists["docs"], sizes, strict=True)])
+    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in lists["windows"]]
+    windows = np.concatenate(counts)
+    data = np.frombuffer(b"".join(_unsqueeze(x, int(c.sum()) + len(c) * (WINDOW - 1)) for x, c in zip(lists["bytes"], counts, strict=True)), np.uint8)
     start = np.cumsum(windows + WINDOW - 1) - windows - (WINDOW - 1)
     order = np.lexsort((doc, content, key))
     k, c = key[order], content[order]
@@ -414,7 +425,7 @@ def _resolve(rows: pa.Table) -> pa.Table:
         low += n
         many = runs[own]
         at = np.repeat(begin[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out.append((block, bucket, many.astype(np.uint8).tobytes(), lengths[at].astype(np.uint8).tobytes(), docs[at].tobytes()))
+        out.append((block, bucket, many.astype(np.uint8).tobytes(), lengths[at].astype(np.uint8).tobytes(), _squeeze(docs[at].tobytes())))
     return _table(_LEAST, out)
 
 
@@ -432,7 +443,8 @@ def _mark(buckets: int):
                 least[row["bucket"]] = row
         if least:
             record, place, keys = block.chosen(_statuses(block, status, buckets), buckets)
-            runs, lengths, firsts = (np.concatenate([np.frombuffer(least[b][c], t) for b in sorted(least)]) for c, t in (("runs", np.uint8), ("lengths", np.uint8), ("docs", np.int64)))
+            runs, lengths = (np.concatenate([np.frombuffer(least[b][c], np.uint8) for b in sorted(least)]) for c in ("runs", "lengths"))
+            firsts = np.concatenate([np.frombuffer(_unsqueeze(least[b]["docs"], 8 * len(least[b]["lengths"])), np.int64) for b in sorted(least)])
             # by record: its runs of windows (offset, length, least document)
             row = np.repeat(np.arange(len(record)), runs)
             ends = np.cumsum(lengths, dtype=np.int64)
