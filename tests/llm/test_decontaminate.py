@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from same import assert_same
 
 from tilewright.llm import decontaminate as D
 from tilewright.llm import registry
@@ -44,3 +45,7 @@ def test_query_equals_brute_force(spark, sf_dir, rows):
     got = registry.QUERIES["op7_benchmark_decontamination"](spark, sf_dir).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == wanted(rows, items)
     assert any(r["contaminated"] for r in got) and not all(r["contaminated"] for r in got)
+
+
+def test_query_equals_sql(spark, sf_dir, duck):
+    assert_same(registry.QUERIES["op7_benchmark_decontamination"](spark, sf_dir).toPandas(), duck.sql(registry.ORACLES["op7_benchmark_decontamination"]).df())

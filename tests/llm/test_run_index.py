@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from same import assert_same
 
 from tilewright.llm import registry
 from tilewright.llm import run_index as R
@@ -65,3 +66,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_query(spark, sf_dir, rows):
     check(rows, registry.QUERIES["op10_run_length_dedup"](spark, sf_dir).collect())
+
+
+def test_query_equals_sql(spark, sf_dir, duck):
+    assert_same(registry.QUERIES["op10_run_length_dedup"](spark, sf_dir).toPandas(), duck.sql(registry.ORACLES["op10_run_length_dedup"]).df())

@@ -312,3 +312,28 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str |
                     found.add(item)
         out[doc_id] = (len(w), len(hit), sorted(found))
     return out
+
+
+#: The query's rows in DuckDB.
+ORACLE = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+),
+windows AS (
+    SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s
+    FROM items, LATERAL unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) WHERE len(w) > 0
+),
+grams AS (
+    SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS s
+    FROM docs, (SELECT DISTINCT size FROM windows), LATERAL unnest(range(1, len(w) - size + 2)) u(i) WHERE len(w) >= size
+),
+hits AS (SELECT g.doc_id, g.i, g.size, v.item FROM grams g JOIN windows v ON g.size = v.size AND g.s = v.s),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, LATERAL unnest(range(i, i + size)) u(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""

@@ -64,4 +64,9 @@ def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output, op10_run_length_dedup)}
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": near_duplicates.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": near_duplicates.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_run_length_dedup": run_index.ORACLE,
+}

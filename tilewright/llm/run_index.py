@@ -523,3 +523,19 @@ def brute_force(docs: list[tuple[int | None, str | None]]) -> list[tuple[int, in
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
     return out
+
+
+#: The query's rows in DuckDB (ids unique and not null).
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM docs, LATERAL unnest(range(0, length(h) // 2 - 49)) u(p)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT w.doc_id, w.p FROM windows w JOIN firsts f ON w.s = f.s WHERE f.first < w.doc_id),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs UNION ALL SELECT doc_id, 0, min(a) FROM runs GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS h FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id),
+sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
