@@ -33,23 +33,24 @@ from tilewright.llm import common
 MAGIC = b"TWRC"
 _HEAD = struct.Struct("<4sBIQIIII")
 #: Ids of one block at most; a longer document is spread over several.
-BLOCK_IDS = 2_000_000
-LANES, LANE_LEAST = 4096, 128
+BLOCK_IDS = 8_000_000
+LANES, LANE_LEAST = 16384, 128
 _CHOICE, _PLAIN = 12, 20  # bits of the choice's and of order 0's frequencies, which make one interval
 _DIGIT, _DIGITS = 16, 4
 _TOP = np.uint64(1 << 48)
 _SLOTS = 19  # log2 of the order-2 table
-_U16, _U48, _TOTAL = np.uint64(16), np.uint64(48), np.uint64(_CHOICE + _PLAIN)
+_U16, _U32, _U48, _TOTAL, _MOST = np.uint64(16), np.uint64(32), np.uint64(48), np.uint64(_CHOICE + _PLAIN), np.uint64(0xFFFFFFFF)
+_MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x2545F491)
 
 
 class Mixer:
-    """Predictions and their weights; encoder and decoder drive it alike."""
+    """Predictions and their weights; encoder and decoder drive it alike. Ids count from 1 in here, 0 is none."""
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
-        self.one, self.two = np.zeros(vocabulary + 1, np.uint32), np.zeros(1 << _SLOTS, np.uint32)  # id + 1 and 3 bits of confidence
-        self.last = np.full(lanes, vocabulary, np.int64)
-        self.before = self.last.copy()
+        self.one, self.two = np.zeros(vocabulary + 1, np.uint32), np.zeros(1 << _SLOTS, np.uint32)  # id and 3 bits of confidence
+        self.last = np.zeros(lanes, np.uint32)
+        self.before = self.last
         self.seen: list[np.ndarray] = []
         self.tried: list[tuple[np.ndarray, np.ndarray]] = []
         self.counts = np.full(vocabulary, 1 / 16)
@@ -60,61 +61,68 @@ class Mixer:
         self._weigh()
 
     def _plain(self) -> None:
-        """Order-0 cumulative frequencies of the ids seen; every id keeps a share."""
+        """Order-0 frequencies of the ids seen; every id keeps a share."""
         if self.seen:
-            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary)
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary + 1)[1:]
             self.seen.clear()
         spare = (1 << _PLAIN) - self.vocabulary
         sums = np.cumsum(self.counts)
-        self.cumulative = np.zeros(self.vocabulary + 1, np.int32)
-        self.cumulative[1:] = np.floor(sums * (spare / sums[-1])).astype(np.int32) + np.arange(1, self.vocabulary + 1, dtype=np.int32)
+        self.cumulative = np.zeros(self.vocabulary + 1, np.uint32)
+        self.cumulative[1:] = np.floor(sums * (spare / sums[-1])).astype(np.uint32) + np.arange(1, self.vocabulary + 1, dtype=np.uint32)
         self.cumulative[-1] = 1 << _PLAIN
+        self.inverse = None
+        # by id: size in the lower half of a word, start in the upper
+        self.plain = np.zeros(self.vocabulary + 1, np.uint64)
+        self.plain[1:] = (self.cumulative[:-1].astype(np.uint64) << _U32) | np.diff(self.cumulative).astype(np.uint64)
 
     def _weigh(self) -> None:
-        """Frequencies of (order 2 holds, order 1 holds, neither) for each pair of confidences."""
-        for key, choice in self.tried:
-            self.stats += np.bincount(key * 3 + choice, minlength=384).reshape(128, 3)
-        self.tried.clear()
+        """Shares of (order 2 holds, order 1 holds, neither) for each pair of confidences."""
+        if self.tried:
+            tried = np.concatenate([key * 3 + choice for key, choice in self.tried])
+            self.stats += np.bincount(tried, minlength=384).reshape(128, 3)
+            self.tried.clear()
         share = self.stats / self.stats.sum(1, keepdims=True)
-        ends = np.zeros((128, 4), np.int64)
-        ends[:, 1:3] = (np.cumsum(share[:, :2], axis=1) * ((1 << _CHOICE) - 3)).astype(np.int64) + (1, 2)
+        ends = np.zeros((128, 4), np.uint64)
+        ends[:, 1:3] = (np.cumsum(share[:, :2], axis=1) * ((1 << _CHOICE) - 3)).astype(np.uint64) + np.array([1, 2], np.uint64)
         ends[:, 3] = 1 << _CHOICE
-        self.ends = ends.ravel()
+        self.first, self.second = ends[:, 1].copy(), ends[:, 2].copy()
+        self.low, self.share = (ends[:, :3] << np.uint64(_PLAIN)).ravel(), np.diff(ends, axis=1).ravel()
 
     def predict(self) -> None:
-        self.slot = ((self.before * 0x2545F491 + self.last * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - _SLOTS)
+        self.slot = (self.before * _MIX2 + self.last * _MIX1) >> np.uint32(32 - _SLOTS)
         self.entry2, self.entry1 = self.two[self.slot], self.one[self.last]
-        self.guess2, self.guess1 = (self.entry2 >> 3).astype(np.int64) - 1, (self.entry1 >> 3).astype(np.int64) - 1
-        self.key = (((self.entry2 & 7) << 4) | ((self.entry1 & 7) << 1) | (self.guess1 == self.guess2)).astype(np.int64)
+        self.guess2, self.guess1 = self.entry2 >> 3, self.entry1 >> 3
+        self.level2, self.level1 = self.entry2 & 7, self.entry1 & 7
+        self.key = (self.level2 << 4) | (self.level1 << 1) | (self.guess1 == self.guess2)
+
+    def choose(self, ids: np.ndarray) -> np.ndarray:
+        """Which guess each id is: 0 order 2's, 1 order 1's, 2 neither."""
+        self.hit2, self.hit1 = self.guess2 == ids, self.guess1 == ids
+        return np.where(self.hit2, np.uint32(0), np.uint32(2) - self.hit1)
 
     def interval(self, choice: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's id in 2 ** (_CHOICE + _PLAIN): a guess's share whole, else the id's part of the rest."""
-        place = self.key * 4 + choice
-        low = self.ends[place]
-        share = self.ends[place + 1] - low
-        rest = choice == 2
-        known = np.where(rest, ids, 0)
-        start, end = np.where(rest, self.cumulative[known], 0), np.where(rest, self.cumulative[known + 1], 1 << _PLAIN)
-        return ((low << _PLAIN) + share * start).astype(np.uint64), (share * (end - start)).astype(np.uint64)
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The choices and ids whose intervals hold ``value``."""
-        place, top = self.key * 4, value >> _PLAIN
-        low = self.ends[place + 2]
-        choice = (top >= self.ends[place + 1]).astype(np.int64) + (top >= low)
-        rest = np.flatnonzero(choice == 2)
-        row = np.where(choice == 0, self.guess2, self.guess1)
-        share = (1 << _CHOICE) - low[rest]
-        inside = ((value[rest] - (low[rest] << _PLAIN)) // share).astype(np.int32)
-        row[rest] = np.searchsorted(self.cumulative, inside, side="right") - 1
-        return choice, row
+        place = self.key * 3 + choice
+        share, rest = self.share[place], choice == 2
+        plain = np.where(rest, self.plain[ids], np.uint64(1 << _PLAIN))
+        return self.low[place] + share * (plain >> _U32), share * (plain & _MOST)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold ``value``."""
+        top, second = value >> np.uint64(_PLAIN), self.second[self.key]
+        ids = np.where(top < self.first[self.key], self.guess2, self.guess1)
+        rest = np.flatnonzero(top >= second)
+        low = second[rest]
+        inside = (value[rest] - (low << np.uint64(_PLAIN))) // (np.uint64(1 << _CHOICE) - low)
+        if self.inverse is None:  # the id of every place, for as long as the frequencies stand
+            self.inverse = np.repeat(np.arange(1, self.vocabulary + 1, dtype=np.uint16 if self.vocabulary < 65535 else np.uint32), np.diff(self.cumulative))
+        ids[rest] = self.inverse[inside]
+        return ids
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        for table, at, entry, guess in ((self.two, self.slot, self.entry2, self.guess2), (self.one, self.last, self.entry1, self.guess1)):
-            level = entry & 7
-            hit = guess == ids
-            fresh = (ids.astype(np.uint32) + 1) << 3
-            table[at] = np.where(hit, entry + (level < 7), np.where(level > 0, entry - 1, fresh))
+        fresh = ids << np.uint32(3)
+        self.two[self.slot] = np.where(self.hit2, self.entry2 + (self.level2 != 7), np.where(self.level2 > 0, self.entry2 - np.uint32(1), fresh))
+        self.one[self.last] = np.where(self.hit1, self.entry1 + (self.level1 != 7), np.where(self.level1 > 0, self.entry1 - np.uint32(1), fresh))
         self.seen.append(ids)
         self.tried.append((self.key, choice))
         self.before, self.last = self.last, ids
@@ -132,11 +140,11 @@ def _shape(n: int) -> tuple[int, int]:
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block of ids below ``vocabulary``."""
-    ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
     lanes, steps = _shape(n)
-    rows = np.zeros(lanes * steps, np.int64)
+    rows = np.ones(lanes * steps, np.uint32)
     rows[:n] = ids
+    rows[:n] += np.uint32(1)
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
     mixer = Mixer(vocabulary, lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -146,7 +154,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     first = at.copy()
     for row in rows:
         mixer.predict()
-        choice = np.where(mixer.guess2 == row, 0, np.where(mixer.guess1 == row, 1, 2))
+        choice = mixer.choose(row)
         start, size = mixer.interval(choice, row)
         unit = width >> _TOTAL
         added = low + start * unit
@@ -154,7 +162,12 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         if over.size:  # a carry goes into the last digit; settled at the end
             digits[at[over] - 1] += 1
         low, width = added, size * unit
-        while (few := np.flatnonzero(width < _TOP)).size:
+        short = width < _TOP
+        digits[at] = low >> _U48  # where nothing is due, the next digit overwrites it
+        at += short
+        shift = short * _U16
+        low, width = low << shift, width << shift
+        if (few := np.flatnonzero(width < _TOP)).size:  # an id of more than a digit's bits
             digits[at[few]] = low[few] >> _U48
             at[few] += 1
             low[few] <<= _U16
@@ -171,7 +184,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         grid[:, k] &= 0xFFFF
     body = grid[np.arange(grid.shape[1]) < used[:, None]].astype("<u2").tobytes()
     payload = used.astype("<u4").tobytes() + body
-    head = _HEAD.pack(MAGIC, 1, vocabulary, n, lanes, steps, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload))
+    head = _HEAD.pack(MAGIC, 1, vocabulary, n, lanes, steps, zlib.crc32(np.asarray(ids).astype("<u4").tobytes()), zlib.crc32(payload))
     return head + payload
 
 
@@ -192,19 +205,23 @@ def decode_block(block: bytes) -> np.ndarray:
         at = at + 1
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     mixer = Mixer(vocabulary, lanes)
-    out = np.zeros((steps, lanes), np.int32)
+    out = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
         mixer.predict()
         unit = width >> _TOTAL
-        value = np.minimum(code // unit, 0xFFFFFFFF).astype(np.int64)
-        choice, row = mixer.find(value)
+        row = mixer.find(np.minimum(code // unit, _MOST))
+        choice = mixer.choose(row)
         start, size = mixer.interval(choice, row)
         code, width = code - start * unit, size * unit
-        while (few := np.flatnonzero(width < _TOP)).size:
+        short = width < _TOP
+        shift = short * _U16
+        code, width = (code << shift) | (digits[at] * short), width << shift
+        at += short
+        if (few := np.flatnonzero(width < _TOP)).size:
             code[few] = (code[few] << _U16) | digits[at[few]]
             at[few] += 1
             width[few] <<= _U16
-        out[t] = row
+        out[t] = row - np.uint32(1)
         mixer.learn(row, choice)
     ids = out.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_sum:
@@ -222,7 +239,8 @@ class TextEncoder:
     the vocabulary ends words with.
     """
 
-    CACHE = 1_200_000
+    #: Words, marks and other chunks that are kept between batches; beyond it the cache starts anew.
+    CACHE = 1_500_000
     TOGETHER = 64
     MARKS = ".,!?"
 
@@ -241,91 +259,100 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[str, int] = {}  # chunks
-        self.units: dict[str, int] = {"": 0}  # words, marks and all other chunks
-        self.head, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # the two units of each chunk
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        """Units are strings of one Arrow column, their ids a piece of one array; unit 0 is empty."""
+        self.units = pa.array([""], pa.string())
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, units: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-
-    def _singly(self, units: list[str]) -> None:
+    def _singly(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of units' ids, and the ids."""
         made = self._library(units)
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        self._add(units, sizes, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())))
+        sizes = np.fromiter(map(len, made), np.int32, len(made))
+        return sizes, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Number new chunks and keep their ids."""
-        units = self.units
-        column = pa.array(chunks, pa.string())
-        word = pc.utf8_rtrim(column, characters=self.MARKS)
-        plain = pc.utf8_is_alpha(word) if self.ends.any() else pa.array([False] * len(chunks))
-        # A-Z alone: the library's own lower case of other letters depends on its normal form
-        lower = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
-        keys = pc.if_else(plain, lower, column)
-        whole, kept, is_plain = pc.utf8_length(column).to_numpy(), pc.utf8_length(word).to_numpy(), plain.to_numpy(zero_copy_only=False)
-        marked = np.flatnonzero(is_plain & (kept < whole))
-        tails = [chunks[i][kept[i] :] for i in marked.tolist()]
-        names = keys.dictionary_encode()
-        distinct = names.dictionary.to_pylist()
-        word_like = np.zeros(len(distinct), bool)
-        word_like[names.indices.to_numpy()[is_plain]] = True
-        missing = [i for i, k in enumerate(distinct) if k not in units]
-        letters = [distinct[i] for i in missing if word_like[i]]
-        runs = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
-        good, sizes, ids = [], [], []
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, many at a time and parted by spaces: each ends with the one id that ends a word."""
+        sizes, ids = [], []
+        runs = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
         for run, made in zip(runs, self._library([" ".join(run) for run in runs]), strict=True):
             made = np.array(made, np.int32)
             cuts = np.flatnonzero(self.ends[made]) + 1
+            size = np.concatenate([cuts[:1], cuts[1:] - cuts[:-1]])
             if len(cuts) != len(run):  # a word that the library splits after all
-                self._singly(run)
-            else:
-                good += run
-                sizes.append(np.diff(cuts, prepend=0))
-                ids.append(made)
-        if good:
-            self._add(good, np.concatenate(sizes), np.concatenate(ids))
-        self._singly([distinct[i] for i in missing if not word_like[i]])
-        self._singly(sorted(set(tails) - units.keys()))
-        number = np.fromiter(map(units.__getitem__, distinct), np.int32, len(distinct))
-        tail = np.zeros(len(chunks), np.int32)
-        tail[marked] = np.fromiter(map(units.__getitem__, tails), np.int32, len(tails))
-        self.head, self.tail = np.concatenate([self.head, number[names.indices.to_numpy()]]), np.concatenate([self.tail, tail])
-        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks)), strict=True))
+                size, made = self._singly(run)
+            sizes.append(size)
+            ids.append(made)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _number(self, column: pa.Array, word_like: np.ndarray) -> np.ndarray:
+        """Numbers of distinct units; new ones are encoded and kept."""
+        found = pc.index_in(column, value_set=self.units)
+        number = found.fill_null(-1).to_numpy().astype(np.int32)
+        for kind in (True, False):
+            fresh = np.flatnonzero((number < 0) & (word_like == kind))
+            if len(fresh):
+                own = column.take(pa.array(fresh))
+                sizes, ids = (self._together if kind else self._singly)(own.to_pylist())
+                sizes = sizes.astype(np.int32)
+                number[fresh] = np.arange(len(self.sizes), len(self.sizes) + len(fresh))
+                self.units = pa.concat_arrays([self.units, own])
+                self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
+                self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        return number
+
+    def _chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after the other, of distinct chunks: those of its word and of the marks after it, or its own."""
+        word = pc.utf8_rtrim(column, characters=self.MARKS)
+        plain = pc.utf8_is_alpha(word) if self.ends.any() else pa.array(np.zeros(len(column), bool))
+        # A-Z alone: the library's own lower case of other letters depends on its normal form
+        lower = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
+        names = pc.if_else(plain, lower, column).dictionary_encode()
+        place, is_plain = names.indices.to_numpy(), plain.to_numpy(zero_copy_only=False)
+        word_like = np.zeros(len(names.dictionary), bool)
+        word_like[place[is_plain]] = True
+        cut = np.where(is_plain, pc.utf8_length(column).to_numpy() - pc.utf8_length(word).to_numpy(), 0)
+        # one look-up for words, marks and other chunks together
+        parts, rows, tails = [names.dictionary], [], []
+        for n in np.unique(cut[cut > 0]).tolist():
+            rows.append(np.flatnonzero(cut == n))
+            own = pc.utf8_slice_codeunits(column.take(pa.array(rows[-1])), -n).dictionary_encode()
+            tails.append(own.indices.to_numpy() + sum(map(len, parts)))
+            parts.append(own.dictionary)
+        number = self._number(pa.concat_arrays(parts), np.concatenate([word_like, np.zeros(sum(map(len, parts[1:])), bool)]))
+        pairs = np.zeros((len(column), 2), np.int32)
+        pairs[:, 0] = number[place]
+        if rows:
+            pairs[np.concatenate(rows), 1] = number[np.concatenate(tails)]
+        sizes, ids = _pieces(self.flat, self.starts, self.sizes, pairs.ravel())
+        return sizes.reshape(-1, 2).sum(1, dtype=np.int32), ids
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and each text's number of ids."""
-        if len(self.numbers) > self.CACHE:
+        if len(self.units) > self.CACHE:
             self._reset()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         code = lists.flatten().dictionary_encode()
-        chunks, get = code.dictionary.to_pylist(), self.numbers.get
-        number = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        fresh = np.flatnonzero(number < 0)
-        if len(fresh):
-            number[fresh] = np.arange(len(fresh)) + len(self.numbers)
-            self._learn([chunks[i] for i in fresh])
-        # two units a chunk: its word and the marks after it, if any
-        pairs = np.stack([self.head, self.tail], axis=1)[number]
-        order = pairs[code.indices.to_numpy()].ravel()
-        many = self.sizes[order]
-        ends = np.concatenate([[0], np.cumsum(many)])
+        chunk_sizes, flat = self._chunks(code.dictionary)
+        # the end stands as one more chunk after each text's
+        starts = np.cumsum(chunk_sizes, dtype=np.int32) - chunk_sizes
+        flat, starts, chunk_sizes = (np.append(x, v).astype(np.int32) for x, v in ((flat, end), (starts, len(flat)), (chunk_sizes, 1)))
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets = 2 * (offsets - offsets[0])
-        sizes = np.diff(ends[offsets])
-        n = int(ends[-1])
-        out = np.empty(n + len(sizes), np.int32)
-        # a text's ids move up by the ends of the texts before it
-        moved = np.arange(n) + np.repeat(np.arange(len(sizes)), sizes)
-        out[moved] = self.flat[np.repeat(self.starts[order] - ends[:-1], many) + np.arange(n)]
-        out[np.cumsum(sizes + 1) - 1] = end
-        return out, sizes + 1
+        ends = offsets[1:] - offsets[0] + np.arange(len(offsets) - 1)
+        inside = np.ones(len(code) + len(ends), bool)
+        inside[ends] = False
+        order = np.full(len(inside), len(starts) - 1, np.int32)
+        order[inside] = code.indices.to_numpy()
+        many, ids = _pieces(flat, starts, chunk_sizes, order)
+        return ids, np.diff(np.cumsum(many, dtype=np.int64)[ends], prepend=0)
+
+
+def _pieces(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the pieces in ``order``, and their values one after the other."""
+    many = sizes[order]
+    ends = np.cumsum(many, dtype=np.int32)
+    return many, flat[np.repeat(starts[order] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
 
 
 _encoders: dict[str, TextEncoder] = {}
