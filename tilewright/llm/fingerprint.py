@@ -11,11 +11,12 @@ likeness of two fingerprints an estimate of the Jaccard likeness of their spans.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import common
@@ -124,6 +125,22 @@ def fingerprint(text: str) -> tuple[PrefixHashes, str]:
     return hashes, render(hashes, sketch(hashes))
 
 
+def _place(key: Column, cuts: list[int]) -> Column:
+    """How many of the falling ``cuts`` are not below ``key``: a binary search as a fold over a literal array."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        above = F.get(table, middle) >= key
+        open_ = span["low"] < span["high"]
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(span["low"]).alias("low"), F.when(open_ & ~above, middle).otherwise(span["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda span: span["low"])
+
+
 def _neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, marker, doc_id, text), so that sorting a bucket by (doc_id desc, text) puts each document before its next.
 
@@ -135,11 +152,7 @@ def _neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     docs = docs.select("doc_id", common.text_of(), key.alias("key"))
     cuts = docs.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10000).alias("q")).first()["q"] if buckets > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
-    bucket = F.lit(0)
-    if cuts:
-        # rows above the first cut come first; array_position over a literal array would be linear too, and cuts are few
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("key")))
-    docs = docs.withColumn("bucket", bucket.cast("int"))
+    docs = docs.withColumn("bucket", _place(F.col("key"), cuts))
     firsts = {r["bucket"]: r["key"] for r in docs.groupBy("bucket").agg(F.max("key").alias("key")).collect()}
     order = sorted(firsts)
     if not order:

@@ -377,17 +377,18 @@ def score(symbols: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     return symbols.mapInArrow(run, _SCORES)
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: int = STATES, rounds: int = ROUNDS, most: int = MOST, groups: int = GROUPS) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: int = STATES, rounds: int = ROUNDS, most: int = MOST, groups: int = GROUPS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Base and model scores of every row, learned from the rows whose id's CRC-32 has another remainder.
 
     A null text is the empty text, whose only token is the end; a null id counts as
     the empty id; repeated rows count each time; other columns are ignored. Without
-    any training row the score is the base score. An empty table gives no rows.
+    any training row the score is the base score. An empty table gives no rows. For
+    corpora of many terabytes take larger blocks: each sends a row to each bucket.
     """
     if most + groups + 1 > _SINGLE:
         raise ValueError("more symbols than fit 15 bits")
     buckets = common.shuffle_width(docs.sparkSession)
-    blocks = common.written(token_blocks(docs, modulus, remainder, buckets), "hmm-blocks")
+    blocks = common.written(token_blocks(docs, modulus, remainder, buckets, block_bytes), "hmm-blocks")
     totals = common.written(word_totals(blocks, most, groups, buckets), "hmm-totals")
     lexicon = Lexicon.of(totals, most, groups)
     symbols = common.written(symbol_blocks(blocks, totals, lexicon), "hmm-symbols")

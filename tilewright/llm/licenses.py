@@ -23,7 +23,7 @@ from tilewright.llm.decontaminate import words_of
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Bound of all templates together, in characters: they are sent to every task.
-TEMPLATE_CHARS = 8 << 20
+TEMPLATE_CHARS = 1 << 20
 
 #: Usual license statements, by short name.
 TEMPLATES: list[tuple[str, str]] = [

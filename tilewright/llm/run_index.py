@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tilewright.llm import common
 
 WINDOW, GRAM = 50, 16
-#: Text of one block, in bytes; a longer text makes a larger one, which is worked through in PIECEs.
-BLOCK_BYTES = 8 << 20
+#: Text of one block, in bytes: at least the first, and up to the second as the corpus grows, so that blocks and
+#: buckets do not multiply; a longer text makes a larger one. Blocks are worked through in PIECEs.
+BLOCK_BYTES, BLOCK_MOST = 8 << 20, 128 << 20
 PIECE = 1 << 20
 #: An anchor in more blocks than this is dealt by single windows, so that no bucket grows with its copies.
 HEAVY = 1024
@@ -485,8 +486,8 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of())
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(1, -(-total // block_bytes)))
     buckets = 2 * common.shuffle_width(spark)
+    blocks = int(max(1, -(-total // max(block_bytes, min(total // buckets, BLOCK_MOST)))))
     # rows of equal ids differ by text, so that one id does not make one block
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     # one query to the end: the blocks' texts are shuffled once and read three times, which costs
