@@ -50,12 +50,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a folder, whatever store it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table goes when the application ends, or when it is discarded.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, place = _folder(spark, path)
+    store.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing unfinished reads any more."""
+    for table_ in tables:
+        store, place = _folder(table_.sparkSession, table_._scratch)
+        store.delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -109,7 +129,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         large = least("a", "b", both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = least("a", "b", large)
         small = small.select(F.col("b").alias("x"), "m").unionByName(small.select(F.col("a").alias("x"), "m")).filter("x != m")
-        edges = written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
+        last, edges = edges, written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
+        discard(last)
         # stars only, and the same as before: settled
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -27,7 +27,7 @@ from tilewright.llm import common
 WINDOW = 10
 SHINGLE = 5
 #: Text of one benchmark block, which is all that is ever broadcast at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Bytes of words (digits, letters, all of a non-ASCII character), lower-cased; others become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -392,5 +392,6 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, state
     totals = common.written(word_totals(blocks, most, groups, buckets), "hmm-totals")
     lexicon = Lexicon.of(totals, most, groups)
     symbols = common.written(symbol_blocks(blocks, totals, lexicon), "hmm-symbols")
+    common.discard(blocks, totals)
     model = train(symbols, lexicon, states, rounds) if lexicon.n else Model.fresh(lexicon, states)
     return score(symbols, lexicon, model)

@@ -51,6 +51,7 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
     keys = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     ranks = common.ranked(keys, ["h1", "h2"], "line-keys")
     state = common.written(rows.join(ranks, ["h1", "h2"]).select(*_DOC, "pos", "rank"), "line-ranks")
+    common.discard(rows)
     done = 1
     while done < length:
         # the last round's halves overlap if the length isn't a power of two
@@ -58,10 +59,12 @@ def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
         ahead = state.select(*_DOC, (F.col("pos") - shift).alias("pos"), F.col("rank").alias("next"))
         # no partner: the text ends, or the second half occurs once and so does the whole; null ids are equal here
         pairs = state.withColumn("id", _met_id()).join(ahead.withColumn("id", _met_id()).drop("doc_id"), ["id", "text_key", "pos"]).select(*_DOC, "pos", F.col("rank").alias("first"), "next")
-        pairs = common.written(pairs, "line-pairs")
+        last, pairs = state, common.written(pairs, "line-pairs")
+        common.discard(last)
         keys = pairs.groupBy("first", "next").agg(F.count("*").alias("n")).filter("n > 1")
         ranks = common.ranked(keys, ["first", "next"], "line-keys")
         state = common.written(pairs.join(ranks, ["first", "next"]).select(*_DOC, "pos", "rank"), "line-ranks")
+        common.discard(pairs)
         done += shift
     return state
 
