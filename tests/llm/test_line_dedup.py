@@ -54,3 +54,32 @@ def test_kept_texts(docs, rows):
     for r in L.report(L.dedup_lines(docs)).collect():
         text = dict(rows)[r["doc_id"]] or ""
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"], text][0].encode()).hexdigest()
+
+
+def brute_long(rows, min_lines, long_words):
+    """brute, and lines of ``long_words`` words that stood before, alone."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(set(rows)):
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines)):
+            for length in [min_lines] * (i + min_lines <= len(lines)) + [1] * (len(lines[i].split()) >= long_words):
+                window = tuple(lines[i : i + length])
+                if window in seen:
+                    gone.update(range(i, i + length))
+                seen.add(window)
+        out[doc_id, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    return out
+
+
+def test_a_long_line_between_other_neighbours_goes(spark):
+    long, short = " ".join(f"w{i}" for i in range(L.LONG_WORDS)), " ".join(f"w{i}" for i in range(L.LONG_WORDS - 1))
+    texts = [long, f"a\n{long}\nb", f"c\n{long}\n{short}", f"{short}\nd\n{long}\nd\n{long}", f"c\n{long}"]
+    got = L.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), long_words=L.LONG_WORDS).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == {0: (long, 0), 1: ("a\nb", 1), 2: (f"c\n{short}", 1), 3: (f"{short}\nd", 3), 4: ("", 2)}
+
+
+def test_long_lines_as_brute_force(docs, rows):
+    want = brute_long([(d, t or "") for d, t in rows], 2, L.LONG_WORDS)
+    assert want != brute([(d, t or "") for d, t in rows], 2)
+    for r in L.dedup_lines(docs, long_words=L.LONG_WORDS).collect():
+        assert (r["text"], r["n_removed"]) == want[r["doc_id"], dict(rows)[r["doc_id"]] or ""]

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tilewright.llm import common
 
 MIN_LINES = 2
+#: A line of so many words is a passage of its own.
+LONG_WORDS = 50
 _DOC = ["doc_id", "text_key"]
 
 
@@ -30,23 +32,26 @@ def _met_id() -> Column:
     return F.coalesce("doc_id", F.lit(-(2**63)))
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, n_lines, h1, h2): a row for each line; equal rows of the table count once.
+def _positions(docs: DataFrame, least_words: int = 0) -> DataFrame:
+    """(doc_id, text_key, pos, n_lines, h1, h2): a row for each line of ``least_words`` words; equal rows of the table count once.
 
     Lines are named by 128 bits, so that unequal lines of any corpus differ.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
     rows = lines.select(*_DOC, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    if least_words:
+        rows = rows.filter(F.regexp_count("line", F.lit(r"\S+")) >= least_words)
     rows = rows.select(*_DOC, "pos", "n_lines", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     return rows.dropDuplicates([*_DOC, "pos"])
 
 
-def prefix_ranks(docs: DataFrame, length: int) -> DataFrame:
+def prefix_ranks(docs: DataFrame, length: int, least_words: int = 0) -> DataFrame:
     """(doc_id, text_key, pos, rank) of the positions whose ``length``-line prefix occurs more than once.
 
-    Equal ranks are equal prefixes, and ranks follow their order.
+    Equal ranks are equal prefixes, and ranks follow their order. Lines of fewer than
+    ``least_words`` words are in no prefix.
     """
-    rows = common.written(_positions(docs), "line-positions")
+    rows = common.written(_positions(docs, least_words), "line-positions")
     # partial counts before the shuffle, so a line that is everywhere is one row a task
     keys = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     ranks = common.ranked(keys, ["h1", "h2"], "line-keys")
@@ -77,11 +82,13 @@ def later_copies(ranks: DataFrame) -> DataFrame:
     return ranks.join(firsts, "rank").filter(~place.eqNullSafe(F.col("first"))).select(*_DOC, "pos")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the text that is left, and n_lines, n_removed, n_runs, longest_run.
 
     A line is removed if it lies in a window of ``min_lines`` lines that also starts
-    earlier, in a document with a smaller id or above in the same one. Lines end at
+    earlier, in a document with a smaller id or above in the same one; with
+    ``long_words``, also if the line alone stands earlier and has at least that many
+    words (parted by ASCII white space), whatever its neighbours. Lines end at
     a line feed and compare exactly. A null text is the empty text: one empty line.
     Of equal (id, text) rows each gets the same result; null ids come first; equal
     ids go by a hash of the text. n_chars, if there, is set anew; other columns stay,
@@ -90,8 +97,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     results = ("n_lines", "n_removed", "n_runs", "longest_run")
     keep = [c for c in docs.columns if c not in (*results, "text", "n_chars")]
     source = docs.select(*keep, common.text_of())
-    starts = later_copies(prefix_ranks(source.select("doc_id", "text"), min_lines))
-    gone = starts.groupBy(*_DOC).agg(F.collect_list("pos").alias("__starts"))  # at most a document's own lines
+    texts = source.select("doc_id", "text")
+    starts = later_copies(prefix_ranks(texts, min_lines)).withColumn("length", F.lit(min_lines))
+    if long_words is not None and min_lines > 1:
+        alone = later_copies(prefix_ranks(texts, 1, long_words)).withColumn("length", F.lit(1))
+        starts = starts.unionByName(alone)
+    gone = starts.groupBy(*_DOC).agg(F.collect_list(F.struct("pos", "length")).alias("__starts"))  # at most a document's own lines
     gone = gone.select(_met_id().alias("__id"), F.col("text_key").alias("__text_key"), "__starts")
     joined = source.withColumn("__text_key", F.xxhash64("text")).withColumn("__id", _met_id()).join(gone, ["__id", "__text_key"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + ["n_chars long"] * ("n_chars" in docs.columns) + ["n_lines long", "n_removed long", "n_runs long", "longest_run long"]
@@ -103,9 +114,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 lines, removed, runs, longest = text.split("\n"), 0, 0, 0
                 if begins:
                     cover = np.zeros(len(lines) + 1, np.int64)
-                    at = np.array(begins, np.int64)
+                    at, length = np.array([(b["pos"], b["length"]) for b in begins], np.int64).T
                     np.add.at(cover, at, 1)
-                    np.add.at(cover, at + min_lines, -1)
+                    np.add.at(cover, at + length, -1)
                     covered = np.cumsum(cover[:-1]) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
                     removed, runs, longest = int(covered.sum()), len(edges) // 2, int((edges[1::2] - edges[::2]).max())
