@@ -151,6 +151,41 @@ def test_ivf_reaches_most_of_the_exact_top(spark):
     assert {r["record_id"] for r in search.search_lists(search.index_lists(df, centres), centres, query, 16).collect()} == exact
 
 
+def test_registered_ivf_query_has_the_recall(spark, sf_dir):
+    from tilewright.plans import proxies, registry
+
+    v = proxies.vectors(spark, sf_dir)
+    rows = {r["record_id"]: r["feature_vector"] for r in v.collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in registry.QUERIES["ann_ivf"](spark, sf_dir).collect():
+        found.setdefault(r["query_id"], {})[r["record_id"]] = r["distance"]
+    assert found.keys() == {i for i in rows if i % 20 == 0}
+    exact = {q: {int(i) for i in ids[np.lexsort((ids, -(x @ x[ids == q][0])))[:20]]} for q in found}
+    one = min(found)
+    assert {r["record_id"] for r in search.search_similar(v, rows[one]).collect()} == exact[one]
+    assert all(len(near) == 20 for near in found.values())
+    assert np.mean([len(exact[q] & found[q].keys()) / 20 for q in found]) >= 0.9
+
+
+def test_many_queries_as_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 60)
+    rng = np.random.default_rng(3)
+    rows = [(i, "s", rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, "s", [1.0] * 8) for i in range(150)] + [(450, "s", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "record_id long, wsi_name string, feature_vector array<double>")
+    centres = search.coarse_centroids(df, 6)
+    indexed = search.index_lists(df, centres)
+    got = {}
+    for r in search.search_lists_each(indexed, centres, df.filter("record_id % 150 = 0"), 3, 7).collect():
+        got.setdefault(r["query_id"], {})[r["record_id"]] = r["distance"]
+    assert got.keys() == {0, 150, 300, 450}
+    for q, near in got.items():
+        want = {r["record_id"]: r["distance"] for r in search.search_lists(indexed, centres, rows[q][2], 3, 7).collect()}
+        assert near == pytest.approx(want)
+
+
 def screen_tile(spark):
     image = np.full((400, 400, 3), 255, np.uint8)
     y, x = np.mgrid[:400, :400]

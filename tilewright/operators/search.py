@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.config import StoreConfig
@@ -74,3 +75,58 @@ def search_lists(indexed: DataFrame, centres: np.ndarray, query: Sequence[float]
     """search_similar within the ``probes`` lists nearest to the query."""
     order = np.argsort(-(centres @ np.asarray(query, float)), kind="stable")[:probes]
     return search_similar(indexed.filter(F.col("list").isin([int(i) for i in order])), query, top_k, **kw)
+
+
+#: Records of one list, and queries that probe it, that a task compares at a time.
+BLOCK = 2048
+
+
+def search_lists_each(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, probes: int, top_k: int = StoreConfig().top_k, vector: str = "feature_vector", key: str = "record_id") -> DataFrame:
+    """search_lists for every row of ``queries``, by its ``key`` as query_id; the vector is not returned.
+
+    Lists and the queries that probe them meet in blocks, each of which keeps a query's
+    best; cosines are compared to 12 digits (ties: key).
+    """
+    def blocks(lists: DataFrame) -> Column:
+        sizes = {r["list"]: r["n"] for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        return F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // BLOCK))) for i in range(len(centres))])
+
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    v = F.col(vector).cast("array<double>")
+    order = F.array_sort(F.transform(table, lambda c, i: F.struct((-_dot(v, c)).alias("far"), i.alias("list"))))
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("query"), F.explode(F.slice(order, 1, probes)["list"]).alias("list"))
+    n_records, n_queries = blocks(indexed), blocks(asked)
+    at = F.col("list") + 1
+    dealt = indexed.filter(F.col(vector).isNotNull())
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(key), F.element_at(n_records, at)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(n_queries, at) - 1)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.element_at(n_queries, at)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(n_records, at) - 1)))
+    keep = [c for c in indexed.columns if c != vector]
+
+    def best(records: pa.Table, asking: pa.Table) -> pa.Table:
+        records = records.sort_by(key)
+        x, q = (np.array(c.to_pylist(), float).reshape(len(c), len(centres[0])) for c in (records.column(vector), asking.column("query")))
+        chosen, by, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(x):
+            for low in range(0, len(q), 256):
+                some = q[low : low + 256]
+                norm = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+                likeness = np.round(np.where(norm > 0, some @ x.T / np.where(norm > 0, norm, 1), 0.0), 12)
+                last = np.partition(likeness, max(0, len(x) - top_k), axis=1)[:, max(0, len(x) - top_k)]
+                row, col = np.nonzero(likeness >= last[:, None])
+                sort = np.lexsort((col, -likeness[row, col], row))
+                row, col = row[sort], col[sort]
+                first = np.searchsorted(row, np.arange(len(some)))
+                near = np.arange(len(row)) - first[row] < top_k
+                chosen.append(col[near])
+                by.append(row[near] + low)
+                cosines.append(likeness[row[near], col[near]])
+        out = records.select(keep).take(pa.array(np.concatenate(chosen)))
+        found = asking.column("query_id").take(pa.array(np.concatenate(by)))
+        return pa.Table.from_arrays([found, *out.columns, pa.array(np.concatenate(cosines))], names=["query_id", *keep, "distance"])
+
+    kinds = dict(indexed.dtypes)
+    fields = ", ".join([f"query_id {kinds[key]}", *[f"`{c}` {kinds[c]}" for c in keep], "distance double"])
+    cell = ["list", "block", "part"]
+    near = dealt.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(best, fields)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("distance"), key))
+    return near.withColumn("place", place).filter(F.col("place") <= top_k).drop("place")

@@ -685,9 +685,10 @@ def string_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest records of every twentieth one; 12 of 16 lists reach a recall above 0.9 (README)."""
     v = P.vectors(spark, sf_dir)
     centres = search.coarse_centroids(v, lists=16)
-    return rounded(search.search_lists(search.index_lists(v, centres), centres, P.probe_vector(), probes=8).drop("feature_vector"))
+    return rounded(search.search_lists_each(search.index_lists(v, centres), centres, v.filter("record_id % 20 = 0"), probes=12))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
