@@ -36,6 +36,37 @@ def test_changed_templates_as_containment_says():
         assert sorted({m[0] for m in L.scan_words(L.words_of(document), L.Index.of(L.TEMPLATES))}) == brute(document)
 
 
+def test_inserted_words_at_any_place():
+    index, rng = L.Index.of(L.TEMPLATES), np.random.default_rng(2)
+    for name, inserted in (("apache-2.0-notice", 8), ("mit-notice", 10), ("gpl-3.0-notice", 12)):
+        template = L.words_of(dict(L.TEMPLATES)[name])
+        cut = int(rng.integers(9, len(template) - 9))
+        copy = [*template[:cut], *[f"x{i}".encode() for i in range(inserted)], *template[cut:]]
+        for at in range(60):
+            words = [f"w{i}".encode() for i in range(at)] + copy + [f"v{i}".encode() for i in range(70)]
+            found = [m for m in L.scan_words(words, index) if m[0] == name]
+            assert [m[1:3] for m in found] == [(at, at + len(copy))], (name, at, found)
+
+
+def test_scan_is_every_window():
+    rng = np.random.default_rng(4)
+    texts = [L.words_of(t) for _, t in L.TEMPLATES]
+    index = L.Index.of(L.TEMPLATES)
+    for _ in range(150):
+        words = [b"w"] * int(rng.integers(0, 70))
+        for _ in range(int(rng.integers(1, 4))):
+            for w in texts[rng.integers(len(texts))]:
+                words += [b"x"] * int(rng.random() < 0.04) + [w] * int(rng.random() > 0.02)
+            words += [b"v"] * int(rng.integers(0, 30))
+        want = set()
+        for c in index.classes:
+            for start in range(max(0, len(words) - c.window) + 1):
+                own = words[start : start + c.window]
+                grams = {tuple(own[i : i + c.size]) for i in range(len(own) - c.size + 1)}
+                want |= {name for name, t in c.members if len(t & grams) / len(t) >= L.THRESHOLD}
+        assert {m[0] for m in L.scan_words(words, index)} == want
+
+
 def test_bands_guarantee_the_recall():
     for c in L.Index.of(L.TEMPLATES).classes:
         shortest = min(len(t) for _, t in c.members)

@@ -1,15 +1,18 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Templates of about one length share a window size, a quarter longer than the
-longest of them, and a stride at which any occurrence lies wholly in some window. Bands of one
-MinHash value each are as many as it takes for a window that holds the least
-accepted share of a template to collide in some band with probability RECALL.
+longest of them. A template is found where a window at any word holds the accepted
+share of it. Candidates come from longer stretches, at a step at which any window lies
+wholly in some stretch. Bands of one MinHash value each are as many as it takes for a
+stretch that holds the least accepted share of a template to collide in some band with
+probability RECALL. A candidate is verified in every window of its stretch.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -70,11 +73,14 @@ def bands_for(shortest: int, window: int, size: int, threshold: float = THRESHOL
 
 @dataclass
 class Class:
-    """Templates of about one length."""
+    """Templates of about one length: verified at windows ``stride`` apart, sought in stretches of ``reach`` words ``step`` apart."""
 
     size: int
     window: int
     stride: int
+    reach: int
+    step: int
+    least: int
     bands: int
     seeds: np.ndarray
     members: list[tuple[str, frozenset]]
@@ -101,7 +107,10 @@ class Index:
             shortest = min(map(len, members))
             size = shingle_size(shortest)
             window = longest + (longest // 4 if longest > SHINGLE else 0)
-            bands = bands_for(shortest, window, size, threshold)
+            # a stretch holds the windows at ``step`` words; longer steps need more bands for fewer stretches
+            step = 2 * (window - longest + 1) if window > longest else 1
+            reach = window + step - 1
+            bands = bands_for(shortest, reach, size, threshold)
             seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             buckets: list[dict[int, list[int]]] = [{} for _ in range(bands)]
             own = []
@@ -111,7 +120,8 @@ class Index:
                 own.append((name, frozenset(words[i : i + size] for i in range(len(words) - size + 1))))
                 for band, value in enumerate(minima(hashes(words, size), seeds)):
                     buckets[band].setdefault(int(value), []).append(number)
-            classes.append(Class(size, window, window - longest + 1, bands, seeds, own, buckets))
+            least = min(math.ceil(threshold * len(t) - 1e-9) for _, t in own)
+            classes.append(Class(size, window, 1, reach, step, least, bands, seeds, own, buckets))
         return cls(vocabulary, classes)
 
 
@@ -133,6 +143,43 @@ def minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return _mix(shingles[:, None] ^ seeds).min(axis=0)
 
 
+def verified(words: list[bytes], low: int, high: int, window: int, size: int, template: frozenset, threshold: float) -> list[tuple[int, int, float]]:
+    """(first word, end word, containment) of each run of accepted windows that start from ``low`` to ``high``.
+
+    A run counts as its fullest windows, cut to the template's shingles in them.
+    """
+    shingles = max(1, min(window, len(words)) - size + 1)
+    own = [gram if (gram := tuple(words[i : i + size])) in template else None for i in range(low, high + shingles)]
+    at = [low + i for i, gram in enumerate(own) if gram is not None]
+    counts: dict[tuple[bytes, ...], int] = {}
+    for gram in own[: shingles - 1]:
+        if gram is not None:
+            counts[gram] = counts.get(gram, 0) + 1
+    runs: list[tuple[int, list[tuple[int, int]]]] = []
+    before = None
+    for start in range(low, high + 1):
+        gram = own[start - low + shingles - 1]
+        if gram is not None:
+            counts[gram] = counts.get(gram, 0) + 1
+        if len(counts) / len(template) >= threshold:
+            a, b = bisect_left(at, start), bisect_left(at, start + shingles)
+            span = at[a], at[b - 1] + size
+            if before != start - 1:
+                runs.append((0, []))
+            most, spans = runs[-1]
+            if len(counts) > most:
+                runs[-1] = len(counts), [span]
+            elif len(counts) == most:
+                spans.append(span)
+            before = start
+        gram = own[start - low]
+        if gram is not None:
+            counts[gram] -= 1
+            if not counts[gram]:
+                del counts[gram]
+    return [(min(a for a, _ in spans), max(b for _, b in spans), most / len(template)) for most, spans in runs]
+
+
 def scan_words(words: list[bytes], index: Index, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(template, first word, end word, containment) of each verified run of windows."""
     found: dict[str, list[tuple[int, int, float]]] = {}
@@ -141,29 +188,28 @@ def scan_words(words: list[bytes], index: Index, threshold: float = THRESHOLD) -
     for c in index.classes:
         if len(words) < c.size:
             continue
-        # a window without a run of template words has no template shingle, whatever its minima
-        runs = np.flatnonzero(known[c.size :] - known[: -c.size] == c.size)
-        if not len(runs):
+        # a stretch with fewer runs of template words than accepted shingles holds no accepted window
+        runs = known[c.size :] - known[: -c.size] == c.size
+        if runs.sum() < c.least:
             continue
+        before = np.concatenate([[0], np.cumsum(runs)])
         last = max(0, len(words) - c.window)
-        # windows start at multiples of the stride, and at the last full window
-        first = np.maximum(0, -(-(runs - c.window + c.size) // c.stride))
-        count = runs // c.stride - first + 1
-        starts = np.unique(np.minimum(np.concatenate([np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), [last // c.stride + 1]]) * c.stride, last))
+        starts = np.arange(0, last + 1, c.step)
+        starts = starts[before[np.minimum(starts + c.reach - c.size + 1, len(runs))] - before[starts] >= c.least]
+        tried: dict[int, list[int]] = {}
         for start in starts.tolist():
-            own = words[start : start + c.window]
-            values = minima(hashes(own, c.size), c.seeds)
-            tried = {n for band, value in enumerate(values.tolist()) for n in c.buckets[band].get(value, ())}
-            if not tried:
-                continue
-            grams = {tuple(own[i : i + c.size]) for i in range(len(own) - c.size + 1)}
-            for n in sorted(tried):
-                name, template = c.members[n]
-                share = len(template & grams) / len(template)
-                if share >= threshold:
-                    found.setdefault(name, []).append((start, start + len(own), share))
+            values = minima(hashes(words[start : start + c.reach], c.size), c.seeds)
+            for n in {n for band, value in enumerate(values.tolist()) for n in c.buckets[band].get(value, ())}:
+                tried.setdefault(n, []).append(start)
+        for n, at in sorted(tried.items()):
+            name, template = c.members[n]
+            low = at[0]
+            for start, following in zip(at, [*at[1:], None], strict=True):
+                if following != start + c.step:
+                    found.setdefault(name, []).extend(verified(words, low, min(start + c.step - 1, last), c.window, c.size, template, threshold))
+                    low = following
     out = []
-    for name, spans in sorted(found.items()):
+    for name, spans in sorted((name, spans) for name, spans in found.items() if spans):
         spans.sort()
         low, high, best = spans[0]
         for a, b, share in spans[1:]:
@@ -183,7 +229,7 @@ def scan_documents(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple
     """(doc_id, n_words, matches) of every row: where windows contain ``threshold`` of a template's shingles.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased; shingles
-    have five, or all of a shorter template. Overlapping windows of a template are one match.
+    have five, or all of a shorter template. Overlapping matches of a template are one.
     A null or empty text has no words and no match; templates without words match
     nothing, and equal ones count under the first name; other columns are ignored.
     """
