@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,7 +14,6 @@ from tilewright.llm import registry
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 ENCODER = R.TextEncoder(PATH)
 
 
@@ -53,6 +53,34 @@ def test_any_text_as_the_library(texts):
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
+def assert_as_library(texts):
+    ids, sizes = ENCODER.encode(pa.array(texts), 1)
+    want = [x.ids + [1] for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(sizes)
+    for text, own, end, size in zip(texts, want, ends, sizes, strict=True):
+        assert ids[end - size : end].tolist() == own, text
+
+
+@pytest.mark.parametrize("form", ["a {}. b", "x{}!? {}{}", "{}x, {}"])
+def test_every_letter_with_marks_as_the_library(form):
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() or unicodedata.combining(c)]
+    assert_as_library([form.format(*[c] * form.count("{}")) for c in letters])
+
+
+def test_special_and_dotted_strings_as_the_library():
+    assert_as_library(["<|endoftext|>", "a<|endoftext|>b <|startoftext|>.", "<|ENDOFTEXT|>", "İSTANBUL BELEDİYESİ. Son", "a İ.", "İ!", "\u0958. x\u0958!", "it's I'LL 'S.", "ﬁ. ＡＢ! ẞ?", "Σ. ΑΣ, ς!"])
+
+
+def test_many_odd_strings_as_the_library():
+    rng = np.random.default_rng(8)
+    pool = list("abZÉñİıßǅσΣ中のק٣9 \n\t.,!?'-\u0307\u0301\u0958\u00a0\u3000<|>_") + ["'s", "'ll", "<|endoftext|>", " İ.", "Ⅷ", "½", "👍🏽"]
+    assert_as_library(["".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 24))) for _ in range(30_000)])
+
+
+def test_one_word_and_one_line_of_megabytes():
+    assert_as_library(["ab" * 1_000_000, "é" * 300_000 + ".", "word " * 400_000])
+
+
 def check(rows, got):
     order = sorted((d is not None, d, t or "") for d, t in rows) if all(d is not None for d, _ in rows) else sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, want = 0, []

@@ -17,8 +17,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -50,9 +52,9 @@ class Mixer:
         self.vocabulary = vocabulary
         self.one, self.two = np.zeros(vocabulary + 1, np.uint32), np.zeros(1 << _SLOTS, np.uint32)  # id and 3 bits of confidence
         self.last = np.zeros(lanes, np.uint32)
-        self.before = self.last
+        self.before, self.row = self.last, self.last.astype(np.intp)
         self.seen: list[np.ndarray] = []
-        self.tried: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tried: list[np.ndarray] = []
         self.counts = np.full(vocabulary, 1 / 16)
         self.stats = np.zeros((128, 3))
         self.stats[:] = (0.2, 0.1, 1.7)
@@ -78,8 +80,7 @@ class Mixer:
     def _weigh(self) -> None:
         """Shares of (order 2 holds, order 1 holds, neither) for each pair of confidences."""
         if self.tried:
-            tried = np.concatenate([key * 3 + choice for key, choice in self.tried])
-            self.stats += np.bincount(tried, minlength=384).reshape(128, 3)
+            self.stats += np.bincount(np.concatenate(self.tried), minlength=384).reshape(128, 3)
             self.tried.clear()
         share = self.stats / self.stats.sum(1, keepdims=True)
         ends = np.zeros((128, 4), np.uint64)
@@ -89,11 +90,13 @@ class Mixer:
         self.low, self.share = (ends[:, :3] << np.uint64(_PLAIN)).ravel(), np.diff(ends, axis=1).ravel()
 
     def predict(self) -> None:
-        self.slot = (self.before * _MIX2 + self.last * _MIX1) >> np.uint32(32 - _SLOTS)
-        self.entry2, self.entry1 = self.two[self.slot], self.one[self.last]
+        # places are of the type that numpy indexes by, as they are used several times
+        self.slot = ((self.before * _MIX2 + self.last * _MIX1) >> np.uint32(32 - _SLOTS)).astype(np.intp)
+        self.slot1 = self.row
+        self.entry2, self.entry1 = self.two[self.slot], self.one[self.slot1]
         self.guess2, self.guess1 = self.entry2 >> 3, self.entry1 >> 3
         self.level2, self.level1 = self.entry2 & 7, self.entry1 & 7
-        self.key = (self.level2 << 4) | (self.level1 << 1) | (self.guess1 == self.guess2)
+        self.key = ((self.level2 << 4) | (self.level1 << 1) | (self.guess1 == self.guess2)).astype(np.intp)
 
     def choose(self, ids: np.ndarray) -> np.ndarray:
         """Which guess each id is: 0 order 2's, 1 order 1's, 2 neither."""
@@ -102,10 +105,11 @@ class Mixer:
 
     def interval(self, choice: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's id in 2 ** (_CHOICE + _PLAIN): a guess's share whole, else the id's part of the rest."""
-        place = self.key * 3 + choice
-        share, rest = self.share[place], choice == 2
-        plain = np.where(rest, self.plain[ids], np.uint64(1 << _PLAIN))
-        return self.low[place] + share * (plain >> _U32), share * (plain & _MOST)
+        self.row, self.place = ids.astype(np.intp), self.key * 3 + choice
+        share = self.share[self.place]
+        plain = self.plain[self.row]
+        plain[choice != 2] = 1 << _PLAIN
+        return self.low[self.place] + share * (plain >> _U32), share * (plain & _MOST)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold ``value``."""
@@ -119,12 +123,12 @@ class Mixer:
         ids[rest] = self.inverse[inside]
         return ids
 
-    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray) -> None:
         fresh = ids << np.uint32(3)
         self.two[self.slot] = np.where(self.hit2, self.entry2 + (self.level2 != 7), np.where(self.level2 > 0, self.entry2 - np.uint32(1), fresh))
-        self.one[self.last] = np.where(self.hit1, self.entry1 + (self.level1 != 7), np.where(self.level1 > 0, self.entry1 - np.uint32(1), fresh))
-        self.seen.append(ids)
-        self.tried.append((self.key, choice))
+        self.one[self.slot1] = np.where(self.hit1, self.entry1 + (self.level1 != 7), np.where(self.level1 > 0, self.entry1 - np.uint32(1), fresh))
+        self.seen.append(self.row)
+        self.tried.append(self.place)
         self.before, self.last = self.last, ids
         self.step += 1
         if self.step < 16 or self.step % 8 == 0:
@@ -148,10 +152,11 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
     mixer = Mixer(vocabulary, lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    # the lanes' first digits, then their second ones: lanes keep step, so what is written lies together
     room = 2 * steps + _DIGITS + 1
     digits = np.zeros(lanes * room, np.uint32)
-    at = np.arange(lanes, dtype=np.int64) * room
-    first = at.copy()
+    first = np.arange(lanes, dtype=np.intp)
+    at = first.copy()
     for row in rows:
         mixer.predict()
         choice = mixer.choose(row)
@@ -160,29 +165,28 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         added = low + start * unit
         over = np.flatnonzero(added < low)
         if over.size:  # a carry goes into the last digit; settled at the end
-            digits[at[over] - 1] += 1
+            digits[at[over] - lanes] += 1
         low, width = added, size * unit
         short = width < _TOP
         digits[at] = low >> _U48  # where nothing is due, the next digit overwrites it
-        at += short
+        at += short * lanes
         shift = short * _U16
         low, width = low << shift, width << shift
         if (few := np.flatnonzero(width < _TOP)).size:  # an id of more than a digit's bits
             digits[at[few]] = low[few] >> _U48
-            at[few] += 1
+            at[few] += lanes
             low[few] <<= _U16
             width[few] <<= _U16
-        mixer.learn(row, choice)
+        mixer.learn(row)
     for _ in range(_DIGITS):
         digits[at] = low >> _U48
-        at += 1
+        at += lanes
         low <<= _U16
-    used = at - first
-    grid = digits.reshape(lanes, room)[:, : int(used.max())]
-    for k in range(grid.shape[1] - 1, 0, -1):
-        grid[:, k - 1] += grid[:, k] >> _DIGIT
-        grid[:, k] &= 0xFFFF
-    body = grid[np.arange(grid.shape[1]) < used[:, None]].astype("<u2").tobytes()
+    used = (at - first) // lanes
+    grid = digits.reshape(room, lanes)[: int(used.max())]
+    for k in range(len(grid) - 1, 0, -1):
+        grid[k - 1] += grid[k] >> _DIGIT
+    body = np.ascontiguousarray(grid.astype("<u2").T)[np.arange(len(grid)) < used[:, None]].tobytes()
     payload = used.astype("<u4").tobytes() + body
     head = _HEAD.pack(MAGIC, 1, vocabulary, n, lanes, steps, zlib.crc32(np.asarray(ids).astype("<u4").tobytes()), zlib.crc32(payload))
     return head + payload
@@ -197,12 +201,13 @@ def decode_block(block: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     used = np.frombuffer(payload[: 4 * lanes], "<u4").astype(np.int64)
-    digits = np.concatenate([np.frombuffer(payload[4 * lanes :], "<u2"), np.zeros(8, "<u2")]).astype(np.uint64)
-    at = np.cumsum(used) - used
-    code = np.zeros(lanes, np.uint64)
+    grid = np.zeros((lanes, int(used.max()) + 2), np.uint16)
+    grid[np.arange(grid.shape[1]) < used[:, None]] = np.frombuffer(payload[4 * lanes :], "<u2")
+    digits = grid.T.ravel()  # the lanes' first digits, then their second ones
+    code, at = np.zeros(lanes, np.uint64), np.arange(lanes, dtype=np.intp)
     for _ in range(_DIGITS):
         code = (code << _U16) | digits[at]
-        at = at + 1
+        at = at + lanes
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     mixer = Mixer(vocabulary, lanes)
     out = np.zeros((steps, lanes), np.uint32)
@@ -216,46 +221,64 @@ def decode_block(block: bytes) -> np.ndarray:
         short = width < _TOP
         shift = short * _U16
         code, width = (code << shift) | (digits[at] * short), width << shift
-        at += short
+        at += short * lanes
         if (few := np.flatnonzero(width < _TOP)).size:
             code[few] = (code[few] << _U16) | digits[at[few]]
-            at[few] += 1
+            at[few] += lanes
             width[few] <<= _U16
         out[t] = row - np.uint32(1)
-        mixer.learn(row, choice)
+        mixer.learn(row)
     ids = out.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_sum:
         raise ValueError("damaged block")
     return ids
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes are themselves, others follow 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
+
+
+@cache
+def _mixed_letters() -> str:
+    """Pattern of letters whose normal form or lower case is not letters alone: a mark after one may belong to its token."""
+    letters = (c for c in map(chr, range(0x80, 0x110000)) if c.isalpha())
+    return "[" + "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha()) + "]"
+
+
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, at its defaults but for the special tokens that it would add.
 
     The library's normaliser and pre-tokenizer act within white-space-separated
     chunks, so each distinct chunk between spaces or line feeds is encoded once.
     Chunks that are one word of letters with marks after it share that word's ids;
     such words go to the library many at a time, as each ends with the one id that
-    the vocabulary ends words with.
+    the vocabulary ends words with. Words of Latin letters are lower-cased in Arrow and
+    need the library's model alone, without its normal form and pattern.
     """
 
     #: Words, marks and other chunks that are kept between batches; beyond it the cache starts anew.
     CACHE = 1_500_000
     TOGETHER = 64
     MARKS = ".,!?"
+    #: Letters that are their own normal form and have a lower case of one letter (so not U+0130).
+    LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
-        model = json.loads(self.tokenizer.to_str())["model"]
-        suffix = model.get("end_of_word_suffix")
+        parts = json.loads(self.tokenizer.to_str())
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.letters = _byte_letters()
+        suffix = parts["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.vocabulary, bool)
         if suffix:
-            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+            self.ends[[i for token, i in parts["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -266,17 +289,22 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, texts: list[str]) -> list[list[int]]:
+        """The same for lower-case Latin words."""
+        letters = [t if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in texts]
+        return [x.ids for x in self.bare.encode_batch_fast(letters, add_special_tokens=False)]
+
     def _singly(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of units' ids, and the ids."""
         made = self._library(units)
         sizes = np.fromiter(map(len, made), np.int32, len(made))
         return sizes, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
         """The same for words, many at a time and parted by spaces: each ends with the one id that ends a word."""
         sizes, ids = [], []
         runs = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
-        for run, made in zip(runs, self._library([" ".join(run) for run in runs]), strict=True):
+        for run, made in zip(runs, encode([" ".join(run) for run in runs]), strict=True):
             made = np.array(made, np.int32)
             cuts = np.flatnonzero(self.ends[made]) + 1
             size = np.concatenate([cuts[:1], cuts[1:] - cuts[:-1]])
@@ -286,15 +314,16 @@ class TextEncoder:
             ids.append(made)
         return np.concatenate(sizes), np.concatenate(ids)
 
-    def _number(self, column: pa.Array, word_like: np.ndarray) -> np.ndarray:
-        """Numbers of distinct units; new ones are encoded and kept."""
+    def _number(self, column: pa.Array, kinds: np.ndarray) -> np.ndarray:
+        """Numbers of distinct units; new ones are encoded, each kind (2 Latin words, 1 other words, 0 others) its way, and kept."""
         found = pc.index_in(column, value_set=self.units)
         number = found.fill_null(-1).to_numpy().astype(np.int32)
-        for kind in (True, False):
-            fresh = np.flatnonzero((number < 0) & (word_like == kind))
+        for kind in (2, 1, 0):
+            fresh = np.flatnonzero((number < 0) & (kinds == kind))
             if len(fresh):
                 own = column.take(pa.array(fresh))
-                sizes, ids = (self._together if kind else self._singly)(own.to_pylist())
+                units = own.to_pylist()
+                sizes, ids = self._together(units, self._model if kind == 2 else self._library) if kind else self._singly(units)
                 sizes = sizes.astype(np.int32)
                 number[fresh] = np.arange(len(self.sizes), len(self.sizes) + len(fresh))
                 self.units = pa.concat_arrays([self.units, own])
@@ -302,17 +331,27 @@ class TextEncoder:
                 self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
         return number
 
+    def _kinds(self, words: pa.Array) -> np.ndarray:
+        """2 for words of Latin letters, 1 for other letters whose normal form is letters, else 0."""
+        if not self.ends.any():
+            return np.zeros(len(words), np.int8)
+        latin = pc.match_substring_regex(words, self.LATIN).to_numpy(zero_copy_only=False)
+        kinds = latin.astype(np.int8) * 2
+        if len(others := np.flatnonzero(~latin)):
+            own = words.take(pa.array(others))
+            kinds[others] = pc.and_not(pc.utf8_is_alpha(own), pc.match_substring_regex(own, _mixed_letters())).to_numpy(zero_copy_only=False)
+        return kinds
+
     def _chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids, one after the other, of distinct chunks: those of its word and of the marks after it, or its own."""
         word = pc.utf8_rtrim(column, characters=self.MARKS)
-        plain = pc.utf8_is_alpha(word) if self.ends.any() else pa.array(np.zeros(len(column), bool))
-        # A-Z alone: the library's own lower case of other letters depends on its normal form
-        lower = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
-        names = pc.if_else(plain, lower, column).dictionary_encode()
-        place, is_plain = names.indices.to_numpy(), plain.to_numpy(zero_copy_only=False)
-        word_like = np.zeros(len(names.dictionary), bool)
-        word_like[place[is_plain]] = True
-        cut = np.where(is_plain, pc.utf8_length(column).to_numpy() - pc.utf8_length(word).to_numpy(), 0)
+        kinds = self._kinds(word)
+        # the library's own lower case of other letters depends on its normal form
+        names = pc.if_else(pa.array(kinds > 0), pc.if_else(pa.array(kinds == 2), pc.utf8_lower(word), word), column).dictionary_encode()
+        place = names.indices.to_numpy()
+        kind = np.zeros(len(names.dictionary), np.int8)
+        kind[place] = kinds
+        cut = np.where(kinds > 0, pc.utf8_length(column).to_numpy() - pc.utf8_length(word).to_numpy(), 0)
         # one look-up for words, marks and other chunks together
         parts, rows, tails = [names.dictionary], [], []
         for n in np.unique(cut[cut > 0]).tolist():
@@ -320,7 +359,7 @@ class TextEncoder:
             own = pc.utf8_slice_codeunits(column.take(pa.array(rows[-1])), -n).dictionary_encode()
             tails.append(own.indices.to_numpy() + sum(map(len, parts)))
             parts.append(own.dictionary)
-        number = self._number(pa.concat_arrays(parts), np.concatenate([word_like, np.zeros(sum(map(len, parts[1:])), bool)]))
+        number = self._number(pa.concat_arrays(parts), np.concatenate([kind, np.zeros(sum(map(len, parts[1:])), np.int8)]))
         pairs = np.zeros((len(column), 2), np.int32)
         pairs[:, 0] = number[place]
         if rows:
@@ -355,6 +394,19 @@ def _pieces(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.n
     return many, flat[np.repeat(starts[order] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
 
 
+def _joined(batches: Iterator[pa.RecordBatch], least: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``least`` bytes, as each look-up among the kept units costs as much as there are units."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _encoders: dict[str, TextEncoder] = {}
 _FILE = "shard int, block long, first long, doc_ids array<long>, sizes array<long>, data array<binary>"
 
@@ -362,7 +414,9 @@ _FILE = "shard int, block long, first long, doc_ids array<long>, sizes array<lon
 def write_ids(docs: DataFrame, path: str, end: int = 1, shards: int | None = None) -> DataFrame:
     """Write every row's ids in ascending order of doc_id (nulls first; equal ids by text); the table of blocks.
 
-    Shards are ranges of doc_id. A row holds whole documents of BLOCK_IDS ids together, or
+    A null or empty text is ``end`` alone; repeated rows are written each time; a text of more than
+    a block's ids takes several blocks of one row; an empty table gives no row; other columns,
+    whatever their names, are ignored. Shards are ranges of doc_id. A row holds whole documents of BLOCK_IDS ids together, or
     one longer document in several blocks: its place, the ids before it in its shard, the
     documents' ids and sizes, and the blocks.
     """
@@ -384,7 +438,7 @@ def write_ids(docs: DataFrame, path: str, end: int = 1, shards: int | None = Non
 
         doc_ids: list = []
         sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        for batch in batches:
+        for batch in _joined(batches):
             more, lengths = enc.encode(batch.column("text"), end)
             doc_ids += batch.column("doc_id").to_pylist()
             sizes, ids = np.concatenate([sizes, lengths]), np.concatenate([ids, more])
@@ -404,7 +458,7 @@ def write_ids(docs: DataFrame, path: str, end: int = 1, shards: int | None = Non
 def read_ids(files: DataFrame, keep_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) from a table of blocks, a row for each document written.
 
-    The driver sees one count for each shard.
+    No blocks give no rows; a damaged block is a ValueError. The driver sees one count for each shard.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
