@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from same import assert_same
 
@@ -32,6 +33,32 @@ def test_shared_passages_equal_brute_force(spark, seed, how):
     check(rows, R.report(R.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), **how)).collect())
 
 
+def test_hashes_that_collide_remove_nothing(spark, monkeypatch):
+    """Two strings of equal keys, and of equal keys and names, as heavy windows and as segments."""
+    rows = [(1, "a" * 50), (2, "b" * 50), (3, "c" * 20 + "a" * 50 + "d" * 20), (4, "b" * 50)]
+    resolve, hashes = R._resolve, R._window_hashes
+    sent = []
+
+    def collide(names):
+        def f(data, at, base):
+            real = hashes(data, at, base)
+            return np.full(len(at), 7 << 20, np.uint64) if base == R._M[0] or names else real
+
+        return f
+
+    for names in (False, True):
+        monkeypatch.setattr(R, "_window_hashes", collide(names))
+        table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "block": [0] * 4})
+        anchors = R._name_anchors(1)(table)
+        statuses = R._find_repeated(0)(anchors)
+        contents = R._send_contents(1)(table, statuses)
+        least = resolve(contents)
+        answers = pa.concat_tables([statuses, least], promote_options="default")
+        out = R._mark(1)(table, answers).to_pylist()
+        sent.append([(r["doc_id"], sum(r["edges"][1::2]) - sum(r["edges"][::2])) for r in sorted(out, key=lambda r: r["doc_id"])])
+    assert sent == [[(1, 0), (2, 0), (3, 50), (4, 50)]] * 2
+
+
 def test_long_texts_are_worked_through_in_pieces(spark, monkeypatch):
     text = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 20000))
     data, sizes = np.frombuffer(text.encode(), np.uint8), np.array([20000])

@@ -28,7 +28,7 @@ from tilewright.llm import common
 WINDOW, GRAM = 50, 16
 #: Text of one block, in bytes: at least the first, and up to the second as the corpus grows, so that blocks and
 #: buckets do not multiply; a longer text makes a larger one. Blocks are worked through in PIECEs.
-BLOCK_BYTES, BLOCK_MOST = 8 << 20, 128 << 20
+BLOCK_BYTES, BLOCK_MOST = 8 << 20, 32 << 20
 PIECE = 1 << 20
 #: An anchor in more blocks than this is dealt by single windows, so that no bucket grows with its copies.
 HEAVY = 1024
@@ -156,18 +156,18 @@ class Block:
         windows = self.found.windows[self.first[heavy]]
         place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         record = np.repeat(heavy, windows)
-        key = np.concatenate([self.anchors[self.anchor_of[plain]], _window_keys(self.data, self.found.start[self.first[record]] + place)])
+        key = np.concatenate([self.anchors[self.anchor_of[plain]], _window_hashes(self.data, self.found.start[self.first[record]] + place, _M[0]) >> _48])
         record, place = np.concatenate([plain, record]), np.concatenate([np.full(len(plain), -1), place])
         order = np.lexsort((place, record, key % np.uint64(buckets)))
         return record[order], place[order], key[order]
 
 
-def _window_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """48-bit names of single windows."""
+def _window_hashes(data: np.ndarray, at: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Hashes of single windows; the upper 48 bits by one base are a window's key, those by another its content's name."""
     total = np.full(len(at), WINDOW, np.uint64)
     for k in range(WINDOW):
-        total = total * _M[0] + _BYTES[data[at + k]]
-    return _mix(total) >> _48
+        total = total * base + _BYTES[data[at + k]]
+    return _mix(total)
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -267,7 +267,9 @@ def _send_contents(buckets: int):
         first = block.first[record]
         start = block.found.start[first] + np.maximum(place, 0)
         windows = np.where(place < 0, block.found.windows[first], 1)
-        content = np.where(place < 0, block.found.content[first], keys)
+        content = block.found.content[first]
+        single = np.flatnonzero(place >= 0)
+        content[single] = _window_hashes(block.data, start[single], _M[4])
         bucket = keys % np.uint64(buckets)
         edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         out = []
@@ -376,6 +378,30 @@ class RunIndex:
         return out
 
 
+def _grouped(doc: np.ndarray, content: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, content and document, and where in it keys and contents begin."""
+    order = np.lexsort((doc, content, key))
+    k, c = key[order], content[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_key.copy()
+    new[1:] |= c[1:] != c[:-1]
+    return order, new_key, new
+
+
+def _unlike(data: np.ndarray, start: np.ndarray, windows: np.ndarray, order: np.ndarray, new: np.ndarray, many: int = 1 << 14) -> np.ndarray:
+    """Contents whose bytes are not those of the one before them that has the same key and name."""
+    same = np.flatnonzero(~new)
+    one, other = order[same], order[same - 1]
+    out = [one[windows[one] != windows[other]]]
+    for low in range(0, len(one), many):
+        a, b = one[low : low + many], other[low : low + many]
+        size = np.minimum(windows[a], windows[b]) + WINDOW - 1
+        differ = _gathered(data, start[a], size) != _gathered(data, start[b], size)
+        if differ.any():
+            out.append(a[np.unique(np.repeat(np.arange(len(a)), size)[differ])])
+    return np.concatenate(out)
+
+
 def _resolve(rows: pa.Table) -> pa.Table:
     """Each block's records with runs of windows and the least document that holds each."""
     lists = {c: rows.column(c).to_pylist() for c in rows.column_names}
@@ -388,11 +414,14 @@ def _resolve(rows: pa.Table) -> pa.Table:
     windows = np.concatenate(counts)
     data = np.frombuffer(b"".join(_unsqueeze(x, int(c.sum()) + len(c) * (WINDOW - 1)) for x, c in zip(lists["bytes"], counts, strict=True)), np.uint8)
     start = np.cumsum(windows + WINDOW - 1) - windows - (WINDOW - 1)
-    order = np.lexsort((doc, content, key))
-    k, c = key[order], content[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new = new_key.copy()
-    new[1:] |= c[1:] != c[:-1]
+    order, new_key, new = _grouped(doc, content, key)
+    other = _unlike(data, start, windows, order, new)
+    if len(other):  # a name that two contents share: by their bytes
+        alike = np.isin(key, key[other])
+        names: dict[bytes, int] = {}
+        content = content.copy()
+        content[alike] = [names.setdefault(data[a : a + n].tobytes(), len(names)) for a, n in zip(start[alike].tolist(), (windows[alike] + WINDOW - 1).tolist(), strict=True)]
+        order, new_key, new = _grouped(doc, content, key)
     group = np.cumsum(new) - 1
     heads = order[np.flatnonzero(new)]
     least = doc[heads]
@@ -480,7 +509,8 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
 
     edges holds starts and ends, in bytes of UTF-8, of the maximal runs that WINDOW-byte
     strings cover which also start in a document of a smaller id; kept_sha256 is of the
-    bytes left. A null or empty text has no bytes; a null id is greater than all
+    bytes left. A null or empty text has no bytes, an empty table gives no rows, and a
+    text longer than a block makes a block of its own; a null id is greater than all
     others; rows of equal ids take nothing from one another; other columns are ignored.
     """
     spark = docs.sparkSession
