@@ -91,6 +91,62 @@ def test_training_does_not_lose_likelihood():
     assert logs[-1] > 5000 * log10(1 / 4)
 
 
+def test_scores_do_not_depend_on_the_number_of_buckets(spark, docs, rows, monkeypatch):
+    width, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in tokens(t))
+    want = [(b"" if w is None else w.encode(), c) for w, c in counts.items()]
+    want = sorted(want, key=lambda x: (-x[1], x[0]))[:300]
+    try:
+        for n in (4, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            blocks = H.token_blocks(docs, 7, 2, n)
+            assert H.frequent_words(blocks, H.word_totals(blocks, 300, 64, n), 300) == want
+            made.append({r["doc_id"]: r["score"] for r in H.score_documents(docs, rounds=1, most=300, groups=64).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    for other in made[1:]:
+        assert other == pytest.approx(made[0], abs=1e-6)
+
+
+def test_counts_in_a_tree_are_the_counts(spark, docs, monkeypatch):
+    one = H.score_documents(docs.repartition(9), rounds=1, most=300, groups=64, block_bytes=10_000)
+    want = {r["doc_id"]: r["score"] for r in one.collect()}
+    monkeypatch.setattr(H, "TREE", 2)
+    got = {r["doc_id"]: r["score"] for r in H.score_documents(docs.repartition(9), rounds=1, most=300, groups=64, block_bytes=10_000).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_query_score_is_the_recursion_over_words(spark, docs, rows):
+    """The model's own numbers, applied to plain words one by one."""
+    blocks = H.token_blocks(docs, 7, 2, 4)
+    totals = H.word_totals(blocks, 300, 64, 4)
+    lexicon = H.Lexicon.of(blocks, totals, 300, 64)
+    symbols = H.symbol_blocks(blocks, totals, lexicon)
+    model = H.train(symbols, lexicon, rounds=1)
+    got = {r["doc_id"]: r["score"] for r in H.score(symbols, lexicon, model).collect()}
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in tokens(t))
+    names = {(b"" if w is None else w.encode()): c for w, c in counts.items()}
+    frequent = sorted(names, key=lambda w: (-names[w], w))[:300]
+    place, group = {w: i for i, w in enumerate(frequent)}, Counter()
+    for w, c in names.items():
+        if w not in place:
+            group[zlib.crc32(w[-3:]) % 64] += c
+    for d, t in rows[:40]:
+        state, total = model.start, 0.0
+        for i, w in enumerate(b"" if w is None else w.encode() for w in tokens(t)):
+            if w in place:
+                emit = model.emit[place[w]]
+            elif w in names:
+                g = zlib.crc32(w[-3:]) % 64
+                emit = model.emit[300 + g] * names[w] / group[g]
+            else:
+                emit = model.emit[-1] / (len(names) + 1)
+            state = (state if i == 0 else state @ model.step) * emit
+            total += log10(state.sum())
+            state = state / state.sum()
+        assert got[d] == pytest.approx(total, abs=1e-6)
+
+
 def test_query_beats_the_base_on_held_out_texts(spark, sf_dir, rows):
     got = registry.QUERIES["op4_hidden_markov_scores"](spark, sf_dir).collect()
     want = {int(w[0]): w for w in base(rows)}

@@ -28,8 +28,10 @@ STATES, ROUNDS = 12, 6
 MOST, GROUPS = 16384, 2048
 #: Text of one block, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Tokens of the pieces that Baum-Welch trains on, and pieces handled at once.
-PIECE, LANES = 64, 4096
+#: Tokens of the pieces that Baum-Welch trains on; texts up to that are trained on whole.
+PIECE = 4096
+#: Texts scored at once, tokens trained on at once, and partitions' counts summed at once.
+LANES, TOKENS, TREE = 4096, 1 << 18, 64
 _SINGLE = 1 << 15
 _RANGES = 16
 
@@ -89,43 +91,81 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, buckets: int, bl
     return docs.select(F.col("doc_id").cast("long"), (common.crc_mod("doc_id", modulus) == remainder).alias("held"), common.text_of()).mapInArrow(run, _BLOCK)
 
 
-_TOTALS = "block_id long, at binary, counts binary, n long, v long, groups binary, top array<struct<word: binary, c: long>>"
+_TOTALS = "block_id long, at binary, counts binary, bucket int, n long, v long, groups binary, top array<struct<word: binary, c: long>>, rest long"
+_TOP = pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))
+
+
+def _counted(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of one bucket's lists of words: place of each word among the distinct ones, those, their total counts, and the lists' sizes."""
+    lists = rows.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    code = lists.flatten().dictionary_encode()
+    index = code.indices.to_numpy()
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()])
+    return index, code.dictionary, np.bincount(index, counts, minlength=len(code.dictionary)).astype(np.int64), np.diff(lists.offsets.to_numpy())
+
+
+def _bucket_words(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.explode("words").alias("w")).select("w.bucket", "w.words", "w.counts")
 
 
 def word_totals(blocks: DataFrame, most: int, groups: int, buckets: int) -> DataFrame:
     """For each bucket: every block's words with their totals over all blocks, and a row of the bucket's sums (block_id null)."""
+    # a bucket's fair part twice over; what is left out is known by its greatest count (see frequent_words)
     share = -(-2 * most // buckets)
 
     def count(rows: pa.Table) -> pa.Table:
-        lists = rows.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = np.diff(lists.offsets.to_numpy())
-        code = lists.flatten().dictionary_encode()
-        index, words = code.indices.to_numpy(), code.dictionary
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()])
-        total = np.bincount(index, counts, minlength=len(words)).astype(np.int64)
+        index, words, total, sizes = _counted(rows)
         mine = np.split(total[index], np.cumsum(sizes)[:-1])
         seen = np.flatnonzero(total)
         own = words.take(pa.array(seen)).to_pylist()
         by_group = np.bincount(np.array([group_of(w, groups) for w in own], np.int64), total[seen], minlength=groups).astype(np.int64)
         # the order of equal counts must not depend on the order of the blocks
-        top = sorted(zip((-total[seen]).tolist(), own, strict=True))[:share]
+        ranked = sorted(zip((-total[seen]).tolist(), own, strict=True))
+        top, rest = ranked[:share], -ranked[share][0] if len(ranked) > share else 0
         n = len(mine)
         columns = [
             pa.array([*rows.column("block_id").to_pylist(), None], pa.int64()),
             pa.array([*rows.column("at").to_pylist(), None], pa.binary()),
             pa.array([*(x.tobytes() for x in mine), None], pa.binary()),
+            pa.array([None] * n + [rows.column("bucket")[0].as_py()], pa.int32()),
             pa.array([None] * n + [int(total.sum())], pa.int64()),
             pa.array([None] * n + [len(seen)], pa.int64()),
             pa.array([None] * n + [by_group.tobytes()], pa.binary()),
-            pa.array([None] * n + [[{"word": w, "c": -c} for c, w in top]], pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))),
+            pa.array([None] * n + [[{"word": w, "c": -c} for c, w in top]], _TOP),
+            pa.array([None] * n + [rest], pa.int64()),
         ]
-        return pa.Table.from_arrays(columns, names=["block_id", "at", "counts", "n", "v", "groups", "top"])
+        return pa.Table.from_arrays(columns, names=[c.split(" ")[0] for c in _TOTALS.split(", ")][:7] + ["top", "rest"])
 
     rows = blocks.select("block_id", F.explode("words").alias("w")).select("block_id", "w.bucket", "w.at", "w.words", "w.counts")
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, _TOTALS)
 
 
+def frequent_words(blocks: DataFrame, totals: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words of the greatest counts of all (ties: the least word), however words fall into buckets.
+
+    Buckets hand on their own most frequent words. A bucket whose first word left out
+    could be among the ``most`` is counted again for all its words of such counts.
+    """
+    own = totals.filter("block_id is null")
+    if not most:
+        return []
+    top = [(bytes(r["word"]), r["c"]) for r in own.select(F.explode("top").alias("t")).select("t.word", "t.c").orderBy(F.desc("c"), "word").limit(most).collect()]
+    least = top[-1][1] if len(top) == most else 1
+    short = [r["bucket"] for r in own.filter(F.col("rest") >= least).select("bucket").collect()]
+    if not short:
+        return top
+
+    def again(rows: pa.Table) -> pa.Table:
+        _, words, total, _ = _counted(rows)
+        seen = np.flatnonzero(total >= least)
+        return pa.table({"word": words.take(pa.array(seen)), "c": pa.array(total[seen])})
+
+    more = _bucket_words(blocks).filter(F.col("bucket").isin(short)).groupBy("bucket").applyInArrow(again, "word binary, c long")
+    known = own.filter(~F.col("bucket").isin(short)).select(F.explode("top").alias("t")).select("t.word", "t.c")
+    return [(bytes(r["word"]), r["c"]) for r in known.unionByName(more).orderBy(F.desc("c"), "word").limit(most).collect()]
+
+
 def group_of(word: bytes, groups: int) -> int:
     return zlib.crc32(word[-3:]) % groups
 
@@ -145,11 +185,11 @@ class Lexicon:
         return len(self.frequent) + len(self.group_counts) + 1
 
     @classmethod
-    def of(cls, totals: DataFrame, most: int, groups: int) -> Lexicon:
+    def of(cls, blocks: DataFrame, totals: DataFrame, most: int, groups: int) -> Lexicon:
         sums = totals.filter("block_id is null").select("n", "v", "groups").collect()
-        top = totals.filter("block_id is null").select(F.explode("top").alias("t")).select("t.word", "t.c").orderBy(F.desc("c"), "word").limit(most).collect()
-        words = [bytes(r["word"]) for r in top]
-        counts = np.array([r["c"] for r in top], np.int64)
+        top = frequent_words(blocks, totals, most)
+        words = [w for w, _ in top]
+        counts = np.array([c for _, c in top], np.int64)
         group_counts = np.zeros(groups, np.int64)
         for r in sums:
             group_counts += np.frombuffer(bytes(r["groups"]), np.int64)
@@ -236,17 +276,20 @@ class Counts:
         k = len(model.start)
         return cls(np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros(model.emit.shape), 0.0)
 
-    def add(self, model: Model, symbols: np.ndarray, sizes: np.ndarray, piece: int = PIECE, lanes: int = LANES) -> None:
-        """Baum-Welch counts of whole texts, in pieces of ``piece`` tokens."""
+    def add(self, model: Model, symbols: np.ndarray, sizes: np.ndarray, piece: int = PIECE, tokens: int = TOKENS) -> None:
+        """Baum-Welch counts of whole texts, in pieces of ``piece`` tokens, of which as many go side by side as have ``tokens``."""
         many = -(-sizes // piece)
         text = np.repeat(np.arange(len(sizes)), many)
         part = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         begin = (np.cumsum(sizes) - sizes)[text] + part * piece
         length = np.minimum(piece, sizes[text] - part * piece)
         order = np.argsort(-length, kind="stable")
-        for low in range(0, len(order), lanes):
-            own = order[low : low + lanes]
+        low, ends = 0, np.cumsum(length[order])
+        while low < len(order):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + tokens, side="right")))
+            own = order[low:high]
             self._lanes(model, symbols, begin[own], length[own], part[own] == 0)
+            low = high
 
     def _lanes(self, model: Model, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> None:
         steps, k = int(length[0]), len(model.start)
@@ -331,6 +374,11 @@ def train(symbols: DataFrame, lexicon: Lexicon, states: int = STATES, rounds: in
             return pa.table({"part": rows.column("part").slice(0, 1), "values": pa.array([values.tobytes()], pa.binary())})
 
         made = symbols.select("held", "sizes", "symbols").mapInArrow(expect, "part int, values binary")
+        # summed in a tree, so that no group holds more than some TREE counts of a fixed size
+        left = symbols.rdd.getNumPartitions()
+        while left > TREE:
+            left = -(-left // TREE)
+            made = made.withColumn("slice", F.spark_partition_id() % left).groupBy("part", "slice").applyInArrow(total, "part int, values binary")
         summed = made.groupBy("part").applyInArrow(total, "part int, values binary").collect()
         if not summed:
             break
@@ -390,7 +438,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, state
     buckets = common.shuffle_width(docs.sparkSession)
     blocks = common.written(token_blocks(docs, modulus, remainder, buckets, block_bytes), "hmm-blocks")
     totals = common.written(word_totals(blocks, most, groups, buckets), "hmm-totals")
-    lexicon = Lexicon.of(totals, most, groups)
+    lexicon = Lexicon.of(blocks, totals, most, groups)
     symbols = common.written(symbol_blocks(blocks, totals, lexicon), "hmm-symbols")
     common.discard(blocks, totals)
     model = train(symbols, lexicon, states, rounds) if lexicon.n else Model.fresh(lexicon, states)
