@@ -16,7 +16,7 @@ def plain(spark, sf_dir):
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     rows = [(d, t) for d, t in rows if model.score(*quality.passages([t.encode()]))[0] >= quality.THRESHOLD]
-    cut = line_brute(rows, 2)
+    cut = line_brute(rows)
     rows = [(d, cut[d, t][0]) for d, t in rows if cut[d, t][1] < len(t.split("\n"))]
     kept = {c for _, c, _, _ in near_brute(rows)}
     rows = [(d, t) for d, t in rows if str(d) in kept]
