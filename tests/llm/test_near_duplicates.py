@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from same import assert_same
 
 from tilewright.llm import near_duplicates as N
@@ -63,6 +64,64 @@ def test_large_group_in_blocks_loses_no_link(spark, monkeypatch):
     assert sorted(kept) == sorted({int(c) for _, c, _, _ in brute(rows)})
 
 
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_a_chain_is_compared_bucket_by_bucket(spark, monkeypatch, dense):
+    """Neighbours share half of their shingles or more, so candidates chain; a dense group hangs at its end."""
+    rng = np.random.default_rng(6)
+    words = [f"c{x}" for x in rng.integers(0, 10**6, 40 * 400 + 400)]
+    chain = [" ".join(words[i * 40 : i * 40 + 240]) for i in range(300)]
+    rows = list(enumerate([*chain, *variants(7, 30), chain[5] + " one more"]))
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "DENSE", dense)
+    dealt = []
+    units = N._units
+
+    def seen(buckets):
+        dealt.append(units(buckets))
+        return dealt[0]
+
+    monkeypatch.setattr(N, "_units", seen)
+    compared = []
+    monkeypatch.setattr(N.common, "discard", lambda *t: compared.extend(x for x in t if dealt and x is dealt[0]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(N.near_duplicates(df)) == brute(rows)
+    pairs = sum(n * n for n in (r["count"] for r in compared[0].groupBy("unit", "tree").count().collect()))
+    assert pairs < 300 * 300 / 4
+    assert compared[0].filter("tree >= 0").count() > 0
+
+
+def test_prefixes_shorten_to_what_is_found(spark):
+    """Signatures of near copies at 0.97 or more leave the prefixes long; a pair near the threshold shortens them."""
+    close = [(i, t) for i, t in enumerate(t for s in range(8) for t in variants(20 + s, 2, 400, 1))]
+    far = [(100 + i, t) for i, t in enumerate(variants(40, 6, 400, 8))]
+    for rows, depth in ((close, N.DEPTH), (close + far, N.prefix_depth())):
+        sets_ = N._sets(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("doc_id").alias("id"), "minima")
+        members = N._members(sets_, N.prefix_depth())
+        assert N.prefix_depth(N.least_likeness(members, sets_, N.THRESHOLD)) == depth
+
+
+def test_members_are_those_of_shared_prefixes(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sets_ = N._sets(docs.select("doc_id", N.common.text_of())).filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "minima")
+        rows = sets_.collect()
+        got = {(r["tree"], bytes(r["key"]), r["id"]): r["near"] for r in N._members(sets_, 4).collect()}
+    finally:
+        N.common.prepare(spark)
+    keys = sorted((t, bytes(r["minima"])[24 * t : 24 * t + 24], r["id"]) for r in rows for t in range(N.TREES))
+    want = {}
+    for i, (t, k, d) in enumerate(keys):
+        same = lambda j, t=t, k=k: 0 <= j < len(keys) and keys[j][0] == t and keys[j][1][:16] == k[:16]
+        if same(i - 1) or same(i + 1):
+            want[t, k, d] = keys[i - 1][2] if same(i - 1) else None
+    assert got == want
+
+
+def test_keep_one_keeps_columns_of_inner_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, "a b c", 7, 8, 9)], "doc_id long, text string, __key long, __id long, __other long")
+    assert [tuple(r) for r in N.keep_one(docs).collect()] == [(1, "a b c", 7, 8, 9)]
+
+
 def test_null_ids_are_linked_too(spark):
     rows = [(None, t) for t in variants(4, 4)] + [(3, variants(4, 5)[4]), (None, "on its own")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -86,29 +86,19 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def ranked(keys: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Distinct ``keys`` with their place (from 1) in the order of ``columns``.
-
-    Sorted ranges are numbered where they lie; the driver only sees a count a range.
-    """
-    fields = ", ".join(f"{c} {dict(keys.dtypes)[c]}" for c in columns)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size) + 1)], names=[*columns, "part", "place"])
-            n += size
-
-    width = shuffle_width(keys.sparkSession)
-    numbered = written(keys.select(*columns).repartitionByRange(width, *columns).sortWithinPartitions(*columns).mapInArrow(number, f"{fields}, part int, place long"), label)
-    sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.max("place").alias("n")).collect())
-    before, rows = 0, []
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    offsets = keys.sparkSession.createDataFrame(rows, "part int, before long")
-    return numbered.join(F.broadcast(offsets), "part").select(*columns, (F.col("place") + F.col("before")).alias("rank"))
+def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct ``keys`` with numbers that rise in the order of ``columns``: sorted ranges, numbered where they lie."""
+    return keys.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("rank", F.monotonically_increasing_id())
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no caller's column has."""
+    out = []
+    for name in names:
+        while (name := f"__{name}") in taken:
+            pass
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -57,8 +57,7 @@ def _ranked(rows: DataFrame, key: list[str], label: str) -> DataFrame:
     """Rows whose key occurs more than once, with its rank, the first place of its interval and whether that is another."""
     # partial counts before the shuffle, so a line that is everywhere is one row a task
     keys = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(_place()).alias("head")).filter("n > 1").drop("n")
-    # in sorted ranges, numbers that rise are ranks
-    ranks = keys.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
+    ranks = common.ranked(keys, [*key, "head"])
     return common.written(rows.join(ranks, key).drop(*key).withColumn("later", _place() != F.col("head")), label)
 
 

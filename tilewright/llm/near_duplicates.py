@@ -1,11 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Documents of equal shingle sets are one node. Each tree of the forest is a prefix
-trie of MinHash values, held as sorted keys. Matched prefixes are shortened from
-DEPTH values until pairs at the threshold meet in some tree with the target
-recall; nodes below one prefix are candidates. Candidates that hang together are
-verified in blocks: all pairs of a block are compared exactly where its texts are,
-and only each node's link count and a spanning set of links leave it.
+trie of MinHash values, held as sorted keys. Neighbours in the tries' orders tell how
+unlike linked nodes get; from DEPTH values, matched prefixes are shortened until a pair
+as unlike as those meets in some tree with the target recall. Nodes below one prefix are
+a bucket. Buckets that hang together are verified as a whole where that compares few more
+pairs than the buckets hold, else each for itself, a pair in its first common tree. All pairs
+of a block are compared exactly where its texts are, and only each node's link count
+and a spanning set of links leave it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from tilewright.llm import common
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.999
 #: Nodes of one block of a candidate group.
-BLOCK = 512
+BLOCK = 256
+#: A group of buckets is compared as a whole if it has no more pairs than this many times its buckets' own.
+DENSE = 2.0
+#: Likeness that neighbours' signatures may fall short of the threshold by and still tell of a pair at it.
+MARGIN = 0.1
 #: Candidates are broadcast up to this many bytes of ids, and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
 
@@ -104,27 +110,85 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node binary, n_shingles long, minima binary")
 
 
-def _candidates(nodes: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) from the first node below each trie prefix to the others there."""
+def _members(nodes: DataFrame, depth: int) -> DataFrame:
+    """(tree, key, id, near) of nodes that share a prefix of ``depth`` values with another: ``near`` is the one before in the trie's order.
+
+    The first below a prefix has none.
+    """
     keys = nodes.select("id", F.posexplode(F.array(*[F.substring("minima", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
     width = common.shuffle_width(nodes.sparkSession)
     # a prefix's keys lie together, in the order of the trie
-    tries = keys.repartition(width, "tree", F.substring("key", 1, 4 * depth)).sortWithinPartitions("tree", "key", "id")
+    tries = keys.repartition(width, "tree", F.substring("key", 1, 4 * depth)).sortWithinPartitions("tree", "key", "id").select("tree", "key", "id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, first = None, None
+        held, met = None, False  # the last row, and whether it has the prefix of the one before
+
+        def rows(own: pa.RecordBatch, more: bool) -> pa.RecordBatch:
+            """Rows that share a prefix with a neighbour, but for the last if more follow."""
+            nonlocal held, met
+            ids = own.column("id").to_numpy()
+            heads = np.column_stack([np.frombuffer(b"".join(own.column("key").to_pylist()), np.uint8).reshape(-1, 4 * DEPTH)[:, : 4 * depth], own.column("tree").to_numpy().astype(np.uint8)])
+            same = np.concatenate([[met], (heads[1:] == heads[:-1]).all(axis=1)])
+            near = np.concatenate([[before], ids[:-1]])
+            kept = same | np.concatenate([same[1:], [False]])
+            if more:
+                kept[-1], held, met = False, own.slice(len(ids) - 1), bool(same[-1])
+            at = np.flatnonzero(kept)
+            out = own.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*out.columns, pa.array(near[at], mask=~same[at])], names=["tree", "key", "id", "near"])
+
+        before = -1
         for batch in batches:
-            a, b = [], []
-            for id_, tree, key in zip(*(batch.column(c).to_pylist() for c in ("id", "tree", "key")), strict=True):
-                here = (tree, key[: 4 * depth])
-                if here == head:
-                    a.append(first)
-                    b.append(id_)
-                else:
-                    head, first = here, id_
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            joined = batch if held is None else pa.concat_batches([held, batch])
+            out = rows(joined, True)
+            if joined.num_rows > 1:
+                before = joined.column("id")[-2].as_py()
+            yield out
+        if held is not None:
+            yield rows(held, False)
+
+    return common.written(tries.mapInArrow(walk, "tree int, key binary, id long, near long"), "near-members")
+
 
-    return tries.mapInArrow(walk, "a long, b long")
+def least_likeness(members: DataFrame, nodes: DataFrame, threshold: float) -> float:
+    """The least likeness, by signatures, of neighbours in some trie that may be linked; 1 if there are none."""
+    pairs = members.filter("near is not null").select("near", "id").distinct()
+    pairs = pairs.join(nodes.select(F.col("id").alias("near"), F.col("minima").alias("one")), "near").join(nodes.select("id", F.col("minima").alias("other")), "id")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH) for c in ("one", "other"))
+            likeness = (one == other).mean(axis=1)
+            likeness = likeness[likeness >= threshold - MARGIN]
+            yield pa.RecordBatch.from_arrays([pa.array([likeness.min()] if len(likeness) else [], pa.float64())], names=["likeness"])
+
+    found = pairs.select("one", "other").mapInArrow(agree, "likeness double").agg(F.min("likeness")).first()[0]
+    return 1.0 if found is None else max(threshold, found)
+
+
+def _buckets(members: DataFrame, depth: int) -> DataFrame:
+    """(tree, first, id, n): each bucket's nodes, named by the least, and how many they are."""
+    prefixed = members.select("tree", F.substring("key", 1, 4 * depth).alias("prefix"), "id")
+    own = prefixed.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return common.written(prefixed.join(own, ["tree", "prefix"]).select("tree", "first", "id", "n"), "near-buckets")
+
+
+def _units(buckets: DataFrame) -> DataFrame:
+    """(unit, tree, id, n): groups of nodes to be compared; tree is -1 for what hangs together as a whole."""
+    edges = buckets.filter("first != id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    groups = common.written(common.components(edges, "near-candidates"), "near-groups")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    # a bucket of n nodes has n rows of n
+    own = buckets.join(groups, "id").groupBy("component").agg(F.sum(F.col("n").cast("double")).alias("pairs"))
+    sizes = common.written(sizes.join(own, "component").withColumn("whole", (F.col("size") <= BLOCK) | (F.col("size").cast("double") * F.col("size") <= F.lit(DENSE) * F.col("pairs"))), "near-sizes")
+    placed = groups.join(sizes, "component")
+    whole = placed.filter("whole").select(F.col("component").alias("unit"), F.lit(-1).alias("tree"), "id", F.col("size").alias("n"))
+    parts = buckets.join(placed.filter("not whole").select("id"), "id").select(F.col("first").alias("unit"), "tree", "id", "n")
+    units = common.written(whole.unionByName(parts), "near-units")
+    common.discard(groups, sizes)
+    return units
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -159,17 +223,27 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 _LINKS = "id long, links long, root long"
 
 
-def _verify(threshold: float):
+def met_before(minima: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """Which pairs share a prefix in a tree before ``tree``."""
+    out = np.zeros((len(minima), len(minima)), bool)
+    prefixes = minima.reshape(len(minima), TREES, DEPTH)[:, :, :depth]
+    for t in range(tree):
+        own = np.unique(prefixes[:, t], axis=0, return_inverse=True)[1].ravel()
+        out |= own[:, None] == own
+    return out
+
+
+def _verify(threshold: float, depth: int):
     def verify(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        one, other = key[1].as_py(), key[2].as_py()
+        _, tree, one, other = (k.as_py() for k in key)
         shingle, seen, texts = Shingler(), set(), []
-        for id_, block, copies, node, text in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "copies", "node", "text")), strict=True):
+        for id_, block, copies, node, minima, text in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "copies", "node", "minima", "text")), strict=True):
             if id_ in seen:
                 continue
             s = shingle(text)
             if set_name(s) == node:  # of equal ids, another text
                 seen.add(id_)
-                texts.append((id_, block, copies, s))
+                texts.append((id_, block, copies, s, minima))
         texts.sort(key=lambda x: x[0])
         ids = np.array([t[0] for t in texts], np.int64)
         block = np.array([t[1] for t in texts], np.int64)
@@ -180,6 +254,8 @@ def _verify(threshold: float):
         np.fill_diagonal(linked, False)
         if one != other:
             linked &= block[:, None] != block
+        if tree > 0:
+            linked &= ~met_before(np.frombuffer(b"".join(t[4] for t in texts), ">u4").reshape(len(texts), -1), tree, depth)
         links = linked @ copies
         # the least node each hangs together with here
         root = np.arange(len(ids))
@@ -203,7 +279,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     the other rows that a row is linked to, n_copies those of an equal shingle set.
     Texts without words (null, empty, white space) have equal, empty sets and are
     copies of each other alone. Repeated rows and ids are rows of their own; a
-    class of null ids alone has a null name; other columns are ignored.
+    class of null ids alone has a null name; an empty table gives no rows; texts
+    are taken whole at any length; other columns are ignored.
     """
     return _classified(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -217,32 +294,38 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     gone = common.written(found.join(first, "component").filter(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))).select("doc_id", "text_key").distinct(), "near-gone")
     repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
-    keyed = docs.withColumn("__key", F.xxhash64(common.text_of()))
+    key, id_, other = common.unused(docs.columns, "key", "id", "other")
+    keyed = docs.withColumn(key, F.xxhash64(common.text_of()))
     few = gone.count() * 40 <= BROADCAST_BYTES
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone"))
-    left = keyed.join(F.broadcast(gone) if few else gone, (F.col("__gone") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left_anti")
-    return (left.dropDuplicates(["doc_id", "__key"]) if repeated else left).drop("__key")
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(other))
+    left = keyed.join(F.broadcast(gone) if few else gone, (F.col(other) == F.col(key)) & F.col(id_).eqNullSafe(F.col("doc_id")), "left_anti")
+    return (left.dropDuplicates(["doc_id", key]) if repeated else left).drop(key)
 
 
 def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(doc_id, text_key, component, class_id, n_links, n_copies) of every row."""
-    depth = prefix_depth(threshold, recall=recall)
     source = docs.select("doc_id", common.text_of())
     sets = common.written(_sets(source), "near-sets")
     names = sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    numbered = common.ranked(names, ["node"], "near-nodes").withColumnRenamed("rank", "id")
+    numbered = common.ranked(names, ["node"]).withColumnRenamed("rank", "id")
     nodes = common.written(names.join(numbered, "node"), "near-nodes")
     # one row a node: its least id's, as any row of the node has the same minima
     first = sets.filter("n_shingles > 0").join(nodes.select("node", "least", "id"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "minima").dropDuplicates(["id"])
-    groups = common.written(common.components(_candidates(first, depth), "near-candidates"), "near-groups")
-
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    picked = common.written(groups.join(blocks, "component").join(nodes, "id").select("id", "component", "blocks", "copies", "node", F.col("least").alias("__id")), "near-picked")
-    few = picked.count() * 100 <= BROADCAST_BYTES
+    first = common.written(first, "near-minima")
+    members = _members(first, prefix_depth(threshold, recall=recall))
+    depth = prefix_depth(least_likeness(members, first, threshold), recall=recall)
+    buckets = _buckets(members, depth)
+    units = _units(buckets)
+
+    known = nodes.join(first, "id").select("id", "copies", "node", "minima", F.col("least").alias("__id"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    picked = common.written(units.select("unit", "tree", "id", blocks).join(known, "id"), "near-picked")
+    few = picked.count() * 500 <= BROADCAST_BYTES
     texts = source.join(F.broadcast(picked) if few else picked, F.col("__id").eqNullSafe(F.col("doc_id")))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "text")
-    verified = common.written(dealt.groupBy("component", "one", "other").applyInArrow(_verify(threshold), _LINKS), "near-links")
+    dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "tree", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "minima", "text")
+    verified = common.written(dealt.groupBy("unit", "tree", "one", "other").applyInArrow(_verify(threshold, depth), _LINKS), "near-links")
+    common.discard(first, members, buckets, units, picked)
 
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     joined = common.components(verified.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")), "near-classes")
