@@ -29,7 +29,7 @@ MOST, GROUPS = 16384, 2048
 #: Text of one block, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Tokens of the pieces that Baum-Welch trains on; texts up to that are trained on whole.
-PIECE = 4096
+PIECE = 1024
 #: Texts scored at once, tokens trained on at once, and partitions' counts summed at once.
 LANES, TOKENS, TREE = 4096, 1 << 18, 64
 _SINGLE = 1 << 15
