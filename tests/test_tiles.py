@@ -52,7 +52,7 @@ def test_nms_equals_greedy_and_keeps_what_it_kept(spark, threshold):
     rows, df = boxes(spark)
     kept = detect.nms(df, threshold)
     assert {r["instance_id"] for r in kept.collect()} == greedy(rows, threshold)
-    assert {r["instance_id"] for r in detect.nms_by_groups(df, threshold).collect()} == greedy(rows, threshold)
+    assert {r["instance_id"] for r in detect.nms_by_rounds(df, threshold).collect()} == greedy(rows, threshold)
     assert detect.nms(kept, threshold).count() == kept.count()
 
 

@@ -69,9 +69,9 @@ def tile_progress(done: DataFrame, keys: tuple[str, ...], total: Column) -> Data
 
 
 def pyramid_levels(pixels: DataFrame, levels: int = 4, slide: str = "slide", channels: tuple[str, ...] = ("v",)) -> DataFrame:
-    """(slide, level, y, x, channels): each level the mean of 2 x 2 pixels of the one below, levels made from level 0 by weight.
+    """(slide, level, y, x, channels): each level the mean of 2 x 2 pixels of the one below, or of those that there are at an odd edge.
 
-    Sums and counts go up level by level, so each level aggregates a quarter of the rows of the last.
+    Each level aggregates a quarter of the rows of the last.
     """
     current = pixels.select(slide, "y", "x", *[F.col(c).cast("double").alias(c) for c in channels])
     out = current.select(slide, F.lit(0).alias("level"), "y", "x", *channels)

@@ -62,7 +62,7 @@ def nms(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide:
     """Greedy suppression in each slide: by falling score (ties: key), keep a box that overlaps no kept one above ``threshold``.
 
     A fold over each slide's ordered boxes; the overlap of two boxes without area suppresses.
-    For slides of many thousand boxes see nms_by_groups.
+    For slides of many thousand boxes see nms_by_rounds.
     """
     box = F.struct((-F.col("score")).alias("order"), F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in _BOX])
     ordered = F.array_sort(F.collect_list(box))
@@ -76,26 +76,37 @@ def nms(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide:
     return grouped.select(slide, F.explode(kept).alias("k")).select(slide, F.col("k.id").alias(key), (-F.col("k.order")).alias("score"), *[F.col(f"k.{c}") for c in _BOX])
 
 
-def nms_by_groups(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide: str = "wsi_name", key: str = "instance_id", cell: int = 128) -> DataFrame:
-    """The same result, folding only boxes that hang together through cells, so that no fold spans a crowded slide.
+def _settled(df: DataFrame) -> DataFrame:
+    """Computed once: in the checkpoint folder if there is one, so that it survives its executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
-    Boxes in different groups never overlap, so suppression does not cross them.
+
+def nms_by_rounds(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide: str = "wsi_name", key: str = "instance_id", cell: int = 128) -> DataFrame:
+    """nms without a fold, so that neither a crowded slide nor a crowd of boxes is one group.
+
+    Boxes that overlap above ``threshold`` meet by an equi-join on cells, each pair from the
+    better to the worse. In a round, boxes that no undecided box betters stay, and those that
+    they better go; most pairs are decided in a few rounds. Of boxes without area, which suppress
+    one another wherever they are, a slide's best stays.
     """
-    columns, rows = _cells(cell)
-    reach = detections.select(slide, key, F.explode(columns).alias("cx"), rows.alias("rows")).withColumn("cy", F.explode("rows")).select(slide, key, F.concat_ws(":", "cx", "cy").alias("cell"))
-    labels = reach.groupBy(slide, "cell").agg(F.min(key).alias("label"))
-    spark = detections.sparkSession
-    while True:  # least label through shared cells, until nothing changes
-        own = reach.join(labels, [slide, "cell"]).groupBy(slide, key).agg(F.min("label").alias("label"))
-        after = reach.join(own, [slide, key]).groupBy(slide, "cell").agg(F.min("label").alias("label"))
-        after = after.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after.persist()
-        changed = after.join(labels.withColumnRenamed("label", "old"), [slide, "cell"]).filter("label <> old").limit(1).count()
-        labels = after
-        if not changed:
-            break
-    own = reach.join(labels, [slide, "cell"]).groupBy(slide, key).agg(F.min("label").alias("label"))
-    grouped = detections.join(own, [slide, key]).withColumn("__group", F.struct(slide, "label"))
-    return nms(grouped, threshold, "__group", key).withColumn(slide, F.col(f"__group.{slide}")).drop("__group")
+    order = F.struct((-F.col("score")).alias("order"), F.col(key).alias("id"))
+    boxes = detections.select(slide, key, F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in _BOX], order.alias("__order"))
+    flat = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) == 0
+    empty = boxes.filter(flat).groupBy(slide).agg(F.min_by(F.struct(key, "score", *_BOX), "__order").alias("b")).select(slide, "b.*")
+    solid = boxes.filter(~flat)
+    pairs = iou_pairs(solid, slide, "__order", cell).filter(F.col("iou") > threshold)  # id_a is the better one
+    left = _settled(pairs.select(slide, F.col("id_a").alias("better"), F.col("id_b").alias("worse")))
+    gone = None
+    while not left.isEmpty():
+        best = left.join(left.select(slide, F.col("worse").alias("better")), [slide, "better"], "left_anti")
+        lost = _settled(best.select(slide, "worse").distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        # pairs of a box that went are decided, as are those of a box that stays
+        last, left = left, _settled(left.join(lost, [slide, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [slide, "better"], "left_anti"))
+        left.count()
+        last.unpersist()
+    kept = solid if gone is None else solid.join(gone.withColumnRenamed("worse", "__order"), [slide, "__order"], "left_anti")
+    return kept.select(slide, key, "score", *_BOX).unionByName(empty)
 
 
 def instance_ids(detections: DataFrame, tile: tuple[str, ...], order: tuple[str, ...], keep: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,22 +61,98 @@ def normalize_adaptive(pixels: DataFrame, keys: tuple[str, ...], value: str = "v
     return joined.withColumn(value, F.when(F.col("__top") > 1, F.col(value) / 255.0).otherwise(F.col(value).cast("double"))).drop("__top")
 
 
+def augmented(images: DataFrame, size: int, seed: int = 0, key: str = "path") -> DataFrame:
+    """Images (key, h, w, data) as size x size random cuts, mirrored at random left to right and top to bottom.
+
+    Chances come from a hash of the seed and the key, so a run can be repeated; smaller
+    images are mirrored about their edges to the size.
+    """
+    kinds = dict(images.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, h, w, data in zip(*(batch.column(c).to_pylist() for c in (key, "h", "w", "data")), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                image = np.pad(image, ((0, max(0, size - h)), (0, max(0, size - w)), (0, 0)), mode="symmetric")
+                rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}/{name}".encode(), digest_size=8).digest(), "little"))
+                y, x = (int(rng.integers(0, n - size + 1)) for n in image.shape[:2])
+                image = image[y : y + size, x : x + size]
+                for axis in (1, 0):
+                    if rng.random() < 0.5:
+                        image = np.flip(image, axis)
+                out.append(np.ascontiguousarray(image).tobytes())
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([size] * n, pa.int32()), pa.array([size] * n, pa.int32()), pa.array(out, pa.binary())], names=[key, "h", "w", "data"])
+
+    return images.select(key, "h", "w", "data").mapInArrow(run, f"`{key}` {kinds[key]}, h int, w int, data binary")
+
+
 _TURNS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))  # clockwise, y down
 
 
+def outside(mask: np.ndarray) -> np.ndarray:
+    """False cells connected to the border, growing along whole runs until nothing changes."""
+    out = np.zeros_like(mask)
+    out[0], out[-1], out[:, 0], out[:, -1] = ~mask[0], ~mask[-1], ~mask[:, 0], ~mask[:, -1]
+    while True:
+        before = out.sum()
+        for axis in (0, 1):
+            for step in (1, -1):
+                line = out if step == 1 else np.flip(out, axis)
+                free = ~mask if step == 1 else ~np.flip(mask, axis)
+                for i in range(1, mask.shape[axis]):
+                    here, last = (slice(None),) * axis + (i,), (slice(None),) * axis + (i - 1,)
+                    line[here] |= line[last] & free[here]
+        if out.sum() == before:
+            return out
+
+
+def label_parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labels from 1, 0 where false; first pixel (y, x) of each) of the 8-connected parts, in the order of those pixels.
+
+    Runs of a row join the runs of the row below that they touch; the least run names a part.
+    """
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    rows, starts = np.nonzero(edges == 1)
+    stops = np.nonzero(edges == -1)[1]
+    labels = np.zeros(mask.shape, np.int64)
+    if not len(rows):
+        return labels, np.zeros((0, 2), np.int64)
+    wide = mask.shape[1] + 2
+    first = np.searchsorted(rows * wide + stops, (rows + 1) * wide + starts)
+    last = np.searchsorted(rows * wide + starts, (rows + 1) * wide + stops, side="right")
+    many = np.maximum(last - first, 0)
+    one = np.repeat(np.arange(len(rows)), many)
+    other = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    root = np.arange(len(rows))
+    while True:
+        least = np.minimum(root[one], root[other])
+        after = root.copy()
+        np.minimum.at(after, root[one], least)
+        np.minimum.at(after, root[other], least)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    heads, number = np.unique(root, return_inverse=True)
+    sizes = stops - starts
+    x = np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    labels[np.repeat(rows, sizes), x] = np.repeat(number + 1, sizes)
+    return labels, np.stack([rows[heads], starts[heads]], axis=1)
+
+
 def trace_contours(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     """Outer borders of the 8-connected parts of a mask, in order of their first pixel, as (x, y) corners.
 
-    Border following: from a part's first pixel in row order, turn about each border pixel for
+    What lies in a part's holes is the part's inside, other parts too. Border following:
+    from a part's first pixel in row order, turn about each border pixel for
     the next until start and direction recur; of straight runs only the ends stay.
     """
-    padded = np.pad(mask.astype(bool), 1)
-    left = padded.copy()
+    padded = ~outside(np.pad(mask.astype(bool), 1))
     out = []
-    for y, x in zip(*np.nonzero(padded), strict=True):
-        if not left[y, x]:
-            continue
-        border, at, turn = [], (int(y), int(x)), 0
+    for y, x in label_parts(padded)[1].tolist():
+        border, at, turn = [], (y, x), 0
         first = None
         while True:
             for k in range(8):
@@ -93,19 +170,19 @@ def trace_contours(mask: np.ndarray) -> list[list[tuple[int, int]]]:
             at, turn = to, d
         points = [p for i, (p, d) in enumerate(border) if len(border) < 3 or border[i - 1][1] != d]
         out.append([(px - 1, py - 1) for py, px in points])
-        _flood(left, int(y), int(x))
     return out
 
 
-def _flood(mask: np.ndarray, y: int, x: int) -> None:
-    stack = [(y, x)]
-    mask[y, x] = False
-    while stack:
-        cy, cx = stack.pop()
-        for dy, dx in _TURNS:
-            if mask[cy + dy, cx + dx]:
-                mask[cy + dy, cx + dx] = False
-                stack.append((cy + dy, cx + dx))
+def mask_images(cells: DataFrame, h: int, w: int, slide: str = "slide") -> DataFrame:
+    """(slide, data, h, w): the true cells (my, mx) of each h x w mask as an image of 0 and 1."""
+    kind = dict(cells.dtypes)[slide]
+
+    def paint(rows: pa.Table) -> pa.Table:
+        image = np.zeros((h, w), np.uint8)
+        image[rows.column("my").to_numpy(), rows.column("mx").to_numpy()] = 1
+        return pa.table([rows.column(slide).slice(0, 1), pa.array([image.tobytes()], pa.binary()), pa.array([h], pa.int32()), pa.array([w], pa.int32())], names=[slide, "data", "h", "w"])
+
+    return cells.select(slide, "my", "mx").groupBy(slide).applyInArrow(paint, f"{slide} {kind}, data binary, h int, w int")
 
 
 def extract_contours(masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewright.config import StoreConfig
 
-#: Fields that a predicate query returns.
+# fixed values: the fields that a predicate query returns
 QUERY_FIELDS = (
     "record_id", "wsi_name", "task_id", "centroid_x", "centroid_y", "bbox_x", "bbox_y", "bbox_w", "bbox_h",
     "circularity", "aspect_ratio", "edge_roughness", "abnormality_score", "abnormality_reasons", "polygon_coords",
@@ -45,7 +46,9 @@ def query_abnormal(records: DataFrame, min_score: float = 0.6, wsi_name: str = "
 
 def coarse_centroids(records: DataFrame, lists: int, sample: int = 5000, rounds: int = 8, seed: int = 1, vector: str = "feature_vector", key: str = "record_id") -> np.ndarray:
     """Unit centroids of spherical k-means over at most ``sample`` records (least hashes of the key)."""
-    rows = records.orderBy(F.xxhash64(key)).limit(sample).select(vector).collect()
+    rows = records.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).select(vector).collect()
+    if not rows:
+        return np.zeros((0, 0))
     x = np.array([r[0] for r in rows], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centres = x[np.random.default_rng(seed).permutation(len(x))[: min(lists, len(x))]]
@@ -59,11 +62,16 @@ def coarse_centroids(records: DataFrame, lists: int, sample: int = 5000, rounds:
 
 
 def _nearest(vector: Column, centres: np.ndarray) -> Column:
-    """Number of the most similar centroid (ties: the least number)."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    v = vector.cast("array<double>")
-    scores = F.transform(table, lambda c: _dot(v, c))
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    """Number of the most similar centroid (ties: the least number), 0 for no vector or no centroid."""
+    if not len(centres):
+        return F.lit(0)
+    scores = F.transform(_table(centres), lambda c: _dot(vector.cast("array<double>"), c))
+    return F.coalesce(F.array_position(scores, F.array_max(scores)) - 1, F.lit(0)).cast("int")
+
+
+def _table(centres: np.ndarray) -> Column:
+    """The centroids as one literal, whatever their number."""
+    return F.from_json(F.lit(json.dumps(centres.tolist())), "array<array<double>>")
 
 
 def index_lists(records: DataFrame, centres: np.ndarray, vector: str = "feature_vector") -> DataFrame:
@@ -91,9 +99,8 @@ def search_lists_each(indexed: DataFrame, centres: np.ndarray, queries: DataFram
         sizes = {r["list"]: r["n"] for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect()}
         return F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // BLOCK))) for i in range(len(centres))])
 
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
     v = F.col(vector).cast("array<double>")
-    order = F.array_sort(F.transform(table, lambda c, i: F.struct((-_dot(v, c)).alias("far"), i.alias("list"))))
+    order = F.array_sort(F.transform(_table(centres), lambda c, i: F.struct((-_dot(v, c)).alias("far"), i.alias("list"))))
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("query"), F.explode(F.slice(order, 1, probes)["list"]).alias("list"))
     n_records, n_queries = blocks(indexed), blocks(asked)
     at = F.col("list") + 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.config import EngineConfig
 from tilewright.operators import jobs, report
 from tilewright.plans import pipeline
-from tilewright.sources import slides
+from tilewright.sources import slides, tiff
 from tilewright.sources.store import FeatureStore
 
 
@@ -49,8 +49,24 @@ class Engine:
         settings = {"tile_size": str(g.tile_size), "overlap": str(g.overlap), "scale": str(g.scale), "suffixes": ",".join(self.config.ingest.suffixes), "cores": str(self.spark.sparkContext.defaultParallelism)}
         return self.spark.createDataFrame(list(settings.items()), "setting string, value string")
 
-    def process_slide(self, tiles: DataFrame, model=None) -> DataFrame:
-        return pipeline.process_slide(tiles, model, self.config)
+    def slide_path(self, slide: str) -> str:
+        """An admitted upload by its path or by its name without the suffix; FileNotFoundError if there is none."""
+        stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+        found = self.ingest_slides().filter((stem == slide) | F.col("path").isin(slide, f"file:{slide}", f"file://{slide}")).orderBy("path").select("path").first()
+        if found is None:
+            raise FileNotFoundError(slide)
+        return found["path"].removeprefix("file://").removeprefix("file:")
+
+    def process_slide(self, slide: DataFrame | str, model=None, block: int = 2048) -> DataFrame:
+        """Blended blocks of a slide's upscaled image: of a table of tiles, or of an upload by name or path."""
+        if isinstance(slide, str):
+            return pipeline.process_file(self.spark, self.slide_path(slide), model, self.config, block)[0]
+        return pipeline.process_slide(slide, model, self.config, block)
+
+    def export_slide(self, slide: str, target: str, model=None, block: int = 2048, levels: int = 4) -> int:
+        """Process an upload and write the result as one pyramid file; its number of bytes."""
+        blocks, (w, h), mpp = pipeline.process_file(self.spark, self.slide_path(slide), model, self.config, block)
+        return tiff.write_pyramid(pipeline.block_tiles(blocks, w, h, block), target, w, h, block, levels, mpp)
 
     def screen(self, tiles: DataFrame, task_id: str, detector=None, keep: bool = True, dedup: bool = False) -> DataFrame:
         """Scored objects; the abnormal ones go to the store if ``keep``."""

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry, shape
 from tilewright.operators import blend, detect, grid, jobs, metrics, raster, report, search, tissue
 from tilewright.plans import proxies as P
+from tilewright.schemas import NUCLEUS_RECORD
+from tilewright.sources import scratch, slides
 from tilewright.sources.slides import admissible
+from tilewright.sources.store import FeatureStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,8 +66,7 @@ SELECT wsi_path, CASE WHEN x > 0 THEN x END AS mpp_x, CASE WHEN x > 0 THEN x END
 def mpp_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_size") % 5
     text = F.when(kind == 0, "").when(kind == 1, "n/a").when(kind == 2, "-0.5").otherwise((F.col("p_size") / 100.0).cast("string"))
-    x = text.try_cast("double")
-    mpp = F.when(x > 0, x)
+    mpp = slides.mpp_of(text)
     return rounded(P.slides(spark, sf_dir).select("wsi_path", mpp.alias("mpp_x"), mpp.alias("mpp_y"), F.coalesce((mpp + mpp) / 2 / 0.25, F.lit(1.0)).alias("scaling")))
 
 
@@ -103,7 +105,13 @@ def file_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P.SCORED} SELECT wsi_name, count(*) AS inserted FROM scored WHERE is_abnormal GROUP BY wsi_name")
 def insert_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.scored(spark, sf_dir).filter("is_abnormal").groupBy("wsi_name").agg(F.count("*").alias("inserted"))
+    found = P.scored(spark, sf_dir).filter("is_abnormal")
+    given = {"record_id": F.concat_ws("_", "wsi_name", "source_id", "instance_id"), "feature_vector": F.array_repeat(F.lit(0.0), 10)}
+    made = [given.get(f.name, F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NUCLEUS_RECORD.fields]
+    store = FeatureStore(spark, scratch.place(spark, "store"))
+    store.create()
+    store.insert(found.select(*made))
+    return store.records().groupBy("wsi_name").agg(F.count("*").alias("inserted"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '\\.[^./]+$', 0)) AS suffix, CAST(length(html) AS BIGINT) AS size FROM pages WHERE lower(regexp_extract(url, '\\.[^./]+$', 0)) IN ('.html', '.com', '.org', '.net', '.tif') AND length(html) <= 20000")
@@ -153,7 +161,7 @@ SELECT t.wsi_path, t.tile_id, round(avg(CASE WHEN mask > 0 THEN 1.0::DOUBLE ELSE
 FROM tiles t JOIN cells c ON c.slide = t.wsi_path AND c.my BETWEEN floor(t.y / 128) AND greatest(floor(t.y / 128), floor((t.y + t.height) / 128) - 1) AND c.mx BETWEEN floor(t.x / 128) AND greatest(floor(t.x / 128), floor((t.x + t.width) / 128) - 1)
 GROUP BY t.wsi_path, t.tile_id HAVING avg(CASE WHEN mask > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.1::DOUBLE""")
 def tissue_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tissue.tissue_tiles(grid.tile_grid(P.slides(spark, sf_dir)), _cells(spark, sf_dir), 128))
+    return rounded(tissue.tissue_tiles_of_grid(P.slides(spark, sf_dir), _cells(spark, sf_dir), 128))
 
 
 @query(f"WITH {P.PIXELS} SELECT slide, y, x, event_id, CASE WHEN (r + g + b) / 3.0::DOUBLE < 120 THEN 1 ELSE 0 END AS mask FROM pixels")
@@ -386,7 +394,7 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["nms"])
 def nms_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.nms_by_groups(P.detections(spark, sf_dir)).select("wsi_name", "instance_id", "x1", "y1")
+    return detect.nms_by_rounds(P.detections(spark, sf_dir)).select("wsi_name", "instance_id", "x1", "y1")
 
 
 @query(f"WITH {P.DETECTIONS} SELECT wsi_name, tile_row, max_by(instance_id, ((x2 - x1) * (y2 - y1), -instance_id)) AS contour_id, max((x2 - x1) * (y2 - y1)) AS area FROM detections GROUP BY wsi_name, tile_row")
@@ -395,11 +403,11 @@ def largest_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.largest_contour(c, ("wsi_name", "tile_row"))
 
 
-@query(f"""WITH {P.SLIDES}, {_CELLS}, hit AS (SELECT slide, min(mx) AS lx, max(mx) AS hx, min(my) AS ly, max(my) AS hy FROM cells WHERE mask > 0 AND mx < 3 AND my < 2 GROUP BY slide)
+@query(f"""WITH {P.SLIDES}, {_CELLS}, hit AS (SELECT slide, min(mx) AS lx, max(mx) AS hx, min(my) AS ly, max(my) AS hy FROM cells WHERE mask > 0 GROUP BY slide)
 SELECT wsi_path AS slide, CAST(coalesce(lx * 128, 0) AS INTEGER) AS x, CAST(coalesce(ly * 128, 0) AS INTEGER) AS y, CAST(coalesce((hx - lx) * 128, w) AS INTEGER) AS w, CAST(coalesce((hy - ly) * 128, h) AS INTEGER) AS h FROM slides LEFT JOIN hit ON slide = wsi_path""")
 def tissue_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.slides(spark, sf_dir).select(F.col("wsi_path").alias("slide"), "w", "h", F.lit(128.0).alias("downsample"))
-    return tissue.tissue_bbox(_cells(spark, sf_dir).withColumn("mask", F.when((F.col("mx") < 3) & (F.col("my") < 2), F.col("mask")).otherwise(0)), s)
+    return tissue.tissue_bbox(_cells(spark, sf_dir), s)
 
 
 @query(f"WITH {P.PIXELS}, canvas AS (SELECT slide, y, x, sum(weight_in) AS weight FROM pixels GROUP BY ALL) SELECT slide, round(count(*) FILTER (WHERE weight > 1e-3::DOUBLE) * 100.0::DOUBLE / count(*), 6) AS filled_percent FROM canvas GROUP BY slide")
@@ -617,12 +625,25 @@ _ALL_FIVE = "(SELECT {c}.slide, {c}.my, {c}.mx FROM {c} JOIN {c} u ON u.slide =
 _ANY = "(SELECT DISTINCT slide, my + dy AS my, mx + dx AS mx FROM {c}, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) v(dy, dx))"
 
 
-@query(f"WITH {P.PIXELS}, {_MASKED}, e AS {_ALL_FIVE.format(c='masked')}, o AS {_ANY.format(c='e')} SELECT slide, my, mx FROM o")
-def binary_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tissue.binary_opening(_masked(spark, sf_dir), iterations=1)
+_DENSE = "dense AS (SELECT DISTINCT CAST(l_suppkey % 3 AS VARCHAR) AS slide, CAST(l_orderkey % 40 AS INTEGER) AS my, CAST((l_linenumber * 7 + l_partkey) % 40 AS INTEGER) AS mx FROM lineitem)"
 
 
-@query()
+@query(f"WITH {_DENSE}, e AS {_ALL_FIVE.format(c='dense')}, e2 AS {_ALL_FIVE.format(c='e')}, o AS {_ANY.format(c='e2')}, o2 AS {_ANY.format(c='o')} SELECT slide, my, mx FROM o2")
+def binary_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    cells = P.table(spark, sf_dir, "lineitem").select((c("l_suppkey") % 3).cast("string").alias("slide"), (c("l_orderkey") % 40).cast("int").alias("my"), ((c("l_linenumber") * 7 + c("l_partkey")) % 40).cast("int").alias("mx"))
+    return tissue.binary_opening(cells)
+
+
+@query(f"""WITH RECURSIVE {P.PIXELS}, {_MASKED},
+box AS (SELECT slide, min(my) - 1 AS y0, max(my) + 1 AS y1, min(mx) - 1 AS x0, max(mx) + 1 AS x1 FROM masked GROUP BY slide),
+grid AS (SELECT slide, y0, x0, y.i AS my, x.i AS mx FROM box, LATERAL unnest(range(y0, y1 + 1)) y(i), LATERAL unnest(range(x0, x1 + 1)) x(i)),
+free AS (SELECT * FROM grid g WHERE NOT EXISTS (SELECT 1 FROM masked m WHERE m.slide = g.slide AND m.my = g.my AND m.mx = g.mx)),
+reach AS (
+    SELECT slide, my, mx FROM free WHERE my = y0 AND mx = x0
+    UNION SELECT f.slide, f.my, f.mx FROM (SELECT slide, my + dy AS my, mx + dx AS mx FROM reach, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(dy, dx)) r JOIN free f ON f.slide = r.slide AND f.my = r.my AND f.mx = r.mx
+)
+SELECT slide, CAST(my AS INTEGER) AS my, CAST(mx AS INTEGER) AS mx FROM grid g WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.slide = g.slide AND r.my = g.my AND r.mx = g.mx)""")
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tissue.fill_holes(_masked(spark, sf_dir))
 
@@ -650,10 +671,7 @@ def normalize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _masked(spark, sf_dir).groupBy("slide").agg(F.collect_set(F.col("my") * 61 + F.col("mx")).alias("on"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(64 * 61 - 1)), lambda i: F.when(F.array_contains("on", i), "01").otherwise("00"))
-    masks = m.select("slide", F.unhex(F.array_join(cells, "")).alias("data"), F.lit(64).alias("h"), F.lit(61).alias("w"))
-    found = raster.extract_contours(masks, ("slide",))
+    found = raster.extract_contours(raster.mask_images(_masked(spark, sf_dir), 64, 61), ("slide",))
     return rounded(found.select("slide", "contour_id", F.size("contour").alias("points"), "area"))
 
 

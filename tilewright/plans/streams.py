@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.config import BlendConfig
+from tilewright.sources import scratch
 from tilewright.streaming import micro, strips
 
 QUERIES: dict = {}
@@ -16,8 +16,8 @@ ORACLES: dict = {}
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, or, where it is unset, one of our own."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tilewright-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    """A folder that all executors see."""
+    return f"{scratch.scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:

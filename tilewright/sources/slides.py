@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,11 +37,11 @@ def list_files(spark: SparkSession, folder: str, patterns: tuple[str, ...], recu
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """png and jpg files of a folder in order of their path; its subfolders only if it has none itself."""
     patterns = ("*.png", "*.jpg")
-    flat = list_files(spark, folder, patterns)
-    found = flat if flat.limit(1).count() else list_files(spark, folder, patterns, recursive=True)
-    if not found.limit(1).count():
-        raise FileNotFoundError(f"no png or jpg below {folder}")
-    return found.orderBy("path")
+    for recursive in (False, True):
+        found = list_files(spark, folder, patterns, recursive)
+        if not found.isEmpty():
+            return found.orderBy("path")
+    raise FileNotFoundError(f"no png or jpg below {folder}")
 
 
 def find_result(spark: SparkSession, folder: str, pattern: str = "*_super_resolved.ome.tiff") -> DataFrame:
@@ -69,6 +70,63 @@ def decode_ppm(data: bytes) -> np.ndarray:
     return np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image
 
 
+def decode_png(data: bytes) -> np.ndarray:
+    """A PNG image of 8 bits a sample, not interlaced, as h x w x 3: grey is repeated, palettes are looked up, alpha is left out."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG image")
+    at, body, palette, head = 8, [], None, b""
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        chunk = data[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            head = chunk
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body.append(chunk)
+        elif kind == b"IEND":
+            break
+    w, h, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if bits != 8 or interlaced or not channels:
+        raise ValueError("only PNG images of 8 bits a sample, not interlaced")
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * channels)
+    image, above = np.zeros((h, w, channels), np.uint8), np.zeros((w, channels), np.uint8)
+    for y in range(h):
+        kind, line = int(lines[y, 0]), lines[y, 1:].reshape(w, channels)
+        if kind == 1:
+            line = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            line = line + above
+        elif kind > 2:
+            line = _unfiltered(kind, line, above)
+        image[y] = above = line
+    if colour == 3:
+        return palette[image[:, :, 0]]
+    return np.repeat(image[:, :, :1], 3, axis=2) if channels < 3 else image[:, :, :3]
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A PNG line told by the mean (3) of left and above, or by the one of left, above and upper left nearest to left + above - upper left (4)."""
+    out, left, corner = [], [0] * line.shape[1], [0] * line.shape[1]
+    for own, up in zip(line.tolist(), above.tolist(), strict=True):
+        if kind == 3:
+            left = [(v + (a + b) // 2) & 255 for v, a, b in zip(own, left, up, strict=True)]
+        else:
+            # ties go to left, then to above
+            guess = [min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, up, corner, strict=True)]
+            left = [(v + g) & 255 for v, g in zip(own, guess, strict=True)]
+        out.append(left)
+        corner = up
+    return np.array(out, np.uint8).reshape(line.shape)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """An image of a kind that its first bytes tell."""
+    return decode_png(data) if data[:4] == b"\x89PNG" else decode_ppm(data)
+
+
 def write_tiff(image: np.ndarray, tile: int = 1024, description: str = "") -> bytes:
     """A baseline tiled TIFF (uncompressed, little-endian) of an h x w x c byte image."""
     if image.ndim == 2:
@@ -155,7 +213,7 @@ class _TileReader(DataSourceReader):
 class TileSource(DataSource):
     """``spark.read.format("tiles")``: tiles of a test slide, an input partition for each range of tile rows.
 
-    Options height, width and tile; a reader of real slides replaces ``read`` alone.
+    Options height, width and tile. Real slides are read by ``tiff.SlideSource``.
     """
 
     @classmethod
@@ -171,6 +229,6 @@ class TileSource(DataSource):
 
 @F.pandas_udf(StructType([StructField("h", IntegerType()), StructField("w", IntegerType()), StructField("data", BinaryType())]))
 def decode_image(content: pd.Series) -> pd.DataFrame:
-    """binaryFile contents to pixels."""
-    images = [decode_ppm(bytes(c)) for c in content]
+    """binaryFile contents (PNG, PPM, PGM) to pixels."""
+    images = [decode(bytes(c)) for c in content]
     return pd.DataFrame({"h": [i.shape[0] for i in images], "w": [i.shape[1] for i in images], "data": [i.tobytes() for i in images]})

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tilewright.config import StoreConfig
 from tilewright.operators import report, search
@@ -11,21 +15,30 @@ from tilewright.schemas import NUCLEUS_RECORD
 
 
 class FeatureStore:
-    """Records foldered by slide, so that a slide's query prunes to its folder; scores sort within files for skipping."""
+    """Records foldered by slide, so that a slide's query prunes to its folder; scores sort within files for skipping.
+
+    ``create_index`` keeps a copy foldered by the nearest of ``lists`` centroids beside the
+    table, which searches of ``probes`` lists read instead of all records.
+    """
 
     def __init__(self, spark: SparkSession, path: str, config: StoreConfig = StoreConfig()):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
     def create(self) -> None:
         """Make the table if there is none; an existing one must have the record schema."""
-        if not self._exists():
-            self.spark.createDataFrame([], NUCLEUS_RECORD).write.parquet(self.path)
+        if not self._exists(self.path):
+            # a table foldered by slide has no files as long as it has no rows; readers pass over names with an underscore
+            self.spark.createDataFrame([(NUCLEUS_RECORD.json(),)], "schema string").coalesce(1).write.text(f"{self.path}/_schema")
             return
-        found = {f.name: f.dataType.simpleString() for f in self.spark.read.parquet(self.path).schema}
+        if self._exists(f"{self.path}/_schema"):
+            schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/_schema").first()[0]))
+        else:
+            schema = self.spark.read.parquet(self.path).schema
+        found = {f.name: f.dataType.simpleString() for f in schema}
         wanted = {f.name: f.dataType.simpleString() for f in NUCLEUS_RECORD.fields}
         if found != wanted:
             raise ValueError(f"{self.path} holds other columns: {sorted(set(found.items()) ^ set(wanted.items()))}")
@@ -37,16 +50,46 @@ class FeatureStore:
         if named:
             raise ValueError(f"records that do not fit: {named}")
         seen = Observation("inserted")
-        rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NUCLEUS_RECORD.fields]).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.repartition("wsi_name").sortWithinPartitions("wsi_name", F.desc("abnormality_score")).write.mode("append").parquet(self.path)
+        rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NUCLEUS_RECORD.fields])
+        # ranges of (slide, score), so that a large slide is spread over tasks and a task's files over few slides
+        ranges = rows.repartitionByRange("wsi_name", F.desc("abnormality_score")).sortWithinPartitions("wsi_name", F.desc("abnormality_score"))
+        # observed after the ranges, as what lies before them also runs to find their bounds
+        ranges.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("wsi_name").parquet(self.path)
         return int(seen.get["n"])
 
     def records(self) -> DataFrame:
-        return self.spark.read.schema(NUCLEUS_RECORD).parquet(self.path)
+        return self.spark.read.schema(NUCLEUS_RECORD).parquet(self.path).select(*NUCLEUS_RECORD.names)
+
+    def create_index(self, sample: int = 50_000) -> None:
+        """Centroids of a bounded sample (the least hashes of record_id), and every record in the folder of its nearest."""
+        centres = search.coarse_centroids(self.records(), self.config.lists, sample)
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+        self.spark.createDataFrame(rows, "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}.centres")
+        search.index_lists(self.records(), centres).repartitionByRange("list", "record_id").write.mode("overwrite").partitionBy("list").parquet(f"{self.path}.lists")
+
+    def _index(self) -> tuple[DataFrame, np.ndarray] | None:
+        if not self._exists(f"{self.path}.centres"):
+            return None
+        centres = np.array([r["centre"] for r in self.spark.read.parquet(f"{self.path}.centres").orderBy("list").collect()])
+        return self.spark.read.parquet(f"{self.path}.lists"), centres.reshape(len(centres), self.config.dim)
 
     def query_abnormal(self, min_score: float = 0.6, wsi_name: str = "", limit: int | None = None) -> DataFrame:
         return search.query_abnormal(self.records(), min_score, wsi_name, limit or self.config.limit)
 
-    def search_similar(self, vector, top_k: int | None = None, wsi_name: str = "") -> DataFrame:
+    def search_similar(self, vector, top_k: int | None = None, wsi_name: str = "", exact: bool = True) -> DataFrame:
+        """The most similar records: of all, or with ``exact=False`` of the index's ``probes`` nearest lists (records later than it are not in)."""
         where = F.col("wsi_name") == F.lit(wsi_name) if wsi_name else None
-        return search.search_similar(self.records(), vector, top_k or self.config.top_k, where)
+        index = None if exact else self._index()
+        if index is None:
+            return search.search_similar(self.records(), vector, top_k or self.config.top_k, where)
+        indexed, centres = index
+        return search.search_lists(indexed, centres, vector, self.config.probes, top_k or self.config.top_k, where=where).drop("list")
+
+    def recall(self, queries: DataFrame, top_k: int | None = None) -> float:
+        """Mean share of the exact ``top_k`` of each query record that the index finds."""
+        indexed, centres = self._index()
+        k = top_k or self.config.top_k
+        found = search.search_lists_each(indexed, centres, queries, self.config.probes, k).select("query_id", "record_id")
+        every = search.search_lists_each(indexed, centres, queries, len(centres), k).select("query_id", "record_id")
+        hits = found.join(every, ["query_id", "record_id"], "left_semi").count()
+        return hits / max(1, every.count())
