@@ -84,6 +84,21 @@ def test_odd_rows(odd_docs, no_docs):
         L.Index.of([("big", "x " * L.TEMPLATE_CHARS)])
 
 
+def test_templates_of_megabytes_are_taken_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "TEMPLATE_CHARS", 900)
+    assert len(L.parts_of(L.TEMPLATES)) > 5 and sum(L.parts_of(L.TEMPLATES), []) == L.TEMPLATES
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, (_, t) in enumerate(L.TEMPLATES)] + [(999, "nothing of the kind")], "doc_id long, text string")
+    parted = {r["doc_id"]: sorted(map(tuple, r["matches"])) for r in L.scan_documents(docs).collect()}
+    monkeypatch.undo()
+    assert parted == {r["doc_id"]: sorted(map(tuple, r["matches"])) for r in L.scan_documents(docs).collect()}
+    assert all(name in {m[0] for m in parted[i]} for i, (name, _) in enumerate(L.TEMPLATES)) and parted[999] == []
+
+
+def test_a_long_text_without_white_space_and_one_of_many_words(spark):
+    docs = spark.createDataFrame([(1, "x" * 2_000_000), (2, "word " * 200_000 + dict(L.TEMPLATES)["isc"])], "doc_id long, text string")
+    assert [(r["n_words"], [m["template"] for m in r["matches"]]) for r in L.scan_documents(docs).orderBy("doc_id").collect()] == [(1, []), (200_000 + len(L.words_of(dict(L.TEMPLATES)["isc"])), ["isc"])]
+
+
 def test_query_equals_brute_force(spark, sf_dir, rows):
     got = {r["doc_id"]: r for r in registry.QUERIES["op6_license_scan"](spark, sf_dir).collect()}
     assert len(got) == len(rows)

@@ -28,17 +28,57 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Bound of all templates together, in characters: they are sent to every task.
 TEMPLATE_CHARS = 1 << 20
 
-#: Usual license statements, by short name.
+# fixed values: usual license statements and notices, by short name
 TEMPLATES: list[tuple[str, str]] = [
+    ("afl-3.0", "Licensed under the Academic Free License version 3.0"),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0-notice", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("apache-2.0-warranty", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("bsd-2-conditions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("bsd-3-endorsement", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-disclaimer", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-4.0-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-nd-4.0-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd-4.0-notice", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-sa-3.0-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("cc-by-sa-4.0-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-sa-text", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cddl-1.0", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.'),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL"),
+    ("gfdl-notice", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("gpl-2.0-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-disclaimer", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("lgpl-2.1-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("mit", "Released under the MIT License."),
+    ("mit-conditions", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit-disclaimer", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
     ("mit-notice", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mpl-1.1-notice", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.'),
+    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("public-domain", "This work has been released into the public domain."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("wtfpl", "This program is free software. It comes without any warranty, to the extent permitted by applicable law."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-permission", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 ]
 
 
@@ -85,23 +125,26 @@ class Class:
     seeds: np.ndarray
     members: list[tuple[str, frozenset]]
     buckets: list[dict[int, list[int]]]
+    grams: np.ndarray
 
 
 @dataclass
 class Index:
-    vocabulary: dict[bytes, int]
+    """Templates by class, and hashes of words seen lately."""
+
     classes: list[Class]
+    grams: dict[int, np.ndarray]
+    known: dict[bytes, int]
 
     @classmethod
     def of(cls, templates: Sequence[tuple[str, str]], threshold: float = THRESHOLD) -> Index:
         if sum(len(t or "") for _, t in templates) > TEMPLATE_CHARS:
-            raise ValueError("templates are sent to every task and may not exceed TEMPLATE_CHARS; scan them in parts")
+            raise ValueError("templates of one index are sent to every task and may not exceed TEMPLATE_CHARS; scan_documents takes them in parts")
         grouped: dict[int, dict[tuple[bytes, ...], str]] = {}
         for name, text in sorted(templates, key=lambda t: (t[0], t[1] or "")):
             words = tuple(words_of(text or ""))
             if words:
                 grouped.setdefault(ladder(len(words)), {}).setdefault(words, name)
-        vocabulary: dict[bytes, int] = {}
         classes = []
         for longest, members in sorted(grouped.items()):
             shortest = min(map(len, members))
@@ -113,23 +156,53 @@ class Index:
             bands = bands_for(shortest, reach, size, threshold)
             seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             buckets: list[dict[int, list[int]]] = [{} for _ in range(bands)]
-            own = []
+            own, grams = [], []
             for number, (words, name) in enumerate(members.items()):
-                for w in words:
-                    vocabulary.setdefault(w, len(vocabulary) + 1)
                 own.append((name, frozenset(words[i : i + size] for i in range(len(words) - size + 1))))
-                for band, value in enumerate(minima(hashes(words, size), seeds)):
+                grams.append(hashes(words, size))
+                for band, value in enumerate(minima(grams[-1], seeds)):
                     buckets[band].setdefault(int(value), []).append(number)
             least = min(math.ceil(threshold * len(t) - 1e-9) for _, t in own)
-            classes.append(Class(size, window, 1, reach, step, least, bands, seeds, own, buckets))
-        return cls(vocabulary, classes)
+            classes.append(Class(size, window, 1, reach, step, least, bands, seeds, own, buckets, np.unique(np.concatenate(grams))))
+        grams = {size: np.unique(np.concatenate([c.grams for c in classes if c.size == size])) for size in {c.size for c in classes}}
+        return cls(classes, grams, {})
+
+    #: Words whose hashes are kept; beyond it they are gathered anew.
+    KEPT = 400_000
+
+    def word_hashes(self, words: Sequence[bytes]) -> np.ndarray:
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        get = self.known.get
+        return np.array([get(w) or self._hash(w) for w in words], np.uint64)
+
+    def _hash(self, word: bytes) -> int:
+        h = self.known[word] = hash_word(word)
+        return h
+
+
+def parts_of(templates: Sequence[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Templates in runs of at most TEMPLATE_CHARS; at least one run."""
+    parts: list[list[tuple[str, str]]] = [[]]
+    size = 0
+    for name, text in templates:
+        if parts[-1] and size + len(text or "") > TEMPLATE_CHARS:
+            parts.append([])
+            size = 0
+        parts[-1].append((name, text))
+        size += len(text or "")
+    return parts
 
 
 def hashes(words: Sequence[bytes], size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` words."""
-    own = np.array([hash_word(w) for w in words], np.uint64)
-    n = len(own) - size + 1
-    total = np.full(max(n, 0), size, np.uint64)
+    return runs_of(np.array([hash_word(w) for w in words], np.uint64), size)
+
+
+def runs_of(own: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` words from the words' own."""
+    n = max(0, len(own) - size + 1)
+    total = np.full(n, size, np.uint64)
     for k in range(size):
         total = _mix(total + own[k : k + n])
     return total
@@ -139,6 +212,11 @@ def hash_word(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table holds."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return _mix(shingles[:, None] ^ seeds).min(axis=0)
 
@@ -183,13 +261,14 @@ def verified(words: list[bytes], low: int, high: int, window: int, size: int, te
 def scan_words(words: list[bytes], index: Index, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(template, first word, end word, containment) of each verified run of windows."""
     found: dict[str, list[tuple[int, int, float]]] = {}
-    get = index.vocabulary.get
-    known = np.concatenate([[0], np.cumsum(np.fromiter((get(w, 0) > 0 for w in words), bool, len(words)))])
+    own = index.word_hashes(words)
+    shingles = {size: runs_of(own, size) for size in index.grams}
+    met = {size: bool(len(x)) and bool(among(x, index.grams[size]).any()) for size, x in shingles.items()}
     for c in index.classes:
-        if len(words) < c.size:
+        if not met[c.size]:
             continue
-        # a stretch with fewer runs of template words than accepted shingles holds no accepted window
-        runs = known[c.size :] - known[: -c.size] == c.size
+        # a stretch with fewer of the templates' shingles than are accepted holds no accepted window
+        runs = among(shingles[c.size], c.grams)
         if runs.sum() < c.least:
             continue
         before = np.concatenate([[0], np.cumsum(runs)])
@@ -198,7 +277,7 @@ def scan_words(words: list[bytes], index: Index, threshold: float = THRESHOLD) -
         starts = starts[before[np.minimum(starts + c.reach - c.size + 1, len(runs))] - before[starts] >= c.least]
         tried: dict[int, list[int]] = {}
         for start in starts.tolist():
-            values = minima(hashes(words[start : start + c.reach], c.size), c.seeds)
+            values = minima(shingles[c.size][start : max(start + 1, start + c.reach - c.size + 1)], c.seeds)
             for n in {n for band, value in enumerate(values.tolist()) for n in c.buckets[band].get(value, ())}:
                 tried.setdefault(n, []).append(start)
         for n, at in sorted(tried.items()):
@@ -230,22 +309,32 @@ def scan_documents(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased; shingles
     have five, or all of a shorter template. Overlapping matches of a template are one.
-    A null or empty text has no words and no match; templates without words match
-    nothing, and equal ones count under the first name; other columns are ignored.
+    A null or empty text has no words and no match; texts are scanned whole at any length;
+    repeated rows are rows of their own; templates without words match nothing, and equal
+    ones count under the first name; an empty table gives no rows; other columns are
+    ignored. Templates of more than TEMPLATE_CHARS are taken in parts, each in a pass of
+    its own over the rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index.of(templates, threshold))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("template", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
-        for batch in batches:
-            sizes, matches = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                sizes.append(len(words))
-                matches.append([{"template": n, "first": a, "end": b, "containment": s} for n, a, b, s in scan_words(words, shared.value, threshold)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(matches, kind)], names=["doc_id", "n_words", "matches"])
-
-    return docs.select(F.col("doc_id").cast("long"), common.text_of()).mapInArrow(run, _FOUND)
+    kind = pa.list_(pa.struct([("template", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
+
+    def scan(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, matches = [], []
+                for text, before in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist(), strict=True):
+                    words = words_of(text)
+                    sizes.append(len(words))
+                    matches.append(before + [{"template": n, "first": a, "end": b, "containment": s} for n, a, b, s in scan_words(words, shared.value, threshold)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(matches, kind)], names=["doc_id", "text", "n_words", "matches"])
+
+        return run
+
+    context = docs.sparkSession.sparkContext
+    found = docs.select(F.col("doc_id").cast("long"), common.text_of(), F.lit(0).cast("long").alias("n_words"), F.array().cast(_FOUND.split("matches ")[1]).alias("matches"))
+    parts = parts_of(sorted(templates, key=lambda t: (t[0], t[1] or "")))
+    for part in parts:
+        found = found.mapInArrow(scan(context.broadcast(Index.of(part, threshold))), _FOUND.replace("n_words", "text string, n_words"))
+    return found.select("doc_id", "n_words", "matches")
 
 
 def report(found: DataFrame) -> DataFrame:
