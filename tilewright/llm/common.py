@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources.scratch import discard, written
+
+__all__ = ["components", "crc_mod", "discard", "prepare", "ranked", "sha256_hex", "shuffle_width", "table", "text_of", "unused", "written"]
+
 
 def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch may carry, so that very long texts do not pile up in a Python worker."""
@@ -36,48 +32,6 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-_own_dir: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, else (as in tests) a folder of our own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not shared:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="tilewright-"))
-            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-        shared = _own_dir[0]
-    return shared.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of a folder, whatever store it is in."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The table goes when the application ends, or when it is discarded.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    store, place = _folder(spark, path)
-    store.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing unfinished reads any more."""
-    for table_ in tables:
-        store, place = _folder(table_.sparkSession, table_._scratch)
-        store.delete(place, True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,18 +63,22 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     and is written, so that no round depends on an executor's memory.
     """
     def least(u: str, v: str, rows: DataFrame) -> DataFrame:
-        own = rows.groupBy(u).agg(F.min(v).alias("m"))
-        return rows.join(own.select(u, F.least(u, "m").alias("m")), u)
+        # written, so that the join has two plain inputs, of which adaptive execution splits a hot centre
+        own = written(rows.groupBy(u).agg(F.min(v).alias("m")).select(u, F.least(u, "m").alias("m")), label)
+        parts.append(own)
+        return rows.join(own, u)
 
     edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
+    before, parts = None, []
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = least("a", "b", both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(least("a", "b", both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
+        parts.append(large)
         small = least("a", "b", large)
         small = small.select(F.col("b").alias("x"), "m").unionByName(small.select(F.col("a").alias("x"), "m")).filter("x != m")
         last, edges = edges, written(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
-        discard(last)
+        discard(last, *parts)
+        parts.clear()
         # stars only, and the same as before: settled
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

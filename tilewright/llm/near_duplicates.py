@@ -237,13 +237,13 @@ def _verify(threshold: float, depth: int):
     def verify(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         _, tree, one, other = (k.as_py() for k in key)
         shingle, seen, texts = Shingler(), set(), []
-        for id_, block, copies, node, minima, text in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "copies", "node", "minima", "text")), strict=True):
+        for id_, block, copies, node, text in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "copies", "node", "text")), strict=True):
             if id_ in seen:
                 continue
             s = shingle(text)
             if set_name(s) == node:  # of equal ids, another text
                 seen.add(id_)
-                texts.append((id_, block, copies, s, minima))
+                texts.append((id_, block, copies, s))
         texts.sort(key=lambda x: x[0])
         ids = np.array([t[0] for t in texts], np.int64)
         block = np.array([t[1] for t in texts], np.int64)
@@ -255,7 +255,7 @@ def _verify(threshold: float, depth: int):
         if one != other:
             linked &= block[:, None] != block
         if tree > 0:
-            linked &= ~met_before(np.frombuffer(b"".join(t[4] for t in texts), ">u4").reshape(len(texts), -1), tree, depth)
+            linked &= ~met_before(np.stack([minhash(t[3]) for t in texts]), tree, depth)
         links = linked @ copies
         # the least node each hangs together with here
         root = np.arange(len(ids))
@@ -317,13 +317,13 @@ def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     buckets = _buckets(members, depth)
     units = _units(buckets)
 
-    known = nodes.join(first, "id").select("id", "copies", "node", "minima", F.col("least").alias("__id"))
+    known = nodes.select("id", "copies", "node", F.col("least").alias("__id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     picked = common.written(units.select("unit", "tree", "id", blocks).join(known, "id"), "near-picked")
-    few = picked.count() * 500 <= BROADCAST_BYTES
+    few = picked.count() * 100 <= BROADCAST_BYTES
     texts = source.join(F.broadcast(picked) if few else picked, F.col("__id").eqNullSafe(F.col("doc_id")))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "tree", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "minima", "text")
+    dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "tree", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "text")
     verified = common.written(dealt.groupBy("unit", "tree", "one", "other").applyInArrow(_verify(threshold, depth), _LINKS), "near-links")
     common.discard(first, members, buckets, units, picked)
 
