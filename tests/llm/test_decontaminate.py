@@ -40,6 +40,20 @@ def test_columns_kept_and_empty_tables(spark, odd_docs, no_docs):
     assert {r["contaminated"] for r in D.report(D.find_contamination(odd_docs, items.limit(0))).collect()} == {False}
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_kept_columns_of_inner_names(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "two words", 5, "b", 7), (1, "two words", 5, "b", 7), (2, None, None, None, None)], "doc_id long, text string, row long, __body string, key long")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = sorted(map(tuple, D.find_contamination(docs, items, block_bytes, keep=("row", "text", "__body", "key")).collect()))
+    assert got == [(1, 2, [0, 2], ["20"], 5, "two words", "b", 7)] * 2 + [(2, 0, [], [], None, None, None, None)]
+
+
+def test_a_word_and_a_text_of_megabytes(spark):
+    docs = spark.createDataFrame([(1, "x" * 2_000_000), (2, "y " * 300_000 + "two words")], "doc_id long, text string")
+    got = D.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["hit_edges"], r["items"]) for r in got] == [(1, [], []), (300_002, [300_000, 300_002], ["20"])]
+
+
 def test_query_equals_brute_force(spark, sf_dir, rows):
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = registry.QUERIES["op7_benchmark_decontamination"](spark, sf_dir).collect()

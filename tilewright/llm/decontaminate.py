@@ -6,18 +6,16 @@ documents. Containment must be full, so a window's necessary prefix is its singl
 rarest shingle: documents are probed for those alone. Each hit fixes where the
 window would have to start; it must fit within the document, and then all words
 are compared. The benchmark is taken in blocks of a fixed size, each sent to all
-tasks, so that it may grow.
+tasks, and each adding its hits to the rows as they pass, so that it may grow.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,30 +182,38 @@ def _verified(ids: np.ndarray, windows: Windows, index: Index, matched) -> Itera
             yield size, st[same], nu[same]
 
 
-def _hits(shared, keep: tuple[str, ...] = ()) -> object:
+def _edges(n: int, runs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Starts and ends, in turn, of the maximal runs that (starts, ends) cover among ``n`` words."""
+    cover = np.zeros(n + 1, np.int64)
+    for starts, ends in runs:
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, ends, -1)
+    return np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])))
+
+
+def _scan(shared, keep: list[str], body: str, more: bool) -> object:
+    """Adds one block's hits to the rows' own; the text stays if there are ``more`` blocks."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, index = shared.value
         get = windows.vocabulary.get
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = _numbered(text or "", get)
+            out: list[list] = [[], [], []]
+            for text, edges, names in zip(*(batch.column(c).to_pylist() for c in (body, "hit_edges", "items")), strict=True):
+                ids = _numbered(text, get)
                 matched = {s: _matches(ids, s, t) for s, t in index.tables.items()}
-                cover, items = np.zeros(len(ids) + 1, np.int64), set()
+                runs, items = [(np.array(edges[::2], np.int64), np.array(edges[1::2], np.int64))] if edges else [], set(names)
                 for size, starts, numbers in _verified(ids, windows, index, matched):
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + size, -1)
+                    runs.append((starts, starts + size))
                     for number in np.unique(numbers):
                         items.update(windows.items[size][number])
-                covered = np.cumsum(cover[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
-                out[0].append(doc_id)
-                out[1].append(len(ids))
-                out[2].append(edges.tolist())
-                out[3].append(sorted(items))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)] + [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hit_edges", "items", *keep])
+                out[0].append(len(ids))
+                out[1].append(_edges(len(ids), runs).tolist() if runs else [])
+                out[2].append(sorted(items))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            kept = [*keep, *[body] * more]
+            columns = [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)], *[batch.column(c) for c in kept]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hit_edges", "items", *kept])
 
     return scan
 
@@ -228,55 +234,33 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def _union(hits: list[DataFrame]) -> DataFrame:
-    """One row per document of several blocks' hits, covering any overlap once."""
-    merged = reduce(DataFrame.unionByName, hits)
-
-    def merge(key, pdf):
-        cover = np.zeros(int(pdf["n_words"].iloc[0]) + 1, np.int64)
-        for edges in pdf["hit_edges"]:
-            np.add.at(cover, np.asarray(edges[::2], np.int64), 1)
-            np.add.at(cover, np.asarray(edges[1::2], np.int64), -1)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "n_words": [pdf["n_words"].iloc[0]], "hit_edges": [edges.tolist()], "items": [sorted({i for x in pdf["items"] for i in x})], "row": [pdf["row"].iloc[0]]})
-
-    return merged.groupBy("doc_id", "row").applyInPandas(merge, f"{_HITS}, row long")
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, hit_edges, items) and ``keep``: the documents' words inside occurrences of benchmark windows.
 
     hit_edges has the starts and ends of maximal hit runs, in words. A null or
-    empty text has no words, hence no hits; null item ids and texts are no items;
-    repeated rows of either table count as rows; other columns are ignored. With
-    no item at all every document is clean.
+    empty text has no words, hence no hits; texts are scanned whole at any length; null item
+    ids and texts are no items; repeated rows of either table count as rows; kept columns
+    stay whatever their names, but for the four of results; other columns are
+    ignored. With no item at all every document is clean; an empty table gives no rows.
+    The benchmark is taken block by block, each a pass over the rows that adds its hits.
     """
-    spark = docs.sparkSession
-    kept, keep = docs, tuple(c for c in keep if c not in ("doc_id", "n_words", "hit_edges", "items"))
-    fields = _HITS + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    docs = docs.select("doc_id", common.text_of())
-    hits = []
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    several = total > block_bytes
-    for block in _blocks(benchmark, block_bytes) if total else [[]]:
+    context = docs.sparkSession.sparkContext
+    names = [c for c in keep if c not in ("doc_id", "n_words", "hit_edges", "items")]
+    (body,) = common.unused([*docs.columns, *names], "body")
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    none = F.array().cast("array<long>").alias("hit_edges"), F.array().cast("array<string>").alias("items")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *none, *names, common.text_of().alias(body))
+    blocks = _blocks(benchmark, block_bytes)
+    block: list[tuple[str, str]] | None = next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
         windows = Windows.of(block)
-        counts = _counts(docs, spark.sparkContext.broadcast(windows)) if block else {}
-        shared = spark.sparkContext.broadcast((windows, Index.of(windows, counts)))
-        if several:  # rows need a name to be brought together again, as ids may repeat
-            hits.append(docs.withColumn("row", _row_key("text")).mapInArrow(_hits(shared, ("row",)), f"{_HITS}, row long"))
-        else:
-            source = kept.select("doc_id", *[c for c in keep if c != "text"], "text" if "text" in keep else common.text_of())
-            hits.append(source.mapInArrow(_hits(shared, keep), fields))
-    if not several:
-        return hits[0]
-    merged = _union(hits)
-    again = kept.withColumn("row", _row_key(common.text_of())).select("doc_id", "row", *keep)
-    return again.join(merged.withColumnRenamed("doc_id", "__id"), (F.col("__id").eqNullSafe(again["doc_id"])) & (merged["row"] == again["row"])).select("doc_id", "n_words", "hit_edges", "items", *keep)
-
-
-def _row_key(text):
-    """Names a row along with its id, so that equal (id, text) rows of several blocks' hits meet."""
-    return F.xxhash64(text)
+        counts = _counts(docs, context.broadcast(windows)) if block else {}
+        shared = context.broadcast((windows, Index.of(windows, counts)))
+        more = following is not None
+        rows = rows.mapInArrow(_scan(shared, names, body, more), _HITS + fields + f", `{body}` string" * more)
+        block = following
+    return rows.select("doc_id", "n_words", "hit_edges", "items", *names)
 
 
 def report(hits: DataFrame) -> DataFrame:
