@@ -44,6 +44,42 @@ def test_likeness_follows_jaccard():
         assert P.likeness(P.fingerprint(a)[1], P.fingerprint(b)[1]) == pytest.approx(exact, abs=0.2)
 
 
+def plain(text):
+    """The fingerprint by its definition, in whole numbers: hashes of the text and of each span, one by one."""
+    points = [ord(c) + 1 for c in text]
+
+    def hashed(part):
+        return [sum(x * pow(b, i, p) for i, x in enumerate(part)) % p for p, b in zip(P.MODULI, P.BASES, strict=True)]
+
+    size, bins = min(P.SPAN, len(points)), [2**32 - 1] * P.BINS
+    for i in range(len(points) - size + 1 if size else 0):
+        one, other = hashed(points[i : i + size])
+        x = (one << 31 | other) * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 % 2**64 >> 32
+        bins[x >> 26] = min(bins[x >> 26], x)
+    short = ["ffff" if x == 2**32 - 1 else f"{min(x >> 10 & 0xFFFF, 0xFFFE):04x}" for x in bins]
+    return f"{len(points):x}:" + "".join(f"{x:08x}" for x in hashed(points)) + ":" + "".join(short)
+
+
+def plain_likeness(a, b):
+    x, y = ([f.split(":")[2][i : i + 4] for i in range(0, 4 * P.BINS, 4)] for f in (a, b))
+    either = [(v, w) for v, w in zip(x, y, strict=True) if (v, w) != ("ffff", "ffff")]
+    return 1.0 if a == b else sum(v == w for v, w in either) / max(1, len(either))
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXT, TEXT)
+def test_fingerprints_and_likeness_by_definition(a, b):
+    x, y = P.fingerprint(a)[1], P.fingerprint(b)[1]
+    assert (x, y) == (plain(a), plain(b)) and P.likeness(x, y) == plain_likeness(x, y)
+
+
+def test_a_text_of_millions(spark):
+    docs = spark.createDataFrame([(1, "ab" * 1_000_000), (2, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in P.fingerprint_documents(docs, 2).collect()}
+    assert got[1] == (2_000_000, hashlib.sha256(("ab" * 500_000 + "x").encode()).hexdigest())
+
+
 def check(rows, got):
     order = sorted(((-(2**63) if d is None else d), t or "", d) for d, t in rows)
     order.sort(key=lambda x: -x[0])  # stable: equal ids by text

@@ -80,12 +80,14 @@ class PrefixHashes:
         return low
 
     def spans(self, length: int) -> np.ndarray:
-        """Hashes of all spans of ``length`` (of the whole text if it is shorter)."""
+        """Hashes of all spans of ``length`` (of the whole text if it is shorter): 31 bits of each modulus, so equal ones are equal spans."""
         length = min(length, self.n)
         if not length:
             return np.zeros(0, np.uint64)
-        s, p = self.prefix[0], np.uint64(MODULI[0])
-        return (s[length:] + p - s[:-length]) * self.back[0][: self.n + 1 - length] % p
+        out = np.zeros(self.n + 1 - length, np.uint64)
+        for s, b, p in zip(self.prefix, self.back, map(np.uint64, MODULI), strict=True):
+            out = (out << np.uint64(31)) | (s[length:] + p - s[:-length]) * b[: self.n + 1 - length] % p
+        return out
 
 
 def sketch(hashes: PrefixHashes) -> np.ndarray:
