@@ -36,6 +36,35 @@ def test_gradients_are_those_of_the_loss():
         assert grad[at] == pytest.approx((high - low) / (2 * step), rel=1e-3, abs=1e-7), k
 
 
+def test_scores_by_plain_arithmetic():
+    """Encoder, gates, attention and output, number by number."""
+    from math import exp, tanh
+
+    rng = np.random.default_rng(2)
+    x, offsets = rng.normal(size=(7, Q.N_FEATURES)), np.array([0, 1, 3, 7])
+    model = Q.Model.fresh(x, 4)
+    w, got = model.weights, model.score(x, offsets)
+    dot = lambda a, b: sum(float(p) * float(q) for p, q in zip(a, b, strict=True))
+    for bag in range(3):
+        encoded, weights = [], []
+        for row in x[offsets[bag] : offsets[bag + 1]]:
+            scaled = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [tanh(dot(scaled, w["W"][:, k]) + w["b"][k]) for k in range(Q.HIDDEN)]
+            gated = [tanh(dot(h, w["V"][:, k])) / (1 + exp(-dot(h, w["U"][:, k]))) for k in range(Q.GATE)]
+            encoded.append(h)
+            weights.append(exp(dot(gated, w["w"])))
+        pooled = [sum(a * h[k] for a, h in zip(weights, encoded, strict=True)) / sum(weights) for k in range(Q.HIDDEN)]
+        assert got[bag] == pytest.approx(1 / (1 + exp(-dot(pooled, w["c"]) - w["d"][0])))
+
+
+def test_what_fits_the_classifier_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FIT_PASSAGES", 5)
+    docs = spark.createDataFrame([(1, "word " * 4000)] * 50 + [(1, "short")] * 20 + [(2, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    x, offsets, marks = Q.training_rows(docs, labels, held_out=10**9)
+    assert len(marks) == 3 and np.diff(offsets).max() <= 5 and len(x) == offsets[-1]
+
+
 def test_attention_finds_the_one_bad_passage():
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))

@@ -187,7 +187,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of each whole text.
 
     Special tokens' strings are ordinary text. A null text is the empty text, which
-    has no ids; repeated rows and ids stay as they are; other columns are ignored.
+    has no ids; repeated rows and ids stay as they are; an empty table gives no rows; a
+    text or a word of any length is encoded whole; other columns are ignored.
     The decoded bytes are the text's UTF-8 bytes.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded

@@ -22,6 +22,8 @@ from tilewright.llm import common
 PASSAGE = 512
 #: Most labelled ids whose passages fit the classifier (the least hashes of the ids).
 SAMPLE = 3000
+#: Most passages of one text that fit the classifier, evenly spaced; scoring takes all.
+FIT_PASSAGES = 128
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 
@@ -175,15 +177,20 @@ def fit(x: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 12
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages, offsets and labels of at most ``sample`` labelled ids outside the held-out fold, by least hash of the id.
 
-    Conflicting labels of an id go by their mean. Executors encode the texts, so that only passages' features reach the driver.
+    Conflicting labels of an id go by their mean; of several rows of an id the one of the least text hash counts.
+    Executors encode the texts, so that only features of at most ``sample`` times FIT_PASSAGES passages reach the driver.
     """
     own = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     picked = own.filter(common.crc_mod("doc_id", held_out) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", common.text_of()).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [passages([t.encode()])[0].astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            made = []
+            for t in batch.column("text").to_pylist():
+                x = passages([t.encode()])[0]
+                made.append(x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(made, pa.binary())], names=["doc_id", "quality", "x"])
 
     # the order of partitions must not matter
