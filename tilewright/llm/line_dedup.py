@@ -103,6 +103,7 @@ def repeated_runs(levels: list[DataFrame], min_lines: int) -> DataFrame:
         follow = levels[j].select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("next"))
         part = common.written(part.withColumn("at", F.col("pos") + F.col("length")).join(follow, [*_DOC, "at"], "left").drop("at"), "line-next")
         heads = part.filter("next is not null").groupBy(*group, "next").agg(F.min(_place()).alias("sub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        heads = common.written(heads, "line-heads")  # a plain input, so that adaptive execution can split a hot part
         met = part.filter("next is not null").join(heads, [*group, "next"], "left")
         longer = (F.col("length") + (1 << j)).alias("length")
         stays = F.struct("head", F.col("length").alias("length"))
@@ -112,7 +113,7 @@ def repeated_runs(levels: list[DataFrame], min_lines: int) -> DataFrame:
         moved = met.select(*_PLACE, "level", F.explode(ways).alias("w")).select(*_PLACE, "w.head", "level", "w.length")
         alone = part.filter("next is null").select(*_PLACE, "head", "level", "length")
         before, items = items, common.written(moved.unionByName(alone).unionByName(items.filter(F.col("level") <= j)), "line-items")
-        common.discard(before, part)
+        common.discard(before, part, heads)
     runs = common.written(items.filter((F.col("head") != _place()) & (F.col("length") >= min_lines)).select(*_PLACE, "length"), "line-runs")
     common.discard(items)
     return runs

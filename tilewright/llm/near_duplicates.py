@@ -171,8 +171,11 @@ def least_likeness(members: DataFrame, nodes: DataFrame, threshold: float) -> fl
 def _buckets(members: DataFrame, depth: int) -> DataFrame:
     """(tree, first, id, n): each bucket's nodes, named by the least, and how many they are."""
     prefixed = members.select("tree", F.substring("key", 1, 4 * depth).alias("prefix"), "id")
-    own = prefixed.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return common.written(prefixed.join(own, ["tree", "prefix"]).select("tree", "first", "id", "n"), "near-buckets")
+    # written, as are others below, so that the join has two plain inputs, of which adaptive execution splits a hot key
+    own = common.written(prefixed.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-prefixes")
+    buckets = common.written(prefixed.join(own, ["tree", "prefix"]).select("tree", "first", "id", "n"), "near-buckets")
+    common.discard(own)
+    return buckets
 
 
 def _units(buckets: DataFrame) -> DataFrame:
@@ -291,7 +294,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     Of repeated rows one stays; all columns stay.
     """
     found = common.written(_classified(docs, threshold, recall).select("doc_id", "text_key", "component"), "near-found")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    first = common.written(found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "near-first")
     gone = common.written(found.join(first, "component").filter(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))).select("doc_id", "text_key").distinct(), "near-gone")
     repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
     key, id_, other = common.unused(docs.columns, "key", "id", "other")
@@ -330,7 +333,7 @@ def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     joined = common.components(verified.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")), "near-classes")
     classes = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = classes.groupBy("component").agg(F.min("least").alias("class_id"))
+    least = common.written(classes.groupBy("component").agg(F.min("least").alias("class_id")), "near-least")
     known = classes.join(least, "component").join(links, "id", "left")
     known = known.select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     return sets.select("doc_id", "text_key", "node").join(known, "node").select("doc_id", "text_key", "component", "class_id", "n_links", "n_copies")
