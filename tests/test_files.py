@@ -265,3 +265,33 @@ def test_labels_are_those_of_a_flood():
                     want[a, b] = n
                     stack += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         assert (labels == want).all() and len(firsts) == n
+
+
+def test_cancel_stops_what_runs_under_the_tasks_tag(spark, tmp_path):
+    import time
+
+    from pyspark import InheritableThread
+
+    engine, ended = api.Engine(spark, str(tmp_path), str(tmp_path / "log"), str(tmp_path / "store")), []
+
+    def slow(batches):
+        for batch in batches:
+            time.sleep(20)
+            yield batch
+
+    def work():
+        spark.addTag("t9")
+        try:
+            spark.range(2, numPartitions=2).mapInArrow(slow, "id long").count()
+        except Exception as e:
+            ended.append(str(e))
+        finally:
+            spark.removeTag("t9")
+
+    thread, start = InheritableThread(target=work), time.time()
+    thread.start()
+    while not ended and time.time() - start < 60:
+        time.sleep(0.5)
+        engine.cancel("t9")
+    thread.join(60)
+    assert ended and "cancel" in ended[0].lower()
