@@ -172,7 +172,7 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[slice]:
     """Runs of texts of bounded bytes; a longer text is a run of its own."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
