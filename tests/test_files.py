@@ -280,13 +280,11 @@ def test_cancel_stops_what_runs_under_the_tasks_tag(spark, tmp_path):
             yield batch
 
     def work():
-        spark.addTag("t9")
         try:
-            spark.range(2, numPartitions=2).mapInArrow(slow, "id long").count()
+            with engine.running("t9"):
+                spark.range(2, numPartitions=2).mapInArrow(slow, "id long").count()
         except Exception as e:
             ended.append(str(e))
-        finally:
-            spark.removeTag("t9")
 
     thread, start = InheritableThread(target=work), time.time()
     thread.start()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,18 @@ class Engine:
         return slides.find_result(self.spark, folder)
 
     def cancel(self, task_id: str) -> None:
-        """Stop the jobs that run under the task's tag."""
-        self.spark.interruptTag(task_id)
+        """Stop the jobs that run under the task's tag, in whatever thread."""
+        self.spark.sparkContext.cancelJobsWithTag(task_id)
+
+    @contextmanager
+    def running(self, task_id: str) -> Iterator[None]:
+        """Jobs of this thread belong to the task meanwhile, so that it can be cancelled."""
+        context = self.spark.sparkContext
+        context.addJobTag(task_id)
+        try:
+            yield
+        finally:
+            context.removeJobTag(task_id)
 
     def system_info(self) -> DataFrame:
         g = self.config.grid
@@ -72,8 +85,9 @@ class Engine:
         """Scored objects; the abnormal ones go to the store if ``keep``."""
         found = pipeline.screen(tiles, detector, self.config, dedup).withColumn("task_id", F.lit(task_id))
         if keep:
-            self.store.create()
-            self.store.insert(report.feature_records(found.filter("is_abnormal")))
+            with self.running(task_id):
+                self.store.create()
+                self.store.insert(report.feature_records(found.filter("is_abnormal")))
         return found
 
     def screening_results(self, found: DataFrame) -> DataFrame:
