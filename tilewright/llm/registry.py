@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, common, decontaminate, fingerprint, hidden_markov, licenses, line_dedup, near_duplicates, quality, range_coder, run_index
+from tilewright.llm import alignment, bpe, chat, common, decontaminate, fingerprint, hidden_markov, licenses, line_dedup, near_duplicates, periodic_runs, quality, range_coder, run_index
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +64,28 @@ def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.report(run_index.repeated_spans(common.table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output, op10_run_length_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", periodic_runs.with_repeats().alias("text"))
+    return periodic_runs.report(periodic_runs.find_runs(docs))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return alignment.align_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.report(chat.render(chat.reconstruct(chat.log_of(rows.unionByName(marks)))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_hidden_markov_scores, op5_quality_classifier, op6_license_scan, op7_benchmark_decontamination, op8_document_fingerprints, op9_token_id_output, op10_run_length_dedup, op11_periodic_runs, op12_token_alignment, op13_chat_format)}
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": near_duplicates.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op10_run_length_dedup": run_index.ORACLE,
+    "op13_chat_format": chat.ORACLE,
 }
