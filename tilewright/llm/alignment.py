@@ -25,9 +25,9 @@ from tokenizers import Tokenizer
 from tilewright.llm import common
 
 #: Most distinct chunks that a worker keeps between batches; beyond it the cache starts anew.
-CACHE = 500_000
+CACHE = 200_000
 #: Bytes of text whose links are counted together, and that are worked on together.
-BLOCK_BYTES, TOGETHER = 8 << 20, 2 << 20
+BLOCK_BYTES, TOGETHER = 8 << 20, 1 << 20
 #: Bits of a second id in a pair's number.
 SHIFT = 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
