@@ -40,12 +40,7 @@ def whole(spark, path, level=0):
     return out
 
 
-@pytest.fixture
-def source(spark):
-    spark.dataSource.register(tiff.SlideSource)
-
-
-def test_a_pyramid_is_read_as_written(spark, source, tmp_path):
+def test_a_pyramid_is_read_as_written(spark, tmp_path):
     image, path = picture(150, 211), str(tmp_path / "a.ome.tiff")
     size = tiff.write_pyramid(tiles_of(spark, image, 32), path, 211, 150, 32, levels=3, mpp=(0.25, 0.5))
     assert size == (tmp_path / "a.ome.tiff").stat().st_size
@@ -184,7 +179,7 @@ def test_random_cuts_repeat_by_seed(spark):
     assert all(data in cuts for path, data in first.items() if path != "small")
 
 
-def test_a_slide_goes_from_upload_to_pyramid(spark, source, tmp_path):
+def test_a_slide_goes_from_upload_to_pyramid(spark, tmp_path):
     """Plain tissue on white: upscaled by repeating pixels and blended, it is itself."""
     image = np.full((200, 260, 3), 255, np.uint8)
     image[20:150, 30:220] = (90, 120, 60)
@@ -202,6 +197,14 @@ def test_a_slide_goes_from_upload_to_pyramid(spark, source, tmp_path):
     inside[40:300, 60:440] = True
     assert np.abs(made[inside].astype(int) - want[inside]).max() <= 1
     assert engine.process_slide("case", block=64).count() > 0
+    plain, sessions = spark.newSession(), spark._jvm.org.apache.spark.sql.classic.SparkSession
+    with pytest.raises(Exception, match="DATA_SOURCE_NOT_FOUND"):  # nothing is registered in it
+        plain.read.format("slide").load(target)
+    sessions.setActiveSession(plain._jsparkSession)
+    try:
+        assert api.Engine(plain, str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "store"), config).process_slide("case", block=64).count() > 0
+    finally:
+        sessions.setActiveSession(spark._jsparkSession)
     with pytest.raises(FileNotFoundError):
         engine.slide_path("nothing")
 

@@ -76,10 +76,10 @@ class Engine:
             return pipeline.process_file(self.spark, self.slide_path(slide), model, self.config, block)[0]
         return pipeline.process_slide(slide, model, self.config, block)
 
-    def export_slide(self, slide: str, target: str, model=None, block: int = 2048, levels: int = 4) -> int:
+    def export_slide(self, slide: str, target: str, model=None, block: int = 2048, levels: int = 4, compression: str = "deflate") -> int:
         """Process an upload and write the result as one pyramid file; its number of bytes."""
         blocks, (w, h), mpp = pipeline.process_file(self.spark, self.slide_path(slide), model, self.config, block)
-        return tiff.write_pyramid(pipeline.block_tiles(blocks, w, h, block), target, w, h, block, levels, mpp)
+        return tiff.write_pyramid(pipeline.block_tiles(blocks, w, h, block), target, w, h, block, levels, mpp, compression)
 
     def screen(self, tiles: DataFrame, task_id: str, detector=None, keep: bool = True, dedup: bool = False) -> DataFrame:
         """Scored objects; the abnormal ones go to the store if ``keep``."""

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from tilewright.config import EngineConfig
 from tilewright.functions import geometry, shape
-from tilewright.operators import blend, detect, grid, raster, report, tissue
+from tilewright.operators import area, blend, detect, grid, raster, report
 from tilewright.sources import tiff
 from tilewright.streaming import micro
 
 
+#: Cells a side that a slide's tissue mask has at most, where its tiles can be parted into cells.
+MASK_SIDE = 4096
+
+
 class TileModel(Protocol):
     """Upscales a stack of n x h x w x 3 byte images."""
 
@@ -59,17 +63,22 @@ def process_slide(tiles: DataFrame, model: TileModel | None = None, config: Engi
 def process_file(spark: SparkSession, path: str, model: TileModel | None = None, config: EngineConfig = EngineConfig(), block: int = 2048) -> tuple[DataFrame, tuple[int, int], tuple[float, float] | None]:
     """process_slide of one file: its tissue's box is cut into the grid's tiles that hold tissue; also the result's size and microns per pixel.
 
-    The tissue is looked for in the smallest level.
+    The tissue is looked for in the smallest level, by cells of so many of its pixels that a mask has some MASK_SIDE a side,
+    if its tiles can be parted so. The file's index is read once by the driver and once a task.
     """
+    spark.dataSource.register(tiff.SlideSource)
     levels = tiff.read_levels(path)
     w, h, last = levels[0].w, levels[0].h, len(levels) - 1
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     slide = spark.createDataFrame([(stem, path, 0, 0, w, h)], "stem string, wsi_path string, x0 int, y0 int, w int, h int")
     tiles = grid.tile_grid(slide, config.grid, cover=True)
-    downsample = max(1, round(w / levels[last].w))
-    small = spark.read.format("slide").option("level", str(last)).load(path)
-    cells = tissue.mask_cells(small, path, config.grid.brightness)
-    held = tissue.tissue_tiles(tiles, cells, downsample, config.grid.min_tissue).select("tile_id")
+    small, own = spark.read.format("slide").option("level", str(last)).load(path), levels[last]
+    cell = 1
+    while max(own.w, own.h) > MASK_SIDE * cell and own.tile_w % (2 * cell) == 0 and own.tile_h % (2 * cell) == 0:
+        cell *= 2
+    mask = area.mask_blocks(small, path, config.grid.brightness, cell)
+    side = own.tile_h // cell, own.tile_w // cell
+    held = area.tissue_tiles(tiles, mask, side, max(1, round(w / own.w)) * cell, config.grid.min_tissue).select("tile_id")
     cut = tiff.cut_tiles(spark, path, tiles.join(held, "tile_id", "left_semi"))
     mpp = tuple(m / config.grid.scale for m in levels[0].mpp) if levels[0].mpp else None
     return process_slide(cut, model, config, block), (w * config.grid.scale, h * config.grid.scale), mpp

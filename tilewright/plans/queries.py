@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, shape
-from tilewright.operators import blend, detect, grid, jobs, metrics, raster, report, search, tissue
+from tilewright.operators import area, blend, detect, grid, jobs, metrics, raster, report, search, tissue
 from tilewright.plans import proxies as P
 from tilewright.schemas import NUCLEUS_RECORD
-from tilewright.sources import scratch, slides
+from tilewright.sources import scratch, slides, tiff
 from tilewright.sources.slides import admissible
 from tilewright.sources.store import FeatureStore
 
@@ -149,6 +149,23 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.col("wsi_path").alias("slide"), "my", "mx", F.when((F.col("my") * 7 + F.col("mx") * 13 + F.col("p_partkey")) % 10 < 2, 255).otherwise(0).alias("mask"))
 
 
+_SIDE = 32
+
+
+def _mask_blocks(s: DataFrame) -> DataFrame:
+    """The cells of _cells in blocks."""
+    rows, columns = (F.ceil(F.col(c) / 128).cast("int") + 1 for c in ("h", "w"))
+    blocks = s.select(F.col("wsi_path").alias("slide"), "p_partkey", rows.alias("rows"), columns.alias("columns"), F.explode(F.sequence(F.lit(0), F.floor((rows - 1) / _SIDE).cast("int"))).alias("block_row"))
+    blocks = blocks.withColumn("block_col", F.explode(F.sequence(F.lit(0), F.floor((F.col("columns") - 1) / _SIDE).cast("int"))))
+    y, x = F.col("block_row") * _SIDE, F.col("block_col") * _SIDE
+    blocks = blocks.withColumn("h", F.least(F.lit(_SIDE), F.col("rows") - y)).withColumn("w", F.least(F.lit(_SIDE), F.col("columns") - x))
+    # along a row, cells repeat every ten: cell x is true where (7 my + p_partkey + 3 x) % 10 < 2, and 3 * 7 is 1 modulo 10
+    ten = "".join("01" if 3 * i % 10 < 2 else "00" for i in range(10))
+    row = lambda i: F.substring(F.lit(ten * (_SIDE // 10 + 2)), ((((y + i) * 7 + F.col("p_partkey")) * 7 + x) % 10 * 2 + 1).cast("int"), F.col("w") * 2)
+    mask = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("h") - 1), row), ""))
+    return blocks.select("slide", "block_row", "block_col", "h", "w", mask.alias("mask"))
+
+
 _CELLS = """
 cells AS (
     SELECT wsi_path AS slide, CAST(a.i AS INTEGER) AS my, CAST(b.i AS INTEGER) AS mx, CASE WHEN (a.i * 7 + b.i * 13 + p_partkey) % 10 < 2 THEN 255 ELSE 0 END AS mask
@@ -161,7 +178,8 @@ SELECT t.wsi_path, t.tile_id, round(avg(CASE WHEN mask > 0 THEN 1.0::DOUBLE ELSE
 FROM tiles t JOIN cells c ON c.slide = t.wsi_path AND c.my BETWEEN floor(t.y / 128) AND greatest(floor(t.y / 128), floor((t.y + t.height) / 128) - 1) AND c.mx BETWEEN floor(t.x / 128) AND greatest(floor(t.x / 128), floor((t.x + t.width) / 128) - 1)
 GROUP BY t.wsi_path, t.tile_id HAVING avg(CASE WHEN mask > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.1::DOUBLE""")
 def tissue_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tissue.tissue_tiles_of_grid(P.slides(spark, sf_dir), _cells(spark, sf_dir), 128))
+    s = P.slides(spark, sf_dir)
+    return rounded(area.tissue_tiles(grid.tile_grid(s), _mask_blocks(s), (_SIDE, _SIDE), 128))
 
 
 @query(f"WITH {P.PIXELS} SELECT slide, y, x, event_id, CASE WHEN (r + g + b) / 3.0::DOUBLE < 120 THEN 1 ELSE 0 END AS mask FROM pixels")
@@ -687,6 +705,35 @@ def strip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.strip_plan(grid.output_dims(P.slides(spark, sf_dir)))
 
 
+@query("""WITH numbered AS (SELECT *, p_partkey AS k FROM part)
+SELECT CAST(k // 64 AS INTEGER) AS row, CAST(k % 64 AS INTEGER) AS col, CAST(k * 7 % 256 AS INTEGER) AS r, CAST(k * 13 % 256 AS INTEGER) AS g, CAST(p_size AS INTEGER) AS b FROM numbered""")
+def slide_file_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of a tile for each part, each of one colour, written with LZW and read back."""
+    k = F.col("p_partkey").cast("long")
+    colours = [F.lpad(F.hex(c), 2, "0") for c in (k * 7 % 256, k * 13 % 256, F.col("p_size").cast("long"))]
+    tiles = P.table(spark, sf_dir, "part").select(F.floor(k / 64).cast("int").alias("row"), (k % 64).cast("int").alias("col"), F.lit(16).alias("h"), F.lit(16).alias("w"), F.unhex(F.repeat(F.concat(*colours), 256)).alias("data"))
+    path = scratch.place(spark, "slide-file").removeprefix("file:")
+    rows = tiles.agg(F.max("row")).first()[0] + 1
+    tiff.write_pyramid(tiles, path, 64 * 16, rows * 16, 16, compression="lzw")
+    found = spark.read.format("slide").option("rowsPerPartition", max(1, rows // 32)).load(path).filter("h = 16 and w = 16")
+    parts = [F.conv(F.hex(F.substring("data", i + 1, 1)), 16, 10).cast("int").alias(c) for i, c in enumerate("rgb")]
+    # tiles of one colour: the first pixel's bytes, repeated, are all of them
+    whole = F.unhex(F.repeat(F.hex(F.substring("data", 1, 3)), 256)) == F.col("data")
+    return found.filter(whole).select("row", "col", *parts).join(tiles.select("row", "col"), ["row", "col"], "left_semi")
+
+
+@query("""SELECT p_partkey, CAST(i AS INTEGER) AS block, CAST(CASE i WHEN 0 THEN p_size WHEN 1 THEN p_partkey % 256 WHEN 2 THEN (p_partkey * 7 + p_size) % 256 ELSE 255 END AS INTEGER) AS level
+FROM part, LATERAL unnest(range(4)) u(i)""")
+def jpeg_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of four grey blocks for each part as a JPEG stream without loss of its means, decoded again."""
+    k = F.col("p_partkey").cast("int")
+    levels = F.array(F.col("p_size").cast("int"), k % 256, (k * 7 + F.col("p_size").cast("int")) % 256, F.lit(255))
+    streams = slides.encode_jpeg_blocks(P.table(spark, sf_dir, "part").select("p_partkey", levels.alias("levels")), "p_partkey")
+    decoded = streams.select("p_partkey", slides.decode_image("content").alias("image"))
+    first = lambda i: F.conv(F.hex(F.substring("image.data", (i % 2 * 8 + F.floor(i / 2) * 8 * 16).cast("int") * 3 + 1, 1)), 16, 10).cast("int")
+    return decoded.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), first(F.lit(i)).alias("level")) for i in range(4)])).alias("e")).select("p_partkey", "e.block", "e.level")
+
+
 @query("""SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]+)$', 1), '\\.[^.]+$', '') AS stem, lower(regexp_extract(url, '\\.[^./]+$', 0)) AS suffix, printf('p_%04d', page_id % 10000) AS padded, replace(url, '_super_resolved', '') AS plain, concat_ws('; ', 'page', CAST(page_id AS VARCHAR)) AS joined FROM pages""")
 def string_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.regexp_extract("url", "([^/]+)$", 1)

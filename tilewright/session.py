@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tilewright.sources.tiff import SlideSource
+
 
 def build_session(app: str = "tilewright", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; ``conf`` uses ``__`` for dots (``spark__sql__shuffle__partitions``)."""
+    """A session in UTC with adaptive execution that reads ``slide`` files; ``conf`` uses ``__`` for dots (``spark__sql__shuffle__partitions``)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -20,4 +22,6 @@ def build_session(app: str = "tilewright", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    session.dataSource.register(SlideSource)
+    return session

@@ -9,12 +9,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from tilewright.config import IngestConfig
+from tilewright.sources import jpeg
 
 _SUFFIX = r"\.[^./]+$"
 
@@ -124,6 +126,9 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
 
 def decode(data: bytes) -> np.ndarray:
     """An image of a kind that its first bytes tell."""
+    if data[:2] == b"\xff\xd8":
+        image = jpeg.decode(data)
+        return np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image
     return decode_png(data) if data[:4] == b"\x89PNG" else decode_ppm(data)
 
 
@@ -229,6 +234,17 @@ class TileSource(DataSource):
 
 @F.pandas_udf(StructType([StructField("h", IntegerType()), StructField("w", IntegerType()), StructField("data", BinaryType())]))
 def decode_image(content: pd.Series) -> pd.DataFrame:
-    """binaryFile contents (PNG, PPM, PGM) to pixels."""
+    """binaryFile contents (PNG, JPEG, PPM, PGM) to pixels."""
     images = [decode(bytes(c)) for c in content]
     return pd.DataFrame({"h": [i.shape[0] for i in images], "w": [i.shape[1] for i in images], "data": [i.tobytes() for i in images]})
+
+
+def encode_jpeg_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, content) of (key, levels): JPEG images of 2 x 2 blocks of 8 x 8 pixels, each of one grey level, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [np.array(x, np.uint8).reshape(2, 2).repeat(8, axis=0).repeat(8, axis=1)[:, :, None] for x in batch.column("levels").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([jpeg.encode(x, 0.0) for x in levels], pa.binary())], names=[key, "content"])
+
+    return rows.select(key, "levels").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, content binary")

@@ -1,7 +1,7 @@
 """Tiled TIFF and BigTIFF: headers, regions, a tile source for Spark, and a parallel writer of pyramids.
 
-Reads 8-bit chunky images in tiles or strips, uncompressed, deflate, LZW or PackBits, with or
-without horizontal prediction; levels are the file's chained and sub-directories.
+Reads 8-bit chunky images in tiles or strips, uncompressed, deflate, LZW, PackBits or JPEG (with tables that tiles share),
+with or without horizontal prediction; levels are the file's chained and sub-directories. Writes deflate, LZW or JPEG.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from tilewright.sources import scratch
+from tilewright.sources import jpeg, scratch
 
 # fixed values: the format's field types (size, struct letter), tags and compressions
 _KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_SIZES = 256, 257, 258, 259, 262, 270, 273, 277, 278, 279
-X_RESOLUTION, Y_RESOLUTION, PLANAR, UNIT, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SUB_LEVELS = 282, 283, 284, 296, 317, 322, 323, 324, 325, 330
-PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACK_BITS = 1, 5, 8, 32946, 32773
+X_RESOLUTION, Y_RESOLUTION, PLANAR, UNIT, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SUB_LEVELS, JPEG_TABLES, SUB_SAMPLING = 282, 283, 284, 296, 317, 322, 323, 324, 325, 330, 347, 530
+PLAIN, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACK_BITS = 1, 5, 7, 8, 32946, 32773
+RGB, YCBCR = 2, 6
 
 
 @dataclass
@@ -40,10 +41,12 @@ class Level:
     tile_h: int
     compression: int
     predictor: int
-    offsets: list[int]
-    sizes: list[int]
+    offsets: np.ndarray
+    sizes: np.ndarray
     description: str
     mpp: tuple[float, float] | None
+    photometric: int = RGB
+    tables: bytes = b""
 
     @property
     def columns(self) -> int:
@@ -94,7 +97,12 @@ def read_levels(path: str) -> list[Level]:
                 if n * length > inline:
                     f.seek(struct.unpack(f"{order}{'Q' if big else 'I'}", data)[0])
                     data = f.read(n * length)
-                tags[tag] = data[:n].rstrip(b"\0") if kind == 2 else struct.unpack(f"{order}{letter * n}", data[: n * length])
+                if tag in (TILE_OFFSETS, TILE_SIZES, STRIP_OFFSETS, STRIP_SIZES):
+                    tags[tag] = np.frombuffer(data, f"{order}u{length}", n).astype(np.int64)
+                elif kind in (2, 7):
+                    tags[tag] = data[:n].rstrip(b"\0") if kind == 2 else data[:n]
+                else:
+                    tags[tag] = struct.unpack(f"{order}{letter * n}", data[: n * length])
             following = [*tags.get(SUB_LEVELS, ()), *following, after]
             if WIDTH in tags and (TILE_OFFSETS in tags or STRIP_OFFSETS in tags):
                 levels.append(_level(tags, path))
@@ -104,12 +112,12 @@ def read_levels(path: str) -> list[Level]:
 def _level(tags: dict, path: str) -> Level:
     w, h, channels = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
     compression = tags.get(COMPRESSION, (PLAIN,))[0]
-    if any(b != 8 for b in tags.get(BITS, (1,))) or tags.get(PLANAR, (1,))[0] != 1 or compression not in (PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACK_BITS):
-        raise ValueError(f"{path}: only 8-bit chunky images, uncompressed, deflate, LZW or PackBits")
+    if any(b != 8 for b in tags.get(BITS, (1,))) or tags.get(PLANAR, (1,))[0] != 1 or compression not in (PLAIN, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACK_BITS):
+        raise ValueError(f"{path}: only 8-bit chunky images, uncompressed, deflate, LZW, PackBits or JPEG")
     tiled = TILE_OFFSETS in tags
     tile = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(STRIP_ROWS, (h,))[0]))
     mpp = _microns(tags, X_RESOLUTION), _microns(tags, Y_RESOLUTION)
-    return Level(w, h, channels, *tile, compression, tags.get(PREDICTOR, (1,))[0], list(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS]), list(tags[TILE_SIZES if tiled else STRIP_SIZES]), bytes(tags.get(DESCRIPTION, b"")).decode(errors="replace"), mpp if all(mpp) else None)
+    return Level(w, h, channels, *tile, compression, tags.get(PREDICTOR, (1,))[0], tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES], bytes(tags.get(DESCRIPTION, b"")).decode(errors="replace"), mpp if all(mpp) else None, tags.get(PHOTOMETRIC, (RGB,))[0], bytes(tags.get(JPEG_TABLES, b"")))
 
 
 def _lzw(data: bytes) -> bytes:
@@ -136,6 +144,51 @@ def _lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def lzw(data: bytes) -> bytes:
+    """``data`` in the format's LZW, as _lzw reads it: a clear code first and whenever the table is full."""
+    first = {bytes([i]): i for i in range(256)}
+    table, following, width, held, bits = dict(first), 258, 9, 256, 9
+    out, word = bytearray(), b""
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        if bits >= 4096:
+            rest = bits & 7
+            out.extend((held >> rest).to_bytes(bits >> 3, "big"))
+            held, bits = held & ((1 << rest) - 1), rest
+
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer], following = following, following + 1
+        word = data[i : i + 1]
+        if following == 4094:
+            put(256)
+            table, following, width = dict(first), 258, 9
+        else:
+            width = max(9, following.bit_length())
+    if word:
+        put(table[word])
+        following += 1
+        width = max(9, following.bit_length())
+    put(257)
+    held, bits = held << (-bits & 7), bits + (-bits & 7)
+    return bytes(out) + held.to_bytes(bits >> 3, "big")
+
+
+def _squeezed(image: np.ndarray, compression: str) -> bytes:
+    """A tile's bytes as they are stored: deflate and LZW after horizontal prediction, or JPEG."""
+    if compression == "jpeg":
+        return jpeg.encode(image)
+    ahead = image.copy()
+    ahead[:, 1:] -= image[:, :-1]
+    return lzw(ahead.tobytes()) if compression == "lzw" else zlib.compress(ahead.tobytes(), 6)
+
+
 def _pack_bits(data: bytes) -> bytes:
     out, at = [], 0
     while at < len(data):
@@ -156,8 +209,10 @@ def read_tile(f, level: Level, row: int, column: int) -> np.ndarray:
     n = row * level.columns + column
     if not level.sizes[n]:
         return np.zeros((h, w, level.channels), np.uint8)
-    f.seek(level.offsets[n])
-    data = f.read(level.sizes[n])
+    f.seek(int(level.offsets[n]))
+    data = f.read(int(level.sizes[n]))
+    if level.compression == JPEG:
+        return jpeg.decode(data, level.tables, rgb={RGB: True, YCBCR: False}.get(level.photometric))[:h, :w]
     if level.compression in (DEFLATE, OLD_DEFLATE):
         data = zlib.decompress(data)
     elif level.compression != PLAIN:
@@ -171,18 +226,21 @@ def read_tile(f, level: Level, row: int, column: int) -> np.ndarray:
 
 def read_region(path: str, x: int, y: int, w: int, h: int, level: int = 0) -> np.ndarray:
     """A region of a level as h x w x 3; (x, y) are pixels of level 0, and what lies outside is black."""
-    levels = read_levels(path)
+    with open(path, "rb") as f:
+        return _region(f, read_levels(path), x, y, w, h, level)
+
+
+def _region(f, levels: list[Level], x: int, y: int, w: int, h: int, level: int) -> np.ndarray:
     own = levels[level]
     x, y = x * own.w // levels[0].w, y * own.h // levels[0].h
     out = np.zeros((h, w, own.channels), np.uint8)
-    with open(path, "rb") as f:
-        for row in range(max(0, y // own.tile_h), min(own.rows, -(-(y + h) // own.tile_h))):
-            for column in range(max(0, x // own.tile_w), min(own.columns, -(-(x + w) // own.tile_w))):
-                tile = read_tile(f, own, row, column)
-                top, left = row * own.tile_h, column * own.tile_w
-                y0, x0, y1, x1 = max(y, top), max(x, left), min(y + h, top + tile.shape[0]), min(x + w, left + tile.shape[1])
-                if y0 < y1 and x0 < x1:
-                    out[y0 - y : y1 - y, x0 - x : x1 - x] = tile[y0 - top : y1 - top, x0 - left : x1 - left]
+    for row in range(max(0, y // own.tile_h), min(own.rows, -(-(y + h) // own.tile_h))):
+        for column in range(max(0, x // own.tile_w), min(own.columns, -(-(x + w) // own.tile_w))):
+            tile = read_tile(f, own, row, column)
+            top, left = row * own.tile_h, column * own.tile_w
+            y0, x0, y1, x1 = max(y, top), max(x, left), min(y + h, top + tile.shape[0]), min(x + w, left + tile.shape[1])
+            if y0 < y1 and x0 < x1:
+                out[y0 - y : y1 - y, x0 - x : x1 - x] = tile[y0 - top : y1 - top, x0 - left : x1 - left]
     return rgb(out)
 
 
@@ -262,13 +320,14 @@ def slide_info(paths: DataFrame) -> DataFrame:
 def cut_tiles(spark: SparkSession, path: str, grid: DataFrame, level: int = 0) -> DataFrame:
     """(slide, row, col, h, w, data) of a tile grid (wsi_path, row, col, x, y, width, height) over one file.
 
-    Each task opens the file for the grid tiles it has and reads the stored tiles below them.
+    Each task opens the file and reads its index once, and the stored tiles below the grid tiles it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                image = read_region(path, r["x"], r["y"], r["width"], r["height"], level)
+        levels = read_levels(path)
+        with open(path, "rb") as f:
+            for r in (r for batch in batches for r in batch.to_pylist()):
+                image = _region(f, levels, r["x"], r["y"], r["width"], r["height"], level)
                 yield pa.RecordBatch.from_arrays([pa.array([r["wsi_path"]]), *[pa.array([v], pa.int32()) for v in (r["row"], r["col"], *image.shape[:2])], pa.array([image.tobytes()], pa.binary())], names=["slide", "row", "col", "h", "w", "data"])
 
     return grid.select("wsi_path", "row", "col", "x", "y", "width", "height").mapInArrow(run, "slide string, row int, col int, h int, w int, data binary")
@@ -306,24 +365,25 @@ def halved(tiles: DataFrame, tile: int) -> DataFrame:
     return kept.groupBy("to_row", "to_col").applyInArrow(merge, "row int, col int, h int, w int, data binary")
 
 
-def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels: int = 1, mpp: tuple[float, float] | None = None) -> int:
+def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels: int = 1, mpp: tuple[float, float] | None = None, compression: str = "deflate") -> int:
     """Write (row, col, h, w, data) tiles of a w x h RGB image as one BigTIFF with reduced levels; the number of its bytes.
 
+    ``compression`` is deflate, lzw or jpeg (with loss; levels are reduced from what was given).
+
     Each level comes from the one above, tile by tile, and is kept compressed in the scratch
     folder. Then tiles' sizes fix where each lies: the driver writes the header and the
     file's own index (16 bytes a tile), and tasks put their tiles in place in any order, as
     often as they are run. ``path`` is a file that the driver and all executors can open.
     """
-    if w < 1 or h < 1 or tile % 16:
-        raise ValueError("an image has pixels, and tiles of a multiple of 16")
+    if w < 1 or h < 1 or tile % 16 or compression not in _COMPRESSIONS:
+        raise ValueError(f"an image has pixels, tiles of a multiple of 16 and one of {', '.join(_COMPRESSIONS)}")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                image = np.zeros((tile, tile, 3), np.uint8)
-                image[: r["h"], : r["w"]] = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 3)
-                out.append(zlib.compress(image.tobytes(), 6))
+                image = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 3)
+                out.append(_squeezed(np.pad(image, ((0, tile - r["h"]), (0, tile - r["w"]), (0, 0)), mode="edge"), compression))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), pa.array(out, pa.binary())], names=["row", "col", "data"])
 
     spark, made, sizes = tiles.sparkSession, [], [(w, h)]
@@ -339,7 +399,7 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
     for other in made[1:]:
         packed = packed.unionByName(other)
     index = packed.select("level", "row", "col", F.octet_length("data").alias("size")).orderBy("level", "row", "col").collect()
-    head, places, total = _layout(index, sizes, tile, ome_xml(w, h, 3, mpp, os.path.basename(path)), mpp)
+    head, places, total = _layout(index, sizes, tile, ome_xml(w, h, 3, mpp, os.path.basename(path)), mpp, compression)
     with open(path, "wb") as f:
         f.truncate(total)
         for at, data in head:
@@ -364,7 +424,10 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
     return total
 
 
-def _layout(index: list, sizes: list[tuple[int, int]], tile: int, description: str, mpp: tuple[float, float] | None) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int, int]], int]:
+_COMPRESSIONS = {"deflate": DEFLATE, "lzw": LZW, "jpeg": JPEG}
+
+
+def _layout(index: list, sizes: list[tuple[int, int]], tile: int, description: str, mpp: tuple[float, float] | None, compression: str) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int, int]], int]:
     """(place, bytes) of header and directories, places of tiles (level, row, col, at) and the file's length."""
     at, places, found = 16, [], {}
     for r in index:
@@ -378,9 +441,10 @@ def _layout(index: list, sizes: list[tuple[int, int]], tile: int, description: s
         own = [found.get((level, y, x), (0, 0)) for y in range(-(-h // tile)) for x in range(-(-w // tile))]
         fields: list[tuple[int, int, int, bytes]] = [
             (254, 4, 1, struct.pack("<I", int(level > 0))), (WIDTH, 4, 1, struct.pack("<I", w)), (HEIGHT, 4, 1, struct.pack("<I", h)), (BITS, 3, 3, struct.pack("<3H", 8, 8, 8)),
-            (COMPRESSION, 3, 1, struct.pack("<H", DEFLATE)), (PHOTOMETRIC, 3, 1, struct.pack("<H", 2)), (SAMPLES, 3, 1, struct.pack("<H", 3)), (PLANAR, 3, 1, struct.pack("<H", 1)),
+            (COMPRESSION, 3, 1, struct.pack("<H", _COMPRESSIONS[compression])), (PHOTOMETRIC, 3, 1, struct.pack("<H", YCBCR if compression == "jpeg" else RGB)), (SAMPLES, 3, 1, struct.pack("<H", 3)), (PLANAR, 3, 1, struct.pack("<H", 1)),
             (TILE_WIDTH, 3, 1, struct.pack("<H", tile)), (TILE_HEIGHT, 3, 1, struct.pack("<H", tile)), (TILE_OFFSETS, 16, len(own), struct.pack(f"<{len(own)}Q", *[o for o, _ in own])), (TILE_SIZES, 16, len(own), struct.pack(f"<{len(own)}Q", *[n for _, n in own])),
         ]
+        fields.append((SUB_SAMPLING, 3, 2, struct.pack("<2H", 1, 1)) if compression == "jpeg" else (PREDICTOR, 3, 1, struct.pack("<H", 2)))
         if mpp:
             fields += [(tag, 5, 1, struct.pack("<II", round(10000.0 / m * 10**5), 10**5)) for tag, m in zip((X_RESOLUTION, Y_RESOLUTION), mpp, strict=True)] + [(UNIT, 3, 1, struct.pack("<H", 3))]
         if level == 0:
