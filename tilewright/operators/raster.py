@@ -108,8 +108,8 @@ def outside(mask: np.ndarray) -> np.ndarray:
             return out
 
 
-def label_parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(labels from 1, 0 where false; first pixel (y, x) of each) of the 8-connected parts, in the order of those pixels.
+def label_parts(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(labels from 1, 0 where false; first pixel (y, x) of each) of the 8-connected parts (4-connected without ``diagonal``), in the order of those pixels.
 
     Runs of a row join the runs of the row below that they touch; the least run names a part.
     """
@@ -120,8 +120,8 @@ def label_parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(rows):
         return labels, np.zeros((0, 2), np.int64)
     wide = mask.shape[1] + 2
-    first = np.searchsorted(rows * wide + stops, (rows + 1) * wide + starts)
-    last = np.searchsorted(rows * wide + starts, (rows + 1) * wide + stops, side="right")
+    first = np.searchsorted(rows * wide + stops, (rows + 1) * wide + starts, side="left" if diagonal else "right")
+    last = np.searchsorted(rows * wide + starts, (rows + 1) * wide + stops, side="right" if diagonal else "left")
     many = np.maximum(last - first, 0)
     one = np.repeat(np.arange(len(rows)), many)
     other = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)

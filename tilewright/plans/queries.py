@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, shape
-from tilewright.operators import area, blend, detect, grid, jobs, metrics, raster, report, search, tissue
+from tilewright.operators import area, blend, detect, grid, jobs, metrics, parts, raster, report, search, tissue
 from tilewright.plans import proxies as P
 from tilewright.schemas import NUCLEUS_RECORD
 from tilewright.sources import scratch, slides, tiff
@@ -663,7 +663,7 @@ reach AS (
 )
 SELECT slide, CAST(my AS INTEGER) AS my, CAST(mx AS INTEGER) AS mx FROM grid g WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.slide = g.slide AND r.my = g.my AND r.mx = g.mx)""")
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tissue.fill_holes(_masked(spark, sf_dir))
+    return parts.fill_holes(_masked(spark, sf_dir), 32)
 
 
 @query("""WITH p AS (SELECT DISTINCT CAST(p_size AS INTEGER) AS y, CAST((p_partkey * 7) % 64 AS INTEGER) AS x FROM part),
@@ -687,9 +687,23 @@ def normalize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.normalize_adaptive(e, ("image",)))
 
 
+@query(f"""WITH RECURSIVE {P.PIXELS},
+m AS (SELECT DISTINCT slide, y, x FROM pixels WHERE (r + g + b) / 3.0::DOUBLE < 95),
+reach AS (
+    SELECT slide, y, x, y AS fy, x AS fx FROM m
+    UNION SELECT r.slide, m.y, m.x, r.fy, r.fx FROM reach r JOIN m ON m.slide = r.slide AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1
+),
+named AS (SELECT slide, y, x, min(fy * 1000 + fx) AS part FROM reach GROUP BY ALL)
+SELECT slide, CAST(part // 1000 AS INTEGER) AS first_y, CAST(part % 1000 AS INTEGER) AS first_x, count(*) AS cells, min(y) AS y1, min(x) AS x1, max(y) AS y2, max(x) AS x2 FROM named GROUP BY slide, part""")
+def mask_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a sparse mask, by their first pixel, with sizes and boxes."""
+    cells = tissue.tissue_mask(P.pixels(spark, sf_dir), 95.0).filter("mask = 1").select("slide", F.col("y").alias("my"), F.col("x").alias("mx")).distinct()
+    return parts.part_stats(cells, 32)
+
+
 @query()
 def extract_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = raster.extract_contours(raster.mask_images(_masked(spark, sf_dir), 64, 61), ("slide",))
+    found = parts.trace_contours(_masked(spark, sf_dir), 32)
     return rounded(found.select("slide", "contour_id", F.size("contour").alias("points"), "area"))
 
 
