@@ -81,7 +81,7 @@ class Engine:
         blocks, (w, h), mpp = pipeline.process_file(self.spark, self.slide_path(slide), model, self.config, block)
         return tiff.write_pyramid(pipeline.block_tiles(blocks, w, h, block), target, w, h, block, levels, mpp, compression)
 
-    def screen(self, tiles: DataFrame, task_id: str, detector=None, keep: bool = True, dedup: bool = False) -> DataFrame:
+    def screen(self, tiles: DataFrame, task_id: str, detector=None, keep: bool = True, dedup: bool | str = False) -> DataFrame:
         """Scored objects; the abnormal ones go to the store if ``keep``."""
         found = pipeline.screen(tiles, detector, self.config, dedup).withColumn("task_id", F.lit(task_id))
         if keep:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewright.config import EngineConfig
 from tilewright.functions import geometry, shape
-from tilewright.operators import area, blend, detect, grid, raster, report
+from tilewright.operators import area, blend, detect, grid, raster, report, shapes
 from tilewright.sources import tiff
 from tilewright.streaming import micro
 
@@ -150,10 +150,17 @@ def describe(objects: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
     return report.scored(out.withColumn("feature_vector", vector), config.shape).drop("__outline")
 
 
-def screen(tiles: DataFrame, detector: Detector | None = None, config: EngineConfig = EngineConfig(), dedup: bool = False) -> DataFrame:
-    """Detected, described and scored objects. ``dedup`` suppresses objects seen again where tiles overlap."""
-    described = describe(detect_objects(tiles, detector, config), config)
-    if not dedup:
+def screen(tiles: DataFrame, detector: Detector | None = None, config: EngineConfig = EngineConfig(), dedup: bool | str = False) -> DataFrame:
+    """Detected, described and scored objects.
+
+    ``dedup`` makes what several tiles show of an object one: ``True`` or "shape" by the pixels that pieces share, which are united
+    before they are described; "box" by suppressing boxes that overlap a better one.
+    """
+    found = detect_objects(tiles, detector, config)
+    if dedup in (True, "shape"):
+        found = shapes.merge_pieces(found)
+    described = describe(found, config)
+    if dedup != "box":
         return described
     key = F.concat_ws("/", "tile_row", "tile_col", "off_y", "off_x", "instance_id")
     boxed = described.withColumn("__id", key).withColumns({"x1": F.col("bbox.x").cast("double"), "y1": F.col("bbox.y").cast("double"), "x2": (F.col("bbox.x") + F.col("bbox.w")).cast("double"), "y2": (F.col("bbox.y") + F.col("bbox.h")).cast("double")})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, shape
-from tilewright.operators import area, blend, detect, grid, jobs, metrics, parts, raster, report, search, tissue
+from tilewright.operators import area, blend, detect, grid, jobs, metrics, parts, raster, report, search, shapes, tissue
 from tilewright.plans import proxies as P
 from tilewright.schemas import NUCLEUS_RECORD
 from tilewright.sources import scratch, slides, tiff
@@ -687,6 +687,26 @@ def normalize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.normalize_adaptive(e, ("image",)))
 
 
+@query("""WITH shapes AS (
+    SELECT p_partkey AS id, 'w' || (p_partkey % 50) AS wsi_name, (p_partkey // 50) * 7 % 200 AS x, (p_partkey // 50) * 11 % 150 AS y, 4 + p_size % 12 AS w, 3 + p_size % 7 AS h, p_size % 3 AS cut FROM part
+),
+cells AS (SELECT id, wsi_name, y + i AS cy, x + j AS cx FROM shapes, LATERAL unnest(range(h)) a(i), LATERAL unnest(range(w)) b(j) WHERE NOT (cut > 0 AND i >= cut AND j >= cut)),
+sizes AS (SELECT id, count(*) AS n FROM cells GROUP BY id),
+met AS (SELECT a.wsi_name, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM cells a JOIN cells b ON a.wsi_name = b.wsi_name AND a.cy = b.cy AND a.cx = b.cx AND a.id < b.id GROUP BY ALL)
+SELECT wsi_name, id_a, id_b, shared, a.n AS pixels_a, b.n AS pixels_b, round(shared / (a.n + b.n - shared), 6) AS iou FROM met JOIN sizes a ON a.id = id_a JOIN sizes b ON b.id = id_b""")
+def shape_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels shared by true shapes: rectangles and angles, whose boxes overlap more often than they do."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x, y = (F.floor(k / 50) * 7 % 200).cast("int"), (F.floor(k / 50) * 11 % 150).cast("int")
+    w, h, cut = (4 + size % 12).cast("int"), (3 + size % 7).cast("int"), (size % 3).cast("int")
+    point = lambda a, b: F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y"))
+    zero, right, low = F.lit(0), w - 1, h - 1
+    whole = F.array(point(zero, zero), point(right, zero), point(right, low), point(zero, low))
+    angle = F.array(point(zero, zero), point(right, zero), point(right, cut - 1), point(cut - 1, cut - 1), point(cut - 1, low), point(zero, low))
+    objects = P.table(spark, sf_dir, "part").select(F.concat(F.lit("w"), k % 50).alias("wsi_name"), k.alias("id"), F.when(cut > 0, angle).otherwise(whole).alias("contour"))
+    return rounded(shapes.shape_pairs(objects, "wsi_name", "id"))
+
+
 @query(f"""WITH RECURSIVE {P.PIXELS},
 m AS (SELECT DISTINCT slide, y, x FROM pixels WHERE (r + g + b) / 3.0::DOUBLE < 95),
 reach AS (
