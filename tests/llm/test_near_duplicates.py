@@ -165,3 +165,24 @@ def test_components(spark, edges):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert {r["id"]: r["component"] for r in common.components(df, "test").collect()} == label
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "repeated"])
+def test_rows_to_verification_grow_with_the_rows(spark, monkeypatch, ids):
+    """Many rows of null or of one id, or many equal rows, among near copies."""
+    words = [f"w{i}" for i in range(200)]
+    counts = []
+    plain = N._texts
+    monkeypatch.setattr(N, "_texts", lambda *args: counts.append(plain(*args).count()) or plain(*args))
+    for n in (100, 200):
+        texts = [" ".join(words[:50] + [f"x{i // 2}"] + words[60:100] + [f"y{i}"] * (i % 2) + [f"z{i // 2}_{k}" for k in range(60)]) for i in range(n)]
+        rows = [(None if ids == "null" else 7, t) for t in texts]
+        if ids == "repeated":
+            rows = [(7, texts[0])] * n + [(8, texts[1])] * n + [(9, "other words of another text altogether")]
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        if ids == "repeated":
+            assert sorted(r["n_links"] for r in got) == [0] + [2 * n - 1] * (2 * n)
+        else:
+            assert all(r["n_links"] >= 1 for r in got)
+    assert counts[1] <= 2 * counts[0] and counts[1] <= 400

@@ -244,7 +244,7 @@ def _verify(threshold: float, depth: int):
             if id_ in seen:
                 continue
             s = shingle(text)
-            if set_name(s) == node:  # of equal ids, another text
+            if set_name(s) == node:  # not another text of the same hash
                 seen.add(id_)
                 texts.append((id_, block, copies, s))
         texts.sort(key=lambda x: x[0])
@@ -305,27 +305,36 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     return (left.dropDuplicates(["doc_id", key]) if repeated else left).drop(key)
 
 
+def _texts(source: DataFrame, picked: DataFrame, repeated: bool) -> DataFrame:
+    """``picked`` nodes with the text of one row each, which its id and its text's hash name."""
+    homes = picked.select("*", F.col("home.doc_id").alias("home_id"), F.col("home.text_key").alias("home_key")).drop("home")
+    few = homes.count() * 100 <= BROADCAST_BYTES
+    found = source.withColumn("text_key", F.xxhash64("text"))
+    if repeated:  # of equal rows one is enough
+        found = found.join(homes.select("home_id", "home_key").distinct(), F.col("home_id").eqNullSafe(F.col("doc_id")) & (F.col("home_key") == F.col("text_key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return found.join(F.broadcast(homes) if few else homes, F.col("home_id").eqNullSafe(F.col("doc_id")) & (F.col("home_key") == F.col("text_key")))
+
+
 def _classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(doc_id, text_key, component, class_id, n_links, n_copies) of every row."""
     source = docs.select("doc_id", common.text_of())
     sets = common.written(_sets(source), "near-sets")
-    names = sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    names = sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("home"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     numbered = common.ranked(names, ["node"]).withColumnRenamed("rank", "id")
     nodes = common.written(names.join(numbered, "node"), "near-nodes")
-    # one row a node: its least id's, as any row of the node has the same minima
-    first = sets.filter("n_shingles > 0").join(nodes.select("node", "least", "id"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "minima").dropDuplicates(["id"])
+    # one row a node: its least, as any row of the node has the same minima
+    first = sets.filter("n_shingles > 0").join(nodes.select("node", "home", "id"), "node").filter(F.struct("doc_id", "text_key").eqNullSafe(F.col("home"))).select("id", "minima").dropDuplicates(["id"])
+    repeated = sets.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
     first = common.written(first, "near-minima")
     members = _members(first, prefix_depth(threshold, recall=recall))
     depth = prefix_depth(least_likeness(members, first, threshold), recall=recall)
     buckets = _buckets(members, depth)
     units = _units(buckets)
 
-    known = nodes.select("id", "copies", "node", F.col("least").alias("__id"))
+    known = nodes.select("id", "copies", "node", "home")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     picked = common.written(units.select("unit", "tree", "id", blocks).join(known, "id"), "near-picked")
-    few = picked.count() * 100 <= BROADCAST_BYTES
-    texts = source.join(F.broadcast(picked) if few else picked, F.col("__id").eqNullSafe(F.col("doc_id")))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = _texts(source, picked, repeated).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = texts.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "tree", F.least("block", "peer").alias("one"), F.greatest("block", "peer").alias("other"), "id", "block", "copies", "node", "text")
     verified = common.written(dealt.groupBy("unit", "tree", "one", "other").applyInArrow(_verify(threshold, depth), _LINKS), "near-links")
     common.discard(first, members, buckets, units, picked)
