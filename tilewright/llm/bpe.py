@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tilewright.llm import common
 
 #: Most distinct chunks that a worker keeps between batches; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Words longer than this merge through a heap, in n log n steps.
 LONG = 64
 _NONE = 1 << 60
