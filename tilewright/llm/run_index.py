@@ -518,8 +518,8 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 2 * common.shuffle_width(spark)
     blocks = int(max(1, -(-total // max(block_bytes, min(total // buckets, BLOCK_MOST)))))
-    # rows of equal ids differ by text, so that one id does not make one block
-    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    # by text too, so that one id does not make one block
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     # one query to the end: the blocks' texts are shuffled once and read three times, which costs
     # least disk; a lost executor's part of any step is made again from the step before
     anchors = source.groupBy("block").applyInArrow(_name_anchors(buckets), _ANCHORS)
