@@ -3,8 +3,8 @@
 A log is a table of events (conv_id, seq, message, kind, role, text). ``open`` starts a message, with what
 it holds so far; ``delta`` appends; ``edit`` replaces the text; ``regenerate`` drops the text, for deltas to come,
 and all messages that were opened between the message and the event, which answered what is gone. All columns
-are Spark functions: events are folded message by message, so that a long conversation is spread, and a
-conversation meets in one row when its messages are final.
+are Spark functions. A log is parted by conversation once, and everything else is done where its rows lie: events are
+folded message by message, and a conversation's final messages meet in its row.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     """
     seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 62)))
     rows = events.select("conv_id", "message", seq.alias("seq"), "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition("conv_id")  # serves the messages, the window and the conversations: the only shuffle of texts
     event = F.struct("seq", F.when(F.col("kind").isin("open", "edit", "regenerate"), 0).otherwise(1).alias("appends"), "kind", "text")
     messages = rows.groupBy("conv_id", "message").agg(
         F.min("seq").alias("opened"),
@@ -119,18 +120,19 @@ ROOM, DELTA, DELTAS = 1 << 10, 256, 16
 def log_of(rows: DataFrame) -> DataFrame:
     """Finished rows (conv_id, turn, role, text) as the log that a chat service would have kept of them.
 
-    A user first sends the first half and edits it into the whole; an assistant streams its first half, is made to
+    A user first sends the first eighth and edits it into the whole; an assistant streams its first eighth, is made to
     start again, and streams the whole in deltas; others send the whole. Rows of equal turns and repeated rows are messages of their own.
     """
-    text, half = F.coalesce("text", F.lit("")), F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    draft = F.substring(text, F.lit(1), F.floor(F.length(text) / 8).cast("int"))
     size = F.greatest(F.lit(DELTA), F.ceil(F.length(text) / DELTAS)).cast("int")
 
     def event(kind: str, body: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), body.alias("text"))
 
     deltas = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / size).cast("int")), lambda i: event("delta", F.substring(text, i * size + 1, size)))
-    events = F.when(F.col("role") == "user", F.array(event("open", half), event("edit", text)))
-    events = events.when(F.col("role") == TRAINED, F.concat(F.array(event("open", F.lit("")), event("delta", half), event("regenerate", F.lit(""))), deltas)).otherwise(F.array(event("open", text)))
+    events = F.when(F.col("role") == "user", F.array(event("open", draft), event("edit", text)))
+    events = events.when(F.col("role") == TRAINED, F.concat(F.array(event("open", F.lit("")), event("delta", draft), event("regenerate", F.lit(""))), deltas)).otherwise(F.array(event("open", text)))
     first = F.coalesce(F.col("turn").cast("long") * ROOM, F.lit(-(1 << 62)))
     # numbered before a row turns into several
     numbered = rows.select("conv_id", first.alias("first"), F.monotonically_increasing_id().alias("message"), "role", events.alias("events"))
