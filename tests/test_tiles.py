@@ -68,7 +68,7 @@ def test_iou_pairs_equal_all_pairs(spark):
         for b in rows:
             if a[0] == b[0] and a[1] < b[1] and min(a[5], b[5]) > max(a[3], b[3]) and min(a[6], b[6]) > max(a[4], b[4]):
                 want.add((a[1], b[1]))
-    assert {(r["id_a"], r["id_b"]) for r in detect.iou_pairs(df, cell=50).collect()} == want
+    assert {(r["id_a"], r["id_b"]) for r in detect.iou_pairs(df).collect()} == want
 
 
 def test_blend_of_a_constant_is_that_constant(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.config import ScreenConfig
+from tilewright.operators import quad
 
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -37,24 +38,9 @@ def iou(a: Column, b: Column) -> Column:
     return F.try_divide(width * height, area[0] + area[1] - width * height)
 
 
-def _cells(cell: int) -> tuple[Column, Column]:
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    return F.sequence(at("x1"), at("x2")), F.sequence(at("y1"), at("y2"))
-
-
-def iou_pairs(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_id", cell: int = 128) -> DataFrame:
-    """(slide, id_a, id_b, iou) of boxes that overlap, each pair once.
-
-    Boxes meet in grid cells, an equi-join; a pair counts in the first cell that both reach.
-    """
-    columns, rows = _cells(cell)
-    box = F.struct(*_BOX)
-    dealt = detections.select(slide, F.col(key).alias("id"), box.alias("box"), F.explode(columns).alias("cx"), rows.alias("rows")).withColumn("cy", F.explode("rows")).drop("rows")
-    a = dealt.select(slide, "cx", "cy", F.col("id").alias("id_a"), F.col("box").alias("a"))
-    b = dealt.select(slide, "cx", "cy", F.col("id").alias("id_b"), F.col("box").alias("b"))
-    pairs = a.join(b, [slide, "cx", "cy"]).filter("id_a < id_b")
-    first = [F.floor(F.greatest(F.col("a")[c], F.col("b")[c]) / cell).cast("int") for c in ("x1", "y1")]
-    pairs = pairs.filter((F.col("cx") == first[0]) & (F.col("cy") == first[1]))
+def iou_pairs(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_id", crowd: int = quad.CROWD) -> DataFrame:
+    """(slide, id_a, id_b, iou) of boxes that overlap, each pair once; they meet in cells of their size (quad.overlapping)."""
+    pairs = quad.overlapping(detections, slide, key, crowd)
     return pairs.select(slide, "id_a", "id_b", iou(F.col("a"), F.col("b")).alias("iou")).filter("iou > 0")
 
 
@@ -76,12 +62,7 @@ def nms(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide:
     return grouped.select(slide, F.explode(kept).alias("k")).select(slide, F.col("k.id").alias(key), (-F.col("k.order")).alias("score"), *[F.col(f"k.{c}") for c in _BOX])
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Computed once: in the checkpoint folder if there is one, so that it survives its executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
-def nms_by_rounds(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide: str = "wsi_name", key: str = "instance_id", cell: int = 128) -> DataFrame:
+def nms_by_rounds(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide: str = "wsi_name", key: str = "instance_id", crowd: int = quad.CROWD) -> DataFrame:
     """nms without a fold, so that neither a crowded slide nor a crowd of boxes is one group.
 
     Boxes that overlap above ``threshold`` meet by an equi-join on cells, each pair from the
@@ -94,15 +75,15 @@ def nms_by_rounds(detections: DataFrame, threshold: float = ScreenConfig().nms_i
     flat = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) == 0
     empty = boxes.filter(flat).groupBy(slide).agg(F.min_by(F.struct(key, "score", *_BOX), "__order").alias("b")).select(slide, "b.*")
     solid = boxes.filter(~flat)
-    pairs = iou_pairs(solid, slide, "__order", cell).filter(F.col("iou") > threshold)  # id_a is the better one
-    left = _settled(pairs.select(slide, F.col("id_a").alias("better"), F.col("id_b").alias("worse")))
+    pairs = iou_pairs(solid, slide, "__order", crowd).filter(F.col("iou") > threshold)  # id_a is the better one
+    left = quad.settled(pairs.select(slide, F.col("id_a").alias("better"), F.col("id_b").alias("worse")))
     gone = None
     while not left.isEmpty():
         best = left.join(left.select(slide, F.col("worse").alias("better")), [slide, "better"], "left_anti")
-        lost = _settled(best.select(slide, "worse").distinct())
+        lost = quad.settled(best.select(slide, "worse").distinct())
         gone = lost if gone is None else gone.unionByName(lost)
         # pairs of a box that went are decided, as are those of a box that stays
-        last, left = left, _settled(left.join(lost, [slide, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [slide, "better"], "left_anti"))
+        last, left = left, quad.settled(left.join(lost, [slide, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [slide, "better"], "left_anti"))
         left.count()
         last.unpersist()
     kept = solid if gone is None else solid.join(gone.withColumnRenamed("worse", "__order"), [slide, "__order"], "left_anti")
