@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -81,25 +82,30 @@ def pyramid_levels(pixels: DataFrame, levels: int = 4, slide: str = "slide", cha
     return out
 
 
+def blended(tiles: Iterable[tuple[int, int, bytes, int, int]], block_row: int, block_col: int, block: int, pitch: int, weights: np.ndarray, floor: float) -> np.ndarray:
+    """One output block out of the tiles (row, col, data, h, w) that reach it, summed by (row, col), so that their order does not show."""
+    top, left = block_row * block, block_col * block
+    total, mass = np.zeros((block, block, 3)), np.zeros((block, block, 1))
+    for row, col, data, h, w in sorted(tiles):
+        pixels = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+        y, x = row * pitch - top, col * pitch - left
+        y0, x0, y1, x1 = max(y, 0), max(x, 0), min(y + h, block), min(x + w, block)
+        if y0 < y1 and x0 < x1:
+            part = weights[y0 - y : y1 - y, x0 - x : x1 - x, None]
+            total[y0:y1, x0:x1] += pixels[y0 - y : y1 - y, x0 - x : x1 - x] * part
+            mass[y0:y1, x0:x1] += part
+    return np.clip(total / np.maximum(mass, floor), 0, 255).astype(np.uint8)
+
+
 def blend_blocks(placed: DataFrame, block: int, tile: int, pitch: int, overlap: int, sigma: float, floor: float = BlendConfig().weight_floor) -> DataFrame:
     """Blend whole tiles by output block: rows (slide, block_row, block_col, row, col, data, h, w) to (slide, block_row, block_col, data).
 
     Each block is one group of the few tiles that reach it, so memory is a block and a tile.
     """
     def merge(rows: pa.Table) -> pa.Table:
-        weights = kernel(tile, overlap, sigma)
         first = {c: rows.column(c)[0].as_py() for c in ("slide", "block_row", "block_col")}
-        top, left = first["block_row"] * block, first["block_col"] * block
-        total, mass = np.zeros((block, block, 3)), np.zeros((block, block, 1))
-        for row, col, data, h, w in zip(*(rows.column(c).to_pylist() for c in ("row", "col", "data", "h", "w")), strict=True):
-            pixels = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-            y, x = row * pitch - top, col * pitch - left
-            y0, x0, y1, x1 = max(y, 0), max(x, 0), min(y + h, block), min(x + w, block)
-            if y0 < y1 and x0 < x1:
-                part = weights[y0 - y : y1 - y, x0 - x : x1 - x, None]
-                total[y0:y1, x0:x1] += pixels[y0 - y : y1 - y, x0 - x : x1 - x] * part
-                mass[y0:y1, x0:x1] += part
-        image = np.clip(total / np.maximum(mass, floor), 0, 255).astype(np.uint8)
+        tiles = zip(*(rows.column(c).to_pylist() for c in ("row", "col", "data", "h", "w")), strict=True)
+        image = blended(tiles, first["block_row"], first["block_col"], block, pitch, kernel(tile, overlap, sigma), floor)
         return pa.table({"slide": pa.array([first["slide"]], rows.schema.field("slide").type), "block_row": pa.array([first["block_row"]], pa.int32()), "block_col": pa.array([first["block_col"]], pa.int32()), "data": pa.array([image.tobytes()], pa.binary())})
 
     kind = dict(placed.dtypes)["slide"]

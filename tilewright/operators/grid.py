@@ -80,9 +80,13 @@ def reflect_index(i: Column, n: Column) -> Column:
     return F.when(n == 1, F.lit(0)).otherwise(F.when(j >= n, period - j).otherwise(j)).cast("int")
 
 
-def tile_batches(tiles: DataFrame, slide: str = "wsi_path", order: tuple[str, ...] = ("row", "col"), size: int = IngestConfig().batch_tiles) -> DataFrame:
-    """Number each slide's tiles and cut them into batches of ``size``."""
-    at = F.row_number().over(Window.partitionBy(slide).orderBy(*order)) - 1
+def tile_batches(tiles: DataFrame, slide: str = "wsi_path", order: tuple[str, ...] = ("row", "col"), size: int = IngestConfig().batch_tiles, whole: bool = False) -> DataFrame:
+    """Number each slide's tiles and cut them into batches of ``size``.
+
+    A ``whole`` grid, with total_cols, is numbered row by row where its rows are, without a shuffle; else the tiles that are left of one
+    are sorted by slide.
+    """
+    at = F.col(order[0]) * F.col("total_cols") + F.col(order[1]) if whole else F.row_number().over(Window.partitionBy(slide).orderBy(*order)) - 1
     return tiles.withColumn("tile_index", at).withColumn("batch_idx", F.floor(F.col("tile_index") / size).cast("int"))
 
 
@@ -92,8 +96,13 @@ def strip_plan(slides: DataFrame, grid: GridConfig = GridConfig(), blend: BlendC
     return slides.select("wsi_path", _ceil_div(F.col("out_h"), pitch).alias("total_rows"), _ceil_div(F.col("out_w"), pitch).alias("total_cols"), F.lit(blend.strip_factor * pitch).alias("strip_height"))
 
 
-def strip_boundaries(tiles: DataFrame, slide: str = "wsi_path", strip: str = "strip") -> DataFrame:
-    """Mark tiles, in order of (row, col), at which a new strip begins."""
+def strip_boundaries(tiles: DataFrame, slide: str = "wsi_path", strip: str = "strip", rows: int | None = None) -> DataFrame:
+    """Mark tiles, in order of (row, col), at which a new strip begins.
+
+    In a whole grid whose strips have so many ``rows`` of tiles each they are the first of every such row, and nothing is sorted.
+    """
+    if rows:
+        return tiles.withColumn("starts_strip", (F.col("col") == 0) & (F.col("row") % rows == 0))
     before = F.lag(strip).over(Window.partitionBy(slide).orderBy("row", "col"))
     return tiles.withColumn("starts_strip", before.isNull() | (before != F.col(strip)))
 

@@ -324,6 +324,19 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detect.iou_pairs(P.detections(spark, sf_dir)))
 
 
+_MIXED = "mixed AS (SELECT wsi_name, instance_id, x1, y1, x1 + (x2 - x1) * (CASE instance_id % 9 WHEN 0 THEN 16.0::DOUBLE WHEN 1 THEN 0.125::DOUBLE ELSE 1.0::DOUBLE END) AS x2, y1 + (y2 - y1) * (CASE instance_id % 7 WHEN 0 THEN 8.0::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END) AS y2 FROM detections)"
+
+
+@query(f"WITH {P.DETECTIONS}, {_MIXED}, {_PAIRS.replace('detections', 'mixed')} SELECT wsi_name, id_a, id_b, round(inter / (total - inter), 6) AS iou FROM pairs WHERE inter > 0")
+def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping boxes of very unlike sides and shapes."""
+    i = F.col("instance_id")
+    wide = F.when(i % 9 == 0, 16.0).when(i % 9 == 1, 0.125).otherwise(1.0)
+    tall = F.when(i % 7 == 0, 8.0).when(i % 7 == 1, 0.25).otherwise(1.0)
+    boxes = P.detections(spark, sf_dir).withColumns({"x2": F.col("x1") + (F.col("x2") - F.col("x1")) * wide, "y2": F.col("y1") + (F.col("y2") - F.col("y1")) * tall})
+    return rounded(detect.iou_pairs(boxes))
+
+
 @query(f"""WITH {P.GRID} SELECT wsi_path, row, col, CAST(r.i AS INTEGER) AS block_row, CAST(c.i AS INTEGER) AS block_col
 FROM tiles, LATERAL unnest(range(CAST(floor(row * 1792 / 2048) AS BIGINT), CAST(floor((row * 1792 + 2047) / 2048) AS BIGINT) + 1)) r(i), LATERAL unnest(range(CAST(floor(col * 1792 / 2048) AS BIGINT), CAST(floor((col * 1792 + 2047) / 2048) AS BIGINT) + 1)) c(i)""")
 def tile_block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +486,7 @@ def worker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P.GRID} SELECT wsi_path, row, col, CAST(row_number() OVER (PARTITION BY wsi_path ORDER BY row, col) - 1 AS INTEGER) AS tile_index, CAST(floor((row_number() OVER (PARTITION BY wsi_path ORDER BY row, col) - 1) / 32) AS INTEGER) AS batch_idx FROM tiles")
 def tile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.tile_batches(grid.tile_grid(P.slides(spark, sf_dir)).select("wsi_path", "row", "col"))
+    return grid.tile_batches(grid.tile_grid(P.slides(spark, sf_dir)), whole=True).select("wsi_path", "row", "col", "tile_index", "batch_idx")
 
 
 @query(f"WITH {P.DETECTIONS}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY wsi_name, tile_row, tile_col ORDER BY instance_id) - 1 AS INTEGER) AS i FROM detections) SELECT wsi_name, tile_row, tile_col, instance_id AS source_id, i AS instance_id FROM n WHERE score >= 50")
@@ -485,7 +498,7 @@ def instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {P.GRID}, s AS (SELECT wsi_path, row, col, CAST(floor(row / 2) AS INTEGER) AS strip FROM tiles) SELECT *, coalesce(lag(strip) OVER (PARTITION BY wsi_path ORDER BY row, col) <> strip, true) AS starts_strip FROM s")
 def strip_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = grid.tile_grid(P.slides(spark, sf_dir)).select("wsi_path", "row", "col", F.floor(F.col("row") / 2).cast("int").alias("strip"))
-    return grid.strip_boundaries(tiles)
+    return grid.strip_boundaries(tiles, rows=2)
 
 
 @query("SELECT p_partkey, p_size * 20 AS epoch, round(0.0001::DOUBLE * pow(0.5::DOUBLE, floor(p_size * 20 / 100)), 12) AS learning_rate FROM part")

@@ -1,13 +1,17 @@
-"""A stateful blend: contributions stream in, each strip keeps its sums, and finished strips leave."""
+"""Stateful blends: running sums of keys, and output blocks that leave the stream once all their tiles are there."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from tilewright.config import BlendConfig
+from tilewright.operators import blend, grid
 
 _SUMS = StructType([StructField("total", DoubleType()), StructField("mass", DoubleType()), StructField("n", LongType())])
 RESULT = "key string, total double, mass double, n long"
@@ -33,5 +37,94 @@ class StripSums(StatefulProcessor):
 
 
 def stream_sums(contributions: DataFrame) -> DataFrame:
-    """(key, v, w) to running (key, total, mass, n), in update mode."""
+    """(key, v, w) to running (key, total, mass, n), in update mode; for keys that never end (see stream_blocks)."""
     return contributions.groupBy("key").transformWithStateInPandas(StripSums(), RESULT, "Update", "None")
+
+
+def _reaching(total: Column, at: Column, block: int, tile: int, pitch: int) -> Column:
+    """How many of ``total`` tiles along an axis reach the block at ``at``."""
+    first = F.greatest(F.lit(0), F.ceil((at * block - tile + 1) / pitch))
+    last = F.least(total - 1, F.floor(((at + 1) * block - 1) / pitch))
+    return last - first + 1
+
+
+def expected_tiles(block: int, tile: int, pitch: int) -> Column:
+    """The number of a whole grid's tiles that reach a block, by total_rows, total_cols, block_row and block_col."""
+    by_row = _reaching(F.col("total_rows"), F.col("block_row"), block, tile, pitch)
+    return (by_row * _reaching(F.col("total_cols"), F.col("block_col"), block, tile, pitch)).cast("int")
+
+
+_AT = StructType([StructField("row", IntegerType()), StructField("col", IntegerType())])
+_TILE = StructType([StructField("data", BinaryType()), StructField("h", IntegerType()), StructField("w", IntegerType())])
+_FATE = StructType([StructField("n", IntegerType()), StructField("until", LongType()), StructField("done", BooleanType()), StructField("expected", IntegerType())])
+BLOCKS = "slide string, block_row int, block_col int, status string, n_tiles int, row int, col int, data binary"
+
+
+class FinishedBlocks(StatefulProcessor):
+    """Tiles of one output block, kept until all that reach it are there or none has come for ``wait_ms`` of event time."""
+
+    def __init__(self, block: int, tile: int, pitch: int, overlap: int, sigma: float, floor: float, wait_ms: int) -> None:
+        self.block, self.pitch, self.floor, self.wait_ms = block, pitch, floor, wait_ms
+        self.weights = blend.kernel(tile, overlap, sigma)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tiles = handle.getMapState("tiles", _AT, _TILE)
+        self.fate = handle.getValueState("fate", _FATE)
+
+    def _row(self, key, status: str, n: int, row: int | None = None, col: int | None = None, data: bytes | None = None) -> pd.DataFrame:
+        out = pd.DataFrame({"slide": [key[0]], "block_row": [key[1]], "block_col": [key[2]], "status": [status], "n_tiles": [n], "row": [row], "col": [col], "data": [data]})
+        return out.astype({"row": "Int32", "col": "Int32"})
+
+    def _image(self, key, status: str, n: int) -> pd.DataFrame:
+        tiles = [(at[0], at[1], bytes(kept[0]), kept[1], kept[2]) for at, kept in self.tiles.iterator()]
+        self.tiles.clear()
+        return self._row(key, status, n, data=blend.blended(tiles, key[1], key[2], self.block, self.pitch, self.weights, self.floor).tobytes())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        n, until, done, expected = self.fate.get() if self.fate.exists() else (0, -1, False, 0)
+        last = until
+        for part in rows:
+            for r in part.itertuples(index=False):
+                last = max(last, int(r.at_ms) + self.wait_ms)
+                place = int(r.row), int(r.col)
+                if done:
+                    yield self._row(key, "late", n, *place)
+                elif not self.tiles.containsKey(place):
+                    self.tiles.updateValue(place, (bytes(r.data), int(r.h), int(r.w)))
+                    n, expected = n + 1, int(r.expected)
+                    if n == expected:
+                        done = True
+                        yield self._image(key, "whole", n)
+        if last != until:
+            if until >= 0:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(last)
+        self.fate.update((n, last, done, expected))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _, done, _ = self.fate.get()
+        if not done:
+            yield self._image(key, "partial", n)
+        self.fate.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_blocks(tiles: DataFrame, block: int, tile: int, pitch: int, overlap: int, sigma: float, floor: float = BlendConfig().weight_floor, time: str = "at", late: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
+    """A stream of placed tiles to blended output blocks, each once: rows (slide, block_row, block_col, status, n_tiles, row, col, data).
+
+    Tiles are rows (slide, row, col, data, h, w, total_rows, total_cols) with an event time. Status is ``whole`` when
+    the last tile that reaches the block has come, ``partial`` when the watermark has passed the block's last tile by
+    ``wait_ms`` before that (what no tile covers is black), and ``late`` for a tile, by row and col and without data,
+    of a block that has left; tiles behind the watermark are dropped by the stream. A tile that comes twice counts once, the first time.
+    State is a block's few tiles as bytes and goes with the block; a mark of some 20 bytes stays until the watermark
+    has passed it, so that late tiles are known. Blocks equal those of blend.blend_blocks byte by byte.
+    """
+    seen = tiles.withWatermark(time, late).withColumn("slide", F.col("slide").cast("string"))
+    placed = grid.tile_block_map(seen, block, tile, pitch)
+    # blocks below the image, which only a tile's padding reaches, are there in the batch form too
+    rows = placed.select("slide", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "data", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), expected_tiles(block, tile, pitch).alias("expected"), F.unix_millis(time).alias("at_ms"), time)
+    keep = FinishedBlocks(block, tile, pitch, overlap, sigma, floor, wait_ms)
+    return rows.groupBy("slide", "block_row", "block_col").transformWithStateInPandas(keep, BLOCKS, "Append", "EventTime")
