@@ -41,7 +41,7 @@ def iou(a: Column, b: Column) -> Column:
 def iou_pairs(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_id", crowd: int = quad.CROWD) -> DataFrame:
     """(slide, id_a, id_b, iou) of boxes that overlap, each pair once; they meet in cells of their size (quad.overlapping)."""
     pairs = quad.overlapping(detections, slide, key, crowd)
-    return pairs.select(slide, "id_a", "id_b", iou(F.col("a"), F.col("b")).alias("iou")).filter("iou > 0")
+    return pairs.select(slide, "id_a", "id_b", iou(F.col("one"), F.col("other")).alias("iou")).filter("iou > 0")
 
 
 def nms(detections: DataFrame, threshold: float = ScreenConfig().nms_iou, slide: str = "wsi_name", key: str = "instance_id") -> DataFrame:

@@ -35,22 +35,25 @@ def dealt(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_i
     A box resides in cells no smaller than its longer side, so it has at most four, and visits those of its own
     and of each greater side in use. Boxes of one slide that overlap meet as a resident and a visitor. Where a cell holds more than
     ``crowd`` of either, the residents are dealt to parts, and so are the visitors, and each part meets each.
-    Boxes without area or with a null side overlap nothing and are left out. Counts a job for the sides in use
-    (one number for each power of two) and one for the full cells.
+    Boxes without area or with a null side overlap nothing and are left out. A job tells the sides in use
+    (a row for each power of two) and, where a slide may have so many boxes, another the full cells.
     """
     place = [slide, "cell", "cx", "cy"]
     box = F.struct(*[F.col(c).cast("double").alias(c) for c in _BOX])
     side = F.greatest(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1"))
     boxes = detections.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select(slide, F.col(key).alias("id"), box.alias("box"))
     boxes = boxes.withColumn("own", F.ceil(F.log2(side)).cast("int"))
-    used = sorted(r["own"] for r in boxes.select("own").distinct().collect())
+    most = boxes.groupBy(slide, "own").agg(F.count("*").alias("n")).groupBy("own").agg(F.max("n").alias("n")).collect()
+    used = sorted(r["own"] for r in most)
     greater = F.filter(F.array(*[F.lit(x) for x in used]).cast("array<int>"), lambda x: x >= F.col("own"))
     residents, visitors = _spread(boxes, "own", slide), _spread(boxes.withColumn("at", F.explode(greater)), "at", slide)
 
-    counted = residents.select(*place, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(visitors.select(*place, F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counted = counted.groupBy(*place).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).filter(F.greatest("n_a", "n_b") > crowd)
-    full = settled(counted.select(*place, *[F.ceil(F.col(f"n_{s}") / crowd).cast("int").alias(f"parts_{s}") for s in "ab"]))
-    n = full.count()
+    full, n = None, 0
+    if sum(r["n"] for r in most) > crowd:  # else no slide has so many boxes
+        # a box visits each cell that it resides in, so visitors alone tell both counts
+        counted = visitors.groupBy(*place).agg(F.count_if(F.col("own") == F.col("cell")).alias("n_a"), F.count("*").alias("n_b")).filter(F.col("n_b") > crowd)
+        full = settled(counted.select(*place, *[F.greatest(F.ceil(F.col(f"n_{s}") / crowd), F.lit(1)).cast("int").alias(f"parts_{s}") for s in "ab"]))
+        n = full.count()
     whole = F.lit(0).alias("part_a"), F.lit(0).alias("part_b")
 
     def side_of(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -65,7 +68,7 @@ def dealt(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_i
 
 
 def overlapping(detections: DataFrame, slide: str = "wsi_name", key: str = "instance_id", crowd: int = CROWD) -> DataFrame:
-    """(slide, id_a, id_b, a, b) of boxes of different ids that share an area, each pair once, id_a the lesser: an equi-join on cells.
+    """(slide, id_a, id_b, one, other) of boxes of different ids that share an area, each pair once, id_a the lesser id, the boxes in either order: an equi-join on cells.
 
     A pair counts in the first cell that both reach. No box is in more than four cells of a side, and no group has more than about
     ``crowd`` boxes a side, whether boxes are of one pixel or of a slide and wherever they crowd.
@@ -76,6 +79,4 @@ def overlapping(detections: DataFrame, slide: str = "wsi_name", key: str = "inst
     for axis in "xy":
         start = F.greatest(F.col(f"a.{axis}1"), F.col(f"b.{axis}1"))
         pairs = pairs.filter((F.floor(start / F.pow(F.lit(2.0), F.col("cell"))) == F.col(f"c{axis}")) & (start < F.least(F.col(f"a.{axis}2"), F.col(f"b.{axis}2"))))
-    ordered = F.col("id_a") < F.col("id_b")
-    swapped = [F.when(ordered, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("id_a", "id_b"), ("id_b", "id_a"), ("a", "b"), ("b", "a"))]
-    return pairs.select(slide, *swapped)
+    return pairs.select(slide, F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.col("a").alias("one"), F.col("b").alias("other"))

@@ -76,36 +76,44 @@ class FinishedBlocks(StatefulProcessor):
         out = pd.DataFrame({"slide": [key[0]], "block_row": [key[1]], "block_col": [key[2]], "status": [status], "n_tiles": [n], "row": [row], "col": [col], "data": [data]})
         return out.astype({"row": "Int32", "col": "Int32"})
 
-    def _image(self, key, status: str, n: int) -> pd.DataFrame:
-        tiles = [(at[0], at[1], bytes(kept[0]), kept[1], kept[2]) for at, kept in self.tiles.iterator()]
-        self.tiles.clear()
-        return self._row(key, status, n, data=blend.blended(tiles, key[1], key[2], self.block, self.pitch, self.weights, self.floor).tobytes())
+    def _image(self, key, status: str, tiles: dict) -> pd.DataFrame:
+        kept = [(*at, *tile) for at, tile in tiles.items()]
+        return self._row(key, status, len(kept), data=blend.blended(kept, key[1], key[2], self.block, self.pitch, self.weights, self.floor).tobytes())
+
+    def _kept(self) -> dict:
+        return {(at[0], at[1]): (bytes(tile[0]), tile[1], tile[2]) for at, tile in self.tiles.iterator()}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         n, until, done, expected = self.fate.get() if self.fate.exists() else (0, -1, False, 0)
-        last = until
+        known = {(at[0], at[1]) for at in self.tiles.keys()} if n and not done else set()
+        last, fresh = until, {}  # tiles of a block that is finished at once never reach the state
         for part in rows:
             for r in part.itertuples(index=False):
                 last = max(last, int(r.at_ms) + self.wait_ms)
                 place = int(r.row), int(r.col)
                 if done:
                     yield self._row(key, "late", n, *place)
-                elif not self.tiles.containsKey(place):
-                    self.tiles.updateValue(place, (bytes(r.data), int(r.h), int(r.w)))
-                    n, expected = n + 1, int(r.expected)
-                    if n == expected:
-                        done = True
-                        yield self._image(key, "whole", n)
+                elif place not in known:
+                    known.add(place)
+                    fresh[place] = bytes(r.data), int(r.h), int(r.w)
+                    expected = int(r.expected)
+                    if len(known) == expected:
+                        yield self._image(key, "whole", (self._kept() if n else {}) | fresh)
+                        if n:
+                            self.tiles.clear()
+                        n, done, fresh = len(known), True, {}
+        for place, tile in fresh.items():
+            self.tiles.updateValue(place, tile)
         if last != until:
             if until >= 0:
                 self.handle.deleteTimer(until)
             self.handle.registerTimer(last)
-        self.fate.update((n, last, done, expected))
+        self.fate.update((n + len(fresh), last, done, expected))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, _, done, _ = self.fate.get()
-        if not done:
-            yield self._image(key, "partial", n)
+        if not self.fate.get()[2]:
+            yield self._image(key, "partial", self._kept())
+            self.tiles.clear()
         self.fate.clear()
 
     def close(self) -> None:
