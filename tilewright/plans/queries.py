@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, shape
-from tilewright.operators import area, blend, detect, grid, jobs, metrics, parts, raster, report, search, shapes, tissue
+from tilewright.operators import area, blend, detect, grid, jobs, metrics, parts, raster, report, resample, search, shapes, tissue
 from tilewright.plans import proxies as P
 from tilewright.schemas import NUCLEUS_RECORD
 from tilewright.sources import scratch, slides, tiff
@@ -80,6 +80,14 @@ def thumbnail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.thumbnail(P.pixels(spark, sf_dir), 8))
 
 
+@query(f"""WITH {P.PIXELS}, o AS (SELECT slide, r, g, b, oy.i AS oy, ox.i AS ox, least((y + 1) * 27, (oy.i + 1) * 64) - greatest(y * 27, oy.i * 64) AS ay, least((x + 1) * 40, (ox.i + 1) * 61) - greatest(x * 40, ox.i * 61) AS ax
+    FROM pixels, LATERAL unnest(range(27)) oy(i), LATERAL unnest(range(40)) ox(i) WHERE oy.i * 64 < (y + 1) * 27 AND (oy.i + 1) * 64 > y * 27 AND ox.i * 61 < (x + 1) * 40 AND (ox.i + 1) * 61 > x * 40)
+SELECT slide, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, round(sum(r * ay * ax) / sum(ay * ax), 6) AS r, round(sum(g * ay * ax) / sum(ay * ax), 6) AS g, round(sum(b * ay * ax) / sum(ay * ax), 6) AS b FROM o GROUP BY ALL""")
+def area_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides of 64 x 61 pixels at 27 x 40."""
+    return rounded(resample.area_means(P.pixels(spark, sf_dir), (64, 61), (27, 40)))
+
+
 @query(f"WITH {P.TASKS} SELECT task_id, state, batch_idx, total_batches, round(size, 6) AS size FROM tasks")
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.tasks(spark, sf_dir)

@@ -244,6 +244,11 @@ def _region(f, levels: list[Level], x: int, y: int, w: int, h: int, level: int)
     return rgb(out)
 
 
+def level_region(f, level: Level, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """A region of an open file's level, in that level's own pixels."""
+    return _region(f, [level], x, y, w, h, 0)
+
+
 def rgb(image: np.ndarray) -> np.ndarray:
     """Three channels: grey is repeated, further channels are left out."""
     return np.repeat(image[:, :, :1], 3, axis=2) if image.shape[2] < 3 else image[:, :, :3]
