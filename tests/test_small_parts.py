@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tilewright.config import GridConfig
 from tilewright.functions import udtf
 from tilewright.operators import grid, jobs, raster
+from tilewright.plans import registry
 from tilewright.schemas import TASK, TILE_DATA
 from tilewright.sources import metadata
 from tilewright.streaming import micro
@@ -49,3 +50,18 @@ def test_stream_equals_batch_and_reports(spark, tmp_path):
     query = micro.with_callback(micro.infer(stream, micro.upsample(2)), done, lambda e, n: errors.append(n)).trigger(availableNow=True).start()
     assert micro.wait_all(query, 60)
     assert sorted(seen) == sorted((r["tile_id"], 4, 48) for r in micro.infer(tiles, micro.upsample(2)).collect()) and errors == [1]
+
+
+def test_slide_file_tiles_in_a_session_without_sources(spark, sf_dir):
+    plain, sessions = spark.newSession(), spark._jvm.org.apache.spark.sql.classic.SparkSession
+    sessions.setActiveSession(plain._jsparkSession)
+    try:
+        assert registry.QUERIES["slide_file_tiles"](plain, sf_dir).count() == plain.read.parquet(f"{sf_dir}/part.parquet").count()
+    finally:
+        sessions.setActiveSession(spark._jsparkSession)
+
+
+def test_padding_broadcasts_no_pixels(spark, sf_dir):
+    padded = registry.QUERIES["pad_tile"](spark, sf_dir)
+    padded.collect()
+    assert "BroadcastHashJoin" not in padded._jdf.queryExecution().toString()
