@@ -35,7 +35,8 @@ def center_crop(pixels: DataFrame, images: DataFrame, size: int, keys: tuple[str
 def pad_tile(tiles: DataFrame, pixels: DataFrame, size: int, keys: tuple[str, ...] = ("tile_id",), value: str = "v") -> DataFrame:
     """Every position of a size x size tile, with 0 where it has no pixel (bottom and right)."""
     full = tiles.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    return full.join(pixels, [*keys, "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    # merged: both sides are many times the tables that they come from, whose size is all that a choice to broadcast would go by
+    return full.join(pixels.hint("merge"), [*keys, "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def reflect_pad(tiles: DataFrame, size: int, width: str = "tile_w", height: str = "tile_h") -> DataFrame:
