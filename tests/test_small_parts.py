@@ -65,3 +65,9 @@ def test_padding_broadcasts_no_pixels(spark, sf_dir):
     padded = registry.QUERIES["pad_tile"](spark, sf_dir)
     padded.collect()
     assert "BroadcastHashJoin" not in padded._jdf.queryExecution().toString()
+
+
+def test_small_tables_are_spread_and_polygons_made_once(spark, sf_dir):
+    for name in ("abnormal_summary", "feature_records", "jpeg_images"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" in plan and plan.count("COS(") <= 1
