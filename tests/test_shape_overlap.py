@@ -102,3 +102,16 @@ def test_objects_that_tiles_cut_are_one(spark):
         mask, _, _ = shapes.filled(np.array([(p["x"], p["y"]) for p in r["contour"]]))
         assert mask.sum() in {int((labels == n).sum()) for n in want.values()}
     assert pipeline.screen(tiles, dedup="box").count() >= len(want)
+
+
+def test_overlaps_of_many_pairs_at_once(spark):
+    rng = np.random.default_rng(11)
+    sides = [[], []]
+    for _ in range(300):
+        for s in sides:
+            mask = rng.random((int(rng.integers(1, 7)), int(rng.integers(1, 9)))) < rng.choice([0.0, 0.5, 1.0])
+            s.append(shapes.spans_of(mask, *rng.integers(-4, 4, 2).tolist()))
+    flat = [x for s in sides for x in (np.concatenate(s), np.array([len(a) for a in s]))]
+    assert shapes.overlaps(*flat).tolist() == [shapes.overlap(a, b) for a, b in zip(*sides, strict=True)]
+    plan = shapes.shape_pairs(spark.createDataFrame([("s", 1, [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0)])], "wsi_name string, id int, contour array<struct<x: double, y: double>>"), "wsi_name", "id")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 1  # spans come with the boxes

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators import detect, raster
+from tilewright.operators import quad, raster
 from tilewright.operators.graph import components
 from tilewright.sources.scratch import written
 
@@ -62,6 +62,35 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((covered(a[:, 0] * wide + a[:, 2] - low + 1) - covered(a[:, 0] * wide + a[:, 1] - low)).sum())
 
 
+def overlaps(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """``overlap`` of many pairs at once: spans one after the other, and how many each pair has of either side."""
+    own_a, own_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
+    own, every = np.concatenate([own_a, own_b]), np.concatenate([a, b])
+    low, high = np.zeros((2, len(sizes_a)), np.int64), np.zeros((2, len(sizes_a)), np.int64)
+    for i, first, last in ((0, 0, 0), (1, 1, 2)):
+        low[i], high[i] = np.iinfo(np.int64).max // 4, np.iinfo(np.int64).min // 4
+        np.minimum.at(low[i], own, every[:, first])
+        np.maximum.at(high[i], own, every[:, last])
+    found = np.bincount(own, minlength=len(sizes_a)) > 0
+    low[:, ~found] = high[:, ~found] = 0
+    # each pair's pixels have numbers of their own, row by row
+    wide = high[1] - low[1] + 2
+    base = np.concatenate([[0], np.cumsum((high[0] - low[0] + 1) * wide)[:-1]]) if len(wide) else np.zeros(0, np.int64)
+
+    def numbers(spans: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = base[o] + (spans[:, 0] - low[0][o]) * wide[o] - low[1][o]
+        return row + spans[:, 1], row + spans[:, 2] + 1
+
+    (from_a, to_a), (starts, ends) = numbers(a, own_a), numbers(b, own_b)
+    before = np.concatenate([[0], np.cumsum(ends - starts)])
+
+    def covered(at: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(starts, at, side="right")
+        return before[k] - (np.where(k > 0, np.maximum(ends[np.maximum(k - 1, 0)] - at, 0), 0) if len(ends) else 0)
+
+    return np.bincount(own_a, weights=covered(to_a) - covered(from_a), minlength=len(sizes_a)).astype(np.int64)
+
+
 _SPANS = "spans array<int>, pixels long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -81,19 +110,33 @@ def with_spans(objects: DataFrame, key: str, contour: str = "contour") -> DataFr
     return objects.select(key, contour).mapInArrow(run, f"{key} {dict(objects.dtypes)[key]}, {_SPANS}")
 
 
+def _packed(shapes: DataFrame, key: str) -> DataFrame:
+    """Spans as bytes of 32-bit integers, which pass to Python as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [x.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes() for x in batch.column("spans")]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if c == "spans" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return shapes.mapInArrow(run, f"{key} {dict(shapes.dtypes)[key]}, {_SPANS.replace('spans array<int>', 'spans binary')}")
+
+
 def shape_pairs(objects: DataFrame, slide: str = "wsi_name", key: str = "instance_id", contour: str = "contour") -> DataFrame:
     """(slide, id_a, id_b, shared, pixels_a, pixels_b, iou) of objects whose shapes share a pixel, each pair once. Keys are unique."""
     kind = dict(objects.dtypes)[key]
-    shapes = written(objects.select(slide, key).join(with_spans(objects, key, contour), key), "shape-spans")
-    boxes = detect.iou_pairs(shapes.filter("pixels > 0"), slide, key).select(slide, "id_a", "id_b")
-    a, b = (shapes.select(F.col(key).alias(f"id_{n}"), F.col("spans").alias(f"spans_{n}"), F.col("pixels").alias(f"pixels_{n}")) for n in "ab")
-    met = boxes.join(a, "id_a").join(b, "id_b").select(slide, "id_a", "id_b", "spans_a", "spans_b", "pixels_a", "pixels_b")
+    shapes = written(objects.select(slide, key).join(_packed(with_spans(objects, key, contour), key), key), "shape-spans")
+    # a shape goes with its box, so that pairs have their spans where they meet; the key comes first and tells the order
+    whole = shapes.filter("pixels > 0").select(slide, F.struct(F.col(key).alias("id"), "pixels", "spans").alias("__shape"), "x1", "y1", "x2", "y2")
+    met = quad.overlapping(whole, slide, "__shape").select(slide, *[F.col(f"id_{n}.{c}").alias(f"{c}_{n}") for n in "ab" for c in ("id", "pixels", "spans")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [overlap(*(np.array(v, np.int64).reshape(-1, 3) for v in pair)) for pair in zip(batch.column("spans_a").to_pylist(), batch.column("spans_b").to_pylist(), strict=True)]
+            both = []
+            for n in "ab":
+                data = batch.column(f"spans_{n}").to_pylist()
+                both += [np.frombuffer(b"".join(data), np.int32).reshape(-1, 3).astype(np.int64), np.array([len(x) // 12 for x in data], np.int64)]
             kept = [slide, "id_a", "id_b", "pixels_a", "pixels_b"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(both, pa.int64())], names=[*kept, "shared"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(overlaps(*both), pa.int64())], names=[*kept, "shared"])
 
     found = met.mapInArrow(run, f"{slide} {dict(objects.dtypes)[slide]}, id_a {kind}, id_b {kind}, pixels_a long, pixels_b long, shared long").filter("shared > 0")
     return found.select(slide, "id_a", "id_b", "shared", "pixels_a", "pixels_b", (F.col("shared") / (F.col("pixels_a") + F.col("pixels_b") - F.col("shared"))).alias("iou"))
