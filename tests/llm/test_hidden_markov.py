@@ -4,6 +4,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tilewright.llm import hidden_markov as H
@@ -155,3 +156,19 @@ def test_query_beats_the_base_on_held_out_texts(spark, sf_dir, rows):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[1:5] and r["base_score"] == pytest.approx(w[5])
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_buckets_grow_in_number_and_not_in_size(spark, docs, rows, monkeypatch):
+    want = {r["doc_id"]: r["score"] for r in H.score_documents(docs, rounds=1, most=300, groups=64).collect()}
+    made, token_blocks = [], H.token_blocks
+    monkeypatch.setattr(H, "BUCKET_BYTES", sum(len((t or "").encode()) for _, t in rows) // 40)
+    monkeypatch.setattr(H, "token_blocks", lambda docs, modulus, remainder, buckets, size: made.append(buckets) or token_blocks(docs, modulus, remainder, buckets, size))
+    got = {r["doc_id"]: r["score"] for r in H.score_documents(docs, rounds=1, most=300, groups=64, block_bytes=50_000).collect()}
+    assert made[0] >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions")) and got == pytest.approx(want, abs=1e-4)
+
+
+def test_groups_of_words_are_those_of_each():
+    words = pa.array([b"", b"a", b"ab", b"abc", b"abcd", b"\xff\x00z", b""])
+    assert H.groups_of(words, 2048).tolist() == [H.group_of(w, 2048) for w in words.to_pylist()]
+    assert H.groups_of(words[3:], 7).tolist() == [H.group_of(w, 7) for w in words[3:].to_pylist()]
+    assert H.groups_of(words[:1], 7).tolist() == [0]

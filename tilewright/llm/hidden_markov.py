@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,12 @@ STATES, ROUNDS = 12, 6
 MOST, GROUPS = 16384, 2048
 #: Text of one block, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Text whose words one hash bucket holds at most, in bytes: buckets grow in number with the corpus, never in size.
+BUCKET_BYTES = 64 << 20
 #: Tokens of the pieces that Baum-Welch trains on; texts up to that are trained on whole.
 PIECE = 1024
 #: Texts scored at once, tokens trained on at once, and partitions' counts summed at once.
-LANES, TOKENS, TREE = 4096, 1 << 18, 64
+LANES, TOKENS, TREE = 4096, 1 << 19, 64
 _SINGLE = 1 << 15
 _RANGES = 16
 
@@ -51,24 +54,24 @@ class _Numbers(dict):
         return n
 
 
-_BLOCK = "block_id long, doc_ids array<long>, held binary, sizes binary, tokens binary, words array<struct<bucket: int, at: binary, words: array<binary>, counts: binary>>"
+_BLOCK = "block_id long, doc_ids array<long>, held binary, sizes binary, tokens binary, words array<struct<bucket: int, words: array<binary>, counts: binary>>"
 
 
-def _pack(block_id: int, docs: list[tuple[int, bool, list[int]]], words: list[bytes], buckets: int) -> pa.RecordBatch:
+def _pack(block_id: int, docs: list[tuple[int, bool, np.ndarray]], words: list[bytes], buckets: int) -> pa.RecordBatch:
+    """A block's row; its words are numbered anew, in the order of their buckets."""
     held = np.array([d[1] for d in docs], bool)
     sizes = np.array([len(d[2]) for d in docs], np.int32)
-    tokens = np.fromiter((x for d in docs for x in d[2]), np.int32, int(sizes.sum()))
-    counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    parts = []
-    for b in range(buckets):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            parts.append({"bucket": b, "at": at.astype(np.int32).tobytes(), "words": [words[i] for i in at], "counts": counts[at].astype(np.int64).tobytes()})
-    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())]))
-    columns = [pa.array([block_id]), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held, sizes, tokens)), pa.array([parts], kind)]
+    number = np.empty(len(words), np.int32)
+    number[order] = np.arange(len(words), dtype=np.int32)
+    tokens = number[np.concatenate([d[2] for d in docs])]
+    counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
+    own, edges = np.unique(bucket[order], return_index=True)
+    edges = np.append(edges, len(words)).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(edges), pa.array([words[i] for i in order.tolist()], pa.binary()))
+    parts = pa.StructArray.from_arrays([pa.array(own, pa.int32()), listed, pa.array([c.tobytes() for c in np.split(counts.astype(np.int64), edges[1:-1])], pa.binary())], ["bucket", "words", "counts"])
+    columns = [pa.array([block_id]), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held, sizes, tokens)), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), parts)]
     return pa.RecordBatch.from_arrays(columns, names=["block_id", "doc_ids", "held", "sizes", "tokens", "words"])
 
 
@@ -84,14 +87,15 @@ def token_blocks(docs: DataFrame, modulus: int, remainder: int, buckets: int, bl
                     yield _pack(block_id, block, list(numbers), buckets)
                     block_id, numbers, block, size = block_id + 1, _Numbers(), [], 0
                 size += len(text) + 16
-                block.append((doc_id, held, list(map(numbers.__getitem__, tokens_of(text)))))
+                words = tokens_of(text)
+                block.append((doc_id, held, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
         if block:
             yield _pack(block_id, block, list(numbers), buckets)
 
     return docs.select(F.col("doc_id").cast("long"), (common.crc_mod("doc_id", modulus) == remainder).alias("held"), common.text_of()).mapInArrow(run, _BLOCK)
 
 
-_TOTALS = "block_id long, at binary, counts binary, bucket int, n long, v long, groups binary, top array<struct<word: binary, c: long>>, rest long"
+_TOTALS = "block_id long, bucket int, counts binary, n long, v long, groups binary, top array<struct<word: binary, c: long>>, rest long"
 _TOP = pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))
 
 
@@ -118,26 +122,27 @@ def word_totals(blocks: DataFrame, most: int, groups: int, buckets: int) -> Data
         index, words, total, sizes = _counted(rows)
         mine = np.split(total[index], np.cumsum(sizes)[:-1])
         seen = np.flatnonzero(total)
-        own = words.take(pa.array(seen)).to_pylist()
-        by_group = np.bincount(np.array([group_of(w, groups) for w in own], np.int64), total[seen], minlength=groups).astype(np.int64)
+        own = total[seen]
+        by_group = np.bincount(groups_of(words.take(pa.array(seen)), groups), own, minlength=groups).astype(np.int64)
+        # words that may be among the first ``share``, and the greatest count after those
+        low, rest = (int(x) for x in -np.partition(-own, [share - 1, share])[share - 1 : share + 1]) if len(own) > share else (1, 0)
+        likely = seen[own >= low]
         # the order of equal counts must not depend on the order of the blocks
-        ranked = sorted(zip((-total[seen]).tolist(), own, strict=True))
-        top, rest = ranked[:share], -ranked[share][0] if len(ranked) > share else 0
+        top = sorted(zip((-total[likely]).tolist(), words.take(pa.array(likely)).to_pylist(), strict=True))[:share]
         n = len(mine)
         columns = [
             pa.array([*rows.column("block_id").to_pylist(), None], pa.int64()),
-            pa.array([*rows.column("at").to_pylist(), None], pa.binary()),
+            pa.array([rows.column("bucket")[0].as_py()] * (n + 1), pa.int32()),
             pa.array([*(x.tobytes() for x in mine), None], pa.binary()),
-            pa.array([None] * n + [rows.column("bucket")[0].as_py()], pa.int32()),
             pa.array([None] * n + [int(total.sum())], pa.int64()),
             pa.array([None] * n + [len(seen)], pa.int64()),
             pa.array([None] * n + [by_group.tobytes()], pa.binary()),
             pa.array([None] * n + [[{"word": w, "c": -c} for c, w in top]], _TOP),
             pa.array([None] * n + [rest], pa.int64()),
         ]
-        return pa.Table.from_arrays(columns, names=[c.split(" ")[0] for c in _TOTALS.split(", ")][:7] + ["top", "rest"])
+        return pa.Table.from_arrays(columns, names=[c.split(" ")[0] for c in _TOTALS.split(", ")][:6] + ["top", "rest"])
 
-    rows = blocks.select("block_id", F.explode("words").alias("w")).select("block_id", "w.bucket", "w.at", "w.words", "w.counts")
+    rows = blocks.select("block_id", F.explode("words").alias("w")).select("block_id", "w.bucket", "w.words", "w.counts")
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, _TOTALS)
 
 
@@ -170,6 +175,23 @@ def group_of(word: bytes, groups: int) -> int:
     return zlib.crc32(word[-3:]) % groups
 
 
+#: What a byte does to a CRC-32.
+_CRC = np.array([zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+def groups_of(words: pa.Array, groups: int) -> np.ndarray:
+    """``group_of`` of each word."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    ends, at = offsets[1:], np.maximum(offsets[1:] - 3, offsets[:-1])
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for _ in range(3):
+        crc = np.where(at < ends, _CRC[(crc & np.uint32(255)) ^ data[np.minimum(at, len(data) - 1)]] ^ (crc >> np.uint32(8)), crc)
+        at = at + 1
+    return (~crc).astype(np.int64) % groups
+
+
 @dataclass
 class Lexicon:
     """What all tasks need of the corpus counts; its size is fixed by MOST and GROUPS."""
@@ -205,36 +227,31 @@ def symbol_blocks(blocks: DataFrame, totals: DataFrame, lexicon: Lexicon) -> Dat
     """Blocks of symbols, with each document's known tokens, base score and state-free part of the score."""
     shared = blocks.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         lex: Lexicon = shared.value
         groups, first = len(lex.group_counts), len(lex.frequent)
-        for batch in batches:
-            for row in batch.to_pylist():
-                size = sum(len(p["words"]) for p in row["words"])
-                counts, symbol = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                for part in row["totals"]:
-                    counts[np.frombuffer(part["at"], np.int32)] = np.frombuffer(part["counts"], np.int64)
-                for part in row["words"]:
-                    get = lex.frequent.get
-                    found = [get(w, -1) for w in part["words"]]
-                    symbol[np.frombuffer(part["at"], np.int32)] = [s if s >= 0 else first + group_of(w, groups) for s, w in zip(found, part["words"], strict=True)]
-                rare = symbol >= first
-                fixed = np.zeros(size)
-                known = counts > 0
-                in_group = rare & known
-                fixed[in_group] = np.log10(counts[in_group] / lex.group_counts[symbol[in_group] - first])
-                symbol[~known] = lex.symbols - 1
-                fixed[~known] = -np.log10(lex.v + 1.0)  # an unseen word is one of as many as were seen
-                base = np.log10((counts + 1.0) / (lex.n + lex.v + 1.0))
-                symbol |= np.where(counts == 1, _SINGLE, 0)
-                tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["sizes"], np.int32)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                sums = [np.add.reduceat(x[tokens], starts).tobytes() for x in (known.astype(np.int64), base, fixed)]
-                columns = [pa.array([row["block_id"]]), pa.array([row["doc_ids"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["held"], row["sizes"], symbol[tokens].astype(np.uint16).tobytes(), *sums))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block_id", "doc_ids", "held", "sizes", "symbols", "known", "base", "fixed"])
-
-    back = totals.filter("block_id is not null").groupBy("block_id").agg(F.collect_list(F.struct("at", "counts")).alias("totals"))
-    return blocks.join(back, "block_id").mapInArrow(run, _SYMBOLS)
+        words = pa.concat_arrays([c.flatten().field("words").flatten() for c in block.column("words").chunks])
+        # the block's words lie in the order of their buckets
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in totals.sort_by("bucket").column("counts").to_pylist()])
+        found = pc.fill_null(pc.index_in(words, pa.array(list(lex.frequent), pa.binary())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        symbol = np.where(found >= 0, found, first + groups_of(words, groups))
+        fixed = np.zeros(len(words))
+        known = counts > 0
+        in_group = (symbol >= first) & known
+        fixed[in_group] = np.log10(counts[in_group] / lex.group_counts[symbol[in_group] - first])
+        symbol[~known] = lex.symbols - 1
+        fixed[~known] = -np.log10(lex.v + 1.0)  # an unseen word is one of as many as were seen
+        base = np.log10((counts + 1.0) / (lex.n + lex.v + 1.0))
+        symbol |= np.where(counts == 1, _SINGLE, 0)
+        tokens, sizes = (np.frombuffer(block.column(c)[0].as_py(), np.int32) for c in ("tokens", "sizes"))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        sums = [np.add.reduceat(x[tokens], starts).tobytes() for x in (known.astype(np.int64), base, fixed)]
+        made = [pa.array([x], pa.binary()) for x in (symbol.astype(np.uint16)[tokens].tobytes(), *sums)]
+        return pa.table([*(block.column(c) for c in ("block_id", "doc_ids", "held", "sizes")), *made], names=["block_id", "doc_ids", "held", "sizes", "symbols", "known", "base", "fixed"])
+
+    # a task holds one block and its totals at a time
+    back = totals.filter("block_id is not null").select("block_id", "bucket", "counts")
+    return blocks.groupBy("block_id").cogroup(back.groupBy("block_id")).applyInArrow(run, _SYMBOLS)
 
 
 @dataclass
@@ -292,39 +309,43 @@ class Counts:
             low = high
 
     def _lanes(self, model: Model, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> None:
+        """Tokens lie step by step, lane by lane, and states apart, so that each step's arithmetic runs along the lanes."""
         steps, k = int(length[0]), len(model.start)
         active = np.searchsorted(-length, -np.arange(steps), side="left")  # lanes longer than t; lengths fall
-        step, emit = model.step.astype(np.float32), model.emit.astype(np.float32)
-        alpha, out, marks = [], [], []
+        edges = np.concatenate([[0], np.cumsum(active)]).tolist()
+        lane = np.arange(edges[-1]) - np.repeat(edges[:-1], active)
+        raw = symbols[begin[lane] + np.repeat(np.arange(steps), active)]
+        mark = (raw & (_SINGLE - 1)).astype(np.intp)
+        out = np.take(np.ascontiguousarray(model.emit.T, np.float32), mark, axis=1)
+        alpha, totals = np.empty_like(out), np.empty(out.shape[1], np.float32)
+        onward, back = np.ascontiguousarray(model.step.T, np.float32), model.step.astype(np.float32)
         for t in range(steps):
-            raw = symbols[begin[: active[t]] + t]
-            mark = raw & (_SINGLE - 1)
-            b = emit[mark]
-            a = (np.where(first[:, None], model.start, model.again).astype(np.float32) if t == 0 else alpha[-1][: active[t]] @ step) * b
-            total = a.sum(1, keepdims=True)
-            self.log += float(np.log10(total, dtype=np.float64).sum())
-            alpha.append(a / total)
-            out.append(b / total)
-            marks.append(raw)
-        beta = np.ones((active[-1], k), np.float32)
-        gammas = []
-        for t in range(steps - 1, -1, -1):
-            gamma = alpha[t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            gammas.append(gamma)
-            if t:
-                ahead = out[t] * beta
-                self.step += (alpha[t - 1][: active[t]].T @ ahead).astype(float) * model.step
-                back = np.ones((active[t - 1], k), np.float32)
-                back[: active[t]] = ahead @ step.T
-                beta = back
-        self.start += gammas[-1][first].sum(0)
-        self.again += gammas[-1][~first].sum(0)
-        gamma, mark = np.concatenate(gammas[::-1]), np.concatenate(marks)
-        self.single += gamma[mark >= _SINGLE].sum(0)
-        mark = mark & (_SINGLE - 1)
+            own = slice(edges[t], edges[t + 1])
+            come = onward @ a[:, : active[t]] if t else np.where(first, model.start[:, None], model.again[:, None]).astype(np.float32)
+            a, b, total = alpha[:, own], out[:, own], totals[own]
+            np.multiply(come, b, out=a)
+            np.add.reduce(a, 0, out=total)
+            b /= total
+            np.multiply(come, b, out=a)
+        self.log += float(np.log10(totals, dtype=np.float64).sum())
+        moves, beta = np.zeros((k, k)), np.ones((k, active[-1]), np.float32)
+        for t in range(steps - 1, 0, -1):
+            low, high, before = edges[t], edges[t + 1], edges[t - 1]
+            alpha[:, low:high] *= beta
+            ahead = out[:, low:high]
+            ahead *= beta
+            moves += alpha[:, before : before + high - low] @ ahead.T
+            beta = np.ones((k, low - before), np.float32)
+            beta[:, : high - low] = back @ ahead
+        gamma = alpha
+        gamma[:, : edges[1]] *= beta
+        gamma /= gamma.sum(0)
+        self.step += moves * model.step
+        self.start += gamma[:, : edges[1]][:, first].sum(1, dtype=np.float64)
+        self.again += gamma[:, : edges[1]][:, ~first].sum(1, dtype=np.float64)
+        self.single += gamma[:, raw >= _SINGLE].sum(1, dtype=np.float64)
         for s in range(k):
-            self.emit[:, s] += np.bincount(mark, gamma[:, s], minlength=len(self.emit))
+            self.emit[:, s] += np.bincount(mark, gamma[s], minlength=len(self.emit))
 
     def rows(self) -> pa.RecordBatch:
         """The counts as rows (range, values): the emission rows in ranges of symbols, then all others."""
@@ -431,11 +452,13 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, state
     A null text is the empty text, whose only token is the end; a null id counts as
     the empty id; repeated rows count each time; other columns are ignored. Without
     any training row the score is the base score. An empty table gives no rows. For
-    corpora of many terabytes take larger blocks: each sends a row to each bucket.
+    corpora of many terabytes take larger blocks: each sends a row to each bucket, of
+    which there are as many as keep one to the words of BUCKET_BYTES of text.
     """
     if most + groups + 1 > _SINGLE:
         raise ValueError("more symbols than fit 15 bits")
-    buckets = common.shuffle_width(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(common.shuffle_width(docs.sparkSession), -(-total // BUCKET_BYTES))
     blocks = common.written(token_blocks(docs, modulus, remainder, buckets, block_bytes), "hmm-blocks")
     totals = common.written(word_totals(blocks, most, groups, buckets), "hmm-totals")
     lexicon = Lexicon.of(blocks, totals, most, groups)
