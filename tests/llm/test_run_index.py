@@ -97,3 +97,29 @@ def test_query(spark, sf_dir, rows):
 
 def test_query_equals_sql(spark, sf_dir, duck):
     assert_same(registry.QUERIES["op10_run_length_dedup"](spark, sf_dir).toPandas(), duck.sql(registry.ORACLES["op10_run_length_dedup"]).df())
+
+
+def test_keys_and_texts_come_back_squeezed():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 48, 100_000, dtype=np.uint64))
+    keys = keys[keys % np.uint64(7) == 3]
+    for own in (keys, rng.permutation(keys), keys[:1]):
+        packed = R._pack_keys(own, 7)
+        assert (R._unpack_keys(packed) * np.uint64(7) + np.uint64(3) == own).all()
+    assert len(R._pack_keys(keys, 7)) < 5 * len(keys) < 6 * len(keys)
+    rows = [(1, "é" * 30, 2), (None, "", 0), (3, "lorem ipsum " * 40, 2), (4, "x", 0), (5, "lorem ipsum " * 40, 1)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t, "block": b} for d, t, b in rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int32())]))
+    made = pa.Table.from_batches(list(R._gather(iter([batch.slice(1, 1), batch.slice(0, 1), batch.slice(2)]))))
+    assert made.column("block").to_pylist() == [0, 1, 2]
+    assert sorted((None if null else d, t.decode()) for d, null, t in R._unpacked(made) if not null) == sorted((d, t) for d, t, _ in rows if d)
+    assert [t for _, null, t in R._unpacked(made) if null] == [b""] and sum(len(x) for x in made.column("text").to_pylist()) < 200
+
+
+def test_names_tell_contents_apart():
+    text = b"".join(bytes([97 + i % 5]) * 60 + b"-" * 40 for i in range(10))
+    windows = np.array([51, 1] * 7)[:13]
+    size = windows + R.WINDOW - 1
+    parts = [text[i * 37 : i * 37 + n] for i, n in enumerate(size.tolist())] * 2
+    data, start = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.tile(size, 2)) - np.tile(size, 2)
+    names = R._names(data, start, np.tile(windows, 2), many=3)
+    assert (names[:13] == names[13:]).all() and len(set(names.tolist())) == len(set(parts))

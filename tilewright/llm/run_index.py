@@ -16,6 +16,7 @@ with a smaller document than the one at hand are long matches, and their bytes g
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ WINDOW, GRAM = 50, 16
 #: buckets do not multiply; a longer text makes a larger one. Blocks are worked through in PIECEs.
 BLOCK_BYTES, BLOCK_MOST = 8 << 20, 32 << 20
 PIECE = 1 << 20
+#: Text that a task gathers before it squeezes each block's share of it into one row.
+GATHER_BYTES = 32 << 20
 #: An anchor in more blocks than this is dealt by single windows, so that no bucket grows with its copies.
 HEAVY = 1024
 #: Windows of one segment at most: first and last window then cover a segment's bytes.
@@ -127,7 +130,7 @@ class Block:
     @classmethod
     def of(cls, table: pa.Table) -> Block:
         # every pass must see the block alike, in whatever order its rows arrive
-        rows = sorted((_LAST_DOC if d is None else d, d is None, (t or "").encode()) for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        rows = sorted(_unpacked(table))
         ids, texts = [None if none else d for d, none, _ in rows], [t for _, _, t in rows]
         docs = np.array([d for d, _, _ in rows], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -170,16 +173,6 @@ def _window_hashes(data: np.ndarray, at: np.ndarray, base: np.uint64) -> np.ndar
     return _mix(total)
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack48(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _squeeze(data: bytes) -> bytes:
     """Smaller than the shuffle's own compression makes it."""
     return pa.compress(data, codec="zstd", asbytes=True)
@@ -189,6 +182,20 @@ def _unsqueeze(data: bytes, size: int) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
 
 
+def _pack_keys(keys: np.ndarray, buckets: int) -> bytes:
+    """Keys of 48 bits that lie in one bucket, by their quotients' differences (few bits where they rise), byte by byte."""
+    steps = np.diff(keys // np.uint64(buckets), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return len(keys).to_bytes(4, "little") + _squeeze(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _unpack_keys(x: bytes) -> np.ndarray:
+    """The quotients, which tell a bucket's keys apart as the keys do."""
+    n = int.from_bytes(x[:4], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(_unsqueeze(x[4:], 6 * n), np.uint8).reshape(6, n).T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64) & np.uint64((1 << 48) - 1)
+
+
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
@@ -201,13 +208,60 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return data[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+_TEXTS = "block int, ids binary, nulls binary, sizes binary, text binary"
 _ANCHORS = "bucket int, block int, anchors binary, several binary"
 _STATUS = "block int, bucket int, status binary"
-_CONTENTS = "bucket int, block int, keys binary, contents binary, docs binary, windows binary, bytes binary"
+_CONTENTS = "bucket int, block int, keys binary, docs binary, windows binary, bytes binary"
 _LEAST = "block int, bucket int, runs binary, lengths binary, docs binary"
 _RESULT = "doc_id long, n_bytes long, edges array<long>, kept_sha256 string"
 
 
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows (doc_id, text, block) as one row for each block, its text squeezed."""
+    table = pa.Table.from_batches(batches)
+    block = table.column("block").to_numpy()
+    order = np.argsort(block, kind="stable")
+    texts = table.column("text").cast(pa.large_binary()).take(pa.array(order)).combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    doc = table.column("doc_id").take(pa.array(order))
+    nulls, ids = doc.is_null().to_numpy(), doc.fill_null(_LAST_DOC).to_numpy()
+    own, edges = np.unique(block[order], return_index=True)
+    rows = []
+    for b, low, high in zip(own.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        rows.append((b, ids[low:high].tobytes(), np.packbits(nulls[low:high]).tobytes(), np.diff(offsets[low : high + 1]).tobytes(), _squeeze(data[offsets[low] : offsets[high]].tobytes())))
+    return _table(_TEXTS, rows).combine_chunks().to_batches()[0]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield _packed(held)
+            held, size = [], 0
+    if size:
+        yield _packed(held)
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[int, bool, bytes]]:
+    """(doc_id, whether it is null, text) of packed rows or of plain ones."""
+    if "ids" not in table.column_names:
+        for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
+            yield _LAST_DOC if d is None else d, d is None, (t or "").encode()
+        return
+    for row in table.to_pylist():
+        ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool)
+        ends = np.cumsum(sizes)
+        text = _unsqueeze(row["text"], int(ends[-1]))
+        for d, null, low, high in zip(ids.tolist(), nulls.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            yield d, null, text[low:high]
+
+
 def _name_anchors(buckets: int):
     def f(rows: pa.Table) -> pa.Table:
         block, key = Block.of(rows), rows.column("block")[0].as_py()
@@ -218,7 +272,7 @@ def _name_anchors(buckets: int):
         for b in range(buckets):
             at = order[edges[b] : edges[b + 1]]
             if len(at):
-                out.append((b, key, _pack48(block.anchors[at]), np.packbits(block.several[at]).tobytes()))
+                out.append((b, key, _pack_keys(block.anchors[at], buckets), np.packbits(block.several[at]).tobytes()))
         return _table(_ANCHORS, out)
 
     return f
@@ -226,7 +280,7 @@ def _name_anchors(buckets: int):
 
 def _find_repeated(heavy: int):
     def f(rows: pa.Table) -> pa.Table:
-        anchors = [_unpack48(x) for x in rows.column("anchors").to_pylist()]
+        anchors = [_unpack_keys(x) for x in rows.column("anchors").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(rows.column("several").to_pylist(), anchors, strict=True)])
         order = np.argsort(flat := np.concatenate(anchors), kind="stable")
         new = np.concatenate([[True], np.diff(flat[order]) != 0])
@@ -267,16 +321,13 @@ def _send_contents(buckets: int):
         first = block.first[record]
         start = block.found.start[first] + np.maximum(place, 0)
         windows = np.where(place < 0, block.found.windows[first], 1)
-        content = block.found.content[first]
-        single = np.flatnonzero(place >= 0)
-        content[single] = _window_hashes(block.data, start[single], _M[4])
         bucket = keys % np.uint64(buckets)
         edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         out = []
         for b in range(buckets):
             at = slice(edges[b], edges[b + 1])
             if edges[b] < edges[b + 1]:
-                out.append((b, key, _pack48(keys[at]), content[at].tobytes(), _squeeze(block.least[record[at]].tobytes()), windows[at].astype(np.uint8).tobytes(), _squeeze(_gathered(block.data, start[at], windows[at] + WINDOW - 1).tobytes())))
+                out.append((b, key, _pack_keys(keys[at], buckets), _squeeze(block.least[record[at]].tobytes()), windows[at].astype(np.uint8).tobytes(), _squeeze(_gathered(block.data, start[at], windows[at] + WINDOW - 1).tobytes())))
         return _table(_CONTENTS, out)
 
     return f
@@ -402,18 +453,38 @@ def _unlike(data: np.ndarray, start: np.ndarray, windows: np.ndarray, order: np.
     return np.concatenate(out)
 
 
+def _names(data: np.ndarray, start: np.ndarray, windows: np.ndarray, many: int = 1 << 12) -> np.ndarray:
+    """64 bits by which contents are told apart; the contents lie one after the other in ``data``."""
+    out = np.empty(len(start), np.uint64)
+    base = int(_M[0])
+    reach = min(many, len(start)) * (int(windows.max(initial=1)) + WINDOW - 1)
+    power, inverse = (np.multiply.accumulate(np.full(reach + 1, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+    for low in range(0, len(start), many):
+        own = slice(low, low + many)
+        begin = start[own] - start[low]
+        end = begin + windows[own] + WINDOW - 1
+        part = _BYTES[data[start[low] : start[low] + end[-1]]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)], dtype=np.uint64)])
+        out[own] = _mix((sums[end] - sums[begin]) * inverse[begin] + windows[own].astype(np.uint64))
+    single = np.flatnonzero(windows == 1)
+    for low in range(0, len(single), 16 * many):
+        own = single[low : low + 16 * many]
+        out[own] = _window_hashes(data, start[own], _M[4])
+    return out
+
+
 def _resolve(rows: pa.Table) -> pa.Table:
     """Each block's records with runs of windows and the least document that holds each."""
     lists = {c: rows.column(c).to_pylist() for c in rows.column_names}
-    keys = [_unpack48(x) for x in lists["keys"]]
+    keys = [_unpack_keys(x) for x in lists["keys"]]
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys)
-    content = np.concatenate([np.frombuffer(x, np.uint64) for x in lists["contents"]])
     doc = np.concatenate([np.frombuffer(_unsqueeze(x, 8 * n), np.int64) for x, n in zip(lists["docs"], sizes, strict=True)])
     counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in lists["windows"]]
     windows = np.concatenate(counts)
     data = np.frombuffer(b"".join(_unsqueeze(x, int(c.sum()) + len(c) * (WINDOW - 1)) for x, c in zip(lists["bytes"], counts, strict=True)), np.uint8)
     start = np.cumsum(windows + WINDOW - 1) - windows - (WINDOW - 1)
+    content = _names(data, start, windows)
     order, new_key, new = _grouped(doc, content, key)
     other = _unlike(data, start, windows, order, new)
     if len(other):  # a name that two contents share: by their bytes
@@ -520,7 +591,8 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
     blocks = int(max(1, -(-total // max(block_bytes, min(total // buckets, BLOCK_MOST)))))
     # by text too, so that one id does not make one block
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    # one query to the end: the blocks' texts are shuffled once and read three times, which costs
+    source = source.mapInArrow(_gather, _TEXTS)
+    # one query to the end: the blocks' texts are shuffled once, squeezed, and read three times, which costs
     # least disk; a lost executor's part of any step is made again from the step before
     anchors = source.groupBy("block").applyInArrow(_name_anchors(buckets), _ANCHORS)
     statuses = anchors.groupBy("bucket").applyInArrow(_find_repeated(heavy), _STATUS)
