@@ -96,3 +96,40 @@ def test_a_table_without_commits_is_taken_over(spark, store):
     assert store.records().count() == 25
     store.insert(records(spark, 5))
     assert store.records().count() == 30
+
+
+def test_a_batch_of_many_slides_shares_files(spark, store):
+    rows = records(spark, 900, 300)
+    assert store.insert(rows, "many") == 900 and ids(store.records()) == ids(rows)
+    assert len(store._files()) <= 4 and not [n for n in store._found(store.path)]  # as many as tasks, whatever the slides
+    found = store.query_abnormal(0.0, "s7")
+    assert ids(found) == ["r00007", "r00307", "r00607"] and "IsNotNull(wsi_name)" in found._jdf.queryExecution().toString()
+    store.insert(records(spark, 960).filter("record_id >= 'r00900'"))  # three slides, which get folders
+    assert len(store._found(store.path)) >= 3 and ids(store.records()) == [f"r{i:05d}" for i in range(960)]
+    changed = records(spark, 960, 300).filter("record_id in ('r00003', 'r00950')").withColumn("abnormality_score", F.lit(0.995).cast("float"))
+    assert store.upsert(changed, "u") == 2 == store.upsert(changed, "u")
+    assert ids(store.records()) == [f"r{i:05d}" for i in range(960)] and ids(store.records().filter("abnormality_score > 0.99")) == ["r00003", "r00950"]
+
+
+def test_the_index_covers_shared_files(spark, store):
+    store.insert(records(spark, 400, 200))
+    store.create_index()
+    store.insert(records(spark, 800, 200).filter("record_id >= 'r00400'"))
+    vector = [float(x) for x in store.records().filter("record_id = 'r00070'").first()["feature_vector"]]
+    everything = [f"r{i:05d}" for i in range(800)]
+    assert ids(store.search_similar(vector, 1000, exact=False)) == everything
+    store.upsert(records(spark, 800, 200).filter("record_id in ('r00001', 'r00070', 'r00700')"))
+    assert ids(store.search_similar(vector, 1000, exact=False)) == everything  # none twice, none old
+    store.refresh_index()
+    assert store._unindexed() is None and ids(store.search_similar(vector, 1000, exact=False)) == everything
+
+
+def test_a_killed_first_insert_of_many_slides_leaves_nothing_visible(spark, store, monkeypatch):
+    def die(*args):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(store, "_write_json", die)
+    with pytest.raises(RuntimeError):
+        store.insert(records(spark, 400, 200), "one")
+    monkeypatch.undo()
+    assert store.records().count() == 0 and store.insert(records(spark, 400, 200), "one") == 400 and store.records().count() == 400

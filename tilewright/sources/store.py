@@ -8,7 +8,7 @@ import uuid
 from urllib.parse import quote, unquote
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,11 +16,16 @@ from tilewright.config import StoreConfig
 from tilewright.operators import report, search
 from tilewright.schemas import NUCLEUS_RECORD
 
+#: Where files that slides share are. Not hidden, so that a reader of the whole folder gets an error and not some of the slides.
+_SHARED = "shared/"
+
 
 class FeatureStore:
     """Records foldered by slide, so that a slide's query prunes to its folder; scores sort within files for skipping.
 
-    A write stages its files, moves them into place and then names them in a commit, a file of its own that appears at
+    A batch of more than ``folders`` slides is not foldered, as a file or more a slide would each be moved and listed: its slides share files of
+    ranges of (slide, score), and a slide's query skips by the bounds in them. A write of folders stages its files and moves them into place, one of
+    ranges writes a folder of its own; either then names its files in a commit, a file of its own that appears at
     once; readers see the files of commits alone, so what a failed write leaves is never read. A commit has the name of its batch, and a batch
     that was committed is not written again. ``create_index`` keeps a copy foldered by the nearest of ``lists`` centroids
     beside the table, which searches of ``probes`` lists read instead of all records; files that came since are searched whole.
@@ -98,18 +103,46 @@ class FeatureStore:
         return list(live)
 
     def _of(self, names: list[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], NUCLEUS_RECORD)
-        return self.spark.read.schema(NUCLEUS_RECORD).option("basePath", self.path).parquet(*[f"{self.path}/{n}" for n in names])
+        """Records of files, each with its ``source_file`` (see _source)."""
+        file, reader, parts = F.col("_metadata.file_name"), self.spark.read.schema(NUCLEUS_RECORD), []
+        if shared := [n for n in names if _slide(n) is None]:
+            parts.append(reader.parquet(*[f"{self.path}/{n}" for n in shared]).select(*NUCLEUS_RECORD.names, file.alias("source_file")))
+        if own := [n for n in names if _slide(n) is not None]:
+            rows = reader.option("basePath", self.path).parquet(*[f"{self.path}/{n}" for n in own])
+            parts.append(rows.select(*NUCLEUS_RECORD.names, F.concat_ws("/", "wsi_name", file).alias("source_file")))
+        if not parts:
+            return self.spark.createDataFrame([], NUCLEUS_RECORD).withColumn("source_file", F.lit(None).cast("string"))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _commit(self, rows: DataFrame, batch: str | None, removed: list[str], moved: int = 0) -> int:
         """Write ``rows`` and make them visible, and ``removed`` files invisible, at once; the number of rows without the ``moved`` ones of those files."""
-        batch = uuid.uuid4().hex if batch is None else batch
-        staging, seen = f"{self.path}/_staging-{uuid.uuid4().hex}", Observation("inserted")
+        batch, seen = uuid.uuid4().hex if batch is None else batch, Observation("inserted")
+        many = rows.select("wsi_name").distinct().limit(self.config.folders + 1).count() > self.config.folders
         # ranges of (slide, score), so that a large slide is spread over tasks and a task's files over few slides
         ranges = rows.repartitionByRange("wsi_name", F.desc("abnormality_score")).sortWithinPartitions("wsi_name", F.desc("abnormality_score"))
         # observed after the ranges, as what lies before them also runs to find their bounds
-        ranges.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("wsi_name").parquet(staging)
+        write = ranges.observe(seen, F.count(F.lit(1)).alias("n")).write
+        added = self._write_shared(write) if many else self._write_folders(write)
+        count = int(seen.get["n"]) - moved
+        if not self._write_json(f"{self.path}/_commits/{quote(batch, safe='')}.json", {"batch": batch, "time": time.time_ns(), "rows": count, "added": added, "removed": removed}):
+            for name in added:  # another writer was first with this batch
+                files, place = self._place(f"{self.path}/{name}")
+                files.delete(place, False)
+        return count
+
+    def _write_shared(self, write: DataFrameWriter) -> list[str]:
+        """The files of a write whose slides share them, in a folder of its own where they stay."""
+        folder = f"{_SHARED}{uuid.uuid4().hex}"
+        files, place = self._place(f"{self.path}/{folder}")
+        files.mkdirs(self._place(f"{self.path}/_commits")[1])  # a table that has commits is not read whole, whatever becomes of this one
+        write.parquet(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in files.listStatus(place)]
+        return sorted(f"{folder}/{n}" for n in names if n.endswith(".parquet"))
+
+    def _write_folders(self, write: DataFrameWriter) -> list[str]:
+        """The files of a write with a folder a slide."""
+        staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        write.partitionBy("wsi_name").parquet(staging)
         files, root = self._place(staging)
         added = self._found(staging)
         for name in added:
@@ -118,11 +151,7 @@ class FeatureStore:
             if not files.rename(self._place(f"{staging}/{name}")[1], target):
                 raise OSError(f"cannot move {name} into {self.path}")
         files.delete(root, True)
-        count = int(seen.get["n"]) - moved
-        if not self._write_json(f"{self.path}/_commits/{quote(batch, safe='')}.json", {"batch": batch, "time": time.time_ns(), "rows": count, "added": added, "removed": removed}):
-            for name in added:  # another writer was first with this batch
-                files.delete(self._place(f"{self.path}/{name}")[1], False)
-        return count
+        return added
 
     def _checked(self, records: DataFrame) -> DataFrame:
         bad = report.overlong(records).select("record_id").unionByName(records.filter(F.size("feature_vector") != self.config.dim).select("record_id"))
@@ -158,9 +187,9 @@ class FeatureStore:
         first = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("abnormality_score"), F.xxhash64(*NUCLEUS_RECORD.names)))
         rows = self._checked(records).withColumn("__first", first).filter("__first = 1").drop("__first")
         ids, live = rows.select("record_id"), self._files()
-        places = self._of(live).select("record_id", F.col("wsi_name").alias("slide"), F.col("_metadata.file_name").alias("file")) if live else None
-        touched = {(r["slide"], r["file"]) for r in places.join(ids, "record_id", "left_semi").select("slide", "file").distinct().collect()} if live else set()
-        removed = [n for n in live if (_slide(n), n.rsplit("/", 1)[1]) in touched]
+        places = self._of(live).select("record_id", "source_file") if live else None
+        touched = {r["source_file"] for r in places.join(ids, "record_id", "left_semi").select("source_file").distinct().collect()} if live else set()
+        removed = [n for n in live if _source(n) in touched]
         kept = self._of(removed).join(ids, "record_id", "left_anti").select(*NUCLEUS_RECORD.names)
         before = kept.count() if removed else 0
         return self._commit(rows.unionByName(kept) if removed else rows, batch, removed, before)
@@ -187,8 +216,7 @@ class FeatureStore:
         self._note(live, rows.count())
 
     def _fill_lists(self, names: list[str], centres: np.ndarray, mode: str) -> None:
-        rows = self._of(names).select(*NUCLEUS_RECORD.names, F.concat_ws("/", "wsi_name", F.col("_metadata.file_name")).alias("source_file"))
-        search.index_lists(rows, centres).repartitionByRange("list", "record_id").write.mode(mode).partitionBy("list").parquet(f"{self.path}.lists")
+        search.index_lists(self._of(names), centres).repartitionByRange("list", "record_id").write.mode(mode).partitionBy("list").parquet(f"{self.path}.lists")
 
     def _note(self, names: list[str], rows: int) -> None:
         files, own = self._place(f"{self.path}.indexed")
@@ -217,7 +245,7 @@ class FeatureStore:
         centres = np.array([r["centre"] for r in self.spark.read.parquet(f"{self.path}.centres").orderBy("list").collect()])
         lists = self.spark.read.parquet(f"{self.path}.lists")
         live = set(self._files())
-        gone = [(f"{_slide(n)}/{n.rsplit('/', 1)[1]}",) for n in self._read_json(f"{self.path}.indexed")["files"] if live and n not in live]
+        gone = [(_source(n),) for n in self._read_json(f"{self.path}.indexed")["files"] if live and n not in live]
         if gone:
             lists = lists.join(self.spark.createDataFrame(gone, "source_file string"), "source_file", "left_anti")
         return lists.drop("source_file"), centres.reshape(len(centres), self.config.dim)
@@ -253,6 +281,12 @@ class FeatureStore:
         return hits / max(1, every.count())
 
 
-def _slide(name: str) -> str:
-    """The slide of a file's folder."""
-    return unquote(name.split("/", 1)[0].split("=", 1)[1])
+def _slide(name: str) -> str | None:
+    """The slide of a file's folder; None where slides share the file."""
+    return None if name.startswith(_SHARED) else unquote(name.split("/", 1)[0].split("=", 1)[1])
+
+
+def _source(name: str) -> str:
+    """What tells a file's records from others: its name, which tells the write, with the slide where one write gives each slide files."""
+    slide, file = _slide(name), name.rsplit("/", 1)[1]
+    return file if slide is None else f"{slide}/{file}"
