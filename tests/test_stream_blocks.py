@@ -80,3 +80,99 @@ def test_late_tiles_have_a_stated_fate(spark, tmp_path):
     fates = [(r["slide"], r["status"], r["row"], r["col"], r["data"] is None) for r in out if r["slide"] != "z"]
     blocks = len(wanted(spark, rows))
     assert sorted(fates, key=str) == sorted([("a", "whole", None, None, False)] * blocks + [("a", "late", 0, 0, True)] * blocks, key=str)
+
+
+class Held:
+    """State of one bucket in this process, and the number of calls to it."""
+
+    def __init__(self):
+        self.value, self.tiles, self.timers, self.calls = None, {}, set(), 0
+
+    def getMapState(self, name, *_):
+        return self
+
+    def getValueState(self, name, *_):
+        return self
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value = self._called()
+
+    def updateValue(self, key, value):
+        self.tiles[key] = self._called(value)
+
+    def getValue(self, key):
+        return self._called(self.tiles[key])
+
+    def removeKey(self, key):
+        del self.tiles[self._called(key)]
+
+    def registerTimer(self, at):
+        self.timers.add(self._called(at))
+
+    def deleteTimer(self, at):
+        self.timers.remove(self._called(at))
+
+
+def held_blocks(spark, rows):
+    """A bucket's processor, its state, and the rows that it gets for tiles, a minute of a slide's in milliseconds from START."""
+    made, state = strips.FinishedBlocks(BLOCK, TILE, PITCH, OVERLAP, SIGMA, 1e-8, 600_000), Held()
+    made.init(state)
+    placed = grid.tile_block_map(spark.createDataFrame(rows, SCHEMA), BLOCK, TILE, PITCH)
+    columns = ["slide", "block_row", "block_col", "row", "col", "data", "h", "w", strips.expected_tiles(BLOCK, TILE, PITCH).alias("expected"), (F.unix_millis("at") - int(START.timestamp() * 1000)).alias("at_ms")]
+    return made, state, placed.select(*columns).toPandas()
+
+
+def blocks_of(frames):
+    return {(r.slide, r.block_row, r.block_col): (r.status, bytes(r.data)) for f in frames for r in f.itertuples(index=False)}
+
+
+def test_calls_to_the_state_do_not_grow_with_the_blocks(spark):
+    rows = [t for n in range(12) for t in slide(f"s{n}", 3, 4, n)]
+    made, state, got = held_blocks(spark, rows)
+    found = blocks_of(made.handleInputRows((0,), iter([got]), None))
+    assert found == {at: ("whole", data) for at, data in wanted(spark, rows).items()} and len(found) > 50
+    assert state.calls <= 3 and not state.tiles and len(state.timers) == 1
+
+
+def test_tiles_beyond_what_a_call_holds_wait_in_the_state(spark, monkeypatch):
+    rows = slide("a", 3, 4, 1) + slide("b", 3, 4, 2, minute=5) + slide("c", 2, 3, 3)[:-1]
+    made, state, got = held_blocks(spark, rows)
+    monkeypatch.setattr(strips, "HELD", 3 * TILE * TILE * 3)
+    monkeypatch.setattr(strips, "SENT", 1)
+    got = got.sample(frac=1, random_state=0)
+    found = blocks_of(made.handleInputRows((0,), iter([got[:40], got[40:]]), None))
+    assert state.calls > 20  # some did wait there
+    assert {at[0] for at in found} == {"a", "b", "c"} and {s for s, _ in found.values()} == {"whole"}
+    assert {k[:3] for k in state.tiles} == {at for at in wanted(spark, rows) if at not in found}
+
+    class Fired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    (first,) = state.timers
+    assert first == 600_000
+    state.timers.clear()
+    rest = blocks_of(made.handleExpiredTimer((0,), Fired(first), Fired(first)))
+    assert {s for s, _ in rest.values()} == {"partial"} and {at[0] for at in rest} == {"c"} and not state.tiles
+    assert {at: data for at, (_, data) in (found | rest).items()} == wanted(spark, rows)
+    assert state.timers == {900_000}  # of what came later
+    late = list(made.handleInputRows((0,), iter([got[got.slide == "b"][:1]]), None))
+    assert [(f.status[0], f.data[0]) for f in late] == [("late", None)]
+    state.timers.clear()
+    assert not list(made.handleExpiredTimer((0,), Fired(900_000), Fired(900_000))) and state.value is None and not state.timers

@@ -63,8 +63,10 @@ def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     Times begin a day after 1970, as a stream's first watermark is its first second.
     """
     i = F.col("event_id")
+    # a table of few bytes is one task's, whatever its tiles cost
+    events = _events(spark, sf_dir).select("event_id").repartition(3 * spark.sparkContext.defaultParallelism, F.floor(i / 64))
     pixel = F.lpad(F.hex((i * 37 % 256).cast("long")), 2, "0")
-    tiles = _events(spark, sf_dir).select(
+    tiles = events.select(
         F.concat(F.lit("slide_"), F.floor(i / 64)).alias("slide"), F.floor(i % 64 / 8).cast("int").alias("row"), (i % 8).cast("int").alias("col"), F.unhex(F.repeat(pixel, F.lit(192))).alias("data"),
         F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(8).alias("total_rows"), F.lit(8).alias("total_cols"), F.timestamp_seconds(i + 86400).alias("at"),
     )
