@@ -123,3 +123,72 @@ def test_names_tell_contents_apart():
     data, start = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.tile(size, 2)) - np.tile(size, 2)
     names = R._names(data, start, np.tile(windows, 2), many=3)
     assert (names[:13] == names[13:]).all() and len(set(names.tolist())) == len(set(parts))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_anchors_are_dealt_by_windows(spark, seed):
+    """An anchor of many windows is as heavy as one in many blocks; all blocks' windows count."""
+    rows = [(int(d), t) for d, t in zip(np.random.default_rng(seed).permutation(60), passages(seed), strict=True)]
+    check(rows, R.report(R.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4000, heavy_windows=100)).collect())
+    ends = ["".join(np.random.default_rng(i).choice(list("klmnopq"), 60)) for i in range(600)]
+    texts = [e[:30] + "a passage of just less than a window's fifty byte" + e[30:] for e in ends]
+    tables = [pa.table({"doc_id": range(b, 600, 3), "text": texts[b::3], "block": [b] * 200}) for b in range(3)]
+    anchors = pa.concat_tables([R._name_anchors(1)(t) for t in tables])
+    limits = [3 * 10**4, 1000, 0]
+    heavy = [sum(np.unpackbits(np.frombuffer(s[len(s) // 2 :], np.uint8)).sum() for s in R._find_repeated(1024, n)(anchors).column("status").to_pylist()) for n in limits]
+    assert heavy[0] == 0 and heavy[2] > 0 and heavy[1] > 0
+
+
+def test_buckets_grow_with_the_corpus_not_only_with_partitions(spark, monkeypatch):
+    seen, real = [], R._name_anchors
+    monkeypatch.setattr(R, "_name_anchors", lambda buckets: seen.append(buckets) or real(buckets))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows = [(i, t) for i, t in enumerate(passages(6, 40))]
+        check(rows, R.report(R.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1000)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] >= sum(len(t.encode()) for _, t in rows) / 1000 > 4
+
+
+def test_a_bucket_is_indexed_and_marked_by_slices(monkeypatch):
+    """No index and no marking grows with a bucket's or a block's repeated contents, and the rows stay the same."""
+    texts = passages(7, 80)
+    rows = list(enumerate(texts))
+    halves = [pa.table({"doc_id": range(b, 80, 2), "text": texts[b::2], "block": [b] * 40}) for b in range(2)]
+
+    def spans():
+        anchors = [R._name_anchors(3)(t) for t in halves]
+        by = lambda tables, c, v: (x := pa.concat_tables(tables)).filter(pa.array(x.column(c).to_numpy() == v))
+        statuses = [R._find_repeated(1024)(by(anchors, "bucket", b)) for b in range(3)]
+        contents = [R._send_contents(3)(t, by(statuses, "block", i)) for i, t in enumerate(halves)]
+        least = [R._resolve(by(contents, "bucket", b)) for b in range(3)]
+        answers = pa.concat_tables([*statuses, *least], promote_options="default")
+        marked = pa.concat_tables([R._mark(3)(t, by([answers], "block", i)) for i, t in enumerate(halves)]).to_pylist()
+        return [r | {"n_removed": sum(r["edges"][1::2]) - sum(r["edges"][::2]), "n_spans": len(r["edges"]) // 2} for r in marked]
+
+    sizes, made = [], R.RunIndex.__init__
+    monkeypatch.setattr(R.RunIndex, "__init__", lambda self, data, start, windows, docs: sizes.append(int(windows.sum())) or made(self, data, start, windows, docs))
+    check(rows, whole := spans())
+    largest, several = max(sizes), len(sizes)
+    sizes.clear()
+    monkeypatch.setattr(R, "SLICE_WINDOWS", 50)
+    monkeypatch.setattr(R, "SLICE_RUNS", 7)
+    assert spans() == whole
+    assert max(sizes) < largest and len(sizes) > several
+
+
+def test_windows_of_two_bytes_that_change_places_are_told_apart():
+    """All pairs of bytes in one block, where contents are told apart by hash alone."""
+    text = np.random.default_rng(8).permutation(np.arange(65, 115)).astype(np.uint8)
+    swapped = [text.copy() for _ in range(R.WINDOW * (R.WINDOW - 1) // 2)]
+    for own, (i, j) in zip(swapped, ((i, j) for i in range(R.WINDOW) for j in range(i)), strict=True):
+        own[[i, j]] = own[[j, i]]
+    assert len({int(R._piece(x)[1][0]) for x in [text, *swapped]}) == len(swapped) + 1
+    texts = ["".join(map(chr, text)), *("".join(map(chr, x)) for x in swapped)]
+    table = pa.table({"doc_id": range(len(texts)), "text": texts, "block": [0] * len(texts)})
+    anchors = R._name_anchors(1)(table)
+    statuses = R._find_repeated(1024)(anchors)
+    answers = pa.concat_tables([statuses, R._resolve(R._send_contents(1)(table, statuses))], promote_options="default")
+    assert all(not r["edges"] for r in R._mark(1)(table, answers).to_pylist())

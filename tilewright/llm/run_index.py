@@ -27,14 +27,18 @@ from pyspark.sql import functions as F
 from tilewright.llm import common
 
 WINDOW, GRAM = 50, 16
-#: Text of one block, in bytes: at least the first, and up to the second as the corpus grows, so that blocks and
-#: buckets do not multiply; a longer text makes a larger one. Blocks are worked through in PIECEs.
-BLOCK_BYTES, BLOCK_MOST = 8 << 20, 32 << 20
+#: Text of one block and for each bucket, in bytes, whatever the corpus and the number of partitions, as a task holds
+#: one of them; a longer text makes a larger block. Blocks are worked through in PIECEs.
+BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: Text that a task gathers before it squeezes each block's share of it into one row.
 GATHER_BYTES = 32 << 20
-#: An anchor in more blocks than this is dealt by single windows, so that no bucket grows with its copies.
-HEAVY = 1024
+#: An anchor in more blocks than the first, or with more windows than the second, is dealt by single windows, so that
+#: no bucket grows with its copies or its contents. A block tells windows in WINDOWS_STEPs.
+HEAVY, HEAVY_WINDOWS = 1024, 1 << 20
+WINDOWS_STEP = 64
+#: Windows whose index is made at once, but for the anchor that goes beyond them; runs that are marked at once.
+SLICE_WINDOWS, SLICE_RUNS = 1 << 19, 1 << 19
 #: Windows of one segment at most: first and last window then cover a segment's bytes.
 _RUN = WINDOW
 _LAST_DOC = 2**63 - 1
@@ -68,7 +72,8 @@ def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = hashed[m]
         hashed[2 * m] = x[:-m] * _M[j] + x[m:]
     n = len(data) - WINDOW + 1
-    own = hashed[32][:n] * _M[5] + hashed[16][32 : 32 + n] * _M[0] + hashed[2][48 : 48 + n]
+    # no two bytes of a window have one weight, else windows in which they change places would have one hash
+    own = hashed[32][:n] * _M[5] + hashed[16][32 : 32 + n] * _M[0] + hashed[2][48 : 48 + n] * _M[4]
     least, span, reach = _mix(hashed[GRAM]), 1, WINDOW - GRAM + 1
     while span * 2 <= reach:
         least = np.minimum(least[:-span], least[span:])
@@ -209,7 +214,7 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 
 
 _TEXTS = "block int, ids binary, nulls binary, sizes binary, text binary"
-_ANCHORS = "bucket int, block int, anchors binary, several binary"
+_ANCHORS = "bucket int, block int, anchors binary, several binary, many binary"
 _STATUS = "block int, bucket int, status binary"
 _CONTENTS = "bucket int, block int, keys binary, docs binary, windows binary, bytes binary"
 _LEAST = "block int, bucket int, runs binary, lengths binary, docs binary"
@@ -268,17 +273,19 @@ def _name_anchors(buckets: int):
         bucket = block.anchors % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        windows = np.bincount(block.anchor_of, block.found.windows[block.first], len(block.anchors))
+        many = np.minimum(windows // WINDOWS_STEP, 2**16 - 1).astype("<u2")
         out = []
         for b in range(buckets):
             at = order[edges[b] : edges[b + 1]]
             if len(at):
-                out.append((b, key, _pack_keys(block.anchors[at], buckets), np.packbits(block.several[at]).tobytes()))
+                out.append((b, key, _pack_keys(block.anchors[at], buckets), np.packbits(block.several[at]).tobytes(), _squeeze(many[at].tobytes())))
         return _table(_ANCHORS, out)
 
     return f
 
 
-def _find_repeated(heavy: int):
+def _find_repeated(heavy: int, heavy_windows: int = HEAVY_WINDOWS):
     def f(rows: pa.Table) -> pa.Table:
         anchors = [_unpack_keys(x) for x in rows.column("anchors").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(rows.column("several").to_pylist(), anchors, strict=True)])
@@ -286,8 +293,10 @@ def _find_repeated(heavy: int):
         new = np.concatenate([[True], np.diff(flat[order]) != 0])
         group = np.cumsum(new) - 1
         many = np.bincount(group)
+        windows = np.concatenate([np.frombuffer(_unsqueeze(x, 2 * len(a)), "<u2") for x, a in zip(rows.column("many").to_pylist(), anchors, strict=True)])
+        crowded = np.bincount(group, windows[order]) * WINDOWS_STEP > heavy_windows
         repeated = (many > 1) | (np.bincount(group, several[order]) > 0)
-        kind = np.where(repeated, np.where(many > heavy, 2, 1), 0).astype(np.uint8)
+        kind = np.where(repeated, np.where((many > heavy) | crowded, 2, 1), 0).astype(np.uint8)
         status = np.empty(len(flat), np.uint8)
         status[order] = kind[group]
         parts = np.split(status, np.cumsum([len(a) for a in anchors])[:-1])
@@ -473,17 +482,8 @@ def _names(data: np.ndarray, start: np.ndarray, windows: np.ndarray, many: int =
     return out
 
 
-def _resolve(rows: pa.Table) -> pa.Table:
-    """Each block's records with runs of windows and the least document that holds each."""
-    lists = {c: rows.column(c).to_pylist() for c in rows.column_names}
-    keys = [_unpack_keys(x) for x in lists["keys"]]
-    sizes = [len(k) for k in keys]
-    key = np.concatenate(keys)
-    doc = np.concatenate([np.frombuffer(_unsqueeze(x, 8 * n), np.int64) for x, n in zip(lists["docs"], sizes, strict=True)])
-    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in lists["windows"]]
-    windows = np.concatenate(counts)
-    data = np.frombuffer(b"".join(_unsqueeze(x, int(c.sum()) + len(c) * (WINDOW - 1)) for x, c in zip(lists["bytes"], counts, strict=True)), np.uint8)
-    start = np.cumsum(windows + WINDOW - 1) - windows - (WINDOW - 1)
+def _firsts(key: np.ndarray, doc: np.ndarray, data: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's content, and of each content the number of its runs, their windows and the least document of each."""
     content = _names(data, start, windows)
     order, new_key, new = _grouped(doc, content, key)
     other = _unlike(data, start, windows, order, new)
@@ -516,20 +516,82 @@ def _resolve(rows: pa.Table) -> pa.Table:
         owner = [alone, several[segment[places]]]
     owner = np.concatenate(owner)
     by_owner = np.argsort(owner, kind="stable")
-    lengths, docs = np.concatenate(lengths)[by_owner], np.concatenate(docs)[by_owner]
-    begin = np.cumsum(runs) - runs
     mine = np.empty(len(order), np.int64)
     mine[order] = group
+    return mine, runs, np.concatenate(lengths)[by_owner].astype(np.uint8), np.concatenate(docs)[by_owner]
+
+
+def _slices(key: np.ndarray, windows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows of whole keys, of some ``most`` windows at a time."""
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    part = (np.cumsum(windows[order]) - windows[order])[begin] // most
+    edges = begin[np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))]
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        yield order[low:high]
+
+
+def _resolve(rows: pa.Table) -> pa.Table:
+    """Each block's records with runs of windows and the least document that holds each."""
+    lists = {c: rows.column(c).to_pylist() for c in rows.column_names}
+    keys = [_unpack_keys(x) for x in lists["keys"]]
+    sizes = [len(k) for k in keys]
+    key = np.concatenate(keys)
+    doc = np.concatenate([np.frombuffer(_unsqueeze(x, 8 * n), np.int64) for x, n in zip(lists["docs"], sizes, strict=True)])
+    windows = np.frombuffer(b"".join(lists["windows"]), np.uint8).astype(np.int64)
+    data = np.empty(int(windows.sum()) + len(windows) * (WINDOW - 1), np.uint8)
+    low = at = 0
+    for x, n in zip(lists.pop("bytes"), sizes, strict=True):
+        size = int(windows[low : low + n].sum()) + n * (WINDOW - 1)
+        data[at : at + size] = np.frombuffer(_unsqueeze(x, size), np.uint8)
+        low, at = low + n, at + size
+    size = windows + WINDOW - 1
+    start = np.cumsum(size) - size
+    # anchors do not meet, so the index is of some of them at a time, however many of the contents are repeated
+    mine = np.empty(len(key), np.int64)
+    runs, lengths, docs, many = [], [], [], 0
+    for own in _slices(key, windows, SLICE_WINDOWS):
+        content, *found = _firsts(key[own], doc[own], _gathered(data, start[own], size[own]), np.cumsum(size[own]) - size[own], windows[own])
+        mine[own] = content + many
+        many += len(found[0])
+        for x, y in zip((runs, lengths, docs), found, strict=True):
+            x.append(y)
+    runs, lengths, docs = (np.concatenate(x) for x in (runs, lengths, docs))
+    begin = np.cumsum(runs) - runs
     out, low = [], 0
     for block, bucket, n in zip(lists["block"], lists["bucket"], sizes, strict=True):
         own = mine[low : low + n]
         low += n
         many = runs[own]
         at = np.repeat(begin[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out.append((block, bucket, many.astype(np.uint8).tobytes(), lengths[at].astype(np.uint8).tobytes(), _squeeze(docs[at].tobytes())))
+        out.append((block, bucket, many.astype(np.uint8).tobytes(), lengths[at].tobytes(), _squeeze(docs[at].tobytes())))
     return _table(_LEAST, out)
 
 
+def _cover(cover: np.ndarray, block: Block, record: np.ndarray, place: np.ndarray, runs: np.ndarray, lengths: np.ndarray, firsts: np.ndarray) -> None:
+    """Adds 1 to ``cover`` where a long match begins and takes 1 where it ends; a record's runs go for all segments that have it."""
+    by_record = np.argsort(block.record, kind="stable")
+    begin = np.searchsorted(block.record[by_record], np.arange(len(block.first) + 1))
+    times = np.diff(begin)[record]
+    ends = np.cumsum(runs, dtype=np.int64)
+    parts = (np.cumsum(runs * times) - 1) // SLICE_RUNS
+    edges = np.flatnonzero(np.diff(parts, prepend=-1))
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(record)], strict=True):
+        own, r = slice(int(ends[low] - runs[low]), int(ends[high - 1])), runs[low:high].astype(np.int64)
+        length = lengths[own].astype(np.int64)
+        # by record: its runs of windows (offset, length, least document)
+        ahead = np.cumsum(length) - length
+        offset = ahead - np.repeat(ahead[np.cumsum(r) - r], r) + np.repeat(np.maximum(place[low:high], 0), r)
+        # and by segment that has it
+        many = np.repeat(times[low:high], r)
+        at = np.repeat(np.arange(len(length)), many)
+        segment = by_record[np.repeat(np.repeat(begin[record[low:high]], r), many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+        gone = np.flatnonzero(firsts[own][at] < block.docs[block.found.owner[segment]])
+        first = block.found.start[segment[gone]] + offset[at[gone]]
+        np.add.at(cover, first, 1)
+        np.subtract.at(cover, first + length[at[gone]] + WINDOW - 1, 1)
+
+
 def _mark(buckets: int):
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -537,32 +599,18 @@ def _mark(buckets: int):
         block = Block.of(docs)
         cover = np.zeros(len(block.data) + 1, np.int32)
         status, least = {}, {}
-        for row in answers.to_pylist():
-            if row["status"] is not None:
-                status[row["bucket"]] = row["status"]
+        for state, bucket, *row in zip(*(answers.column(c).to_pylist() for c in ("status", "bucket", "runs", "lengths", "docs")), strict=True):
+            if state is not None:
+                status[bucket] = state
             else:
-                least[row["bucket"]] = row
+                least[bucket] = row
         if least:
-            record, place, keys = block.chosen(_statuses(block, status, buckets), buckets)
-            runs, lengths = (np.concatenate([np.frombuffer(least[b][c], np.uint8) for b in sorted(least)]) for c in ("runs", "lengths"))
-            firsts = np.concatenate([np.frombuffer(_unsqueeze(least[b]["docs"], 8 * len(least[b]["lengths"])), np.int64) for b in sorted(least)])
-            # by record: its runs of windows (offset, length, least document)
-            row = np.repeat(np.arange(len(record)), runs)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            before = np.concatenate([[0], ends])[np.cumsum(runs, dtype=np.int64) - runs]
-            offset = ends - lengths - before[row] + np.maximum(place[row], 0)
-            by_record = np.argsort(record[row], kind="stable")
-            owner = record[row][by_record]
-            offset, lengths, firsts = offset[by_record], lengths[by_record].astype(np.int64), firsts[by_record]
-            begin = np.searchsorted(owner, np.arange(len(block.first) + 1))
-            many = np.diff(begin)[block.record]
-            segment = np.repeat(np.arange(len(block.record)), many)
-            at = begin[block.record][segment] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            gone = firsts[at] < block.docs[block.found.owner[segment]]
-            low = block.found.start[segment[gone]] + offset[at[gone]]
-            cover += np.bincount(low, minlength=len(cover)).astype(np.int32)
-            cover -= np.bincount(low + lengths[at[gone]] + WINDOW - 1, minlength=len(cover)).astype(np.int32)
-        covered = np.cumsum(cover[:-1]) > 0
+            record, place, _ = block.chosen(_statuses(block, status, buckets), buckets)
+            runs, lengths, firsts = zip(*(least[b] for b in sorted(least)), strict=True)
+            firsts = np.concatenate([np.frombuffer(_unsqueeze(x, 8 * len(n)), np.int64) for x, n in zip(firsts, lengths, strict=True)])
+            runs, lengths = (np.frombuffer(b"".join(x), np.uint8) for x in (runs, lengths))
+            _cover(cover, block, record, place, runs, lengths, firsts)
+        covered = np.cumsum(cover[:-1], out=cover[:-1]) > 0
         out, low = [], 0
         for doc_id, size in zip(block.ids, block.sizes.tolist(), strict=True):
             own = covered[low : low + size]
@@ -575,7 +623,7 @@ def _mark(buckets: int):
     return f
 
 
-def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK_BYTES, heavy_windows: int = HEAVY_WINDOWS) -> DataFrame:
     """(doc_id, n_bytes, edges, kept_sha256) of every row of ``docs``.
 
     edges holds starts and ends, in bytes of UTF-8, of the maximal runs that WINDOW-byte
@@ -587,15 +635,15 @@ def repeated_spans(docs: DataFrame, heavy: int = HEAVY, block_bytes: int = BLOCK
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of())
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 2 * common.shuffle_width(spark)
-    blocks = int(max(1, -(-total // max(block_bytes, min(total // buckets, BLOCK_MOST)))))
+    blocks = int(max(1, -(-total // block_bytes)))
+    buckets = max(2 * common.shuffle_width(spark), blocks)
     # by text too, so that one id does not make one block
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     source = source.mapInArrow(_gather, _TEXTS)
     # one query to the end: the blocks' texts are shuffled once, squeezed, and read three times, which costs
     # least disk; a lost executor's part of any step is made again from the step before
     anchors = source.groupBy("block").applyInArrow(_name_anchors(buckets), _ANCHORS)
-    statuses = anchors.groupBy("bucket").applyInArrow(_find_repeated(heavy), _STATUS)
+    statuses = anchors.groupBy("bucket").applyInArrow(_find_repeated(heavy, heavy_windows), _STATUS)
     contents = source.groupBy("block").cogroup(statuses.groupBy("block")).applyInArrow(_send_contents(buckets), _CONTENTS)
     least = contents.groupBy("bucket").applyInArrow(_resolve, _LEAST)
     none = F.lit(None).cast("binary")
