@@ -296,3 +296,26 @@ def test_cancel_stops_what_runs_under_the_tasks_tag(spark, tmp_path):
         engine.cancel("t9")
     thread.join(60)
     assert ended and "cancel" in ended[0].lower()
+
+
+def test_the_driver_has_no_row_for_each_tile(spark, tmp_path, monkeypatch):
+    """A file's index is put together by tasks and read in parts; tiles that are missing or lie outside do not matter."""
+    image, path = picture(150, 211), str(tmp_path / "i.tiff")
+    image[32:64] = 0
+    tiles = tiles_of(spark, image, 32).filter("row != 1").union(tiles_of(spark, picture(32, 32), 32).withColumn("col", F.lit(7))).localCheckpoint()
+    before = tmp_path / "w.tiff"
+    tiff.write_pyramid(tiles, str(before), 211, 150, 32)
+    monkeypatch.setattr(tiff, "INDEX_WRITTEN", 4)
+    monkeypatch.setattr(tiff, "INDEX_READ", 5)
+    seen, layout = [], tiff._layout
+    monkeypatch.setattr(tiff, "_layout", lambda rows, *rest: seen.extend(rows) or layout(rows, *rest))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("rows come from the driver"))
+    size = tiff.write_pyramid(tiles, path, 211, 150, 32)
+    assert len(seen) == 8 and size == (tmp_path / "i.tiff").stat().st_size  # of 35 places in parts of 4, one part empty
+    assert (tmp_path / "i.tiff").read_bytes().replace(b"i.tiff", b"w.tiff") == before.read_bytes()
+    level = tiff.read_levels(path)[0]
+    assert isinstance(level.sizes, tiff.Index) and len(level.sizes) == 35 and [n for n in range(35) if not level.sizes[n]] == list(range(7, 14))
+    assert len(level.sizes.part) <= 5 and [level.offsets[n] for n in (34, 0, 20)] == [tiff.read_levels(str(before))[0].offsets[n] for n in (34, 0, 20)]
+    with pytest.raises(IndexError):
+        level.sizes[35]
+    assert (whole(spark, path) == image).all() and (tiff.read_region(path, 0, 0, 211, 150) == image).all()

@@ -7,7 +7,7 @@ from tilewright.functions import udtf
 from tilewright.operators import area, grid, jobs, raster
 from tilewright.plans import registry
 from tilewright.schemas import TASK, TILE_DATA
-from tilewright.sources import metadata
+from tilewright.sources import metadata, tiff
 from tilewright.streaming import micro
 
 
@@ -61,6 +61,14 @@ def test_slide_file_tiles_in_a_session_without_sources(spark, sf_dir):
         sessions.setActiveSession(spark._jsparkSession)
 
 
+def test_slide_file_tiles_are_spread_and_no_keys_are_broadcast(spark, sf_dir, monkeypatch):
+    seen, write = [], tiff.write_pyramid
+    monkeypatch.setattr(tiff, "write_pyramid", lambda tiles, *rest, **named: seen.append(tiles) or write(tiles, *rest, **named))
+    found = registry.QUERIES["slide_file_tiles"](spark, sf_dir)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString() and "RoundRobinPartitioning" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_padding_broadcasts_no_pixels(spark, sf_dir):
     padded = registry.QUERIES["pad_tile"](spark, sf_dir)
     padded.collect()

@@ -28,6 +28,30 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_OFFSETS, SAMPL
 X_RESOLUTION, Y_RESOLUTION, PLANAR, UNIT, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, SUB_LEVELS, JPEG_TABLES, SUB_SAMPLING = 282, 283, 284, 296, 317, 322, 323, 324, 325, 330, 347, 530
 PLAIN, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACK_BITS = 1, 5, 7, 8, 32946, 32773
 RGB, YCBCR = 2, 6
+#: Tiles of an index that are read at once, and that a task puts into a new file.
+INDEX_READ, INDEX_WRITTEN = 1 << 13, 1 << 16
+
+
+class Index:
+    """An index of many tiles, read where it is asked; a reader goes along its rows, so the last part is kept."""
+
+    def __init__(self, path: str, at: int, kind: str, n: int):
+        self.path, self.at, self.kind, self.n = path, at, np.dtype(kind), n
+        self.first, self.part = 0, np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, n: int) -> int:
+        if not 0 <= n < self.n:
+            raise IndexError(n)
+        if not self.first <= n < self.first + len(self.part):
+            self.first = n // INDEX_READ * INDEX_READ
+            count = min(INDEX_READ, self.n - self.first)
+            with open(self.path, "rb") as f:
+                f.seek(self.at + self.first * self.kind.itemsize)
+                self.part = np.frombuffer(f.read(count * self.kind.itemsize), self.kind, count).astype(np.int64)
+        return self.part[n - self.first]
 
 
 @dataclass
@@ -41,8 +65,8 @@ class Level:
     tile_h: int
     compression: int
     predictor: int
-    offsets: np.ndarray
-    sizes: np.ndarray
+    offsets: np.ndarray | Index
+    sizes: np.ndarray | Index
     description: str
     mpp: tuple[float, float] | None
     photometric: int = RGB
@@ -64,7 +88,10 @@ def _microns(tags: dict, tag: int) -> float | None:
 
 
 def read_levels(path: str) -> list[Level]:
-    """All images of a file, the largest first; FileNotFoundError if there is none, ValueError if it is no such TIFF."""
+    """All images of a file, the largest first; FileNotFoundError if there is none, ValueError if it is no such TIFF.
+
+    An index of more than INDEX_READ tiles stays in the file.
+    """
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     with open(path, "rb") as f:
@@ -95,7 +122,11 @@ def read_levels(path: str) -> list[Level]:
                 length, letter = _KINDS[kind]
                 data = entry[4 + inline :]
                 if n * length > inline:
-                    f.seek(struct.unpack(f"{order}{'Q' if big else 'I'}", data)[0])
+                    place = struct.unpack(f"{order}{'Q' if big else 'I'}", data)[0]
+                    if tag in (TILE_OFFSETS, TILE_SIZES, STRIP_OFFSETS, STRIP_SIZES) and n > INDEX_READ:
+                        tags[tag] = Index(path, place, f"{order}u{length}", n)
+                        continue
+                    f.seek(place)
                     data = f.read(n * length)
                 if tag in (TILE_OFFSETS, TILE_SIZES, STRIP_OFFSETS, STRIP_SIZES):
                     tags[tag] = np.frombuffer(data, f"{order}u{length}", n).astype(np.int64)
@@ -120,10 +151,12 @@ def _level(tags: dict, path: str) -> Level:
     return Level(w, h, channels, *tile, compression, tags.get(PREDICTOR, (1,))[0], tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES], bytes(tags.get(DESCRIPTION, b"")).decode(errors="replace"), mpp if all(mpp) else None, tags.get(PHOTOMETRIC, (RGB,))[0], bytes(tags.get(JPEG_TABLES, b"")))
 
 
+_SINGLE = [*(bytes([i]) for i in range(256)), b"", b""]
+
+
 def _lzw(data: bytes) -> bytes:
     """The format's LZW: codes of 9 to 12 bits, most significant first, widened one code early; 256 clears, 257 ends."""
-    first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, before = list(first), [], b""
+    table, out, before = list(_SINGLE), [], b""
     width, held, bits = 9, 0, 0
     for byte in data:
         held, bits = held << 8 | byte, bits + 8
@@ -133,7 +166,7 @@ def _lzw(data: bytes) -> bytes:
             if code == 257:
                 return b"".join(out)
             if code == 256:
-                table, width, before = list(first), 9, b""
+                table, width, before = list(_SINGLE), 9, b""
                 continue
             piece = table[code] if code < len(table) else before + before[:1]
             out.append(piece)
@@ -146,9 +179,9 @@ def _lzw(data: bytes) -> bytes:
 
 def lzw(data: bytes) -> bytes:
     """``data`` in the format's LZW, as _lzw reads it: a clear code first and whenever the table is full."""
-    first = {bytes([i]): i for i in range(256)}
-    table, following, width, held, bits = dict(first), 258, 9, 256, 9
-    out, word = bytearray(), b""
+    # a longer word's code, by the code of all but its last byte and that byte
+    table, following, width, held, bits = {}, 258, 9, 256, 9
+    out, word = bytearray(), -1
 
     def put(code: int) -> None:
         nonlocal held, bits
@@ -158,21 +191,21 @@ def lzw(data: bytes) -> bytes:
             out.extend((held >> rest).to_bytes(bits >> 3, "big"))
             held, bits = held & ((1 << rest) - 1), rest
 
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    for byte in data:
+        longer = table.get(word << 8 | byte) if word >= 0 else byte
+        if longer is not None:
             word = longer
             continue
-        put(table[word])
-        table[longer], following = following, following + 1
-        word = data[i : i + 1]
+        put(word)
+        table[word << 8 | byte], following = following, following + 1
+        word = byte
         if following == 4094:
             put(256)
-            table, following, width = dict(first), 258, 9
+            table, following, width = {}, 258, 9
         else:
             width = max(9, following.bit_length())
-    if word:
-        put(table[word])
+    if word >= 0:
+        put(word)
         following += 1
         width = max(9, following.bit_length())
     put(257)
@@ -376,9 +409,10 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
     ``compression`` is deflate, lzw or jpeg (with loss; levels are reduced from what was given).
 
     Each level comes from the one above, tile by tile, and is kept compressed in the scratch
-    folder. Then tiles' sizes fix where each lies: the driver writes the header and the
-    file's own index (16 bytes a tile), and tasks put their tiles in place in any order, as
-    often as they are run. ``path`` is a file that the driver and all executors can open.
+    folder. Then tiles' sizes fix where each lies: the driver sees a sum for INDEX_WRITTEN tiles
+    and writes the header, and tasks put the file's own index (16 bytes a tile) and their tiles
+    in place in any order, as often as they are run. ``path`` is a file that the driver and all
+    executors can open.
     """
     if w < 1 or h < 1 or tile % 16 or compression not in _COMPRESSIONS:
         raise ValueError(f"an image has pixels, tiles of a multiple of 16 and one of {', '.join(_COMPRESSIONS)}")
@@ -388,13 +422,18 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
             out = []
             for r in batch.to_pylist():
                 image = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], 3)
-                out.append(_squeezed(np.pad(image, ((0, tile - r["h"]), (0, tile - r["w"]), (0, 0)), mode="edge"), compression))
+                if r["h"] < tile or r["w"] < tile:
+                    image = np.pad(image, ((0, tile - r["h"]), (0, tile - r["w"]), (0, 0)), mode="edge")
+                out.append(_squeezed(image, compression))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), pa.array(out, pa.binary())], names=["row", "col", "data"])
 
-    spark, made, sizes = tiles.sparkSession, [], [(w, h)]
+    made, sizes = [], [(w, h)]
     current = scratch.written(tiles.select("row", "col", "h", "w", "data"), "slide-level")
     for level in range(levels):
-        made.append(scratch.written(current.select("row", "col", "h", "w", "data").mapInArrow(squeeze, "row int, col int, data binary").withColumn("level", F.lit(level)), "slide-tiles"))
+        columns, rows = (-(-n // tile) for n in sizes[-1])
+        packed = current.filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, columns - 1)).select("row", "col", "h", "w", "data").mapInArrow(squeeze, "row int, col int, data binary")
+        number = F.col("row").cast("long") * columns + F.col("col")
+        made.append(scratch.written(packed.select(F.lit(level).alias("level"), number.alias("n"), F.octet_length("data").cast("long").alias("size"), "data"), "slide-tiles"))
         if level + 1 < levels:
             above, current = current, scratch.written(halved(current, tile), "slide-level")
             sizes.append((-(-sizes[-1][0] // 2), -(-sizes[-1][1] // 2)))
@@ -403,14 +442,32 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
     packed = made[0]
     for other in made[1:]:
         packed = packed.unionByName(other)
-    index = packed.select("level", "row", "col", F.octet_length("data").alias("size")).orderBy("level", "row", "col").collect()
-    head, places, total = _layout(index, sizes, tile, ome_xml(w, h, 3, mpp, os.path.basename(path)), mpp, compression)
+    index = packed.select("level", "n", "size", F.expr(f"n div {INDEX_WRITTEN}").alias("part"))
+    shares = index.groupBy("level", "part").agg(F.sum(F.col("size") + F.col("size") % 2)).orderBy("level", "part").collect()
+    head, tables, starts, total = _layout(shares, sizes, tile, ome_xml(w, h, 3, mpp, os.path.basename(path)), mpp, compression)
     with open(path, "wb") as f:
         f.truncate(total)
         for at, data in head:
             f.seek(at)
             f.write(data)
-    places = spark.createDataFrame(places, "level int, row int, col int, at long")
+
+    def place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        level, part = (k.as_py() for k in key)
+        rows = rows.sort_by("n")
+        n, size = rows.column("n").to_numpy(), rows.column("size").to_numpy()
+        at = starts[level, part] + np.cumsum(size + size % 2) - (size + size % 2)
+        first, count = part * INDEX_WRITTEN, -(-sizes[level][0] // tile) * -(-sizes[level][1] // tile)
+        with open(path, "r+b") as f:
+            for table, values in zip(tables[level], (at, size), strict=True):
+                own = np.zeros(min(INDEX_WRITTEN, count - first), "<u8")
+                own[n - first] = values
+                f.seek(table + 8 * first)
+                f.write(own.tobytes())
+            f.flush()
+            os.fsync(f.fileno())
+        return pa.table([rows.column("level"), rows.column("n"), pa.array(at)], names=["level", "n", "at"])
+
+    places = index.groupBy("level", "part").applyInArrow(place, "level int, n long, at long")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -424,7 +481,8 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
             os.fsync(f.fileno())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    packed.join(places, ["level", "row", "col"]).select("at", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()
+    # merged, as the estimate of a well-compressed index may let Spark broadcast it
+    packed.hint("merge").join(places, ["level", "n"]).select("at", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()
     scratch.discard(*made)
     return total
 
@@ -432,22 +490,21 @@ def write_pyramid(tiles: DataFrame, path: str, w: int, h: int, tile: int, levels
 _COMPRESSIONS = {"deflate": DEFLATE, "lzw": LZW, "jpeg": JPEG}
 
 
-def _layout(index: list, sizes: list[tuple[int, int]], tile: int, description: str, mpp: tuple[float, float] | None, compression: str) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int, int]], int]:
-    """(place, bytes) of header and directories, places of tiles (level, row, col, at) and the file's length."""
-    at, places, found = 16, [], {}
-    for r in index:
-        places.append((r["level"], r["row"], r["col"], at))
-        found[r["level"], r["row"], r["col"]] = at, r["size"]
-        at += r["size"] + r["size"] % 2
-    first, out, starts = at, [], []
+def _layout(shares: list, sizes: list[tuple[int, int]], tile: int, description: str, mpp: tuple[float, float] | None, compression: str) -> tuple[list[tuple[int, bytes]], list[tuple[int, int]], dict[tuple[int, int], int], int]:
+    """(place, bytes) of header and directories, places of each level's offsets and sizes, of the first tile of each share (level, part, bytes), and the file's length."""
+    at, places = 16, {}
+    for level, part, size in shares:
+        places[level, part] = at
+        at += size
+    out, starts, tables = [], [], {}
     text = description.encode() + b"\0"
     for level in range(len(sizes) - 1, -1, -1):  # sub-levels first, as the main directory names them
         w, h = sizes[level]
-        own = [found.get((level, y, x), (0, 0)) for y in range(-(-h // tile)) for x in range(-(-w // tile))]
+        count = -(-h // tile) * -(-w // tile)
         fields: list[tuple[int, int, int, bytes]] = [
             (254, 4, 1, struct.pack("<I", int(level > 0))), (WIDTH, 4, 1, struct.pack("<I", w)), (HEIGHT, 4, 1, struct.pack("<I", h)), (BITS, 3, 3, struct.pack("<3H", 8, 8, 8)),
             (COMPRESSION, 3, 1, struct.pack("<H", _COMPRESSIONS[compression])), (PHOTOMETRIC, 3, 1, struct.pack("<H", YCBCR if compression == "jpeg" else RGB)), (SAMPLES, 3, 1, struct.pack("<H", 3)), (PLANAR, 3, 1, struct.pack("<H", 1)),
-            (TILE_WIDTH, 3, 1, struct.pack("<H", tile)), (TILE_HEIGHT, 3, 1, struct.pack("<H", tile)), (TILE_OFFSETS, 16, len(own), struct.pack(f"<{len(own)}Q", *[o for o, _ in own])), (TILE_SIZES, 16, len(own), struct.pack(f"<{len(own)}Q", *[n for _, n in own])),
+            (TILE_WIDTH, 3, 1, struct.pack("<H", tile)), (TILE_HEIGHT, 3, 1, struct.pack("<H", tile)), (TILE_OFFSETS, 16, count, b""), (TILE_SIZES, 16, count, b""),
         ]
         fields.append((SUB_SAMPLING, 3, 2, struct.pack("<2H", 1, 1)) if compression == "jpeg" else (PREDICTOR, 3, 1, struct.pack("<H", 2)))
         if mpp:
@@ -458,17 +515,20 @@ def _layout(index: list, sizes: list[tuple[int, int]], tile: int, description: s
                 fields.append((SUB_LEVELS, 16, len(starts), struct.pack(f"<{len(starts)}Q", *starts[::-1])))
         fields.sort()
         start, extra = at, at + 8 + 20 * len(fields) + 8
-        entries, rest = b"", b""
+        entries, rest, own = b"", [], {}
         for tag, kind, n, data in fields:
-            if len(data) > 8:
-                value = struct.pack("<Q", extra + len(rest))
-                rest += data + b"\0" * (-len(data) % 8)
+            length = 8 * n if tag in (TILE_OFFSETS, TILE_SIZES) else len(data)
+            if tag in (TILE_OFFSETS, TILE_SIZES):  # tasks put them there; without a tile they are 0
+                own[tag] = extra if length > 8 else start + 8 + len(entries) + 12
+            if length > 8:
+                value = struct.pack("<Q", extra)
+                rest.append((extra, data))
+                extra += length + -length % 8
             else:
                 value = data.ljust(8, b"\0")
             entries += struct.pack("<HHQ", tag, kind, n) + value
-        body = struct.pack("<Q", len(fields)) + entries + struct.pack("<Q", 0) + rest
-        out.append((start, body))
-        at += len(body)
+        out += [(start, struct.pack("<Q", len(fields)) + entries + struct.pack("<Q", 0)), *rest]
+        tables[level] = own[TILE_OFFSETS], own[TILE_SIZES]
+        at = extra
         starts.append(start)
-    assert at >= first
-    return [(0, struct.pack("<2sHHHQ", b"II", 43, 8, 0, starts[-1])), *out], places, at
+    return [(0, struct.pack("<2sHHHQ", b"II", 43, 8, 0, starts[-1])), *out], [tables[i] for i in range(len(sizes))], places, at
